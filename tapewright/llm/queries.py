@@ -27,6 +27,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapewright.llm.substring_dedup import remove_repeats
+
+    out = remove_repeats(_read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapewright.llm.jaccard_join import near_duplicates
+
+    out = near_duplicates(_read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "class_id", "rep_id", "n_links", "n_grams")
+
+
 OP10_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS len, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
@@ -70,8 +84,37 @@ SELECT doc_id, size, ss AS source_size, target,
 FROM z
 """
 
+OP1_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 48, 1))) AS s, w FROM w),
+h AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS h FROM p),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY h) AS first FROM h) WHERE first < doc_id),
+g AS (SELECT doc_id, list_distinct(flatten(list(range(s, s + 50)))) AS gone FROM r GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE
+         list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN g ON w.doc_id = g.doc_id
+"""
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS s FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS overlap FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE overlap >= 0.8 * (x.n + y.n - overlap)),
+s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, s.b FROM reach JOIN s ON reach.b = s.a),
+cl AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a),
+li AS (SELECT a, count(*) AS n_links FROM s GROUP BY a)
+SELECT d.doc_id, cl.class_id, coalesce(min(d.doc_id) OVER (PARTITION BY coalesce(n.k, d.doc_id::VARCHAR)), d.doc_id) AS rep_id,
+       coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n.n, 0)::BIGINT AS n_grams
+FROM documents d JOIN cl ON d.doc_id = cl.a LEFT JOIN li ON d.doc_id = li.a LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+
 #: name: (query, SQL or None)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_substring_dedup": (op1_substring_dedup, OP1_SQL),
     "op2_mixing": (op2_mixing, OP2_SQL),
+    "op7_ngram_jaccard": (op7_ngram_jaccard, OP7_SQL),
     "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
 }
