@@ -41,6 +41,20 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "class_id", "rep_id", "n_links", "n_grams")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapewright.llm.packing import pack
+
+    return pack(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapewright.llm.lang_id import held_out, predict, train
+
+    docs = _read(spark, sf_dir, "documents")
+    model = train(docs, ~held_out())
+    return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
+
+
 OP10_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS len, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
@@ -115,6 +129,8 @@ FROM documents d JOIN cl ON d.doc_id = cl.a LEFT JOIN li ON d.doc_id = li.a LEFT
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_substring_dedup": (op1_substring_dedup, OP1_SQL),
     "op2_mixing": (op2_mixing, OP2_SQL),
+    "op4_packing": (op4_packing, None),
+    "op9_language_id": (op9_language_id, None),
     "op7_ngram_jaccard": (op7_ngram_jaccard, OP7_SQL),
     "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
 }
