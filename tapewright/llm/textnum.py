@@ -61,7 +61,8 @@ def spans(pre: np.ndarray, lo: np.ndarray, hi: np.ndarray, base: int) -> np.ndar
 class Words:
     """The words of a slice of documents: byte spans, hashes, and per document the range of its words."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, blank: np.ndarray = _WS, fold: np.ndarray | None = None):
+        """``blank``: which bytes separate words; ``fold``: what bytes are replaced with before hashing."""
         texts = texts.cast(pa.large_string())
         n = len(texts)
         if texts.null_count:
@@ -69,11 +70,11 @@ class Words:
         off = np.frombuffer(texts.buffers()[1], np.int64, n + 1, texts.offset * 8) if n else np.zeros(1, np.int64)
         raw = texts.buffers()[2]
         data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
-        self.data = data[off[0] : off[-1]]
+        self.data = data[off[0] : off[-1]] if fold is None else fold[data[off[0] : off[-1]]]
         self.off = off - off[0]
         size = len(self.data)
         word = np.ones(size + 1, bool)
-        word[:size] = ~_WS[self.data]
+        word[:size] = ~blank[self.data]
         word[size] = False
         first = np.zeros(size + 1, bool)
         first[self.off] = True
