@@ -55,6 +55,41 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapewright.llm.pii import KINDS, find_personal_data
+
+    out = find_personal_data(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in KINDS]
+    return out.select("doc_id", *counts, F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapewright.llm.embed_dedup import near_vectors
+
+    return near_vectors(_read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapewright.llm.license_scan import scan_licenses
+
+    out = scan_licenses(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",")
+    spans = F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"], m["end"])), ",")
+    return out.select("doc_id", F.size("matches").cast("long").alias("n_matches"), names.alias("licenses"), spans.alias("spans"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapewright.llm.chat_format import format_conversations, read_back
+
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(n).cast("long").alias("turn"),
+        F.lit(role).alias("role"), F.lit(said).alias("text")) for n, role in enumerate(("user", "assistant"))])).alias("x")).select("x.*")
+    return read_back(format_conversations(rows.unionByName(own))).drop("n_tokens", "n_loss_tokens")
+
+
 OP10_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS len, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
@@ -125,11 +160,38 @@ SELECT d.doc_id, cl.class_id, coalesce(min(d.doc_id) OVER (PARTITION BY coalesce
 FROM documents d JOIN cl ON d.doc_id = cl.a LEFT JOIN li ON d.doc_id = li.a LEFT JOIN n ON d.doc_id = n.doc_id
 """
 
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n,
+         embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AS ok FROM embeddings),
+g AS (SELECT vec_id, list_transform(e, lambda x: x / n) AS u FROM v WHERE ok AND n > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.u) = len(b.u) AND list_inner_product(a.u, b.u) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+l AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT c.a AS vec_id, coalesce(l.n, 0)::BIGINT AS n_links, component_id, c.a = component_id AS kept FROM c LEFT JOIN l ON c.a = l.a
+"""
+
+OP8_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 24 AS size FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 #: name: (query, SQL or None)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_substring_dedup": (op1_substring_dedup, OP1_SQL),
     "op2_mixing": (op2_mixing, OP2_SQL),
+    "op3_pii": (op3_pii, None),
     "op4_packing": (op4_packing, None),
+    "op5_embedding_dedup": (op5_embedding_dedup, OP5_SQL),
+    "op6_license_scan": (op6_license_scan, None),
+    "op8_chat_format": (op8_chat_format, OP8_SQL),
     "op9_language_id": (op9_language_id, None),
     "op7_ngram_jaccard": (op7_ngram_jaccard, OP7_SQL),
     "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
