@@ -1,3 +1,195 @@
-"""The registered queries: name -> (query, DuckDB SQL or None)."""
+"""The registered queries: name -> (query, DuckDB SQL or None). Doubles are rounded to 4 places on both sides."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tapewright.functions.core import CONFIG, is_long
+from tapewright.operators import backtest as bt
+from tapewright.operators import factor, indicators, journal, learn, montecarlo, optimize, pairs, risk, strategies
+from tapewright.plans import oracles as sql
+from tapewright.sources import bars as src
+from tapewright.streaming import bars as stream
+
+PAIRS = [("Brand#11", "Brand#12"), ("Brand#21", "Brand#22"), ("Brand#31", "Brand#32"), ("Brand#41", "Brand#42"), ("Brand#51", "Brand#52")]
+NUDGE = 1e-7
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def out(df: DataFrame, *cols: str) -> DataFrame:
+    """Doubles rounded (NUDGE keeps exact halves off the edge), instants without zone."""
+    df = df.select(*cols) if cols else df
+    return df.select(*[F.round(F.col(c) + NUDGE, 4).alias(c) if t == "double" else F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])
+
+
+def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicators.add_indicators(src.order_bars(spark, sf_dir))
+
+
+def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = CONFIG["structure"]
+    return indicators.add_structure(rows(spark, sf_dir), s["lookback"], s["width"])
+
+
+def plan_query(name: str) -> Query:
+    return lambda spark, d: out(strategies.plans(structured(spark, d), name, structure=CONFIG["structure"]))
+
+
+def trades(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """Trending strategies leave by the trailing stop, mean reversion by its target."""
+    x = structured(spark, d)
+    trail = CONFIG["exits"]["trail"] if strategies.STRATEGIES[name][2] == "trending" else None
+    return bt.backtest(strategies.plans(x, name, structure=CONFIG["structure"]), x.select("symbol", "idx", "high", "low", "close"), trail, CONFIG["exits"]["max_hold"])
+
+
+def trade_query(name: str) -> Query:
+    return lambda spark, d: out(trades(spark, d, name), "strategy", "symbol", "idx", "side", "exit_idx", "exit", "outcome", "r")
+
+
+def fixed_query(name: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        x = structured(spark, d)
+        done = bt.backtest(strategies.plans(x, name, structure=CONFIG["structure"]), x.select("symbol", "idx", "high", "low", "close"))
+        return out(done, "strategy", "symbol", "idx", "side", "exit_idx", "exit", "outcome", "r")
+
+    return run
+
+
+def signals(spark: SparkSession, d: str) -> DataFrame:
+    """The universe scan as one plan: the last bar's plans that suit the regime, with their strategy's statistics,
+    late statistics, Monte Carlo checks, size, confluence, confidence and gate."""
+    x = structured(spark, d).persist()
+    plan = strategies.all_plans(x, CONFIG["structure"]).persist()
+    bars = x.select("symbol", "idx", "high", "low", "close")
+    trend = plan.where("strategy <> 'mean_reversion'")
+    done = bt.trailing_exits(trend, bars, CONFIG["exits"]["trail"]).unionByName(bt.fixed_exits(plan.where("strategy = 'mean_reversion'"), bars))
+    done = bt.select_trades(done).persist()
+    g, r = CONFIG["gate"], CONFIG["risk"]
+    st = montecarlo.add_bootstrap(bt.stats(done, full_list=True), ruin=g["ruin"])
+    late = bt.out_of_sample(done, split=g["split"]).select("strategy", "symbol", F.col("trades").alias("oos_trades"), F.col("expectancy").alias("oos_expectancy"))
+    last = plan.withColumn("_k", F.row_number().over(Window.partitionBy("strategy", "symbol").orderBy(F.desc("idx")))).where("_k = 1").drop("_k")
+    last = montecarlo.add_barrier_probability(last)
+    sig = last.join(st, ["strategy", "symbol"]).join(late, ["strategy", "symbol"], "left").fillna({"oos_trades": 0, "oos_expectancy": 0.0})
+    sig = sig.join(indicators.regime(x, CONFIG["regime"]["trend"], CONFIG["regime"]["range"]).select("symbol", "regime"), "symbol")
+    sig = risk.add_size(sig, r["equity"], r["risk_pct"], r["kelly"], r["max_kelly_pct"])
+    sig = sig.withColumn("asset_class", src.asset_class(F.col("symbol")))
+    sig = strategies.confluence(risk.apply_short_policy(sig)).withColumn("confidence", risk.combined_confidence())
+    return sig.withColumn("passed", risk.passes_gate()).withColumn("note", strategies.structure_note())
+
+
+def signal_query(spark: SparkSession, d: str) -> DataFrame:
+    return out(signals(spark, d), "strategy", "symbol", "ts", "side", "entry", "stop", "target", "regime", "trades", "win_rate", "profit_factor", "sharpe", "oos_trades", "oos_expectancy", "prob_profitable",
+               "risk_of_ruin", "win_prob", "baseline_win_prob", "units", "risk_amount", "confluence", "confidence", "passed", "note")
+
+
+def portfolio_query(spark: SparkSession, d: str) -> DataFrame:
+    p = risk.portfolio(signals(spark, d), CONFIG["risk"]["equity"], CONFIG["risk"]["portfolio_max_pct"], CONFIG["risk"]["max_open"])
+    return out(p.withColumn("risk_by_class", F.to_json("risk_by_class")).withColumn("warnings", F.array_join("warnings", "; ")))
+
+
+def state(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A journal: every trend-breakout plan opened as a signal, resolved up to the last bar."""
+    x = structured(spark, d).persist()
+    p = strategies.plans(x, "trend_breakout", structure=CONFIG["structure"])
+    p = p.withColumn("signal_id", F.row_number().over(Window.orderBy("symbol", "idx")).cast("long")).withColumn("created_at", F.col("ts")).withColumn("asset_class", F.lit("stock"))
+    log = p.select(*journal.SIGNAL, F.col("ts").alias("at"), F.lit("open").alias("status"), F.lit(None).cast("timestamp").alias("closed_at"), F.lit(None).cast("double").alias("result_r"))
+    now = x.agg(F.max("ts")).first()[0]
+    return journal.resolve(journal.latest(log), x.select("symbol", "ts", "high", "low", "close"), F.lit(now), CONFIG["journal"]["max_hold_days"]), x
+
+
+def review_query(spark: SparkSession, d: str) -> DataFrame:
+    s, x = state(spark, d)
+    s = s.withColumn("status", F.when(F.col("created_at") >= F.lit(x.agg(F.max("ts")).first()[0]) - F.expr("INTERVAL 90 DAYS"), "open").otherwise(F.col("status")))
+    got = journal.review(journal.open_positions(s, x))
+    return out(got, "signal_id", "symbol", "side", "r_now", "recommended_sl", "recommended_tp", "tp_reason", "at_breakeven", "trailed", "near_target", "danger", "actionable")
+
+
+def aligned(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.align(src.brand_bars(spark, d), spark.createDataFrame(PAIRS, "symbol_a string, symbol_b string"))
+
+
+def pair_query(spark: SparkSession, d: str) -> DataFrame:
+    st = pairs.pair_state(aligned(spark, d))
+    return out(montecarlo.add_spread_probability(st).select("pair", "beta", "alpha", "z", "phi", "sigma_eps", "t", "p_value", "win_prob"))
+
+
+def ml_query(spark: SparkSession, d: str) -> DataFrame:
+    """Fewer trees and refits than the operator's defaults, to suit one machine."""
+    m = CONFIG["ml"]
+    x = rows(spark, d).persist()
+    s = learn.walk_forward(x, m["horizon"], m["k"], m["min_train"], refit=840, iterations=10)
+    return out(bt.stats(learn.signal_trades(s, x, m["threshold"], m["horizon"], m["k"])))
+
+
+def stream_bars_query(spark: SparkSession, d: str) -> DataFrame:
+    return out(stream.run_available(stream.stream_bars(stream.event_stream(spark, d)), ["symbol", "ts"]))
+
+
+def stream_sessions_query(spark: SparkSession, d: str) -> DataFrame:
+    e = src.table(spark, d, "events")
+    return out(stream.stream_sessions(e))
+
+
+_W = ["sma_20", "sma_50", "sma_200", "std_20", "bb_up", "bb_low", "zscore", "donchian_up", "donchian_low", "thrust", "tr", "realized_vol", "drift", "piv_low", "piv_high", "fvg_sup", "fvg_res", "ob_sup", "ob_res"]
+_R = ["atr", "rsi", "rsi_2", "macd", "macd_signal", "macd_hist", "ema_20", "kc_up", "kc_low", "adx"]
+_round = lambda cols: ", ".join(f"round({c}, 4) AS {c}" for c in cols)
+_OHLCV = _round(["open", "high", "low", "close", "volume"])
+_FEATURES_SQL = {
+    **{f"ret_{n}": f"close / lag(close, {n}) OVER v - 1" for n in (1, 3, 5, 10, 20)}, "mom_63": "close / lag(close, 63) OVER v - 1", "mom_126": "close / lag(close, 126) OVER v - 1",
+    "rsi": "rsi", "rsi_2": "rsi_2", "macd_hist_pct": "macd_hist / close", "atr_pct": "atr / close", "zscore": "zscore", "adx": "adx", "pct_b": "(close - bb_low) / nullif(bb_up - bb_low, 0)",
+    "dist_ma50": "close / sma_50 - 1", "dist_ma200": "close / sma_200 - 1", "realized_vol": "realized_vol",
+    "vol_z": "CASE WHEN idx >= 19 THEN (volume - avg(volume) OVER (v ROWS 19 PRECEDING)) / nullif(stddev_pop(volume) OVER (v ROWS 19 PRECEDING), 0) END",
+}
+
+QUERIES: dict[str, tuple[Query, str | None]] = {
+    "bars_orders": (lambda s, d: out(src.order_bars(s, d)), f"WITH {sql.BARS} SELECT symbol, ts, {_OHLCV} FROM bars"),
+    "bars_brand": (lambda s, d: out(src.brand_bars(s, d)), f"WITH {sql.BRAND} SELECT symbol, ts, {_OHLCV} FROM bars"),
+    "bars_events": (lambda s, d: out(src.event_bars(s, d)), f"WITH {sql.EVENTS} SELECT symbol, ts, {_OHLCV} FROM bars"),
+    "bars_tail": (lambda s, d: out(src.tail(src.order_bars(s, d), 100)), f"WITH {sql.BARS} SELECT symbol, ts, {_OHLCV} FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 100"),
+    "indicators_window": (lambda s, d: out(indicators.add_window_indicators(src.order_bars(s, d)), "symbol", "ts", *_W), f"WITH {sql.BARS}, {sql.WINDOWS} SELECT symbol, ts, {_round(_W)} FROM w"),
+    "indicators_recursive": (lambda s, d: out(rows(s, d), "symbol", "ts", *_R), f"{sql.IND} SELECT symbol, ts, {_round(_R)} FROM x"),
+    "regime": (
+        lambda s, d: out(indicators.regime(rows(s, d))),
+        f"{sql.IND} SELECT symbol, CASE WHEN a >= 25 THEN 'trending' WHEN a < 20 THEN 'ranging' ELSE 'neutral' END AS regime, round(a, 4) AS adx FROM (SELECT symbol, arg_max(adx, ts) AS a FROM x GROUP BY symbol)",
+    ),
+    "structure_levels": (
+        lambda s, d: out(structured(s, d).select("symbol", "ts", F.size("sup").alias("n_sup"), F.array_min("sup").alias("low_sup"), F.array_max("sup").alias("high_sup"), F.size("res").alias("n_res"), F.array_min("res").alias("low_res"), F.array_max("res").alias("high_res"))),
+        f"{sql.IND}, {sql.STRUCTURE} SELECT symbol, ts, len(sup)::INT AS n_sup, round(list_min(sup), 4) AS low_sup, round(list_max(sup), 4) AS high_sup, len(res)::INT AS n_res, round(list_min(res), 4) AS low_res, round(list_max(res), 4) AS high_res FROM y",
+    ),
+    **{f"strategy_{n}": (plan_query(n), sql.plan_rows(n)) for n in strategies.STRATEGIES},
+    **{f"trades_{n}": (trade_query(n), sql.trade_rows(n, sql.FIXED if n == "mean_reversion" else sql.TRAILING)) for n in strategies.STRATEGIES},
+    "trades_fixed_exits": (fixed_query("trend_breakout"), sql.trade_rows("trend_breakout", sql.FIXED)),
+    "backtest_stats": (lambda s, d: bt.stats(trades(s, d, "trend_breakout")), sql.stat_rows("trend_breakout", sql.TRAILING)),
+    "out_of_sample": (lambda s, d: bt.out_of_sample(trades(s, d, "trend_breakout")), sql.late_rows("trend_breakout", sql.TRAILING)),
+    "pairs_rolling_z": (lambda s, d: out(pairs.rolling_z(aligned(s, d)).where("z IS NOT NULL").select("pair", "ts", "idx", "beta", "z")), sql.PAIRS),
+    "pairs_backtest": (lambda s, d: bt.stats(pairs.pair_trades(pairs.rolling_z(aligned(s, d))), ["pair"]), None),
+    "pairs_state": (pair_query, None),
+    "factor_baskets": (lambda s, d: out(factor.basket_returns(src.brand_bars(s, d))), sql.FACTOR),
+    "factor_backtest": (
+        lambda s, d: bt.stats(factor.basket_returns(src.brand_bars(s, d)), ["basket"], "t"), sql.FACTOR.replace("SELECT 'momentum'", ", done AS (SELECT 'momentum'").replace("round(avg(fwd) FILTER (hi <= 2) - avg(fwd) FILTER (lo <= 2), 4)", "avg(fwd) FILTER (hi <= 2) - avg(fwd) FILTER (lo <= 2)") + ") " + sql.stat_columns("t", "basket"),
+    ),
+    "factor_live": (lambda s, d: out(factor.rank_live(indicators.add_indicators(src.brand_bars(s, d)))), None),
+    "features": (lambda s, d: out(learn.add_features(rows(s, d)), "symbol", "ts", *learn.FEATURES), f"{sql.IND} SELECT symbol, ts, {', '.join(f'round({e}, 4) + 0.0 AS {c}' for c, e in _FEATURES_SQL.items())} FROM x WINDOW v AS (PARTITION BY symbol ORDER BY ts)"),
+    "barrier_labels": (lambda s, d: learn.labels(rows(s, d)), sql.LABELS),
+    "ml_walk_forward": (ml_query, None),
+    "signals_scan": (signal_query, None),
+    "portfolio_summary": (portfolio_query, None),
+    "journal_resolve": (lambda s, d: out(state(s, d)[0], "signal_id", "symbol", "strategy", "side", "created_at", "status", "result_r"), f"{sql.RESOLVE} SELECT signal_id, symbol, strategy, side, created_at, status, round(result_r, 4) AS result_r FROM state"),
+    "journal_performance": (
+        lambda s, d: journal.performance(state(s, d)[0]),
+        f"""{sql.RESOLVE} SELECT count(*) AS total, count(*) FILTER (status = 'open') AS open, count(*) FILTER (status <> 'open') AS closed, count(*) FILTER (status = 'tp') AS tp, count(*) FILTER (status = 'sl') AS sl,
+        round(count(*) FILTER (status = 'tp') / count(*) FILTER (status <> 'open'), 2 + 2) AS win_rate, round(avg(result_r), 2 + 2) AS avg_r, round(sum(result_r), 2 + 2) AS total_r FROM state""",
+    ),
+    "position_review": (review_query, None),
+    "optimize_macd": (lambda s, d: out(optimize.grid_search(rows(s, d), "macd_trend").drop("strategy")), None),
+    "stream_bars": (stream_bars_query, f"WITH {sql.EVENTS} SELECT symbol, ts, {_OHLCV} FROM bars"),
+    "event_sessions": (
+        stream_sessions_query,
+        """SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL 30 MINUTES AS "end", count(*) AS events FROM (
+        SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT *, if(ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTES, 0, 1) AS new FROM events)) GROUP BY user_id, k""",
+    ),
+}
+QUERIES = {name: (query, text and text.replace(", 4)", f" + {NUDGE}, 4)")) for name, (query, text) in QUERIES.items()}
