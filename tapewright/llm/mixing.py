@@ -14,6 +14,8 @@ MAX_REPEATS = 3
 BLOCKS, LARGEST_BLOCK = 65536, 4096
 #: Consecutive slots ranked together; runs of documents that one task sums up.
 CHUNK, RUNS = 65536, 4096
+#: Cells in which points of the schedule meet the sources' shares.
+CELLS = 4096
 
 
 def word_count(text: str | Column) -> Column:
@@ -56,9 +58,11 @@ def schedule(targets: DataFrame, block: int, slots: int) -> DataFrame:
     whole = shares.agg(F.max("hi")).first()[0] or 0.0
     shares = shares.select("source", ((F.col("hi") - F.col("target")) / (whole or 1.0)).alias("lo"), (F.col("hi") / (whole or 1.0)).alias("hi"))
     point = F.col("id") * F.lit(GOLDEN)
-    # One row a source: a few shares against every slot.
+    # Points and shares meet in equal cells of [0, 1): an equi-join, whatever the number of sources.
+    shares = shares.where("lo < hi").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.floor(F.col("hi") * CELLS))))
     points = spark.range(slots).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("u"))
-    placed = points.join(F.broadcast(shares), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
+    points = points.withColumn("cell", F.floor(F.col("u") * CELLS))
+    placed = points.join(shares, (points["cell"] == shares["cell"]) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
     placed = placed.select("source", "slot", F.floor(F.col("slot") / CHUNK).alias("chunk"))
     counts = placed.groupBy("source", "chunk").agg(F.count("*").alias("n"))
     before = counts.select(
