@@ -1,0 +1,284 @@
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tapewright.llm import chat_format, embed_dedup, exact_dedup, graph, jaccard_join, lang_id, license_scan, mixing, packing, pii, substring_dedup
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(rng, n, vocabulary=4000):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Copies, near copies, shared passages, nulls, empty and long texts, repeated rows, a null id."""
+    rng = random.Random(5)
+    texts = [prose(rng, rng.randrange(60, 300)) for _ in range(30)]
+    passage = prose(rng, 70)
+    near = texts[3].split()
+    near[40] = "changed"
+    more = [texts[0], texts[0].replace(" ", "\n"), texts[0] + " ", " ".join(near), f"{prose(rng, 20)} {passage} {prose(rng, 9)}", f"{passage} {prose(rng, 30)}", None, "", " \t", "one", "one", "two words é", prose(rng, 20000)]
+    out = [(i, t, "en" if i % 2 else "de", f"s{i % 4}" if i % 7 else None, None) for i, t in enumerate(texts + more)]
+    return [*out, out[5], (None, texts[1], None, None, 3)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOCS).withColumns({"kept": F.lit(1), "id": F.lit("x"), "matches": F.lit(0), "__text": F.lit("clash")}).persist()
+
+
+def words(t):
+    return WORD.findall(t or "")
+
+
+def test_exact_dedup(docs, rows):
+    groups = defaultdict(list)
+    for i, t, *_ in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), i is None, i))
+    want = Counter()
+    for i, t, *_ in rows:
+        g = groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")]
+        want[(i, min(g, key=lambda x: (x[0], x[1], x[2] or 0))[2], len(g), min(g, key=lambda x: (x[0], x[1], x[2] or 0))[2] == i)] += 1
+    got = exact_dedup.exact_groups(docs)
+    assert Counter(map(tuple, got.select("doc_id", "keep_id", "group_size", "kept").collect())) == want
+    assert got.where("false").count() == 0 and exact_dedup.exact_groups(docs.where("false")).count() == 0
+    kept = exact_dedup.exact_dedup(docs)
+    assert kept.columns == docs.columns and kept.count() == len(groups)
+
+
+def test_substring_dedup(docs, rows):
+    n = 50
+    first = {}
+    for i, t, *_ in rows:
+        w = words(t)
+        for s in range(len(w) - n + 1):
+            if i is not None:
+                k = tuple(w[s : s + n])
+                first[k] = min(first.get(k, i), i)
+    want = Counter()
+    for i, t, *_ in rows:
+        w = words(t)
+        gone = {j for s in range(len(w) - n + 1) if i is not None and first[tuple(w[s : s + n])] < i for j in range(s, s + n)}
+        want[(i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone))] += 1
+    got = substring_dedup.remove_repeats(docs)
+    assert Counter(tuple(r)[:4] for r in got.collect()) == want and any(k[2] for k in want)
+    assert substring_dedup.remove_repeats(docs.where("false")).count() == 0
+
+
+def test_jaccard_join(docs, rows):
+    def grams(t):
+        w = words(t)
+        return frozenset(tuple(w[s : s + 5]) for s in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [grams(t) for _, t, *_ in rows]
+    link = [[j for j in range(len(rows)) if j != i and sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(rows))]
+    got = Counter((r.id, r.n_links) for r in jaccard_join.near_duplicates(docs).collect())
+    assert got == Counter((rows[i][0], len(link[i])) for i in range(len(rows)))
+    small = Counter((r.id, r.n_links, r.class_id) for r in jaccard_join.near_duplicates(docs, block=2).collect())
+    assert small == Counter((r.id, r.n_links, r.class_id) for r in jaccard_join.near_duplicates(docs).collect())
+    classes = {r.id: r.class_id for r in jaccard_join.near_duplicates(docs).collect()}
+    assert classes[33] == 3 and classes[30] == 0 and classes[36] == 36
+    assert jaccard_join.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_mixing(spark, docs):
+    d = docs.withColumn("size", mixing.word_count("text"))
+    got = mixing.mix(d).toPandas()
+    assert len(got) == docs.count() and (got["taken"] <= 3 * got["size"]).all() and (got.loc[got["size"] == 0, "taken"] == 0).all()
+    by = got.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"), size=("source_size", "first"))
+    assert by["target"].sum() == pytest.approx(by["size"].sum()) and (by["target"] <= 3 * by["size"] + 1e-6).all()
+    assert ((by["taken"] - by["target"]).abs() <= 0.01 * by["target"] + 4).all()
+    assert Counter(map(tuple, mixing.mix(d).fillna(-1).collect())) == Counter(map(tuple, mixing.mix(d.repartition(3)).fillna(-1).collect()))
+    assert mixing.mix(d.where("false")).count() == 0
+    sizes = spark.createDataFrame([("a", 1), ("b", 1000), ("c", 1000)], "source string, source_size long")
+    t = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
+    assert t["a"] == 3 and t["b"] == pytest.approx(1998 * 2 / 3) and t["c"] == pytest.approx(1998 / 3)
+
+
+def test_packing(docs, rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    want = Counter()
+    for i, text, *_ in rows:
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
+        for s in range(0, len(ids), 2048):
+            want[(i, s, len(ids[s : s + 2048]), zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes()), len(ids))] += 1
+    got = packing.pack(docs).collect()
+    assert Counter(tuple(r)[:5] for r in got) == want
+    seq = defaultdict(list)
+    for r in got:
+        seq[r.sequence_id].append((r.offset, r.length))
+    for v in seq.values():
+        v.sort()
+        assert all(a + b == c for (a, b), (c, _) in zip(v, v[1:])) and v[0][0] == 0 and sum(v[-1]) <= 2048
+    assert packing.pack(docs.where("false")).count() == 0
+
+
+def test_encoder_falls_apart_only_where_ids_agree():
+    import tiktoken  # noqa: F401
+
+    e = packing.encoder(packing.default_ranks())
+    for text in ("", " ", "  ", "a  b", "a \n b", "a\n\nb", " a b ", "x  y", "it's  <|endoftext|> d'accord", "été déjà\tvu \r\n ok", "trailing \n"):
+        assert e.ids(text).tolist() == e.encode(text), text
+
+
+def test_plan_uses_every_piece():
+    counts = np.zeros(2049, np.int64)
+    r = np.random.default_rng(2)
+    np.add.at(counts, np.minimum(2047, r.geometric(0.003, 20000)), 1)
+    used, room = np.zeros_like(counts), 0
+    for lengths, n in packing.plan(counts):
+        assert sum(lengths) <= 2048
+        np.add.at(used, lengths, n)
+        room += n * 2048
+    assert (used == counts).all() and 1 - (np.arange(2049) * counts).sum() / room < 0.005
+
+
+def test_embedding_dedup(spark):
+    r = np.random.default_rng(4)
+    base = r.normal(size=(40, 16))
+    v = [*base, *(base[:12] + r.normal(size=(12, 16)) * 0.08), *(base[:12] + r.normal(size=(12, 16)) * 0.08), base[3], base[3] * 2]
+    vecs = [(i, [float(np.float32(x)) for x in row]) for i, row in enumerate(v)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] + [1.0] * 15), (903, [None] + [1.0] * 15), (904, []), (905, [1.0, 2.0]), (906, [2.0, 4.0]), (None, [1.0, 2.0])]
+    good = [(i, np.array(x, float) / np.linalg.norm(x)) for i, x in vecs if x and None not in x and np.isfinite(x).all() and any(x)]
+    want = Counter()
+    for k, (i, x) in enumerate(good):
+        want[(i, sum(1 for m, (_, y) in enumerate(good) if m != k and len(x) == len(y) and x @ y >= 0.95))] += 1
+    want.update((i, 0) for i in (900, 901, 902, 903, 904))
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+    for block in (4096, 8):
+        got = embed_dedup.near_vectors(df, block=block, lists=4).collect()
+        assert Counter((x.id, x.n_links) for x in got) == want
+        assert {x.id: x.component_id for x in got}[906] == 905
+        assert all(x.kept == (x.id == x.component_id) for x in got)
+    assert embed_dedup.near_vectors(df.where("false")).count() == 0 and embed_dedup.near_vectors(df.limit(1)).count() == 1
+
+
+def test_license_scan(spark):
+    t = license_scan.TEMPLATES
+    texts = ["plain words only here and there", *(f"intro words {x}### and so on" for x in t.values()), None, "", "Released under", t["MIT-text"].replace("granted", "GRANTED,") + " " + t["MIT"]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [m.license for m in r.matches] for r in license_scan.scan_licenses(df).collect()}
+    for n, name in enumerate(t, 1):
+        assert name in got[n], name
+    assert got[0] == [] and got[len(t) + 1] == [] and set(got[len(t) + 4]) >= {"MIT-text", "MIT"}
+    r = license_scan.scan_licenses(df).where("doc_id = 2").first()
+    assert texts[2][r.matches[0].start : r.matches[0].end].startswith("Released under")
+    assert license_scan.scan_licenses(df.where("false")).count() == 0
+
+
+def naive_base(text):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 16 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(digits(m[0])) <= 15]
+
+
+def test_pii(spark):
+    rng = random.Random(3)
+    alphabet = "a1.@+- 9(0)é,4"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(80))) for _ in range(400)]
+    texts += ["x.y@a.b@c.d", "1.2.3.4.5.6.7.8", "4111111111111111 4111-1111-1111-1111", "+1 (743) 555-3824 +49 30 1234567", None, "", "a" * 5000 + "@b.c", "001.2.3.300 0255.1.1.1"]
+    for t in texts:
+        assert pii.base_spans(t or "") == naive_base(t or ""), t
+    extra = ["please call (743) 555-3824 today", "mail bob (at) mail (dot) com now", "order 1234567 in 1999 and page 12", "the quick brown fox"]
+    df = spark.createDataFrame(list(enumerate(texts + extra)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_personal_data(df).collect()}
+    for i, t in enumerate(texts):
+        assert [tuple(s) for s in got[i].base] == naive_base(t or "") and set(map(tuple, got[i].base)) <= set(map(tuple, got[i].spans))
+    n = len(texts)
+    assert [s.kind for s in got[n].spans] == ["phone"] and [s.kind for s in got[n + 1].spans] == ["email"] and not got[n + 2].spans and not got[n + 3].spans
+    assert pii.find_personal_data(df.where("false")).count() == 0
+
+
+def test_crf_generalises():
+    m, table = pii.train(pii.labelled_table()), pii.labelled_table(300, seed=99)
+    paths = m.decode([m.scores(w) for w, _ in table])
+    assert np.mean([[pii.LABELS[x] for x in p] == y for p, (_, y) in zip(paths, table)]) > 0.95
+
+
+def test_chat_round_trip(spark):
+    texts = ["plain", "</s>[INST] ok [/INST]", "<|start|>x<|text|><|end|>", r"<\| <\\| <|", "", None, "é漢字 \n\n tab\t", "<|endoftext|>"]
+    rng = random.Random(2)
+    rows = [(c, k, rng.choice(["user", "assistant", None]), rng.choice(texts)) for c in range(12) for k in range(rng.randrange(1, 9))]
+    rows += [(50, k, "assistant" if k % 2 else "user", f"turn {k} <|") for k in range(200)] + [(None, 0, "assistant", "x"), (51, None, "user", "y"), (51, None, "user", "y")]
+    f = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: r for r in chat_format.read_back(f).collect()}
+    by = defaultdict(list)
+    for c, k, role, text in rows:
+        by[c].append((-1 if k is None else k, role or "", text or ""))
+    assert set(got) == set(by)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for c, turns in by.items():
+        turns.sort()
+        loss = "".join(t for _, r, t in turns if r == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(turns), sha("".join(f"{r}\n{t}\n" for _, r, t in turns)))
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), sha(loss))
+    one = f.where("conv_id = 50").orderBy("part").collect()
+    assert len(one) == 4 and all(len(r.ids) == len(r.loss_mask) for r in one)
+    assert all(chat_format.unescape(chat_format.escape(t or "")) == (t or "") and "<|" not in chat_format.escape(t or "") for t in texts)
+
+
+def test_language_id(spark):
+    rng = random.Random(8)
+    parts = {"aa": ["tion", "the", "ing", "of"], "bb": ["ung", "der", "sch", "ß"], "cc": ["eau", "les", "é", "que"]}
+    rows = [(i, " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(3, 60))), lang) for i in range(600) for lang in [rng.choice(list(parts))]]
+    rows += [(1000, None, "aa"), (1001, "", "bb"), (1002, "123 !?", "cc"), (None, "the thing of the", "aa"), (1003, "les que eau", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.train(df, ~lang_id.held_out())
+    got = {r.doc_id: r for r in lang_id.predict(df.withColumn("held_out", lang_id.held_out()), model).collect()}
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(600))
+    held = [(got[i].lang_pred, lang) for i, _, lang in rows if i is not None and i < 600 and got[i].held_out]
+    assert len(held) > 80 and np.mean([a == b for a, b in held]) > 0.97
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1000, 1001, 1002)) and got[1003].lang_pred == "cc" and not got[None].held_out
+    assert all(0 <= r.score <= 1 and math.isfinite(r.score) for r in got.values())
+    x = lang_id.presence(["the thing", "les eaux"])
+    k = x @ lang_id.presence(["the thing", "les eaux"]).T
+    assert k[0, 0] == pytest.approx(1, abs=1e-5) and k[0, 1] < 0.5
+    assert lang_id.keep_known(df).count() == len(rows) - 3 and lang_id.train(df.where("false"), ~lang_id.held_out()) is None
+    assert lang_id.predict(df, None).where("lang_pred <> 'und'").count() == 0
+
+
+def test_pipeline_stages(spark, docs, rows):
+    import corpus_pipeline as p
+
+    d = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    letters = [r for r in rows if r[1] and re.search("[a-zé]", r[1])]
+    out = []
+    for name, f in p.STAGES:
+        d = f(spark, d, "").persist()
+        out.append((name, d.count(), d.columns))
+    assert out[0][1] == len(letters) and all(c == ["doc_id", "text", "lang", "source", "n_chars"] for _, _, c in out[:-1])
+    assert out[1][1] == len({re.sub(r"\s", "", r[1]) for r in letters})
+    assert out[2][1] == out[1][1] - 1
+    assert 0 < out[3][1] <= 3 * out[2][1] and out[4][1] >= out[3][1] and "sequence_id" in out[4][2]
