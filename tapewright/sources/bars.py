@@ -67,7 +67,7 @@ def parse_payload(payloads: DataFrame, symbol: str = "symbol", body: str = "body
     parses to 1990 or later. Rows without four prices or a date are left out."""
     rows = F.from_json(F.get_json_object(body, "$.data"), "ARRAY<ARRAY<STRING>>")
     cell = payloads.select(F.col(symbol).alias("symbol"), F.posexplode(rows).alias("seq", "cells")).where(F.size("cells") >= 5)
-    price = lambda i: F.try_to_number(F.regexp_replace(strip_html(F.col("cells")[i]), ",", ""), F.lit("S999999999999999D999999")).cast("double")
+    price = lambda i: F.try_to_number(F.regexp_replace(strip_html(F.get("cells", F.lit(i))), ",", ""), F.lit("S999999999999999D999999")).cast("double")
     dates = F.transform(F.slice("cells", 5, 100), lambda c: F.try_to_timestamp(F.regexp_replace(strip_html(c), "/", "-"), F.lit("yyyy-MM-dd")))
     ts = F.element_at(F.filter(dates, lambda d: F.coalesce(F.year(d) >= 1990, F.lit(False))), 1)
     got = cell.select("symbol", "seq", *[price(i).alias(f"p{i}") for i in range(4)], F.when(F.size(F.filter(dates, lambda d: F.coalesce(F.year(d) >= 1990, F.lit(False)))) > 0, ts).alias("ts"))
