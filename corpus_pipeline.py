@@ -46,7 +46,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Language ID and packing have no SQL; tests/llm/test_pipeline.py compares the stages' row counts with a brute-force count.
+#: Language ID and packing have no SQL; tests/llm/test_operators.py compares the stages' row counts with a brute-force count.
 ORACLE_SQL = None
 
 
