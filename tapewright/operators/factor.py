@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.core import is_long, valid_plan
+from tapewright.operators.strategies import add_stop_and_target
 
 
 def complete_panel(bars: DataFrame) -> DataFrame:
@@ -29,20 +30,29 @@ def basket_returns(bars: DataFrame, lookback: int = 126, skip: int = 21, hold: i
     return ends.select(F.lit("momentum").alias("basket"), "t", (F.col("up") - F.col("down")).alias("r"))
 
 
-def rank_live(rows: DataFrame, lookback: int = 126, skip: int = 21, top: int = 2, bottom: int = 2, stop: float = 3.0, reward: float = 2.0) -> DataFrame:
-    """Legs of the strongest and weakest symbols by their own last bars: side, score, rank, entry, stop, target.
-    ``rows`` have indicators; symbols of short history or without a positive price there are left out."""
+def rank_live(rows: DataFrame, lookback: int = 126, skip: int = 21, top: int = 2, bottom: int = 2, stop: float = 3.0, reward: float = 2.0, structure: dict | None = None) -> DataFrame:
+    """Legs of the strongest and weakest symbols by their own last bars: side, score, rank, entry, stop, target, ATR-based
+    or, if ``structure`` is given, refined by levels. ``rows`` have indicators (and structure arrays). Symbols of under
+    lookback + skip + 2 bars or without a positive price at the start are left out; with under top + bottom symbols
+    there are no legs."""
     w = Window.partitionBy("symbol").orderBy("ts")
+    names = ["ts", "idx", "close", "atr", "past", "far", *(["sup", "res"] if structure else [])]
     s = rows.withColumns({"past": F.lag("close", skip).over(w), "far": F.lag("close", skip + lookback).over(w)})
-    last = s.groupBy("symbol").agg(F.max_by(F.struct("ts", "close", "atr", "past", "far"), "ts").alias("x")).select("symbol", "x.*")
-    last = last.where("past > 0 AND far > 0").withColumn("score", F.col("past") / F.col("far") - 1.0)
-    # One row a symbol from here on.
-    ranked = last.withColumns({"hi": F.row_number().over(Window.orderBy(F.desc("score"), "symbol")), "lo": F.row_number().over(Window.orderBy("score", F.desc("symbol")))})
-    legs = ranked.where(F.col("hi") <= top).withColumn("side", F.lit("LONG")).withColumn("rank", F.col("hi")).unionByName(
-        ranked.where(F.col("lo") <= bottom).withColumn("side", F.lit("SHORT")).withColumn("rank", F.col("lo"))
-    )
-    sign = F.when(is_long(), 1.0).otherwise(-1.0)
-    legs = legs.where("atr > 0").withColumns({"entry": F.col("close"), "stop": F.col("close") - sign * stop * F.col("atr"), "target": F.col("close") + sign * stop * reward * F.col("atr")})
+    last = s.groupBy("symbol").agg(F.max_by(F.struct(*names), "ts").alias("x")).select("symbol", "x.*")
+    last = last.where((F.col("idx") >= lookback + skip + 1) & (F.col("far") > 0)).withColumn("score", F.col("past") / F.col("far") - 1.0).where("score IS NOT NULL").persist()
+    n = last.agg(F.count("*").alias("_n")).where(F.col("_n") >= top + bottom)
+
+    def best(side: str, k: int, *order) -> DataFrame:
+        return last.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("side", F.lit(side))
+
+    # The top k rows of each side and one row to count them all, over the held rows (one a symbol).
+    legs = best("LONG", top, F.desc("score"), "symbol").unionByName(best("SHORT", bottom, "score", F.desc("symbol")))
+    legs = legs.join(F.broadcast(n), F.lit(True)).drop("_n").where("atr > 0").withColumn("entry", F.col("close"))
+    if structure:
+        legs = add_stop_and_target(legs, stop, reward, structure)
+    else:
+        sign = F.when(is_long(), 1.0).otherwise(-1.0)
+        legs = legs.withColumns({"stop": F.col("close") - sign * stop * F.col("atr"), "target": F.col("close") + sign * stop * reward * F.col("atr")})
     return legs.where(valid_plan()).select("symbol", "ts", "side", "score", "rank", "entry", "stop", "target", "atr")
 
 

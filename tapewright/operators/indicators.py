@@ -53,9 +53,9 @@ def add_window_indicators(bars: DataFrame) -> DataFrame:
         "loss": F.when(F.col("change").isNotNull(), F.greatest(-F.col("change"), F.lit(0.0))),
         "plus_dm": F.coalesce(F.when((up > down) & (up > 0), up), F.lit(0.0)), "minus_dm": F.coalesce(F.when((down > up) & (down > 0), down), F.lit(0.0)),
         "returns_n": F.count("log_return").over(over(20)), "realized_vol": F.stddev_pop("log_return").over(over(20)) * F.sqrt(F.lit(252.0)),
-        "drift_n": F.count("change").over(over(20)), "drift": F.avg("change").over(over(20)),
+        "drift_n": F.count("change").over(over(14)), "drift": F.avg("change").over(over(14)),
     })
-    out = out.withColumn("realized_vol", full(F.col("realized_vol"), F.col("returns_n"), 20)).withColumn("drift", F.coalesce(full(F.col("drift"), F.col("drift_n"), 20), F.lit(0.0)))
+    out = out.withColumn("realized_vol", full(F.col("realized_vol"), F.col("returns_n"), 20)).withColumn("drift", F.coalesce(full(F.col("drift"), F.col("drift_n"), 14), F.lit(0.0)))
     return out.drop("n20", "n50", "n200", "p4", "p20", "hh", "hc", "lc", "ll", "mid_n", "mid_low", "mid_high", "high_2", "low_2", "returns_n", "drift_n")
 
 

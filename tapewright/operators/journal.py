@@ -90,11 +90,11 @@ def review(positions: DataFrame, p: dict = CONFIG["manage"]) -> DataFrame:
 
 def open_positions(state: DataFrame, rows: DataFrame) -> DataFrame:
     """Open signals with what ``review`` needs: the last bar's columns, extremes since creation, the next level."""
-    last = rows.groupBy("symbol").agg(F.max_by(F.struct("close", "atr", "sma_200", "macd_hist", "sup", "res"), "ts").alias("x")).select(F.col("symbol").alias("_s"), "x.*")
+    last = rows.groupBy("symbol").agg(F.max_by(F.struct("close", F.col("high").alias("last_high"), F.col("low").alias("last_low"), "atr", "sma_200", "macd_hist", "sup", "res"), "ts").alias("x")).select(F.col("symbol").alias("_s"), "x.*")
     since = state.where("status = 'open'").join(rows.select(F.col("symbol").alias("_b"), "ts", "high", "low"), (F.col("symbol") == F.col("_b")) & (F.col("ts") > F.col("created_at")))
     since = since.groupBy("signal_id").agg(F.max("high").alias("hi_since"), F.min("low").alias("lo_since"))
     out = state.where("status = 'open'").join(last, F.col("symbol") == F.col("_s")).join(since, "signal_id", "left")
     cur = F.col("close")
-    out = out.withColumns({"hi_since": F.coalesce("hi_since", "entry"), "lo_since": F.coalesce("lo_since", "entry"), "current": cur, "ma_trend": F.col("sma_200"),
+    out = out.withColumns({"hi_since": F.coalesce("hi_since", "last_high"), "lo_since": F.coalesce("lo_since", "last_low"), "current": cur, "ma_trend": F.col("sma_200"),
                            "next_level": F.when(is_long(), F.array_min(F.filter("res", lambda v: v > cur))).otherwise(F.array_max(F.filter("sup", lambda v: v < cur)))})
-    return out.drop("_s", "close", "sma_200", "sup", "res")
+    return out.drop("_s", "close", "last_high", "last_low", "sma_200", "sup", "res")

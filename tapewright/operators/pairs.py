@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.functions.core import valid_plan
+
 #: Fixed values of the method: unit-root t statistics and their p-values.
 CRITICAL = ((-3.90, 0.01), (-3.34, 0.05), (-3.04, 0.10), (-2.50, 0.25), (-1.50, 0.50), (-0.50, 0.75))
 
@@ -33,10 +35,11 @@ def rolling_z(aligned: DataFrame, lookback: int = 252) -> DataFrame:
     return out.drop("_n", "_ma", "_mb", "_va", "_vb", "_ab")
 
 
-def pair_trades(z: DataFrame, entry: float = 2.0, exit_: float = 0.5, stop: float = 3.5) -> DataFrame:
+def pair_trades(z: DataFrame, entry: float = 2.0, exit_: float = 0.5, stop: float = 3.5, least: int = 252 + 30) -> DataFrame:
     """(pair, idx, r): trades of the position machine flat, long spread, short spread; one still open at the end is
-    left out. Streamed in order; the state is the position and its entry z."""
-    rows = z.where("z IS NOT NULL").select("pair", "ts", "idx", "z").repartition("pair").sortWithinPartitions("pair", "ts")
+    left out, and pairs of under ``least`` bars have none. A win is the move of z over the distance of the entry and
+    stop thresholds. Streamed in order; the state is the position and its entry z."""
+    rows = z.withColumn("_n", F.count("*").over(Window.partitionBy("pair"))).where(F.col("z").isNotNull() & (F.col("_n") >= least)).select("pair", "ts", "idx", "z").repartition("pair").sortWithinPartitions("pair", "ts")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, side, at = None, 0, 0.0
@@ -49,7 +52,7 @@ def pair_trades(z: DataFrame, entry: float = 2.0, exit_: float = 0.5, stop: floa
                     side = 1 if v <= -entry else -1 if v >= entry else 0
                     at = v
                 elif side * v >= -exit_:
-                    out.append((pair, idx, side * (v - at) / (stop - side * at)))
+                    out.append((pair, idx, side * (v - at) / (stop - entry)))
                     side = 0
                 elif side * v <= -stop:
                     out.append((pair, idx, -1.0))
@@ -113,4 +116,4 @@ def pair_plans(state: DataFrame, p_max: float = 0.05, entry: float = 2.0, exit_:
     price = lambda z: F.col("mu") + z * F.col("sigma") + F.col("beta") * F.col("b") + F.col("alpha")
     sign = F.when(F.col("z") <= -entry, F.lit(-1.0)).otherwise(F.lit(1.0))
     hit = state.where((F.col("p_value") <= p_max) & (F.abs("z") >= entry) & (F.col("sigma") > 0) & (F.col("beta") != 0))
-    return hit.withColumns({"side": F.when(F.col("z") <= -entry, "LONG").otherwise("SHORT"), "entry": F.col("a"), "target": price(sign * exit_), "stop": price(sign * stop)})
+    return hit.withColumns({"side": F.when(F.col("z") <= -entry, "LONG").otherwise("SHORT"), "entry": F.col("a"), "target": price(sign * exit_), "stop": price(sign * stop)}).where(valid_plan())

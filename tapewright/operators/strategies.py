@@ -135,6 +135,6 @@ def structure_note() -> Column:
     return F.concat_ws("; ", F.when(F.col("stop_level").isNotNull(), F.format_string("stop beyond level %.4f", "stop_level")), F.when(F.col("target_level").isNotNull(), F.format_string("target before level %.4f", "target_level")))
 
 
-def confluence(signals: DataFrame) -> DataFrame:
-    """Adds how many strategies agree on a symbol's side."""
-    return signals.withColumn("confluence", F.count("*").over(Window.partitionBy("symbol", "side")))
+def confluence(signals: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Adds how many strategies agree on a symbol's side (within the other keys, if given)."""
+    return signals.withColumn("confluence", F.count("*").over(Window.partitionBy("symbol", "side", *(keys or []))))

@@ -59,8 +59,9 @@ def fixed_query(name: str) -> Query:
 
 
 def signals(spark: SparkSession, d: str) -> DataFrame:
-    """The universe scan as one plan: the last bar's plans that suit the regime, with their strategy's statistics,
-    late statistics, Monte Carlo checks, size, confluence, confidence and gate."""
+    """Each strategy's latest plan of each symbol, with the strategy's statistics, late statistics, Monte Carlo checks,
+    size, confluence, confidence and gate. ``live``: it is of the last bar and suits the regime, as a scan asks; the
+    confluence counts such plans with each other, and the others with each other."""
     x = structured(spark, d).persist()
     plan = strategies.all_plans(x, CONFIG["structure"]).persist()
     bars = x.select("symbol", "idx", "high", "low", "close")
@@ -71,23 +72,26 @@ def signals(spark: SparkSession, d: str) -> DataFrame:
     st = montecarlo.add_bootstrap(bt.stats(done, full_list=True), ruin=g["ruin"])
     late = bt.out_of_sample(done, split=g["split"]).select("strategy", "symbol", F.col("trades").alias("oos_trades"), F.col("expectancy").alias("oos_expectancy"))
     last = plan.withColumn("_k", F.row_number().over(Window.partitionBy("strategy", "symbol").orderBy(F.desc("idx")))).where("_k = 1").drop("_k")
-    last = montecarlo.add_barrier_probability(last)
+    last = montecarlo.add_barrier_probability(last.join(x.select("symbol", "idx", "drift"), ["symbol", "idx"]), "drift")
+    end = x.groupBy("symbol").agg(F.max("idx").alias("end"))
     sig = last.join(st, ["strategy", "symbol"]).join(late, ["strategy", "symbol"], "left").fillna({"oos_trades": 0, "oos_expectancy": 0.0})
-    sig = sig.join(indicators.regime(x, CONFIG["regime"]["trend"], CONFIG["regime"]["range"]).select("symbol", "regime"), "symbol")
+    sig = sig.join(indicators.regime(x, CONFIG["regime"]["trend"], CONFIG["regime"]["range"]).select("symbol", "regime"), "symbol").join(end, "symbol")
+    suits = F.when(F.col("strategy") == "mean_reversion", "ranging").otherwise("trending")
+    sig = sig.withColumn("live", (F.col("idx") == F.col("end")) & ((F.col("regime") == "neutral") | (F.col("regime") == suits)))
     sig = risk.add_size(sig, r["equity"], r["risk_pct"], r["kelly"], r["max_kelly_pct"])
     sig = sig.withColumn("asset_class", src.asset_class(F.col("symbol")))
-    sig = strategies.confluence(risk.apply_short_policy(sig)).withColumn("confidence", risk.combined_confidence())
+    sig = strategies.confluence(risk.apply_short_policy(sig), ["live"]).withColumn("confidence", risk.combined_confidence())
     return sig.withColumn("passed", risk.passes_gate()).withColumn("note", strategies.structure_note())
 
 
 def signal_query(spark: SparkSession, d: str) -> DataFrame:
     return out(signals(spark, d), "strategy", "symbol", "ts", "side", "entry", "stop", "target", "regime", "trades", "win_rate", "profit_factor", "sharpe", "oos_trades", "oos_expectancy", "prob_profitable",
-               "risk_of_ruin", "win_prob", "baseline_win_prob", "units", "risk_amount", "confluence", "confidence", "passed", "note")
+               "risk_of_ruin", "win_prob", "baseline_win_prob", "units", "risk_amount", "confluence", "confidence", "passed", "live", "note")
 
 
 def portfolio_query(spark: SparkSession, d: str) -> DataFrame:
     p = risk.portfolio(signals(spark, d), CONFIG["risk"]["equity"], CONFIG["risk"]["portfolio_max_pct"], CONFIG["risk"]["max_open"])
-    return out(p.withColumn("risk_by_class", F.to_json("risk_by_class")).withColumn("warnings", F.array_join("warnings", "; ")))
+    return out(p.withColumn("risk_by_class", F.to_json(F.transform_values("risk_by_class", lambda _, v: F.round(v + NUDGE, 2)))).withColumn("warnings", F.array_join("warnings", "; ")))
 
 
 def state(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -165,26 +169,26 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "backtest_stats": (lambda s, d: bt.stats(trades(s, d, "trend_breakout")), sql.stat_rows("trend_breakout", sql.TRAILING)),
     "out_of_sample": (lambda s, d: bt.out_of_sample(trades(s, d, "trend_breakout")), sql.late_rows("trend_breakout", sql.TRAILING)),
     "pairs_rolling_z": (lambda s, d: out(pairs.rolling_z(aligned(s, d)).where("z IS NOT NULL").select("pair", "ts", "idx", "beta", "z")), sql.PAIRS),
-    "pairs_backtest": (lambda s, d: bt.stats(pairs.pair_trades(pairs.rolling_z(aligned(s, d))), ["pair"]), None),
+    "pairs_backtest": (lambda s, d: bt.stats(pairs.pair_trades(pairs.rolling_z(aligned(s, d))), ["pair"]), sql.PAIR_STATS),
     "pairs_state": (pair_query, None),
     "factor_baskets": (lambda s, d: out(factor.basket_returns(src.brand_bars(s, d))), sql.FACTOR),
     "factor_backtest": (
         lambda s, d: bt.stats(factor.basket_returns(src.brand_bars(s, d)), ["basket"], "t"), sql.FACTOR.replace("SELECT 'momentum'", ", done AS (SELECT 'momentum'").replace("round(avg(fwd) FILTER (hi <= 2) - avg(fwd) FILTER (lo <= 2), 4)", "avg(fwd) FILTER (hi <= 2) - avg(fwd) FILTER (lo <= 2)") + ") " + sql.stat_columns("t", "basket"),
     ),
-    "factor_live": (lambda s, d: out(factor.rank_live(indicators.add_indicators(src.brand_bars(s, d)))), None),
+    "factor_live": (lambda s, d: out(factor.rank_live(indicators.add_structure(indicators.add_indicators(src.brand_bars(s, d)), CONFIG["structure"]["lookback"], CONFIG["structure"]["width"]), structure=CONFIG["structure"])), sql.FACTOR_LIVE),
     "features": (lambda s, d: out(learn.add_features(rows(s, d)), "symbol", "ts", *learn.FEATURES), f"{sql.IND} SELECT symbol, ts, {', '.join(f'round({e}, 4) + 0.0 AS {c}' for c, e in _FEATURES_SQL.items())} FROM x WINDOW v AS (PARTITION BY symbol ORDER BY ts)"),
     "barrier_labels": (lambda s, d: learn.labels(rows(s, d)), sql.LABELS),
     "ml_walk_forward": (ml_query, None),
     "signals_scan": (signal_query, None),
-    "portfolio_summary": (portfolio_query, None),
+    "portfolio_summary": (portfolio_query, sql.PORTFOLIO),
     "journal_resolve": (lambda s, d: out(state(s, d)[0], "signal_id", "symbol", "strategy", "side", "created_at", "status", "result_r"), f"{sql.RESOLVE} SELECT signal_id, symbol, strategy, side, created_at, status, round(result_r, 4) AS result_r FROM state"),
     "journal_performance": (
         lambda s, d: journal.performance(state(s, d)[0]),
         f"""{sql.RESOLVE} SELECT count(*) AS total, count(*) FILTER (status = 'open') AS open, count(*) FILTER (status <> 'open') AS closed, count(*) FILTER (status = 'tp') AS tp, count(*) FILTER (status = 'sl') AS sl,
         round(count(*) FILTER (status = 'tp') / count(*) FILTER (status <> 'open'), 2 + 2) AS win_rate, round(avg(result_r), 2 + 2) AS avg_r, round(sum(result_r), 2 + 2) AS total_r FROM state""",
     ),
-    "position_review": (review_query, None),
-    "optimize_macd": (lambda s, d: out(optimize.grid_search(rows(s, d), "macd_trend").drop("strategy")), None),
+    "position_review": (review_query, sql.REVIEW),
+    "optimize_macd": (lambda s, d: out(optimize.grid_search(rows(s, d), "macd_trend").drop("strategy")), sql.GRID_MACD),
     "stream_bars": (stream_bars_query, f"WITH {sql.EVENTS} SELECT symbol, ts, {_OHLCV} FROM bars"),
     "event_sessions": (
         stream_sessions_query,

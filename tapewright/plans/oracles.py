@@ -35,7 +35,7 @@ q AS (SELECT *,
     CASE WHEN prev_low - low > high - prev_high AND prev_low - low > 0 THEN prev_low - low ELSE 0.0 END AS minus_dm FROM p),
 w AS MATERIALIZED (SELECT *, sma_20 + 2 * std_20 AS bb_up, sma_20 - 2 * std_20 AS bb_low, (close - sma_20) / nullif(std_20, 0) AS zscore,
     CASE WHEN count(log_return) OVER ({_LAST.format(19)}) = 20 THEN stddev_pop(log_return) OVER ({_LAST.format(19)}) * sqrt(252.0) END AS realized_vol,
-    CASE WHEN count(change) OVER ({_LAST.format(19)}) = 20 THEN avg(change) OVER ({_LAST.format(19)}) ELSE 0.0 END AS drift FROM q)"""
+    CASE WHEN count(change) OVER ({_LAST.format(13)}) = 14 THEN avg(change) OVER ({_LAST.format(13)}) ELSE 0.0 END AS drift FROM q)"""
 
 RECURSIVE = """e AS (
   SELECT symbol, idx, tr AS a14, tr AS a10, NULL::DOUBLE AS g14, NULL::DOUBLE AS l14, NULL::DOUBLE AS g2, NULL::DOUBLE AS l2, close AS e12, close AS e26, close AS e20,
@@ -79,19 +79,24 @@ TRIGGERS = {
 }
 
 
-def plans(name: str) -> str:
-    up, down, stop, reward = TRIGGERS[name]
-    head = f"{IND}, {STRUCTURE}, t AS (SELECT *, close AS entry, if(side = 'LONG', 1.0, -1.0) AS sgn FROM (SELECT *, CASE WHEN {up} THEN 'LONG' WHEN {down} THEN 'SHORT' END AS side FROM y) WHERE side IS NOT NULL AND atr > 0 AND sma_200 IS NOT NULL)"
-    if reward is None:
-        body = f"t5 AS (SELECT *, entry - sgn * {stop} * atr AS stop, sma_20 AS target, NULL::DOUBLE AS stop_level, NULL::DOUBLE AS target_level FROM t)"
-    else:
-        body = f"""t1 AS (SELECT *, CASE WHEN side = 'LONG' THEN list_max(list_filter(sup, lambda v: v < entry)) ELSE list_min(list_filter(res, lambda v: v > entry)) END AS l1 FROM t),
+def refined(stop: float, reward: float) -> str:
+    """Stop and target of the rows of t, refined by levels, as t5."""
+    return f"""t1 AS (SELECT *, CASE WHEN side = 'LONG' THEN list_max(list_filter(sup, lambda v: v < entry)) ELSE list_min(list_filter(res, lambda v: v > entry)) END AS l1 FROM t),
 t2 AS (SELECT *, l1 - sgn * 0.25 * atr AS s1 FROM t1),
 t3 AS (SELECT *, if(ok1, s1, entry - sgn * {stop} * atr) AS stop, if(ok1, l1, NULL) AS stop_level FROM (SELECT *, coalesce(sgn * (entry - s1) BETWEEN 0.8 * atr AND 4.0 * atr, false) AS ok1 FROM t2)),
 t4 AS (SELECT *, CASE WHEN side = 'LONG' THEN list_min(list_filter(res, lambda v: v > entry AND v < goal)) ELSE list_max(list_filter(sup, lambda v: v > goal AND v < entry)) END AS l2
        FROM (SELECT *, entry + sgn * {reward} * abs(entry - stop) AS goal FROM t3)),
 t5 AS (SELECT * EXCLUDE (ok1), if(ok2, g2, goal) AS target, if(ok2, l2, NULL) AS target_level FROM (
        SELECT *, coalesce(sgn * (g2 - entry) > 0 AND sgn * (g2 - entry) / nullif(abs(entry - stop), 0) >= 0.8, false) AS ok2 FROM (SELECT *, l2 - sgn * 0.25 * atr AS g2 FROM t4)))"""
+
+
+def plans(name: str) -> str:
+    up, down, stop, reward = TRIGGERS[name]
+    head = f"{IND}, {STRUCTURE}, t AS (SELECT *, close AS entry, if(side = 'LONG', 1.0, -1.0) AS sgn FROM (SELECT *, CASE WHEN {up} THEN 'LONG' WHEN {down} THEN 'SHORT' END AS side FROM y) WHERE side IS NOT NULL AND atr > 0 AND sma_200 IS NOT NULL)"
+    if reward is None:
+        body = f"t5 AS (SELECT *, entry - sgn * {stop} * atr AS stop, sma_20 AS target, NULL::DOUBLE AS stop_level, NULL::DOUBLE AS target_level FROM t)"
+    else:
+        body = refined(stop, reward)
     return f"""{head}, {body},
 plans AS MATERIALIZED (SELECT '{name}' AS strategy, symbol, ts, idx::INT AS idx, side, sgn, entry, stop, target, atr, stop_level, target_level FROM t5
   WHERE CASE WHEN side = 'LONG' THEN stop < entry AND entry < target ELSE target < entry AND entry < stop END)"""
@@ -164,3 +169,74 @@ PAIRS = f"""WITH {BRAND}, a AS (SELECT x.symbol || '/' || y.symbol AS pair, x.ts
 m AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY ts) - 1 AS idx, count(*) OVER w AS n, avg(a) OVER w AS ma, avg(b) OVER w AS mb, var_pop(a) OVER w AS va, var_pop(b) OVER w AS vb,
   covar_pop(a, b) OVER w AS ab FROM a WINDOW w AS (PARTITION BY pair ORDER BY ts ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING))
 SELECT pair, ts, idx::INT AS idx, round(ab / vb, 4) AS beta, round((a - ab / vb * b - (ma - ab / vb * mb)) / sqrt(va - ab / vb * ab), 4) AS z FROM m WHERE n = 252"""
+
+_ORDERED = "CASE WHEN side = 'LONG' THEN stop < entry AND entry < target ELSE target < entry AND entry < stop END"
+
+FACTOR_LIVE = f"""WITH RECURSIVE {BRAND}, {WINDOWS}, {RECURSIVE}, {STRUCTURE},
+s AS (SELECT *, lag(close, 21) OVER v AS past, lag(close, 147) OVER v AS far FROM y WINDOW v AS (PARTITION BY symbol ORDER BY ts)),
+l AS (SELECT *, past / far - 1 AS score FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1) WHERE idx >= 148 AND far > 0),
+k AS (SELECT *, row_number() OVER (ORDER BY score DESC, symbol) AS hi, row_number() OVER (ORDER BY score, symbol DESC) AS lo, count(*) OVER () AS scored FROM l),
+t AS (SELECT *, close AS entry, if(side = 'LONG', 1.0, -1.0) AS sgn FROM (SELECT *, 'LONG' AS side, hi AS place FROM k WHERE hi <= 2 UNION ALL SELECT *, 'SHORT', lo FROM k WHERE lo <= 2) WHERE atr > 0 AND scored >= 4),
+{refined(3.0, 2.0)}
+SELECT symbol, ts, side, round(score, 4) AS score, place::INT AS rank, round(entry, 4) AS entry, round(stop, 4) AS stop, round(target, 4) AS target, round(atr, 4) AS atr FROM t5 WHERE {_ORDERED}"""
+
+PAIR_STATS = f"""{PAIRS.split("SELECT pair, ts, idx::INT")[0].replace("WITH ", "WITH RECURSIVE ", 1)},
+zs AS (SELECT pair, idx, row_number() OVER (PARTITION BY pair ORDER BY ts) AS k, (a - ab / vb * b - (ma - ab / vb * mb)) / sqrt(va - ab / vb * ab) AS z, count(*) OVER (PARTITION BY pair) AS later FROM m WHERE n = 252),
+q AS (SELECT pair, 0::BIGINT AS k, 0 AS pos, 0.0::DOUBLE AS since, 0::BIGINT AS idx, NULL::DOUBLE AS r FROM zs WHERE k = 1 AND later >= 30
+  UNION ALL
+  SELECT q.pair, zs.k, CASE WHEN pos = 0 THEN CASE WHEN z <= -2 THEN 1 WHEN z >= 2 THEN -1 ELSE 0 END WHEN pos * z >= -0.5 OR pos * z <= -3.5 THEN 0 ELSE pos END,
+    if(pos = 0, z, since), zs.idx, CASE WHEN pos = 0 THEN NULL WHEN pos * z >= -0.5 THEN pos * (z - since) / 1.5 WHEN pos * z <= -3.5 THEN -1.0 END
+  FROM q JOIN zs ON zs.pair = q.pair AND zs.k = q.k + 1),
+done AS (SELECT pair, idx, r FROM q WHERE r IS NOT NULL) {stat_columns("idx", "pair")}"""
+
+REVIEW = f"""{RESOLVE},
+o AS (SELECT st.signal_id, st.created_at, s.symbol, s.side, s.sgn, s.entry, s.stop, s.target FROM state st JOIN s USING (signal_id)
+  WHERE st.status = 'open' OR st.created_at >= (SELECT max(ts) FROM bars) - INTERVAL 90 DAYS),
+end_ AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1),
+h AS (SELECT o.signal_id, max(b.high) AS top, min(b.low) AS bottom FROM o JOIN bars b ON b.symbol = o.symbol AND b.ts > o.created_at GROUP BY 1),
+p1 AS (SELECT o.*, end_.close AS now, end_.atr, end_.sma_200, end_.macd_hist, coalesce(top, end_.high) AS top, coalesce(bottom, end_.low) AS bottom, abs(entry - stop) AS risk,
+  CASE WHEN side = 'LONG' THEN list_min(list_filter(res, lambda v: v > end_.close)) ELSE list_max(list_filter(sup, lambda v: v < end_.close)) END AS lv
+  FROM o JOIN end_ ON end_.symbol = o.symbol LEFT JOIN h ON h.signal_id = o.signal_id),
+p2 AS (SELECT *, risk > 0 AND coalesce(atr > 0, false) AS ok, sgn * (now - entry) / risk AS gain, if(side = 'LONG', top, bottom) - sgn * 3.0 * atr AS tr FROM p1),
+p3 AS (SELECT *, ok AND gain >= 1 AS locked, if(ok AND gain >= 1, if(side = 'LONG', greatest(stop, entry), least(stop, entry)), stop) AS sl, ok AND sgn * (now - target) >= 0 AS past FROM p2),
+p4 AS (SELECT *, coalesce(locked AND sgn * (tr - sl) > 0 AND sgn * (now - tr) > 0, false) AS trailed, ok AND (past OR abs(target - now) <= 0.5 * atr) AS near,
+  ok AND coalesce(sgn * (now - sma_200) < 0 OR sgn * macd_hist < 0, false) AS danger, lv - sgn * 0.25 * atr AS before_lv FROM p3),
+p5 AS (SELECT *, CASE WHEN NOT ok THEN '' WHEN past THEN 'target reached' WHEN danger THEN 'thesis weakening' WHEN near THEN 'in the target zone'
+  WHEN sgn * (lv - now) > 0 AND sgn * (target - lv) > 0 AND sgn * (before_lv - now) > 0 THEN 'level ahead' ELSE 'let it run' END AS tp_reason FROM p4)
+SELECT signal_id, symbol, side, round(round(if(ok, gain, 0.0), 2), 4) AS r_now, round(if(trailed, tr, sl), 4) AS recommended_sl,
+  round(CASE WHEN tp_reason IN ('target reached', 'thesis weakening') THEN now WHEN tp_reason = 'level ahead' THEN before_lv ELSE target END, 4) AS recommended_tp, tp_reason,
+  locked AND sl = entry AS at_breakeven, trailed, near AS near_target, danger, (locked AND sl = entry) OR trailed OR near OR danger AS actionable FROM p5"""
+
+
+def _grid_row(stop: float, reward: float) -> str:
+    head = plans("macd_trend").split(", t1 AS ")[0]
+    late = "late AS (SELECT * EXCLUDE (n_, k_) FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n_, row_number() OVER (PARTITION BY symbol ORDER BY idx) AS k_ FROM done) WHERE n_ >= 4 AND k_ > floor(n_ * 0.7::DOUBLE))"
+    return f"""{head}, t5 AS (SELECT *, entry - sgn * {stop} * atr AS stop, entry + sgn * {stop * reward} * atr AS target FROM t),
+plans AS MATERIALIZED (SELECT 'macd_trend' AS strategy, symbol, ts, idx::INT AS idx, side, sgn, entry, stop, target, atr FROM t5 WHERE {_ORDERED}), {FIXED}, {GREEDY}, {late},
+a AS ({stat_columns()}), z AS ({stat_columns().replace("FROM done", "FROM late")})
+SELECT symbol, 'stop={stop},reward={reward}' AS params, a.trades, a.win_rate, a.expectancy, coalesce(z.trades, 0) AS oos_trades, coalesce(z.expectancy, 0.0) AS oos_expectancy,
+  CASE WHEN a.trades >= 10 AND coalesce(z.trades, 0) >= 4 THEN z.expectancy ELSE '-infinity'::DOUBLE END AS score FROM a LEFT JOIN z USING (strategy, symbol)"""
+
+
+GRID_MACD = " UNION ALL ".join(f"SELECT * FROM ({_grid_row(s, r)})" for s in (2.0, 2.5, 3.0) for r in (1.5, 2.0, 3.0))
+
+
+def _latest(name: str) -> str:
+    """The latest plan of each symbol with its strategy's statistics."""
+    return f"""{plans(name)}, {FIXED if name == "mean_reversion" else TRAILING}, {GREEDY}, st AS ({stat_columns()}),
+newest AS (SELECT * FROM plans QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY idx DESC) = 1)
+SELECT strategy, symbol, side, entry, stop, win_rate, profit_factor FROM newest JOIN st USING (strategy, symbol)"""
+
+
+PORTFOLIO = f"""WITH g AS ({" UNION ALL ".join(f"SELECT * FROM ({_latest(n)})" for n in TRIGGERS)}),
+u AS (SELECT *, CASE WHEN win_rate > 0 AND win_rate < 1 THEN profit_factor * (1 - win_rate) / win_rate ELSE 0 END AS b FROM g),
+v AS (SELECT *, least(CASE WHEN b > 0 THEN greatest(0, least(1, win_rate - (1 - win_rate) / b)) ELSE 0 END * 0.5, 0.05) AS kelly FROM u),
+w AS (SELECT *, CASE WHEN kelly > 0 THEN least(100 / abs(entry - stop), 10000 * kelly / entry) ELSE 0.0 END AS units FROM v),
+c AS (SELECT CASE WHEN contains(symbol, '/') THEN 'crypto' WHEN suffix(symbol, '=X') THEN 'forex' ELSE 'stock' END AS asset_class, count(*) AS n, count(*) FILTER (side = 'LONG') AS longs,
+  coalesce(sum(units * entry) FILTER (side = 'LONG'), 0) AS up, coalesce(sum(units * entry) FILTER (side = 'SHORT'), 0) AS down, sum(units * abs(entry - stop)) AS risk FROM w GROUP BY 1),
+d AS (SELECT coalesce(sum(n), 0)::BIGINT AS n, coalesce(sum(longs), 0)::BIGINT AS longs, coalesce(sum(up + down), 0)::DOUBLE AS gross, coalesce(sum(up - down), 0)::DOUBLE AS net, coalesce(sum(risk), 0)::DOUBLE AS risk,
+  '{{' || coalesce(string_agg('"' || asset_class || '":' || round(risk + 1e-7, 2), ',' ORDER BY asset_class), '') || '}}' AS risk_by_class,
+  list_sort(coalesce(list(n || ' ' || asset_class || ' positions') FILTER (n > 5), [])) AS crowded FROM c)
+SELECT n, longs, n - longs AS shorts, round(gross, 4) AS gross, round(net, 4) AS net, round(risk, 4) AS risk, risk_by_class, round(risk / 100, 4) AS risk_pct,
+  array_to_string(list_filter(list_concat([CASE WHEN risk / 100 > 6 THEN printf('risk at stop is %.1f%% of equity', risk / 100) END], crowded,
+    [CASE WHEN n >= 4 AND (longs = 0 OR longs = n) THEN 'all signals are on one side' END]), lambda t: t IS NOT NULL), '; ') AS warnings FROM d"""

@@ -136,6 +136,14 @@ def test_pairs_accept_and_reject(spark):
     assert pairs.pair_trades(pairs.rolling_z(al)).count() > 0
 
 
+def test_pair_machine_by_hand(spark):
+    z = [0.0, -2.2, -1.0, -0.4, 2.5, 3.0, 3.6, 2.1, 0.4, 2.0]
+    df = spark.createDataFrame([("p", i, i, v) for i, v in enumerate(z)], "pair string, ts long, idx int, z double")
+    got = [(x.idx, round(x.r, 9)) for x in pairs.pair_trades(df, least=10).orderBy("idx").collect()]
+    assert got == [(3, round(1.8 / 1.5, 9)), (6, -1.0), (8, round(1.7 / 1.5, 9))]
+    assert pairs.pair_trades(df, least=11).count() == 0
+
+
 def test_monte_carlo():
     assert montecarlo.bootstrap([]) == (0.0, 0.0, 0.0, 1.0)
     assert montecarlo.bootstrap([2, 2, -1, 2, 2])[0] > 0.9 > 0.1 > montecarlo.bootstrap([-1, -1, 0.5, -1])[0]
@@ -187,3 +195,14 @@ def test_momentum_and_entry(spark):
     assert x.trades == 12
     assert e.entry(spark).columns[:3] == ["strategy", "symbol", "ts"]
     assert all(k in e.queries() for k in e.oracle_sql())
+
+
+def test_live_ranking_needs_enough_symbols_and_bars(spark):
+    def legs(n, bars):
+        b = spark.createDataFrame(pd.concat([walk(bars, 20 + j, f"S{j}", 0.0006 * (j - 2)) for j in range(n)]))
+        x = indicators.add_structure(indicators.add_indicators(b))
+        return [(r.side, r["rank"], r.stop < r.entry < r.target if r.side == "LONG" else r.target < r.entry < r.stop) for r in factor.rank_live(x, structure=CONFIG["structure"]).collect()]
+
+    got = legs(6, 200)
+    assert got and all(ok for *_, ok in got) and len(got) <= 4
+    assert not legs(3, 200) and not legs(6, 148)
