@@ -61,6 +61,6 @@ def price_text(x: Column) -> Column:
 
 
 def meter(x: Column, width: int = 10) -> Column:
-    """A bar of ``width`` glyphs for a value of 0 to 1."""
+    """A bar of ``width`` glyphs for a value of 0 to 1; null for null."""
     n = F.round(clip(x) * width).cast("int")
-    return F.concat(F.repeat(F.lit("#"), n), F.repeat(F.lit("-"), F.lit(width) - n))
+    return F.when(x.isNotNull(), F.concat(F.repeat(F.lit("#"), n), F.repeat(F.lit("-"), F.lit(width) - n)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapewright.functions.core import CONFIG, is_long
+from tapewright.functions.core import CONFIG, is_long, meter, price_text
 from tapewright.operators import backtest as bt
 from tapewright.operators import factor, indicators, journal, learn, montecarlo, optimize, pairs, risk, strategies
 from tapewright.plans import oracles as sql
@@ -89,6 +89,23 @@ def signal_query(spark: SparkSession, d: str) -> DataFrame:
                "risk_of_ruin", "win_prob", "baseline_win_prob", "units", "risk_amount", "confluence", "confidence", "passed", "live", "note")
 
 
+def sizes_query(spark: SparkSession, d: str) -> DataFrame:
+    got = signals(spark, d).withColumn("quality", risk.backtest_confidence())
+    return out(got, "strategy", "symbol", "side", "entry", "stop", "kelly_used", "units", "notional", "risk_amount", "quality")
+
+
+def payload_query(spark: SparkSession, d: str) -> DataFrame:
+    """The order bars sent as one JSON payload a symbol and month, numbers with commas, and parsed again."""
+    b = src.order_bars(spark, d)
+    cells = F.array(*[F.format_number(c, 4) for c in ("open", "low", "high", "close")], F.lit("0"), F.lit("0"), F.date_format("ts", "yyyy/MM/dd"))
+    sent = b.groupBy("symbol", F.date_trunc("month", "ts").alias("month")).agg(F.to_json(F.struct(F.collect_list(cells).alias("data"))).alias("body"))
+    return out(src.parse_payload(sent))
+
+
+def labels_query(spark: SparkSession, d: str) -> DataFrame:
+    return out(rows(spark, d), "symbol", "ts", price_text(F.col("close")).alias("close_text"), price_text(F.col("rsi")).alias("rsi_text"), meter(F.col("rsi") / 100).alias("rsi_meter"))
+
+
 def portfolio_query(spark: SparkSession, d: str) -> DataFrame:
     p = risk.portfolio(signals(spark, d), CONFIG["risk"]["equity"], CONFIG["risk"]["portfolio_max_pct"], CONFIG["risk"]["max_open"])
     return out(p.withColumn("risk_by_class", F.to_json(F.transform_values("risk_by_class", lambda _, v: F.round(v + NUDGE, 2)))).withColumn("warnings", F.array_join("warnings", "; ")))
@@ -104,6 +121,14 @@ def state(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return journal.resolve(journal.latest(log), x.select("symbol", "ts", "high", "low", "close"), F.lit(now), CONFIG["journal"]["max_hold_days"]), x
 
 
+def fresh_query(spark: SparkSession, d: str) -> DataFrame:
+    """The latest plan of each symbol and side, but for those with a signal still open within the cooldown."""
+    s, x = state(spark, d)
+    log = s.withColumn("at", F.coalesce("closed_at", "created_at"))
+    last = s.withColumn("_k", F.row_number().over(Window.partitionBy("symbol", "side").orderBy(F.desc("created_at")))).where("_k = 1")
+    return out(journal.new_signals(last, log, F.lit(x.agg(F.max("ts")).first()[0]), CONFIG["journal"]["cooldown_days"]), "signal_id", "symbol", "strategy", "side", "created_at", "status")
+
+
 def review_query(spark: SparkSession, d: str) -> DataFrame:
     s, x = state(spark, d)
     s = s.withColumn("status", F.when(F.col("created_at") >= F.lit(x.agg(F.max("ts")).first()[0]) - F.expr("INTERVAL 90 DAYS"), "open").otherwise(F.col("status")))
@@ -137,6 +162,7 @@ def stream_sessions_query(spark: SparkSession, d: str) -> DataFrame:
     return out(stream.stream_sessions(e))
 
 
+PRICES = list(src.PRICES)
 _W = ["sma_20", "sma_50", "sma_200", "std_20", "bb_up", "bb_low", "zscore", "donchian_up", "donchian_low", "thrust", "tr", "realized_vol", "drift", "piv_low", "piv_high", "fvg_sup", "fvg_res", "ob_sup", "ob_res"]
 _R = ["atr", "rsi", "rsi_2", "macd", "macd_signal", "macd_hist", "ema_20", "kc_up", "kc_low", "adx"]
 _round = lambda cols: ", ".join(f"round({c}, 4) AS {c}" for c in cols)
@@ -180,6 +206,10 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "barrier_labels": (lambda s, d: learn.labels(rows(s, d)), sql.LABELS),
     "ml_walk_forward": (ml_query, None),
     "signals_scan": (signal_query, None),
+    "position_sizes": (sizes_query, sql.SIZES),
+    "payload_bars": (payload_query, f"WITH {sql.BARS} SELECT symbol, ts, {_round(PRICES)}, 0.0::DOUBLE AS volume FROM bars"),
+    "price_labels": (labels_query, sql.LABEL_TEXT),
+    "journal_new_signals": (fresh_query, sql.FRESH),
     "portfolio_summary": (portfolio_query, sql.PORTFOLIO),
     "journal_resolve": (lambda s, d: out(state(s, d)[0], "signal_id", "symbol", "strategy", "side", "created_at", "status", "result_r"), f"{sql.RESOLVE} SELECT signal_id, symbol, strategy, side, created_at, status, round(result_r, 4) AS result_r FROM state"),
     "journal_performance": (

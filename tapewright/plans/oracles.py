@@ -225,13 +225,15 @@ def _latest(name: str) -> str:
     """The latest plan of each symbol with its strategy's statistics."""
     return f"""{plans(name)}, {FIXED if name == "mean_reversion" else TRAILING}, {GREEDY}, st AS ({stat_columns()}),
 newest AS (SELECT * FROM plans QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY idx DESC) = 1)
-SELECT strategy, symbol, side, entry, stop, win_rate, profit_factor FROM newest JOIN st USING (strategy, symbol)"""
+SELECT strategy, symbol, side, entry, stop, win_rate, profit_factor, sharpe FROM newest JOIN st USING (strategy, symbol)"""
 
 
-PORTFOLIO = f"""WITH g AS ({" UNION ALL ".join(f"SELECT * FROM ({_latest(n)})" for n in TRIGGERS)}),
+_SIZED = f"""WITH g AS ({" UNION ALL ".join(f"SELECT * FROM ({_latest(n)})" for n in TRIGGERS)}),
 u AS (SELECT *, CASE WHEN win_rate > 0 AND win_rate < 1 THEN profit_factor * (1 - win_rate) / win_rate ELSE 0 END AS b FROM g),
 v AS (SELECT *, least(CASE WHEN b > 0 THEN greatest(0, least(1, win_rate - (1 - win_rate) / b)) ELSE 0 END * 0.5, 0.05) AS kelly FROM u),
-w AS (SELECT *, CASE WHEN kelly > 0 THEN least(100 / abs(entry - stop), 10000 * kelly / entry) ELSE 0.0 END AS units FROM v),
+w AS (SELECT *, CASE WHEN kelly > 0 THEN least(100 / abs(entry - stop), 10000 * kelly / entry) ELSE 0.0 END AS units FROM v)"""
+
+PORTFOLIO = f"""{_SIZED},
 c AS (SELECT CASE WHEN contains(symbol, '/') THEN 'crypto' WHEN suffix(symbol, '=X') THEN 'forex' ELSE 'stock' END AS asset_class, count(*) AS n, count(*) FILTER (side = 'LONG') AS longs,
   coalesce(sum(units * entry) FILTER (side = 'LONG'), 0) AS up, coalesce(sum(units * entry) FILTER (side = 'SHORT'), 0) AS down, sum(units * abs(entry - stop)) AS risk FROM w GROUP BY 1),
 d AS (SELECT coalesce(sum(n), 0)::BIGINT AS n, coalesce(sum(longs), 0)::BIGINT AS longs, coalesce(sum(up + down), 0)::DOUBLE AS gross, coalesce(sum(up - down), 0)::DOUBLE AS net, coalesce(sum(risk), 0)::DOUBLE AS risk,
@@ -240,3 +242,14 @@ d AS (SELECT coalesce(sum(n), 0)::BIGINT AS n, coalesce(sum(longs), 0)::BIGINT A
 SELECT n, longs, n - longs AS shorts, round(gross, 4) AS gross, round(net, 4) AS net, round(risk, 4) AS risk, risk_by_class, round(risk / 100, 4) AS risk_pct,
   array_to_string(list_filter(list_concat([CASE WHEN risk / 100 > 6 THEN printf('risk at stop is %.1f%% of equity', risk / 100) END], crowded,
     [CASE WHEN n >= 4 AND (longs = 0 OR longs = n) THEN 'all signals are on one side' END]), lambda t: t IS NOT NULL), '; ') AS warnings FROM d"""
+
+SIZES = f"""{_SIZED} SELECT strategy, symbol, side, round(entry, 4) AS entry, round(stop, 4) AS stop, round(kelly, 4) AS kelly_used, round(units, 4) AS units, round(units * entry, 4) AS notional,
+  round(units * abs(entry - stop), 4) AS risk_amount, round(round(0.4::DOUBLE * greatest(0, least(1, (win_rate - 0.35::DOUBLE) / 0.4::DOUBLE)) + 0.35::DOUBLE * greatest(0, least(1, profit_factor - 1)) + 0.25::DOUBLE * greatest(0, least(1, sharpe / 2)), 3), 4) AS quality FROM w"""
+
+_TRIMMED = r"CASE WHEN abs({0}) >= 1000 THEN format('{{:,.2f}}', {0}) WHEN abs({0}) >= 1 THEN regexp_replace(printf('%.4f', {0}), '\.?0+$', '') ELSE regexp_replace(printf('%.6f', {0}), '\.?0+$', '') END"
+LABEL_TEXT = f"""{IND} SELECT symbol, ts, {_TRIMMED.format("close")} AS close_text, CASE WHEN rsi IS NOT NULL THEN {_TRIMMED.format("rsi")} END AS rsi_text,
+  repeat('#', round(rsi / 10)::INT) || repeat('-', 10 - round(rsi / 10)::INT) AS rsi_meter FROM x"""
+
+FRESH = f"""{RESOLVE}, n AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY symbol, side ORDER BY ts DESC) = 1)
+SELECT signal_id, symbol, strategy, side, ts AS created_at, 'open' AS status FROM n ANTI JOIN (
+  SELECT symbol, strategy, side FROM state WHERE status = 'open' AND created_at >= (SELECT max(ts) FROM bars) - INTERVAL 3 DAYS) USING (symbol, strategy, side)"""
