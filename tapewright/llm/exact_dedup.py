@@ -23,17 +23,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     twice get to the prefix hash, only those whose (length, prefix hash) occurs twice to the SHA-256 of the whole
     text. Of equal rows, the one with the most code points in the original text, then the smallest id, stays.
 
-    Each step is a partial aggregate and a join back on its key, so no group is ever gathered, and a group that holds
-    a third of all rows is split by the skew-join rule. Null text counts as empty; empty texts form one group.
+    Rows are counted by (length, prefix hash) in partial aggregates before lengths are compared, so a hot length or
+    group is shuffled as a few counts. Joins back to the rows are on the key alone, so that no group is ever gathered
+    and one that holds a third of all rows is split by the skew-join rule. Null text counts as empty; empty texts form one group.
     A null id sorts after all others. Rows that repeat an id are all counted, and all are kept if the id is. An
     empty table gives an empty result. Other columns pass through, but for clashes with the three new names, which
     replace them."""
     n, length, pre, full, size, best = fresh(docs, "n", "len", "pre", "full", "size", "best")
     rest = [c for c in docs.columns if (with_text or c != text_col) and c.lower() not in ("keep_id", "group_size", "kept")]
     keys = [F.length(normalised(text_col)).alias(length), F.xxhash64(F.substring(normalised(text_col), 1, prefix)).alias(pre)]
-    short = docs.select(*keys)
-    by_length = short.groupBy(length).agg(F.count("*").alias(size)).where(F.col(size) > 1).select(length)
-    by_prefix = short.join(by_length, length, "left_semi").groupBy(length, pre).agg(F.count("*").alias(size)).where(F.col(size) > 1)
+    pairs = docs.select(*keys).groupBy(length, pre).agg(F.count("*").alias(size))
+    by_length = pairs.groupBy(length).agg(F.sum(size).alias(size)).where(F.col(size) > 1).select(length)
+    by_prefix = pairs.join(by_length, length, "left_semi").where(F.col(size) > 1)
     by_prefix = stage(by_prefix.select(length, pre), "prefixes")
     alone = docs.select(*rest, *keys).join(by_prefix, [length, pre], "left_anti")
     rows = docs.select(*dict.fromkeys([*rest, id_col, text_col]), *keys).join(by_prefix, [length, pre], "left_semi")
