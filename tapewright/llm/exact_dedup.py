@@ -43,7 +43,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     order = F.struct((-F.col(n)).alias("n"), F.col(id_col).isNull().alias("void"), F.col(id_col).alias("id"))
     groups = rows.groupBy(full).agg(F.count("*").alias(size), F.min(order).alias(best))
-    groups = groups.select(full, size, F.col(best)["id"].alias(best))
+    # Written, so that the join below is of two plain shuffles, whose hot keys the skew-join rule can split.
+    groups = stage(groups.select(full, size, F.col(best)["id"].alias(best)), "groups")
     out = rows.join(groups, full).select(*rest, F.col(best).alias("keep_id"), F.col(size).alias("group_size"), F.col(best).eqNullSafe(F.col(id_col)).alias("kept"))
     return out.unionAll(alone.select(*rest, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")))
 
