@@ -12,12 +12,14 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.store import fresh
+from tapewright.llm.store import fresh, stage
 
 #: n-grams of 1 to ORDER characters, hashed into BINS presence bits.
 ORDER, BINS = 4, 1 << 16
 #: The bound of the training sample: this many documents a language, texts of at most LONGEST characters.
 PER_LANGUAGE, LONGEST, LANDMARKS, RIDGE = 400, 200_000, 64, 1e-2
+#: Cells of the hash range by which labelled rows are counted: 2 ** CELL_BITS a language.
+CELL_BITS = 11
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -88,9 +90,15 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, usable, per_language: int = PER_LANGUAGE) -> DataFrame:
     """(text, lang): of each language, the ``per_language`` usable labelled documents first by the hash of their ids."""
     labelled = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) <= LONGEST) & F.col(text_col).rlike(r"\p{L}"))
-    first = Window.partitionBy("lang").orderBy("h", "id")
     ids = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"))
-    ids = ids.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select(F.col("id").alias("__id"), F.col("lang").alias("__lang"))
+    ids = stage(ids.withColumn("cell", F.shiftright("h", 64 - CELL_BITS).cast("int")), "labelled")
+    # Cells in order of the hash, counted first: only rows up to the cell that completes the sample are ranked.
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    cells = ids.groupBy("lang", "cell").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
+    last = cells.where(F.col("before") < per_language).groupBy("lang").agg(F.max("cell").alias("last"))
+    # One row a language.
+    ids = ids.join(F.broadcast(last), "lang").where("cell <= last").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id")))
+    ids = ids.where(F.col("n") <= per_language).select(F.col("id").alias("__id"), F.col("lang").alias("__lang"))
     # At most per_language rows a language.
     return labelled.join(F.broadcast(ids), (F.col(id_col) == F.col("__id")) & (F.col(lang_col) == F.col("__lang"))).select(
         F.col(text_col).alias("text"), F.col("__lang").alias("lang"), F.col("__id").alias("id")
