@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.core import CONFIG, is_long
@@ -10,6 +10,16 @@ from tapewright.functions.core import CONFIG, is_long
 SIGNAL = ["signal_id", "created_at", "symbol", "asset_class", "strategy", "side", "entry", "stop", "target"]
 
 
+def number(plans: DataFrame) -> DataFrame:
+    """Adds ``signal_id``, 1 onwards by symbol and bar: ranks within each symbol plus the number of plans of the symbols
+    before it. Only these numbers, one row a symbol, are summed in one task."""
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = plans.groupBy(F.col("symbol").alias("_s")).agg(F.count("*").alias("_n")).select("_s", before.alias("_before"))
+    ranked = plans.withColumn("signal_id", F.row_number().over(Window.partitionBy("symbol").orderBy("idx")))
+    out = ranked.join(base, F.col("symbol").eqNullSafe(F.col("_s")))
+    return out.withColumn("signal_id", F.col("signal_id") + F.col("_before")).drop("_s", "_before")
+
+
 def latest(log: DataFrame) -> DataFrame:
     """One row a signal: its last event (status, closed_at, result_r). An event that closes wins over an opening."""
     last = F.max_by(F.struct("status", "closed_at", "result_r"), F.struct("at", (F.col("status") != "open").cast("int")))

@@ -115,7 +115,7 @@ def state(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A journal: every trend-breakout plan opened as a signal, resolved up to the last bar."""
     x = structured(spark, d).persist()
     p = strategies.plans(x, "trend_breakout", structure=CONFIG["structure"])
-    p = p.withColumn("signal_id", F.row_number().over(Window.orderBy("symbol", "idx")).cast("long")).withColumn("created_at", F.col("ts")).withColumn("asset_class", F.lit("stock"))
+    p = journal.number(p).withColumn("created_at", F.col("ts")).withColumn("asset_class", F.lit("stock"))
     log = p.select(*journal.SIGNAL, F.col("ts").alias("at"), F.lit("open").alias("status"), F.lit(None).cast("timestamp").alias("closed_at"), F.lit(None).cast("double").alias("result_r"))
     now = x.agg(F.max("ts")).first()[0]
     return journal.resolve(journal.latest(log), x.select("symbol", "ts", "high", "low", "close"), F.lit(now), CONFIG["journal"]["max_hold_days"]), x
