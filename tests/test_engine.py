@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewright.functions.core import CONFIG, meter, price_text
+from tapewright.functions.report import performance_text, signal_card
 from tapewright.operators import backtest, factor, indicators, journal, montecarlo, pairs, risk, strategies
 from tapewright.sources import bars as src
 from tapewright.streaming.bars import track_positions
@@ -206,3 +207,19 @@ def test_live_ranking_needs_enough_symbols_and_bars(spark):
     got = legs(6, 200)
     assert got and all(ok for *_, ok in got) and len(got) <= 4
     assert not legs(3, 200) and not legs(6, 148)
+
+
+def test_signals_are_numbered_by_symbol_and_bar(spark):
+    plans = spark.createDataFrame([("B", 3), ("A", 9), (None, 4), ("A", 2), ("B", 1)], "symbol string, idx int")
+    got = {(r.symbol, r.idx): r.signal_id for r in journal.number(plans).collect()}
+    assert got == {(None, 4): 1, ("A", 2): 2, ("A", 9): 3, ("B", 1): 4, ("B", 3): 5}
+    assert journal.number(plans.where("false")).count() == 0
+
+
+def test_cards(spark):
+    s = "strategy string, symbol string, side string, entry double, stop double, target double, units double"
+    got = spark.createDataFrame([("t", "A", "LONG", 100.5, 98.0, 2000.0, 2.0), ("t", "B", "SHORT", 0.25, None, 0.125, 0.0)], s).select(signal_card().alias("c"))
+    assert [r.c for r in got.collect()] == ["LONG A (t)\nentry 100.5, stop 98, target 2,000.00\nunits 2", "SHORT B (t)\nentry 0.25, stop n/a, target 0.125\nforecast only"]
+    p = "total long, open long, closed long, tp long, sl long, win_rate double, avg_r double, total_r double"
+    got = spark.createDataFrame([(3, 1, 2, 1, 1, 0.5, 0.5, 1.0), (1, 1, 0, 0, 0, 0.0, 0.0, 0.0)], p).select(performance_text().alias("c"))
+    assert [r.c for r in got.collect()] == ["3 signals, 1 open, 2 closed (1 at target, 1 at stop); won 50.0%, total 1.00 R", "1 signals, 1 open, 0 closed (0 at target, 0 at stop); nothing closed yet"]
