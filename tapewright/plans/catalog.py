@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.core import CONFIG, is_long, meter, price_text
+from tapewright.functions.report import signal_card
 from tapewright.operators import backtest as bt
 from tapewright.operators import factor, indicators, journal, learn, montecarlo, optimize, pairs, risk, strategies
 from tapewright.plans import oracles as sql
@@ -94,6 +95,10 @@ def sizes_query(spark: SparkSession, d: str) -> DataFrame:
     return out(got, "strategy", "symbol", "side", "entry", "stop", "kelly_used", "units", "notional", "risk_amount", "quality")
 
 
+def cards_query(spark: SparkSession, d: str) -> DataFrame:
+    return signals(spark, d).select("strategy", "symbol", signal_card().alias("card"))
+
+
 def payload_query(spark: SparkSession, d: str) -> DataFrame:
     """The order bars sent as one JSON payload a symbol and month, numbers with commas, and parsed again."""
     b = src.order_bars(spark, d)
@@ -207,6 +212,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "ml_walk_forward": (ml_query, None),
     "signals_scan": (signal_query, None),
     "position_sizes": (sizes_query, sql.SIZES),
+    "signal_cards": (cards_query, sql.CARDS),
     "payload_bars": (payload_query, f"WITH {sql.BARS} SELECT symbol, ts, {_round(PRICES)}, 0.0::DOUBLE AS volume FROM bars"),
     "price_labels": (labels_query, sql.LABEL_TEXT),
     "journal_new_signals": (fresh_query, sql.FRESH),

@@ -225,7 +225,7 @@ def _latest(name: str) -> str:
     """The latest plan of each symbol with its strategy's statistics."""
     return f"""{plans(name)}, {FIXED if name == "mean_reversion" else TRAILING}, {GREEDY}, st AS ({stat_columns()}),
 newest AS (SELECT * FROM plans QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY idx DESC) = 1)
-SELECT strategy, symbol, side, entry, stop, win_rate, profit_factor, sharpe FROM newest JOIN st USING (strategy, symbol)"""
+SELECT strategy, symbol, side, entry, stop, target, win_rate, profit_factor, sharpe FROM newest JOIN st USING (strategy, symbol)"""
 
 
 _SIZED = f"""WITH g AS ({" UNION ALL ".join(f"SELECT * FROM ({_latest(n)})" for n in TRIGGERS)}),
@@ -250,6 +250,9 @@ _TRIMMED = r"CASE WHEN abs({0}) >= 1000 THEN format('{{:,.2f}}', {0}) WHEN abs({
 LABEL_TEXT = f"""{IND} SELECT symbol, ts, {_TRIMMED.format("close")} AS close_text, CASE WHEN rsi IS NOT NULL THEN {_TRIMMED.format("rsi")} END AS rsi_text,
   repeat('#', round(rsi / 10)::INT) || repeat('-', 10 - round(rsi / 10)::INT) AS rsi_meter FROM x"""
 
+CARDS = f"""{_SIZED} SELECT strategy, symbol, side || ' ' || symbol || ' (' || strategy || ')' || chr(10) || 'entry ' || {_TRIMMED.format("entry")} || ', stop ' || {_TRIMMED.format("stop")}
+  || ', target ' || {_TRIMMED.format("target")} || chr(10) || CASE WHEN units > 0 THEN 'units ' || {_TRIMMED.format("units")} ELSE 'forecast only' END AS card FROM w"""
+
 FRESH = f"""{RESOLVE}, n AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY symbol, side ORDER BY ts DESC) = 1)
 SELECT signal_id, symbol, strategy, side, ts AS created_at, 'open' AS status FROM n ANTI JOIN (
   SELECT symbol, strategy, side FROM state WHERE status = 'open' AND created_at >= (SELECT max(ts) FROM bars) - INTERVAL 3 DAYS) USING (symbol, strategy, side)"""
