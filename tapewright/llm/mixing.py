@@ -75,14 +75,18 @@ def schedule(targets: DataFrame, block: int, slots: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size",
-        weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, slots: int | None = None) -> DataFrame:
+        weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, slots: int | None = None, whole_slots: bool = False) -> DataFrame:
     """(id, size, source, source_size, target, taken): one row for each row of ``docs``, with the words that the mix
     takes of it, repeats counted.
 
-    A source's documents, shuffled by the MD5 of their ids, form a line that is cut into blocks of equal size. The
-    schedule deals slots to sources; the k-th slot of a source takes its block k modulo its number of blocks, at most
-    ``max_repeats`` times each. A document takes its overlap with the blocks taken. Offsets on the line are summed in
-    two steps, by runs of the shuffled order, so that a source with a third of all rows is spread over many tasks.
+    A source's documents, shuffled by the MD5 of their ids, form a line. A source's budget is its target, rounded to a
+    word: its line is taken as often as it fits in the budget, then the rest from its start, so that every source,
+    however small, takes its budget. A document takes its overlap. Offsets on the line are summed in two steps, by runs
+    of the shuffled order, so that a source with a third of all rows is spread over many tasks.
+
+    With ``whole_slots`` (op2_mixing, whose SQL is defined so) lines are cut into blocks of the total by ``slots``
+    words. The schedule deals slots to sources; the k-th slot of a source takes its block k modulo its number of
+    blocks, at most ``max_repeats`` times each. A source of few blocks is then off its target by a block or more.
 
     Null size counts as 0; size 0 takes 0. Null is a source of its own. Rows that repeat an id are documents of their
     own (equal rows may swap places). An empty table gives an empty result. Only the three named columns are read."""
@@ -92,8 +96,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     )
     rows = stage(rows.withColumn("run", F.conv(F.substring("h", 1, 3), 16, 10).cast("int") % RUNS), "sizes")
     targets = stage(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats), "targets")
-    total = targets.agg(F.sum("source_size")).first()[0] or 0
-    block = max(1, min(LARGEST_BLOCK, total // (slots or BLOCKS)))
     runs = rows.groupBy("source", "run").agg(F.sum("size").alias("n"))
     base = runs.select(
         F.col("source").alias("s"), F.col("run").alias("r"),
@@ -104,6 +106,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     lined = lined.join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("run") == F.col("r"))).withColumn("start", F.col("start") + F.col("base"))
     t = targets.select(F.col("source").alias("ts"), "source_size", "target")
     lined = lined.join(t, F.col("source").eqNullSafe(F.col("ts")))
+    if not whole_slots:
+        budget = F.round("target").cast("long")
+        line_size = F.greatest(F.col("source_size"), F.lit(1))
+        rest = budget % line_size
+        passes = ((budget - rest) / line_size).cast("long")
+        taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), rest) - F.col("start"))
+        return lined.select("id", "size", "source", "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(0).cast("long").alias("taken"))
+    total = targets.agg(F.sum("source_size")).first()[0] or 0
+    block = max(1, min(LARGEST_BLOCK, total // (slots or BLOCKS)))
     used = schedule(targets, block, -(-total // block)).join(t, F.col("source").eqNullSafe(F.col("ts")))
     blocks = F.ceil(F.col("source_size") / block)
     used = used.where(F.col("rank") < blocks * max_repeats).groupBy(F.col("source").alias("us"), (F.col("rank") % blocks).alias("ub")).agg(F.count("*").alias("times"))

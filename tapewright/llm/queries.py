@@ -16,7 +16,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tapewright.llm.mixing import mix, word_count
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size"))
-    return mix(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mix(docs, whole_slots=True).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,6 +122,16 @@ def test_mixing(spark, docs):
     assert t["a"] == 3 and t["b"] == pytest.approx(1998 * 2 / 3) and t["c"] == pytest.approx(1998 / 3)
 
 
+def test_mixing_small_sources_take_their_targets(spark):
+    big = [(i, f"b{i % 20:02d}", 2_000_000) for i in range(40)]
+    small = [(1000 + 10 * k + j, f"s{k}", n // 5) for k, n in enumerate((500, 1500, 5000)) for j in range(5)]
+    d = spark.createDataFrame([*big, *small, (2000, None, 7), (2001, "zero", 0)], "doc_id long, source string, size long")
+    got = mixing.mix(d).toPandas()
+    assert len(got) == len(big) + len(small) + 2 and (got["taken"] <= 3 * got["size"]).all()
+    by = got.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"))
+    assert ((by["taken"] - by["target"]).abs() <= 0.5).all() and by.loc["s0", "taken"] == 1500
+
+
 def test_packing(docs, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
