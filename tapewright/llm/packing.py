@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -20,7 +22,7 @@ LENGTH, END_ID = 2048, 1
 CACHED_CHARS, CACHED = 48, 300_000
 #: Runs that pieces of one length are ranked in.
 RUNS = 1024
-_SPACED = re.compile(r"\s ")
+_SPACED, _BLANK = re.compile(r"\s "), re.compile(r"\s")
 
 
 @lru_cache(1)
@@ -30,9 +32,21 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added_tokens(ranks_path: str) -> dict[str, int]:
+    """Id of each added token of the ``tokenizers`` file of the same name beside the ranks; none without that file."""
+    path = os.path.splitext(ranks_path)[0] + ".json"
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or _BLANK.search(t["content"]) for t in tokens):
+        raise ValueError("added tokens must be plain strings without white space")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 class Encoder:
-    """Ids of a text by a byte-level BPE vocabulary (the ids that its ``tokenizers`` file gives, special strings as
-    ordinary text). A text falls apart before every space that follows a non-space, so words are encoded once and
+    """Ids of a text by a byte-level BPE vocabulary: those that its ``tokenizers`` file gives, an added token in the
+    text being one id. A text falls apart before every space that follows a non-space, so words are encoded once and
     remembered; texts where a space follows other white space are encoded whole."""
 
     def __init__(self, ranks_path: str):
@@ -41,8 +55,17 @@ class Encoder:
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        encode = self.encode
+        added = added_tokens(ranks_path)
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        ordinary, names = own.encode_ordinary, tuple(added)
+
+        def encode(text: str) -> list[int]:
+            for name in names:
+                if name in text:
+                    return own.encode(text, allowed_special="all")
+            return ordinary(text)
+
+        self.encode = encode
 
         class Memory(dict):
             def __missing__(self, word: str) -> bytes:

@@ -162,6 +162,25 @@ def test_encoder_falls_apart_only_where_ids_agree():
         assert e.ids(text).tolist() == e.encode(text), text
 
 
+def test_packing_gives_added_tokens_their_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(6)
+    parts = ["<|endoftext|>", " ", "  ", "\n", "a", " b's", "été", "<|", "endoftext", "|>", "1", "\t", "."]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", *("".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(500))]
+    e = packing.encoder(packing.default_ranks())
+    assert e.ids(texts[0]).tolist() == [64, 220, 50256, 275]
+    want = {}
+    for i, text in enumerate(texts):
+        ids = t.encode(text, add_special_tokens=False).ids
+        assert e.ids(text).tolist() == ids, text
+        want[i] = (zlib.crc32(np.array([*ids, 1], "<u4").tobytes()), len(ids) + 1)
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.id: (r.ids_crc32, r.doc_tokens) for r in got} == want
+
+
 def test_plan_uses_every_piece():
     counts = np.zeros(2049, np.int64)
     r = np.random.default_rng(2)
