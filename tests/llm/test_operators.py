@@ -225,6 +225,25 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(df.where("false")).count() == 0
 
 
+def test_license_scan_finds_usual_notices(spark):
+    gnu = "%s is free software%s you can redistribute it and/or modify\n# it under the terms of the GNU %sGeneral Public License as published by\n# the Free Software Foundation%s either version %s of the License, or\n# (at your option) any later version."
+    body = (license_scan.license_texts.bodies()["GPL-3.0"]).split("TERMS AND CONDITIONS", 1)[1].split()
+    want = [
+        (gnu % ("Frob", ":", "", ",", "3"), {"GPL-3.0"}), (gnu % ("This library", ";", "", ";", "2"), {"GPL-2.0"}),
+        (gnu % ("This library", ";", "Lesser ", ";", "2.1"), {"LGPL-2.1"}), (gnu % ("This program", ":", "Affero ", ",", "3"), {"AGPL-3.0"}),
+        ("The code is licensed under the MIT license, see LICENSE.", {"MIT"}), ("Distributed under the Apache License 2.0", {"Apache-2.0"}),
+        ("// SPDX-License-Identifier: MIT\nint x;", {"MIT"}), ("# SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0 OR Apache-2.0)", {"GPL-2.0", "Apache-2.0"}),
+        ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", {"ISC"}),
+        ("This is free and unencumbered software released into the public domain.", {"Unlicense"}),
+        ("To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.", {"CC0-1.0"}),
+        (" ".join(w for i, w in enumerate(body[200:900]) if i % 97), {"GPL-3.0"}), ("we wrote to the general public about free software under the terms of the contract", set()),
+    ]
+    df = spark.createDataFrame([(i, f"some words before. {t} more words") for i, (t, _) in enumerate(want)], "doc_id long, text string")
+    got = {r.doc_id: {m.license for m in r.matches} for r in license_scan.scan_licenses(df).collect()}
+    for i, (t, names) in enumerate(want):
+        assert got[i] == names, t
+
+
 def naive_base(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
