@@ -9,44 +9,61 @@ from tapewright.llm.store import fresh, stage
 
 #: The characters that do not count: space and \x09 to \x0D.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Lengths, or (length, prefix hash) pairs, that are broadcast; of more, the join is a shuffled one.
+FEW = 1 << 18
 
 
 def normalised(text: str | Column) -> Column:
     """The text without blanks; null counts as empty."""
-    return F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), BLANKS, "")
+    out = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    for blank in BLANKS:
+        out = F.replace(out, F.lit(blank), F.lit(""))
+    return out
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, with_text: bool = False) -> DataFrame:
     """Every row of ``docs`` (its text only if asked for), plus ``keep_id``, ``group_size`` and ``kept``.
 
-    Rows are equal when their normalised texts are. Groups are refined: only rows whose normalised length occurs
-    twice get to the prefix hash, only those whose (length, prefix hash) occurs twice to the SHA-256 of the whole
-    text. Of equal rows, the one with the most code points in the original text, then the smallest id, stays.
-
-    Rows are counted by (length, prefix hash) in partial aggregates before lengths are compared, so a hot length or
-    group is shuffled as a few counts. Joins back to the rows are on the key alone, so that no group is ever gathered
-    and one that holds a third of all rows is split by the skew-join rule. Null text counts as empty; empty texts form one group.
-    A null id sorts after all others. Rows that repeat an id are all counted, and all are kept if the id is. An
-    empty table gives an empty result. Other columns pass through, but for clashes with the three new names, which
-    replace them."""
-    n, length, pre, full, size, best = fresh(docs, "n", "len", "pre", "full", "size", "best")
+    Rows are equal when their normalised texts are. Groups are refined: normalised lengths are counted; the first
+    ``prefix`` characters are hashed only of rows whose length occurs twice, and the SHA-256 of the whole text is taken
+    only of those whose (length, prefix hash) occurs twice. Of equal rows, the one with the most code points in the
+    original text, then the smallest id, stays.
+
+    The text is read and normalised twice: for lengths and first characters, which are written, and for full hashes.
+    Lengths and prefixes are counted in partial aggregates, so a hot one is shuffled as a few counts, and no group is
+    ever gathered; joins back to the rows are on keys alone, whose hot values the skew-join rule splits. Null text
+    counts as empty; empty texts form one group. A null id sorts after all others. Rows that repeat an id are all
+    counted, and all are kept if the id is. An empty table gives an empty result. Other columns pass through, but for
+    clashes with the three new names, which are replaced."""
+    n, length, head, pre, full, size, best, norm, key = fresh(docs, "n", "len", "head", "pre", "full", "size", "best", "norm", "key")
     rest = [c for c in docs.columns if (with_text or c != text_col) and c.lower() not in ("keep_id", "group_size", "kept")]
-    keys = [F.length(normalised(text_col)).alias(length), F.xxhash64(F.substring(normalised(text_col), 1, prefix)).alias(pre)]
-    pairs = docs.select(*keys).groupBy(length, pre).agg(F.count("*").alias(size))
-    by_length = pairs.groupBy(length).agg(F.sum(size).alias(size)).where(F.col(size) > 1).select(length)
-    by_prefix = pairs.join(by_length, length, "left_semi").where(F.col(size) > 1)
-    by_prefix = stage(by_prefix.select(length, pre), "prefixes")
-    alone = docs.select(*rest, *keys).join(by_prefix, [length, pre], "left_anti")
-    rows = docs.select(*dict.fromkeys([*rest, id_col, text_col]), *keys).join(by_prefix, [length, pre], "left_semi")
-    rows = stage(
-        rows.select(*rest, F.length(F.coalesce(F.col(text_col), F.lit(""))).alias(n), F.sha2(normalised(text_col), 256).alias(full)), "survivors"
-    )
-    order = F.struct((-F.col(n)).alias("n"), F.col(id_col).isNull().alias("void"), F.col(id_col).alias("id"))
-    groups = rows.groupBy(full).agg(F.count("*").alias(size), F.min(order).alias(best))
+    shape = lambda rows: rows.withColumns({length: F.length(norm), head: F.substring(norm, 1, prefix)})
+    keys = stage(shape(docs.select(normalised(text_col).alias(norm))).select(length, head), "lengths")
+    twice = stage(keys.groupBy(length).agg(F.count("*").alias(size)).where(F.col(size) > 1).select(length), "repeated")
+    twice = F.broadcast(twice) if twice.count() <= FEW else twice
+    pairs = keys.groupBy(length, head).agg(F.count("*").alias(size)).join(twice, length, "left_semi")
+    pairs = pairs.groupBy(length, F.xxhash64(head).alias(pre)).agg(F.sum(size).alias(size)).where(F.col(size) > 1)
+    pairs = stage(pairs.select(length, pre, F.lit(True).alias(best)), "prefixes")
+
+    rows = shape(docs.select(*rest, F.col(id_col).alias(key), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias(n), normalised(text_col).alias(norm)))
+    rows = rows.join(twice.withColumn(size, F.lit(True)), length, "left").withColumn(pre, F.when(F.col(size), F.xxhash64(head)))
+    if pairs.count() <= FEW:
+        rows = rows.join(F.broadcast(pairs), [length, pre], "left").withColumn(full, F.when(F.col(best), F.sha2(norm, 256)))
+    else:  # texts are not shuffled: their hashes are
+        rows = rows.withColumn(full, F.when(F.col(size), F.sha2(norm, 256))).drop(norm, head)
+        rows = rows.join(pairs, [length, pre], "left").withColumn(full, F.when(F.col(best), F.col(full)))
+    rows = rows.select(*rest, key, n, full)
+    if with_text:  # rows without a partner are not written
+        some, alone = stage(rows.where(F.col(full).isNotNull()), "hashed"), rows.where(F.col(full).isNull())
+    else:
+        rows = stage(rows, "hashed")
+        some, alone = rows.where(F.col(full).isNotNull()), rows.where(F.col(full).isNull())
+    order = F.struct((-F.col(n)).alias("n"), F.col(key).isNull().alias("void"), F.col(key).alias("id"))
+    groups = some.groupBy(full).agg(F.count("*").alias(size), F.min(order).alias(best))
     # Written, so that the join below is of two plain shuffles, whose hot keys the skew-join rule can split.
     groups = stage(groups.select(full, size, F.col(best)["id"].alias(best)), "groups")
-    out = rows.join(groups, full).select(*rest, F.col(best).alias("keep_id"), F.col(size).alias("group_size"), F.col(best).eqNullSafe(F.col(id_col)).alias("kept"))
-    return out.unionAll(alone.select(*rest, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")))
+    out = some.join(groups, full).select(*rest, F.col(best).alias("keep_id"), F.col(size).alias("group_size"), F.col(best).eqNullSafe(F.col(key)).alias("kept"))
+    return out.unionAll(alone.select(*rest, F.col(key).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64) -> DataFrame:
