@@ -12,39 +12,48 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.llm import textnum as tn
 from tapewright.llm.store import fresh, stage
 
-#: n-grams of 1 to ORDER characters, hashed into BINS presence bits.
-ORDER, BINS = 4, 1 << 16
-#: The bound of the training sample: this many documents a language, texts of at most LONGEST characters.
-PER_LANGUAGE, LONGEST, LANDMARKS, RIDGE = 400, 200_000, 64, 1e-2
+#: n-grams of 1 to ORDER characters, hashed into BINS presence bits; code points hashed at once.
+ORDER, BINS, STEP = 4, 1 << 16, 1 << 20
+#: Bounds of the training sample: documents a language, and in all (8 KB of bits each reach the driver).
+PER_LANGUAGE, SAMPLE = 400, 4096
+#: Landmarks a language, and in all but for one a language at least; languages.
+LANDMARKS, ALL_LANDMARKS, LANGUAGES, RIDGE = 64, 256, 512, 1e-2
 #: Cells of the hash range by which labelled rows are counted: 2 ** CELL_BITS a language.
 CELL_BITS = 11
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
 
-def bins(text: str) -> np.ndarray:
-    """Sorted bins of the text's 1- to ORDER-grams, lower case, whole text."""
-    c = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
+def _seen(text: str) -> np.ndarray:
+    """Which bins hold one of the text's 1- to ORDER-grams, lower case, whole text."""
+    low = text.lower()
     seen = np.zeros(BINS, bool)
-    h = np.zeros(len(c), np.uint32)
-    for n in range(1, ORDER + 1):
-        if len(c) < n:
-            break
-        h = (h[: len(c) - n + 1] + c[n - 1 :] + np.uint32(n)) * np.uint32(0x9E3779B1)
-        h ^= h >> np.uint32(15)
-        seen[(h * np.uint32(0x85EBCA6B)) >> np.uint32(16)] = True
-    return np.flatnonzero(seen)
+    for at in range(0, len(low), STEP):
+        c = np.frombuffer(low[at : at + STEP + ORDER - 1].encode("utf-32-le"), np.uint32)
+        h = np.zeros(len(c), np.uint32)
+        for n in range(1, min(ORDER, len(c)) + 1):
+            h = (h[: len(c) - n + 1] + c[n - 1 :] + np.uint32(n)) * np.uint32(0x9E3779B1)
+            h ^= h >> np.uint32(15)
+            seen[(h * np.uint32(0x85EBCA6B)) >> np.uint32(16)] = True
+    return seen
+
+
+def bins(text: str) -> np.ndarray:
+    """Sorted bins of the text's n-grams."""
+    return np.flatnonzero(_seen(text))
+
 
+def bits(text: str) -> bytes:
+    return np.packbits(_seen(text)).tobytes()
 
-def presence(texts: list[str]) -> np.ndarray:
-    """One row a text: its presence bits, scaled to length 1, so that products of rows are kernel values."""
-    x = np.zeros((len(texts), BINS), np.float32)
-    for row, t in zip(x, texts, strict=True):
-        at = bins(t)
-        row[at] = 1 / np.sqrt(max(1, len(at)))
-    return x
+
+def presence(rows: list[bytes]) -> np.ndarray:
+    """One row a text, from its bits, scaled to length 1, so that products of rows are kernel values."""
+    x = np.unpackbits(np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), BINS // 8), axis=1).astype(np.float32)
+    return x / np.sqrt(np.maximum(1, x.sum(1)))[:, None]
 
 
 @dataclass
@@ -66,14 +75,18 @@ class Model:
         return sums / np.sqrt(np.maximum(n, 1))[:, None] + self.bias
 
 
-def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Kernel ridge regression in the space spanned by ``landmarks`` texts of each language (the first ones)."""
+def fit(rows: list[bytes], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """Kernel ridge regression in the space spanned by ``landmarks`` texts of each language (the first ones; fewer if
+    there are many languages). ``rows`` are the texts' bits."""
     languages = sorted(set(langs))
+    if len(languages) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages are labelled")
     y = np.array([languages.index(x) for x in langs])
-    marks = np.concatenate([np.flatnonzero(y == c)[:landmarks] for c in range(len(languages))])
-    lm = presence([texts[i] for i in marks])
+    each = max(1, min(landmarks, ALL_LANDMARKS // len(languages)))
+    marks = np.concatenate([np.flatnonzero(y == c)[:each] for c in range(len(languages))])
+    lm = presence([rows[i] for i in marks])
     k_mm = (lm @ lm.T).astype(np.float64)
-    k_nm = np.concatenate([presence(texts[i : i + 256]) @ lm.T for i in range(0, len(texts), 256)]).astype(np.float64)
+    k_nm = np.concatenate([presence(rows[i : i + 128]) @ lm.T for i in range(0, len(rows), 128)]).astype(np.float64)
     value, vector = np.linalg.eigh(k_mm)
     good = value > 1e-8 * value[-1]
     root = vector[:, good] / np.sqrt(value[good])
@@ -82,60 +95,67 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     weight = 1 / np.bincount(y, minlength=len(languages))[y]
     weight = weight / weight.sum()
     zc, tc = weight @ z, weight @ target
-    a = (z - zc).T @ ((z - zc) * weight[:, None]) + ridge / len(texts) * np.eye(z.shape[1])
+    a = (z - zc).T @ ((z - zc) * weight[:, None]) + ridge / len(rows) * np.eye(z.shape[1])
     beta = np.linalg.solve(a, (z - zc).T @ ((target - tc) * weight[:, None]))
     return Model(languages, (lm.T @ (root @ beta)).astype(np.float32), tc - zc @ beta)
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, usable, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """(text, lang): of each language, the ``per_language`` usable labelled documents first by the hash of their ids."""
-    labelled = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) <= LONGEST) & F.col(text_col).rlike(r"\p{L}"))
-    ids = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"))
-    ids = stage(ids.withColumn("cell", F.shiftright("h", 64 - CELL_BITS).cast("int")), "labelled")
+def _bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in tn.slices(batch, "text"):
+            got = [bits(t) for t in part.column(part.schema.get_field_index("text")).to_pylist()]
+            yield pa.record_batch([part.column(part.schema.get_field_index(c)) for c in ("lang", "h")] + [pa.array(got, pa.binary())], names=["lang", "h", "bits"])
+
+
+def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, usable, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> DataFrame:
+    """(lang, h, bits): of each language, the ``per_language`` usable labelled texts first by the hash ``h`` of id and
+    text, fewer if there are over ``sample / per_language`` languages. Equal rows count once."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), usable.alias("usable"))
+    rows = rows.where(F.col("usable") & F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("id", "text").alias("h"), "text")
+    keys = stage(rows.select("lang", "h", F.shiftright("h", 64 - CELL_BITS).cast("int").alias("cell")), "labelled")
     # Cells in order of the hash, counted first: only rows up to the cell that completes the sample are ranked.
-    before = F.sum("n").over(Window.partitionBy("lang").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
-    cells = ids.groupBy("lang", "cell").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
-    last = cells.where(F.col("before") < per_language).groupBy("lang").agg(F.max("cell").alias("last"))
+    cells = keys.groupBy("lang", "cell").agg(F.approx_count_distinct("h", 0.02).alias("about")).persist()
+    n = cells.select("lang").distinct().count()
+    per_language = max(1, min(per_language, sample // max(1, n)))
+    before = F.sum(F.floor(F.col("about") * 0.8)).over(Window.partitionBy("lang").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    last = cells.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < per_language).groupBy("lang").agg(F.max("cell").alias("last"))
     # One row a language.
-    ids = ids.join(F.broadcast(last), "lang").where("cell <= last").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id")))
-    ids = ids.where(F.col("n") <= per_language).select(F.col("id").alias("__id"), F.col("lang").alias("__lang"))
-    # At most per_language rows a language.
-    return labelled.join(F.broadcast(ids), (F.col(id_col) == F.col("__id")) & (F.col(lang_col) == F.col("__lang"))).select(
-        F.col(text_col).alias("text"), F.col("__lang").alias("lang"), F.col("__id").alias("id")
-    )
+    first = keys.join(F.broadcast(last), "lang").where("cell <= last").select("lang", "h").distinct()
+    first = first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= per_language).select("lang", "h")
+    cells.unpersist()
+    # At most ``sample`` rows, or one a language.
+    found = rows.join(F.broadcast(first), ["lang", "h"]).select("lang", "h", "text").mapInArrow(_bits_of, "lang string, h long, bits binary")
+    return found.dropDuplicates(["lang", "h"])
 
 
 def train(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
     """A model from the bounded sample of labelled rows, or None if there is no labelled row."""
-    rows = training_sample(docs, id_col, text_col, lang_col, usable, per_language).collect()
-    rows = sorted({(r["id"], r["lang"], r["text"]) for r in rows})
-    order = np.random.default_rng(5).permutation(len(rows))
-    rows = [rows[i] for i in order]
+    rows = sorted((r["h"], r["lang"], bytes(r["bits"])) for r in training_sample(docs, id_col, text_col, lang_col, usable, per_language).toLocalIterator())
     return fit([r[2] for r in rows], [r[1] for r in rows]) if rows else None
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (0 to 1) instead of its text; columns of these names are replaced.
+    """``docs`` with ``lang_pred`` and ``score`` (0 to 1) instead of its text; columns of these names, in any case, are
+    replaced. The score is the ridge's estimate of the best language's share: 1 over the number of languages, its
+    least value, where nothing speaks for any of them.
 
     Every whole text is scored. Null texts and texts without a letter are ``und``, score 0; so is everything if
     there is no model. Rows are independent: ties between languages go to the first by code point, repeated rows get
     the same answer, an empty table gives an empty result."""
-    rest = [c for c in docs.columns if c != text_col and c not in ("lang_pred", "score")]
+    rest = [c for c in docs.columns if c.lower() not in (text_col.lower(), "lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for part in tn.slices(batch, batch.schema.names[-1]):
                 texts = part.column(part.num_columns - 1).to_pylist()
                 known = [i for i, t in enumerate(texts) if t and m and _LETTER.search(t)]
                 pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-                if known:
-                    s = 3 * m.scores([texts[i] for i in known])
-                    s = np.exp(s - s.max(1, keepdims=True))
-                    s /= s.sum(1, keepdims=True)
-                    for i, c, p in zip(known, s.argmax(1), s.max(1), strict=True):
+                for at in range(0, len(known), 128):
+                    some = known[at : at + 128]
+                    s = np.clip((1 + m.scores([texts[i] for i in some])) / 2, 0, 1)
+                    for i, c, p in zip(some, s.argmax(1), s.max(1), strict=True):
                         pred[i], score[i] = m.languages[c], float(p)
                 yield pa.record_batch([*part.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names[:-1], "lang_pred", "score"])
 
@@ -149,9 +169,21 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is in one of the learned languages (``predict`` is not ``und``)."""
+def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: list[str] | None = None,
+               least_score: float | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, that are told to be in one of ``languages`` (default: all learned ones) with
+    ``least_score`` or more (default: midway between 1/2, undecided, and 1 over the number of languages, the least
+    score there is); where ``lang_col`` is null it gets the language told. Other languages and noise are rejected.
+
+    Null texts, empty ones and those without a letter go. Without any labelled row nothing can be told: then all texts
+    with a letter stay as they are. Repeated rows stay or go together; an empty table gives an empty result; other
+    columns, whatever their names, pass through."""
     model = train(docs, ~held_out(id_col), id_col, text_col, lang_col)
-    held, copy = fresh(docs, "row", "letters")
-    rows = docs.select(F.struct(*docs.columns).alias(held), F.col(text_col).alias(copy))
-    return predict(rows, model, copy).where(F.col("lang_pred") != UNKNOWN).select(f"{held}.*")
+    if model is None:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
+    if least_score is None:
+        least_score = (0.5 + 1 / len(model.languages)) / 2
+    told = predict(docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text")), model).where(F.col("score") >= least_score)
+    told = told.where(F.col("lang_pred").isin(languages) if languages is not None else F.col("lang_pred") != UNKNOWN)
+    named = F.coalesce(F.col("row")[lang_col], F.col("lang_pred")).cast(docs.schema[lang_col].dataType).alias(lang_col)
+    return told.select(*[named if c == lang_col else F.col("row")[c].alias(c) for c in docs.columns])
