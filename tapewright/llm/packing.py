@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from tapewright.llm.store import stage
 
 LENGTH, END_ID = 2048, 1
-#: Words of at most CACHED_CHARS characters, at most CACHED of them in a task's memory.
-CACHED_CHARS, CACHED = 48, 300_000
-#: Runs that pieces of one length are ranked in.
-RUNS = 1024
-_SPACED, _BLANK = re.compile(r"\s "), re.compile(r"\s")
+#: Words of at most CACHED_CHARS characters, at most CACHED of them (some 30 MB) in a task's memory, dropped at its end.
+CACHED_CHARS, CACHED = 48, 100_000
+#: Pieces of one run at least: those of one length are ranked within runs, whose number and size grow alike.
+RUN = 256
+#: Characters encoded at once, about.
+CHUNK = 1 << 18
+_SPACED, _BLANK, _CUT = re.compile(r"\s "), re.compile(r"\s"), re.compile(r"(?<=\S) ")
 
 
 @lru_cache(1)
@@ -46,7 +48,7 @@ def added_tokens(ranks_path: str) -> dict[str, int]:
 
 class Encoder:
     """Ids of a text by a byte-level BPE vocabulary: those that its ``tokenizers`` file gives, an added token in the
-    text being one id. A text falls apart before every space that follows a non-space, so words are encoded once and
+    text being one id. Long texts are encoded in parts. A text falls apart before every space that follows a non-space, so words are encoded once and
     remembered; texts where a space follows other white space are encoded whole."""
 
     def __init__(self, ranks_path: str):
@@ -79,6 +81,17 @@ class Encoder:
         self.memory = Memory()
 
     def ids(self, text: str) -> np.ndarray:
+        if len(text) <= CHUNK:
+            return self._part(text)
+        parts, at = [], 0
+        while at < len(text):
+            cut = _CUT.search(text, at + CHUNK)
+            to = cut.start() if cut else len(text)
+            parts.append(self._part(text[at:to]))
+            at = to
+        return np.concatenate(parts)
+
+    def _part(self, text: str) -> np.ndarray:
         if _SPACED.search(text):
             return np.array(self.encode(text), np.uint32)
         first, *words = text.split(" ")
@@ -93,13 +106,19 @@ def encoder(ranks_path: str) -> Encoder:
 def _pieces(ranks_path: str, length: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path)
+        try:
+            yield from cut_all(enc, batches)
+        finally:
+            enc.memory.clear()
+
+    def cut_all(enc: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 keys = part.column(0).to_pylist()
                 out: list[tuple] = []
-                for key, text in zip(keys, part.column(1).to_pylist(), strict=True):
-                    ids = np.append(enc.ids(text or ""), np.uint32(end_id))
+                for key, text in zip(keys, part.column(1), strict=True):
+                    ids = np.append(enc.ids(text.as_py() or ""), np.uint32(end_id))
                     for s in range(0, len(ids), length):
                         cut = ids[s : s + length]
                         out.append((key, s, len(cut), zlib.crc32(cut.tobytes()), len(ids), cut.tolist() if with_ids else None))
@@ -223,22 +242,25 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
 
     Texts are cut every ``length`` ids; full pieces are sequences of their own, the others are packed by a plan that
     is made from the histogram of their lengths (at most ``length`` numbers) and looked up by a piece's rank among
-    those of its length. Ranks are counted in two steps, by runs of a length's pieces, so no length is sorted in one
-    task. Texts are encoded once; the pieces' table is staged.
+    those of its length. Ranks are counted in two steps, by runs of a length's pieces (as many as each has, or of RUN
+    pieces), so no length is sorted in one task. Texts are encoded once; the pieces' table is staged.
 
     Null and empty texts make one piece, the end id. Null ids and rows that repeat an id are packed as rows of their
     own. An empty table gives an empty result. Only the two named columns are read."""
     pieces = token_pieces(docs, id_col, text_col, length, end_id, ranks_path, with_ids)
-    pieces = stage(pieces.withColumn("run", F.pmod(F.xxhash64("id", "start"), F.lit(RUNS)).cast("int")), "pieces")
-    runs = stage(pieces.groupBy("length", "run").agg(F.count("*").alias("n")), "runs")
+    pieces = stage(pieces, "pieces")
+    # One row a length.
+    sizes = stage(pieces.groupBy("length").agg(F.count("*").alias("n")), "lengths")
     counts = np.zeros(length + 1, np.int64)
-    for row in runs.where(F.col("length") < length).groupBy("length").agg(F.sum("n").alias("n")).collect():
+    for row in sizes.where(F.col("length") < length).collect():
         counts[row["length"]] = row["n"]
     shared = docs.sparkSession.sparkContext.broadcast(_places(plan(counts, length)))
+    runs = F.ceil(F.col("n") / F.greatest(F.lit(RUN), F.sqrt("n")))
+    dealt = pieces.join(F.broadcast(sizes), "length").withColumn("run", F.pmod(F.xxhash64("id", "start", "ids_crc32"), runs))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = runs.select("length", "run", before.alias("base"))
+    base = dealt.groupBy("length", "run").agg(F.count("*").alias("n")).select("length", "run", before.alias("base"))
     rank = F.row_number().over(Window.partitionBy("length", "run").orderBy("id", "start", "ids_crc32")) - 1
-    ranked = pieces.withColumn("rank", rank.cast("long")).join(base, ["length", "run"]).withColumn("rank", F.col("rank") + F.col("base"))
+    ranked = dealt.withColumn("rank", rank.cast("long")).join(base, ["length", "run"]).withColumn("rank", F.col("rank") + F.col("base"))
     wide = ["id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
