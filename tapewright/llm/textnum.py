@@ -20,20 +20,27 @@ _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _BYTES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.int64).astype(U)
 
 
-@lru_cache(4)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+#: Entries of the tables of powers that stay in a worker; longer ones are made for one call and dropped.
+TABLE = 1 << 18
+
+
+def _make(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i for i below size."""
-    inverse = pow(base, -1, 2**64)
     out = []
-    for b in (base, inverse):
+    for b in (base, pow(base, -1, 2**64)):
         p = np.full(size, b, U)
-        p[0] = 1
+        p[:1] = 1
         out.append(np.multiply.accumulate(p))
     return out[0], out[1]
 
 
+@lru_cache(2)
+def _table(base: int) -> tuple[np.ndarray, np.ndarray]:
+    return _make(base, TABLE)
+
+
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, 1 << max(16, int(size).bit_length()))
+    return _table(base) if size <= TABLE else _make(base, size)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,9 +80,8 @@ class Words:
         self.data = data[off[0] : off[-1]] if fold is None else fold[data[off[0] : off[-1]]]
         self.off = off - off[0]
         size = len(self.data)
-        word = np.ones(size + 1, bool)
-        word[:size] = ~blank[self.data]
-        word[size] = False
+        word = np.zeros(size + 1, bool)
+        np.logical_not(blank[self.data], out=word[:size])
         first = np.zeros(size + 1, bool)
         first[self.off] = True
         before = np.zeros(size + 1, bool)
@@ -88,19 +94,62 @@ class Words:
         self.count = self.hi - self.lo
 
     def hashes(self) -> np.ndarray:
-        return spans(prefix(_BYTES[self.data], _BYTE_BASE), self.starts, self.ends, _BYTE_BASE)
+        """A hash a word: words are taken in runs of under TABLE bytes, so memory beside the result does not grow."""
+        out = np.empty(len(self.starts), U)
+        at = 0
+        while at < len(out):
+            to = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + TABLE, "left")))
+            lo, hi = int(self.starts[at]), int(self.ends[to - 1])
+            if hi - lo < TABLE:
+                out[at:to] = spans(prefix(_BYTES[self.data[lo:hi]], _BYTE_BASE), self.starts[at:to] - lo, self.ends[at:to] - lo, _BYTE_BASE)
+            else:
+                out[at] = self._long(lo, hi)
+            at = to
+        return out
+
+    def _long(self, lo: int, hi: int) -> np.uint64:
+        """The hash of one word that is longer than the table, piece by piece."""
+        p, _ = powers(_BYTE_BASE, TABLE)
+        total, shift, step = 0, 1, pow(_BYTE_BASE, TABLE, 2**64)
+        for a in range(lo, hi, TABLE):
+            part = _BYTES[self.data[a : min(hi, a + TABLE)]]
+            total = (total + int((part * p[: len(part)]).sum(dtype=U)) * shift) % 2**64
+            shift = shift * step % 2**64
+        return mix(np.array([(total + hi - lo) % 2**64], U))[0]
 
     def grams(self, k: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of the k-word grams of all documents, and per document the range of its grams. A document of
         1 to k-1 words has one gram, of all its words."""
         h = self.hashes() if hashes is None else hashes
-        pre = prefix(h, _WORD_BASE)
         n = np.where(self.count >= k, self.count - k + 1, np.minimum(self.count, 1))
         hi = np.cumsum(n)
         lo = hi - n
-        at = np.arange(hi[-1] if len(hi) else 0) - np.repeat(lo - self.lo, n)
-        end = np.minimum(at + k, np.repeat(self.hi, n))
-        return spans(pre, at, end, _WORD_BASE), lo, hi
+        whole = word_grams(h, k)
+        short = np.flatnonzero((self.count > 0) & (self.count < k))
+        if not len(short):
+            at = np.arange(hi[-1] if len(hi) else 0) - np.repeat(lo - self.lo, n)
+            return whole[at], lo, hi
+        out = np.empty(int(hi[-1]), U)
+        full = np.ones(len(out), bool)
+        full[lo[short]] = False
+        out[full] = whole[(np.arange(len(out)) - np.repeat(lo - self.lo, n))[full]]
+        p, _ = powers(_WORD_BASE, k)
+        total = np.zeros(len(short), U)
+        for r in range(k - 1):
+            there = self.count[short] > r
+            total[there] += h[self.lo[short][there] + r] * p[r]
+        out[lo[short]] = mix(total + self.count[short].astype(U))
+        return out, lo, hi
+
+
+def word_grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each k consecutive words (of the whole slice, documents run together), as ``word_spans`` gives it."""
+    p, _ = powers(_WORD_BASE, k)
+    n = max(0, len(hashes) - k + 1)
+    total = np.full(n, k, U)
+    for r in range(k):
+        total += hashes[r : r + n] * p[r]
+    return mix(total)
 
 
 def word_prefix(hashes: np.ndarray) -> np.ndarray:
