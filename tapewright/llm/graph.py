@@ -9,27 +9,37 @@ from pyspark.sql import functions as F
 from tapewright.llm.store import checkpoint
 
 
+#: Edges up to which each node's smallest neighbour is broadcast (two nodes an edge at most).
+FEW = 1 << 17
+
+
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
-    """(node, label): each node that has an edge, with the smallest node it can reach.
+    """(node, label): each node that has an edge to another, with the smallest node it can reach.
 
     Every round is a constant number of joins and partial aggregates keyed by node; a node's neighbours are never
-    gathered. Rounds grow with the logarithm of the size. Only one count and one checksum a round reach the driver."""
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    gathered, and a node with many of them is not dealt to one task: the table of smallest neighbours is broadcast, its
+    size checked, or else written, so that the join is of two plain shuffles, which the skew-join rule splits. Rounds
+    grow with the logarithm of the size. Only one count and one checksum a round reach the driver. Edges with a null
+    end and loops are left out; repeated ones count once; without edges the result is empty."""
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct()
     e = checkpoint(e)
-    before = None
+    n, before = e.count(), None
+
+    def lows(rows: DataFrame) -> DataFrame:
+        low = rows.groupBy("u").agg(F.min("v").alias("m"))
+        return F.broadcast(low) if n <= FEW else checkpoint(low)
+
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u")
-        e = checkpoint(
-            moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        )
+        low = lows(both)
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        low = lows(large)
+        moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = checkpoint(moved.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
-        before = now
+        before, n = now, now[0]
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from tapewright.llm import textnum as tn
 from tapewright.llm.graph import components, local_labels
-from tapewright.llm.store import stage
+from tapewright.llm.store import fresh, stage
 
 GRAM, THRESHOLD, RECALL = 5, 0.8, 0.999
-#: Members of a candidate group that meet in one task: two blocks of this many.
+#: Members of a bucket that meet in one task: two blocks of this many.
 BLOCK = 512
+#: Rows up to which a table of buckets or classes is broadcast.
+FEW = 1 << 17
 
 
 def banding(threshold: float, recall: float, rows: int = 5) -> tuple[int, int]:
@@ -63,37 +65,37 @@ def _signatures(k: int, bands: int, rows: int):
     return run
 
 
-def _gram_sets(k: int):
+def _gram_sets(k: int, names: list[str]):
+    """The named columns of each row whose set is the one looked for, and the set; without ``k0`` among the columns,
+    those and the set's hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tn.slices(batch, "text"):
                 g, lo, hi = _sets(tn.Words(part.column(part.schema.get_field_index("text"))), k)
-                sums = np.zeros(len(lo), np.uint64)
+                sums = [np.zeros(len(lo), np.uint64), np.zeros(len(lo), np.uint64)]
                 full = np.flatnonzero(hi - lo)
                 if len(full):
-                    sums[full] = np.add.reduceat(tn.mix(g + np.uint64(1)), lo[full])
-                same = np.flatnonzero(tn.signed(sums) == part.column(part.schema.get_field_index("k0")).to_numpy(zero_copy_only=False))
-                blob = pa.array([g[lo[d] : hi[d]].tobytes() for d in same], pa.binary())
+                    for s, salt in zip(sums, (1, 2), strict=True):
+                        s[full] = np.add.reduceat(tn.mix(g + np.uint64(salt)), lo[full])
+                at = part.schema.get_field_index("k0")
+                same = full if at < 0 else np.flatnonzero(tn.signed(sums[0]) == part.column(at).to_numpy(zero_copy_only=False))
+                blob = pa.array([g[lo[d] : hi[d]].tobytes() for d in same], pa.large_binary())
                 kept = part.take(pa.array(same))
-                names = ["rep", "mult", "cand", "block", "blocks", "bands"]
-                yield pa.record_batch([kept.column(kept.schema.get_field_index(c)) for c in names] + [blob], names=[*names, "grams"])
+                extra = [pa.array(tn.signed(s[same])) for s in sums] if at < 0 else []
+                cols = [kept.column(kept.schema.get_field_index(c)) for c in names]
+                yield pa.record_batch([*cols, *extra, blob.cast(pa.binary())], names=[*names, *["k0", "k1"][: len(extra)], "grams"])
 
     return run
 
 
-def _candidates(bands: np.ndarray, side: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j that share a band; of both sides if ``cross``."""
-    n = len(bands)
-    near = np.zeros((n, n), bool)
-    for b in range(bands.shape[1]):
-        order = np.argsort(bands[:, b], kind="stable")
-        cut = np.flatnonzero(np.diff(bands[order, b])) + 1
-        for group in np.split(order, cut):
-            if len(group) > 1:
-                near[np.ix_(group, group)] = True
-    if cross:
-        near &= side[:, None] != side[None, :]
-    return np.nonzero(np.triu(near, 1))
+def _candidates(bands: np.ndarray, band: int, side: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of a bucket of ``band`` that share no earlier band: those are another bucket's. Of both sides if
+    ``cross``."""
+    own = side[:, None] != side[None, :] if cross else np.ones((len(bands), len(bands)), bool)
+    for b in range(band):
+        own &= bands[:, b][:, None] != bands[:, b][None, :]
+    return np.nonzero(np.triu(own, 1))
 
 
 def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -122,30 +124,72 @@ def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarra
 def _verify(threshold: float):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         cross = key[1].as_py() != key[2].as_py()
-        rep = table.column("rep").to_numpy()
-        _, first = np.unique(rep, return_index=True)
-        table, rep = table.take(pa.array(first)), rep[first]
+        node = np.array(table.column("node").to_pylist(), object)
+        node, first = np.unique(node, return_index=True)
+        table = table.take(pa.array(first))
         mult, side = table.column("mult").to_numpy(), table.column("block").to_numpy()
         sets = [np.frombuffer(b.as_py(), np.uint64) for b in table.column("grams")]
         bands = np.stack([np.asarray(b, np.int64) for b in table.column("bands").to_pylist()])
         n = np.array([len(s) for s in sets])
-        i, j = _candidates(bands, side, cross)
+        i, j = _candidates(bands, table.column("band")[0].as_py(), side, cross)
         close = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])
         i, j = i[close], j[close]
         both = _overlaps(sets, i, j)
         hit = both >= threshold * (n[i] + n[j] - both)
         i, j = i[hit], j[hit]
-        links = np.zeros(len(rep), np.int64)
+        links = np.zeros(len(node), np.int64)
         np.add.at(links, i, mult[j])
         np.add.at(links, j, mult[i])
-        texts = np.bincount(np.concatenate([i, j]), minlength=len(rep))
-        label = local_labels(len(rep), i, j)
-        some = np.flatnonzero(texts)
-        return pa.table({"rep": rep[some], "peer": rep[label[some]], "links": links[some], "texts": texts[some].astype(np.int64)})
+        label = local_labels(len(node), i, j)
+        some = np.flatnonzero(links)
+        return pa.table({"node": pa.array(node[some], pa.string()), "peer": pa.array(node[label[some]], pa.string()), "links": links[some]})
 
     return run
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def set_classes(docs: DataFrame, k: int = GRAM, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """From (id, text): the rows' set hashes (id, k0, k1, n_grams), and the distinct sets' (k0, k1, rep_id, class_id,
+    n_links). See ``near_duplicates``."""
+    bands, rows = banding(threshold, recall)
+    sigs = stage(docs.mapInArrow(_signatures(k, bands, rows), "id long, k0 long, k1 long, n_grams long, bands array<long>"), "signatures")
+    sets = sigs.where("n_grams > 0").groupBy("k0", "k1").agg(F.min("id").alias("rep_id"), F.count("*").alias("mult"), F.min("bands").alias("bands"))
+    node = F.coalesce(F.col("rep_id").cast("string"), F.concat_ws("_", F.lit("n"), F.hex("k0"), F.hex("k1")))
+    sets = stage(sets.withColumn("node", node), "sets")
+    spread = sets.select("node", F.posexplode("bands").alias("band", "h"))
+    full = spread.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("h")
+    member = spread.join(_few(stage(full, "buckets")), "h", "left_semi").join(sets.select("node", "bands"), "node")
+    # A bucket whose members all share an earlier band has no pair of its own.
+    ends = [f(F.get("bands", F.lit(b))).alias(f"{f.__name__}{b}") for b in range(bands) for f in (F.min, F.max)]
+    inside = " OR ".join(f"(band > {b} AND min{b} = max{b})" for b in range(bands))
+    own = member.groupBy("h", "band").agg(F.count("*").alias("n"), *ends).where(f"NOT ({inside})")
+    own = _few(stage(own.select("h", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "own"))
+    at = member.join(own, "h").groupBy("node").agg(F.collect_list(F.struct("h", "band", "blocks")).alias("at"))  # one a band
+    at = at.join(sets, "node").select("node", "rep_id", "k0", "k1", "mult", "bands", "at")
+    names = ["node", "mult", "bands", "at"]
+    shape = "node string, mult long, bands array<long>, at array<struct<h:long,band:int,blocks:int>>"
+    met = docs.where("id IS NOT NULL").join(at.where("rep_id IS NOT NULL").withColumnRenamed("rep_id", "id"), "id")
+    met = met.mapInArrow(_gram_sets(k, names), f"{shape}, grams binary")
+    none = docs.where("id IS NULL").select("text").mapInArrow(_gram_sets(k, []), "k0 long, k1 long, grams binary")
+    none = none.join(at.where("rep_id IS NULL"), ["k0", "k1"]).groupBy("node").agg(*[F.first(c).alias(c) for c in (*names[1:], "grams")])
+    met = met.unionByName(none).withColumn("at", F.explode("at")).select("node", "mult", "bands", "grams", "at.*")
+    met = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumns({"b0": F.least("block", "other"), "b1": F.greatest("block", "other")}).drop("blocks", "other")
+    found = stage(met.groupBy("h", "b0", "b1").applyInArrow(_verify(threshold), "node string, peer string, links long"), "links")
+    label = components(found, "node", "peer").join(sets.select("node", "rep_id"), "node")
+    label = stage(label, "labels")
+    least = _few(stage(label.groupBy("label").agg(F.min("rep_id").alias("class_id")), "names"))
+    label = label.select("node", "label").join(least, "label").select("node", "class_id")
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    out = sets.select("node", "k0", "k1", "rep_id", "mult").join(counts, "node", "left").join(label, "node", "left")
+    n_links = F.coalesce("links", F.lit(0)) + F.col("mult") - 1
+    return sigs, stage(out.select("k0", "k1", "rep_id", F.coalesce("class_id", "rep_id").alias("class_id"), n_links.alias("n_links")), "classes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = GRAM, threshold: float = THRESHOLD,
                     recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """(id, rep_id, class_id, n_links, n_grams): one row for each row of ``docs``.
@@ -154,52 +198,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``rep_id`` is the smallest id with the same set, ``n_links`` the number of other documents linked directly
     (copies included), ``class_id`` the smallest id reachable by links.
 
-    Sets that are equal are one candidate from the start, whatever their number. Of the others, those that share a
-    MinHash band are shuffled on the band's hash and joined with the bucket's smallest member; connected buckets form
-    a candidate group. Its members meet in tasks of two blocks of about ``block``: each pair that shares a band is verified
-    there, once, on the whole sets, so that large groups spread over tasks and no list of pairs is written, only each
-    member's number of links and its peer in a spanning forest. Pairs at the threshold are found with probability
-    ``recall``, closer ones with more.
+    Sets that are equal are one candidate from the start, whatever their number. Sets are shuffled on the hashes of
+    their MinHash bands and verified, whole, against the others of the bucket; a pair that shares several bands is
+    verified in the first one's bucket only, and buckets that lie within another one are not looked at. A large
+    bucket's members meet in tasks of two blocks of about ``block``, so that no bucket is gathered and no list of pairs is
+    written, only each member's number of links and its peer in a spanning forest; only verified links are connected.
+    Pairs at the threshold are found with probability ``recall``, closer ones with more.
 
     Null and empty texts have no grams and link with nothing (not even each other): their class is their own id.
-    Texts of 1 to k-1 words have one gram, of all their words. Rows of null id count as links; their class is the
-    smallest id of the class, null if there is none. Rows that repeat an id must repeat the text; they count as
-    copies. An empty table gives an empty result. Only the two named columns are read."""
-    bands, rows = banding(threshold, recall)
+    Texts of 1 to k-1 words have one gram, of all their words. Rows of null id are compared and linked as others;
+    their class is the smallest id of the class, null if there is none. Rows that repeat an id must repeat the text;
+    they count as copies. An empty table gives an empty result. Only the two named columns are read."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sigs = stage(docs.mapInArrow(_signatures(k, bands, rows), "id long, k0 long, k1 long, n_grams long, bands array<long>"), "signatures")
-    some = sigs.where("n_grams > 0")
-    reps = some.groupBy("k0", "k1").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.min("bands").alias("bands"))
-    reps = stage(reps, "sets")
-    named = reps.where("rep IS NOT NULL")
-    spread = named.select("rep", F.explode("bands").alias("h"))
-    buckets = spread.groupBy("h").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")).where("hub < far").select("h", "hub")
-    stars = spread.join(buckets, "h").where("rep <> hub").select("rep", "hub")
-    cand = components(stars, "rep", "hub").select(F.col("node").alias("rep"), F.col("label").alias("cand"))
-    cand = stage(cand, "candidates")
-    sizes = cand.groupBy("cand").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = cand.join(sizes, "cand").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    members = members.join(named, "rep").select(F.col("rep").alias("id"), "k0", "mult", "cand", "block", "blocks", "bands")
-    sets = docs.where("id IS NOT NULL").join(members, "id").select(F.col("id").alias("rep"), "text", "k0", "mult", "cand", "block", "blocks", "bands")
-    sets = sets.mapInArrow(_gram_sets(k), "rep long, mult long, cand long, block int, blocks int, bands array<long>, grams binary")
-    other = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = other.withColumn("b0", F.least("block", "other")).withColumn("b1", F.greatest("block", "other")).select("rep", "mult", "cand", "block", "b0", "b1", "bands", "grams")
-    found = met.groupBy("cand", "b0", "b1").applyInArrow(_verify(threshold), "rep long, peer long, links long, texts long")
-    found = stage(found, "links")
-    labels = components(found, "rep", "peer").select(F.col("node").alias("rep"), "label")
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
-    classes = reps.select("k0", "k1", "rep", "mult").join(labels, "rep", "left").join(counts, "rep", "left")
-    classes = classes.select(
-        "k0", "k1", "rep", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links")
-    )
-    linked = some.join(classes, ["k0", "k1"]).select("id", F.col("rep").alias("rep_id"), "class_id", "n_links", "n_grams")
+    sigs, classes = set_classes(docs, k, threshold, recall, block)
+    linked = sigs.where("n_grams > 0").join(classes, ["k0", "k1"]).select("id", "rep_id", "class_id", "n_links", "n_grams")
     alone = sigs.where("n_grams = 0").select("id", F.col("id").alias("rep_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_grams")
     return linked.unionAll(alone)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = GRAM, **params) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its class of near duplicates; rows of null id stay only
-    where their class has no other id. Rows that repeat an id stay together."""
-    near = near_duplicates(docs, id_col, text_col, **params)
-    gone = near.where("id <> class_id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    where their class has no id. Rows that repeat an id stay together; texts without words stay."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sigs, classes = set_classes(rows, k, **params)
+    gone = sigs.where("n_grams > 0 AND id IS NOT NULL").join(classes, ["k0", "k1"]).where("id <> class_id")
+    (key,) = fresh(docs, "gone")
+    gone = gone.select(F.col("id").alias(key)).distinct()
+    kept = docs.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col).cast("long") == F.col(key), "left_anti")
+    void = docs.where(F.col(id_col).isNull()).select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    void = void.mapInArrow(_keyed(k), void.drop("text").schema.add("k0", "long").add("k1", "long"))
+    void = void.join(classes.where("class_id IS NOT NULL").select("k0", "k1"), ["k0", "k1"], "left_anti")
+    return kept.unionAll(void.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
+
+
+def _keyed(k: int):
+    """Rows (row, text) as (row, k0, k1): the set's hashes; 0 and 0 for a text without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tn.slices(batch, "text"):
+                g, lo, hi = _sets(tn.Words(part.column(1)), k)
+                full = np.flatnonzero(hi - lo)
+                cols = [part.column(0)]
+                for salt in (1, 2):
+                    sums = np.zeros(len(lo), np.uint64)
+                    if len(full):
+                        sums[full] = np.add.reduceat(tn.mix(g + np.uint64(salt)), lo[full])
+                    cols.append(pa.array(tn.signed(sums)))
+                yield pa.record_batch(cols, names=["row", "k0", "k1"])
+
+    return run
