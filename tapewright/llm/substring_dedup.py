@@ -21,19 +21,20 @@ from tapewright.llm import textnum as tn
 from tapewright.llm.store import stage
 
 WINDOW, GRAM = 50, 8
+#: Rows up to which a table of repeated runs or windows is broadcast; a larger one is joined by a shuffle.
+FEW = 1 << 18
 
 
 def _windows(words: tn.Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For a slice: prefix sums over words, the first word of each window, its document, its minimum."""
-    pre = tn.word_prefix(words.hashes())
+    hashes = words.hashes()
+    pre = tn.word_prefix(hashes)
     n = np.maximum(words.count - window + 1, 0)
     at = tn.expand(words.lo, n)
     doc = np.repeat(np.arange(len(n)), n)
-    total = len(pre) - 1
     if not len(at):
         return pre, at, doc, np.zeros(0, np.uint64)
-    i = np.arange(total - gram + 1)
-    low = tn.sliding_min(tn.word_spans(pre, i, i + gram), window - gram + 1)
+    low = tn.sliding_min(tn.word_grams(hashes, gram), window - gram + 1)
     return pre, at, doc, low[at]
 
 
@@ -109,6 +110,13 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """Written, so that a join with it is of two plain shuffles, whose hot keys the skew-join rule splits, or, if it is
+    small, none at all."""
+    df = stage(df, name)
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def removal_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(id, start, end) in words, end exclusive: every window whose words also start in a document of a smaller id.
     Intervals of one document may overlap; ``remove_repeats`` merges them."""
@@ -116,13 +124,13 @@ def removal_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     runs = stage(docs.mapInArrow(_runs(window, gram), "m long, whole long, id long, start int, n int"), "runs")
     kinds = runs.groupBy("m", "whole").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     shared = kinds.groupBy("m").agg(F.min("first").alias("lo"), F.max("last").alias("hi"), F.count("*").alias("kinds")).where("lo < hi").select("m", "kinds")
-    kinds = kinds.select("m", "whole", "first").join(shared, "m")
+    kinds = _written(kinds.select("m", "whole", "first").join(shared, "m"), "kinds")
     hits = stage(runs.join(kinds, ["m", "whole"]).select("id", "m", "start", "n", "kinds", (F.col("id") > F.col("first")).alias("copy")), "hits")
     open_runs = hits.where("NOT copy AND kinds > 1").groupBy("id").agg(F.collect_set(F.struct("start", "n", "m")).alias("runs"))
     texts = docs.join(open_runs, "id").select("id", "text", "runs")
     windows = stage(texts.mapInArrow(_unroll(window), "m long, h long, id long, start int"), "windows")
     firsts = windows.groupBy("m", "h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("m", "h", "first")
-    more = windows.join(firsts, ["m", "h"]).where("id > first").select("id", "start", (F.col("start") + window).alias("end"))
+    more = windows.join(_written(firsts, "firsts"), ["m", "h"]).where("id > first").select("id", "start", (F.col("start") + window).alias("end"))
     return hits.where("copy").select("id", "start", (F.col("start") + F.col("n") + (window - 1)).alias("end")).unionAll(more)
 
 
