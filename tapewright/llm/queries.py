@@ -16,7 +16,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tapewright.llm.mixing import mix, word_count
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size"))
-    return mix(docs, whole_slots=True).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mix(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,24 +112,14 @@ r AS (
                   / (SELECT sum(CASE WHEN w * r.rate > 3 * ss THEN 0.0 ELSE w END) FROM s), r.rate
   FROM r WHERE r.i < 40 AND (r.before IS NULL OR r.rate > r.before)),
 t AS (SELECT source, ss, least(w * (SELECT max(rate) FROM r), 3.0 * ss) AS target FROM s),
-b AS (SELECT greatest(1, least(4096, (sum(ss)::BIGINT) // 65536)) AS block, sum(ss)::BIGINT AS total FROM s),
-u AS (SELECT source, ss, target, sum(target) OVER (ORDER BY source NULLS LAST) AS hi FROM t),
-v AS (SELECT source, (hi - target) / (SELECT max(hi) FROM u) AS lo, hi / (SELECT max(hi) FROM u) AS hi FROM u),
-k AS (
-  SELECT v.source, count(*) AS slots
-  FROM (SELECT x * 0.6180339887498949::DOUBLE - floor(x * 0.6180339887498949::DOUBLE) AS p
-        FROM (SELECT unnest(range((SELECT ceil(total / block)::BIGINT FROM b)))::DOUBLE AS x)) q
-  JOIN v ON q.p >= v.lo AND q.p < v.hi GROUP BY 1),
 l AS (
   SELECT d.*, (('0x' || h[1:3])::INT) % 4096 AS run FROM d),
 o AS (
   SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY run, h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM l),
-z AS (
-  SELECT o.*, t.ss, t.target, b.block, ceil(t.ss / b.block)::BIGINT AS nb, least(coalesce(k.slots, 0), 3 * ceil(t.ss / b.block)::BIGINT) AS slots
-  FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source LEFT JOIN k ON o.source IS NOT DISTINCT FROM k.source, b)
+z AS (SELECT o.*, t.ss, t.target, round(t.target)::BIGINT AS budget FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, ss AS source_size, target,
-       (CASE WHEN size = 0 THEN 0 ELSE (slots // nb) * size + greatest(0, least(start + size, (slots % nb) * block) - start) END)::BIGINT AS taken
+       (CASE WHEN size = 0 THEN 0 ELSE (budget // ss) * size + greatest(0, least(start + size, budget % ss) - start) END)::BIGINT AS taken
 FROM z
 """
 
