@@ -19,7 +19,7 @@ THRESHOLD = 0.95
 SAMPLE = 16_384
 SUBSPACES, CODES, ROUNDS = 8, 64, 12
 #: Listed vectors, and probing vectors, of one task.
-BLOCK = 4096
+BLOCK = 2048
 EPS = 1e-6
 
 
@@ -101,7 +101,7 @@ def _units(batch: pa.RecordBatch, at: int, dim: int) -> tuple[np.ndarray, np.nda
 
 
 def _assign(index_of, radius: float):
-    """Rows (id, mult, cell, home): each vector in its home list, and a probe for each later list that it reaches."""
+    """Rows (node, mult, cell, home): each vector in its home list, and a probe for each later list that it reaches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_of.value
@@ -119,7 +119,7 @@ def _assign(index_of, radius: float):
                 cells = np.concatenate([cell, -size[odd].astype(np.int64)])
                 homes = np.concatenate([cell == home[row], np.ones(len(odd), bool)])
                 part = batch.take(pa.array(rows))
-                yield pa.record_batch([part.column(0), part.column(1), part.column(2), pa.array(cells.astype(np.int64)), pa.array(homes)], names=["id", "mult", "v", "cell", "home"])
+                yield pa.record_batch([part.column(0), part.column(1), part.column(2), pa.array(cells.astype(np.int64)), pa.array(homes)], names=["node", "mult", "v", "cell", "home"])
 
     return run
 
@@ -132,7 +132,7 @@ def _compare(index_of, threshold: float, radius: float):
         batch = table.to_batches()[0]
         dim = index.dim if cell >= 0 else -cell
         x, _ = _units(batch, batch.schema.get_field_index("v"), dim)
-        ids, mult = batch.column(batch.schema.get_field_index("id")).to_numpy(), batch.column(batch.schema.get_field_index("mult")).to_numpy()
+        nodes, mult = np.array(batch.column(batch.schema.get_field_index("node")).to_pylist(), object), batch.column(batch.schema.get_field_index("mult")).to_numpy()
         listed = batch.column(batch.schema.get_field_index("listed")).to_numpy(zero_copy_only=False)
         data, probe = np.flatnonzero(listed), np.flatnonzero(~listed)
         if same:
@@ -142,25 +142,26 @@ def _compare(index_of, threshold: float, radius: float):
         i, j = [], []
         for at in range(0, len(probe), 256):
             p = probe[at : at + 256]
-            if cell >= 0:
-                near = index.distances(x[p] - index.centres[cell], codes) <= radius + error + 1e-4
-                a, b = np.nonzero(near)
-            else:
-                a, b = np.nonzero(np.ones((len(p), len(data)), bool))
-            a, b = p[a], data[b]
+            near = index.distances(x[p] - index.centres[cell], codes) <= radius + error + 1e-4 if cell >= 0 else np.ones((len(p), len(data)), bool)
             if same:
-                a, b = a[a < b], b[a < b]
-            for s in range(0, len(a), 1 << 16):
-                ok = np.einsum("ij,ij->i", x[a[s : s + (1 << 16)]], x[b[s : s + (1 << 16)]]) >= threshold
-                i.append(a[s : s + (1 << 16)][ok])
-                j.append(b[s : s + (1 << 16)][ok])
+                near &= p[:, None] < data[None, :]
+            if near.mean() > 0.02:
+                a, b = np.nonzero(near & (x[p] @ x[data].T >= threshold))
+                i.append(p[a])
+                j.append(data[b])
+                continue
+            a, b = np.nonzero(near)
+            a, b = p[a], data[b]
+            ok = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
+            i.append(a[ok])
+            j.append(b[ok])
         i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (i, j))
-        links = np.zeros(len(ids), np.int64)
+        links = np.zeros(len(nodes), np.int64)
         np.add.at(links, i, mult[j])
         np.add.at(links, j, mult[i])
         some = np.flatnonzero(links)
-        label = local_labels(len(ids), i, j)
-        return pa.table({"id": ids[some], "peer": ids[label[some]], "links": links[some]})
+        label = local_labels(len(nodes), i, j)
+        return pa.table({"node": pa.array(nodes[some], pa.string()), "peer": pa.array(nodes[label[some]], pa.string()), "links": links[some]})
 
     return run
 
@@ -179,7 +180,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     linked directly, ``component_id`` is the smallest id reachable by links, ``kept`` says that it is the row's own.
 
     Equal vectors are one entry with a multiplicity. The index (coarse centres, residual code books) is fitted on at
-    most ``sample`` vectors, those first by the hash of their ids; every vector is listed. A vector probes all
+    most ``sample`` vectors, those first by their hash; every vector is listed. A vector probes all
     lists that can hold one within the threshold's radius (by the bisector bound, so none is lost), each pair of
     lists in one direction. In a list, table-look-up distances less the listed vector's own quantisation error bound
     the true ones, so that the filter loses nothing; what passes is compared exactly. Lists are cut into blocks of
@@ -189,41 +190,46 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     Null, empty and zero vectors and those with a null or non-finite component link with nothing. Vectors of another
     length than the index's are compared exactly, in blocks, with those of their length. A null id never names a
     component (null if all ids are). Rows that repeat an id count as rows. An empty table gives an empty result.
-    Only the two named columns are read."""
+    Only the two named columns are read. Lists grow as the root of the number of vectors, comparisons as its power 1.5."""
     spark = rows.sparkSession
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    good = rows.where(valid_vector("v"))
-    entries = stage(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("mult")).select(F.coalesce("rep", F.lit(-(2**63))).alias("id"), "mult", "v"), "entries")
+    # x + 0 makes one zero of the two.
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + 0.0).alias("v"))
+    # Each distinct vector has a key of its own, 128 bits of hash, whatever its ids.
+    good = rows.where(valid_vector("v")).withColumn("node", F.concat_ws("_", F.hex(F.xxhash64("v")), F.hex(F.xxhash64(F.lit(1), "v"))))
+    entries = stage(good.groupBy("node", "v").agg(F.min("id").alias("rep"), F.count("*").alias("mult")), "entries")
     n = entries.count()
     dims = entries.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    labels = spark.createDataFrame([], "id long, label long, links long")
+    labels = spark.createDataFrame([], "node string, component_id long, links long")
     if n > 1:
-        first = entries.where(F.size("v") == dims["d"]).orderBy(F.xxhash64("id"), "id").limit(max(1024, min(sample, (1 << 23) // dims["d"]))).select("v").toPandas()["v"]
+        first = entries.where(F.size("v") == dims["d"]).orderBy("node").limit(max(1024, min(sample, (1 << 23) // dims["d"]))).select("v").toPandas()["v"]
         x = np.stack(first.to_numpy()).astype(np.float64)
+        x /= np.abs(x).max(1)[:, None]
         x /= np.sqrt((x * x).sum(1))[:, None]
         index_of = spark.sparkContext.broadcast(fit(x, lists or max(2, int(np.sqrt(n) / 14))))
         radius = float(np.sqrt(2 - 2 * threshold))
-        placed = entries.select("id", "mult", "v").mapInArrow(_assign(index_of, radius), "id long, mult long, v array<double>, cell long, home boolean")
+        placed = entries.select("node", "mult", "v").mapInArrow(_assign(index_of, radius), "node string, mult long, v array<double>, cell long, home boolean")
         placed = stage(placed, "lists")
         # One row a list.
         sizes = placed.groupBy("cell").agg(
             F.ceil(F.count_if("home") / block).cast("int").alias("blocks"), F.ceil(F.count_if(~F.col("home")) / block).cast("int").alias("others")
         )
-        placed = placed.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("home"), F.col("blocks")).otherwise(F.col("others"))).cast("int"))
+        placed = placed.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("home"), F.col("blocks")).otherwise(F.col("others"))).cast("int"))
         upto = lambda c: F.when(c > 0, F.sequence(F.lit(0), c - 1)).otherwise(F.array().cast("array<int>"))
         listed, probing = placed.where("home"), placed.where("NOT home")
-        shape = ["cell", "b0", "b1", "within", "id", "mult", "v", "listed"]
+        shape = ["cell", "b0", "b1", "within", "node", "mult", "v", "listed"]
         # Listed against listed: block pairs b0 <= b1, the second one probing.
         among = listed.withColumn("o", F.explode(upto(F.col("blocks")))).withColumn("b0", F.least("own", "o")).withColumn("b1", F.greatest("own", "o"))
         among = among.withColumn("within", F.lit(True)).withColumn("listed", F.col("own") == F.col("b0")).select(*shape)
         to = listed.withColumn("b1", F.explode(upto(F.col("others")))).withColumn("b0", F.col("own")).withColumn("within", F.lit(False)).withColumn("listed", F.lit(True))
         by = probing.withColumn("b0", F.explode(upto(F.col("blocks")))).withColumn("b1", F.col("own")).withColumn("within", F.lit(False)).withColumn("listed", F.lit(False))
         met = among.unionAll(to.select(*shape)).unionAll(by.select(*shape))
-        found = met.groupBy("cell", "b0", "b1", "within").applyInArrow(_compare(index_of, threshold, radius), "id long, peer long, links long")
+        found = met.groupBy("cell", "b0", "b1", "within").applyInArrow(_compare(index_of, threshold, radius), "node string, peer string, links long")
         found = stage(found, "links")
-        names = components(found, "id", "peer").select(F.col("node").alias("id"), "label")
-        labels = found.groupBy("id").agg(F.sum("links").alias("links")).join(names, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "links")
-    classes = entries.join(labels, "id", "left").select("v", F.coalesce("label", "id").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
-    out = good.join(classes, "v").select("id", "n_links", F.when(F.col("label") > -(2**63), F.col("label")).alias("component_id"))
+        names = stage(components(found, "node", "peer").join(entries.select("node", "rep"), "node"), "names")
+        least = stage(names.groupBy("label").agg(F.min("rep").alias("component_id")), "least")
+        names = names.join(least, "label").select("node", "component_id")
+        labels = found.groupBy("node").agg(F.sum("links").alias("links")).join(names, "node").select("node", "component_id", "links")
+    classes = entries.join(labels, "node", "left").select("node", F.when(F.col("links").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
+    out = good.select("id", "node").join(stage(classes, "classes"), "node").select("id", "n_links", "component_id")
     out = out.unionAll(rows.where(~valid_vector("v")).select("id", F.lit(0).cast("long"), F.col("id")))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
