@@ -202,8 +202,8 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates: Mapping[st
     Of overlapping matches, those with a smaller share of their template go (a version's notice is close to another
     version's). A match found by two windows is listed once if its span is the same. Null and empty texts and texts under k words
     have no matches (a template has at least k words). Rows are independent: repeated rows get the same matches, an empty table gives
-    an empty result; a column named ``matches`` is replaced."""
-    rest = [c for c in docs.columns if c != text_col and c != "matches"]
+    an empty result; a column named ``matches``, in any case, is replaced."""
+    rest = [c for c in docs.columns if c.lower() not in (text_col.lower(), "matches")]
     index_of = docs.sparkSession.sparkContext.broadcast(_Index(_known() if templates is None else templates, k, bands, license_texts.bodies() if templates is None else {}))
     (t,) = fresh(docs, "text")
     schema = docs.select(*rest).schema.add("matches", DataType.fromDDL("array<struct<license:string,start:long,end:long>>"))
