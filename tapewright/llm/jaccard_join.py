@@ -15,7 +15,7 @@ from tapewright.llm.store import fresh, stage
 
 GRAM, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Members of a bucket that meet in one task: two blocks of this many.
-BLOCK = 512
+BLOCK = 256
 #: Rows up to which a table of buckets or classes is broadcast.
 FEW = 1 << 17
 
