@@ -59,11 +59,17 @@ def select_trades(trades: DataFrame, key: list[str] = KEY) -> DataFrame:
         held, done = None, -1
         for pdf in batches:
             keep = np.zeros(len(pdf), bool)
-            for n, (*k, i, e) in enumerate(zip(*(pdf[c] for c in key), pdf["idx"], pdf["exit_idx"], strict=True)):
-                if k != held:
-                    held, done = k, -1
-                if i > done:
-                    keep[n], done = True, e
+            same = pd.Series(True, index=pdf.index[1:])
+            for c in key:
+                same &= pdf[c].iloc[1:].to_numpy() == pdf[c].iloc[:-1].to_numpy()
+            cuts = [0, *(np.flatnonzero(~same.to_numpy()) + 1), len(pdf)] if len(pdf) else [0]
+            first, last = pdf["idx"].to_numpy(), pdf["exit_idx"].to_numpy()
+            for a, b in zip(cuts, cuts[1:]):
+                now = tuple(pdf[c].iloc[a] for c in key)
+                held, done = now, done if now == held else -1
+                # From each trade that is taken to the first one after its exit.
+                while (at := a + int(np.searchsorted(first[a:b], done, "right"))) < b:
+                    keep[at], done = True, int(last[at])
             yield pdf[keep][names]
 
     return rows.mapInPandas(run, trades.schema)

@@ -39,15 +39,12 @@ def rank_live(rows: DataFrame, lookback: int = 126, skip: int = 21, top: int = 2
     names = ["ts", "idx", "close", "atr", "past", "far", *(["sup", "res"] if structure else [])]
     s = rows.withColumns({"past": F.lag("close", skip).over(w), "far": F.lag("close", skip + lookback).over(w)})
     last = s.groupBy("symbol").agg(F.max_by(F.struct(*names), "ts").alias("x")).select("symbol", "x.*")
-    last = last.where((F.col("idx") >= lookback + skip + 1) & (F.col("far") > 0)).withColumn("score", F.col("past") / F.col("far") - 1.0).where("score IS NOT NULL").persist()
-    n = last.agg(F.count("*").alias("_n")).where(F.col("_n") >= top + bottom)
-
-    def best(side: str, k: int, *order) -> DataFrame:
-        return last.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("side", F.lit(side))
-
-    # The top k rows of each side and one row to count them all, over the held rows (one a symbol).
-    legs = best("LONG", top, F.desc("score"), "symbol").unionByName(best("SHORT", bottom, "score", F.desc("symbol")))
-    legs = legs.join(F.broadcast(n), F.lit(True)).drop("_n").where("atr > 0").withColumn("entry", F.col("close"))
+    last = last.where((F.col("idx") >= lookback + skip + 1) & (F.col("far") > 0)).withColumn("score", F.col("past") / F.col("far") - 1.0).where("score IS NOT NULL")
+    # One row a symbol: all are ranked from both ends, and counted, in one task.
+    up, down = Window.orderBy(F.desc("score"), "symbol"), Window.orderBy("score", F.desc("symbol"))
+    last = last.withColumns({"hi": F.row_number().over(up), "lo": F.row_number().over(down), "n": F.count("*").over(Window.partitionBy())})
+    ends = F.array(F.struct(F.lit("LONG").alias("side"), F.col("hi").alias("rank"), F.lit(top).alias("most")), F.struct(F.lit("SHORT").alias("side"), F.col("lo").alias("rank"), F.lit(bottom).alias("most")))
+    legs = last.where(F.col("n") >= top + bottom).select("*", F.inline(ends)).where("rank <= most AND atr > 0").withColumn("entry", F.col("close"))
     if structure:
         legs = add_stop_and_target(legs, stop, reward, structure)
     else:

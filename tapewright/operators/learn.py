@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.functions.core import by_symbol, over
+from tapewright.functions.core import by_symbol, is_long, over
 from tapewright.operators.backtest import select_trades
+from tapewright.streaming.bars import staged
 
 FEATURES = [
     "ret_1", "ret_3", "ret_5", "ret_10", "ret_20", "rsi", "rsi_2", "macd_hist_pct", "atr_pct", "zscore", "adx", "pct_b", "dist_ma50", "dist_ma200", "realized_vol", "mom_63", "mom_126", "vol_z",
@@ -40,31 +41,64 @@ def labels(rows: DataFrame, horizon: int = 10, k: float = 1.5) -> DataFrame:
     return got.select("symbol", "idx", F.coalesce(F.col("f.y"), (F.col("l.bc") > F.col("close")).cast("int")).alias("label"))
 
 
-def walk_forward(rows: DataFrame, horizon: int = 10, k: float = 1.5, min_train: int = 250, refit: int = 42, iterations: int = 200, depth: int = 3, rate: float = 0.05, least: int = 80) -> DataFrame:
-    """(symbol, ts, idx, prob_up): probabilities of models that saw only labels complete before their first bar:
-    at each cutoff (every ``refit`` bars) one model over all symbols is trained on bars up to cutoff - horizon and
-    scores the bars up to the next cutoff. Unknown features count as 0. The driver loops over cutoffs only."""
+def _assembled(rows: DataFrame, horizon: int, k: float) -> DataFrame:
+    """(symbol, ts, idx, close, atr, label, x), written: every model reads them."""
+    from pyspark.ml.functions import array_to_vector
+
+    names = ["symbol", "ts", "idx", "close", "atr"]
+    x = add_features(rows).select(*names, F.array(*[F.coalesce(c, F.lit(0.0)) for c in FEATURES]).alias("v"))
+    x = staged(x.join(labels(rows, horizon, k), ["symbol", "idx"], "left").select(*names, "label", "v"), "features")
+    return x.withColumn("x", array_to_vector("v")).drop("v")
+
+
+def _model(seen: DataFrame, iterations: int, depth: int, rate: float, least: int):
+    """A classifier, or None if there are under ``least`` labels or only one of them."""
     from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
+
+    n = seen.agg(F.count("*").alias("n"), F.count_distinct("label").alias("k")).first()
+    if n["n"] < least or n["k"] < 2:
+        return None
+    return GBTClassifier(featuresCol="x", labelCol="label", maxDepth=depth, stepSize=rate, maxIter=iterations, minInstancesPerNode=20, seed=42).fit(seen)
+
+
+def _probability(model, rows: DataFrame) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    x = add_features(rows).select("symbol", "ts", "idx", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in FEATURES])
-    x = x.join(labels(rows, horizon, k), ["symbol", "idx"], "left")
-    x = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(x).select("symbol", "ts", "idx", "label", "x").persist()
+    return model.transform(rows).withColumn("prob_up", vector_to_array("probability")[1])
+
+
+def walk_forward(rows: DataFrame, horizon: int = 10, k: float = 1.5, min_train: int = 250, refit: int = 42, iterations: int = 200, depth: int = 3, rate: float = 0.05, least: int = 80) -> DataFrame:
+    """(symbol, ts, idx, prob_up): probabilities of models that saw only labels complete before their first bar:
+    at each cutoff (every ``refit`` bars) one model over all symbols is trained on bars up to cutoff - horizon and
+    scores the bars up to the next cutoff. Unknown features count as 0. The driver loops over cutoffs only; each one's
+    scores are written, so that plans do not grow with them."""
+    x = _assembled(rows, horizon, k)
     last = x.agg(F.max("idx")).first()[0] or 0
     out = None
     for cut in range(min_train, last + 1, refit):
-        seen = x.where((F.col("idx") < cut - horizon) & F.col("label").isNotNull())
-        n = seen.agg(F.count("*").alias("n"), F.count_distinct("label").alias("k")).first()
-        if n["n"] < least or n["k"] < 2:
+        model = _model(x.where((F.col("idx") < cut - horizon) & F.col("label").isNotNull()), iterations, depth, rate, least)
+        if model is None:
             continue
-        model = GBTClassifier(featuresCol="x", labelCol="label", maxDepth=depth, stepSize=rate, maxIter=iterations, minInstancesPerNode=20, seed=42).fit(seen)
-        scored = model.transform(x.where((F.col("idx") >= cut) & (F.col("idx") < cut + refit)))
-        scored = scored.select("symbol", "ts", "idx", vector_to_array("probability")[1].alias("prob_up"))
+        scored = staged(_probability(model, x.where((F.col("idx") >= cut) & (F.col("idx") < cut + refit))).select("symbol", "ts", "idx", "prob_up"), "scores")
         out = scored if out is None else out.unionByName(scored)
     return out if out is not None else x.where("false").select("symbol", "ts", "idx", F.lit(0.0).alias("prob_up"))
 
 
+def latest_plans(rows: DataFrame, horizon: int = 10, k: float = 1.5, min_train: int = 250, threshold: float = 0.58, iterations: int = 200, depth: int = 3, rate: float = 0.05, least: int = 80) -> DataFrame:
+    """(symbol, ts, side, entry, stop, target, atr, prob_up): plans of the last bars, k ATR either way, where one model of all
+    complete labels is sure enough. Symbols of under min_train + horizon + 1 bars are left out."""
+    x = _assembled(rows, horizon, k)
+    end = x.groupBy("symbol").agg(F.max("idx").alias("end"))
+    x = x.join(end, "symbol").where(F.col("end") >= min_train + horizon)
+    model = _model(x.where((F.col("idx") <= F.col("end") - horizon) & F.col("label").isNotNull()), iterations, depth, rate, least)
+    if model is None:
+        return x.where("false").select("symbol", "ts", F.lit("").alias("side"), *[F.lit(0.0).alias(c) for c in ("entry", "stop", "target", "atr", "prob_up")])
+    got = _probability(model, x.where((F.col("idx") == F.col("end")) & (F.col("atr") > 0)))
+    got = got.withColumn("side", F.when(F.col("prob_up") >= threshold, "LONG").when(F.col("prob_up") <= 1 - threshold, "SHORT")).where("side IS NOT NULL")
+    sign = F.when(is_long(), 1.0).otherwise(-1.0)
+    return got.select("symbol", "ts", "side", F.col("close").alias("entry"), (F.col("close") - sign * k * F.col("atr")).alias("stop"), (F.col("close") + sign * k * F.col("atr")).alias("target"), "atr", "prob_up")
+
+
 def signal_trades(scored: DataFrame, rows: DataFrame, threshold: float = 0.58, horizon: int = 10, k: float = 1.5) -> DataFrame:
     """Trades of the scored bars over the threshold: the adverse side is looked at first, the next trade begins after
     the horizon even if one ended early."""

@@ -23,28 +23,41 @@ def bootstrap(r: list[float], sims: int = 5000, ruin: float = 10.0, seed: int =
     return float((total > 0).mean()), float(np.median(total)), float(np.percentile(total, 5)), float((low <= -ruin).mean())
 
 
+#: Paths drawn at once.
+PATHS = 1000
+
+
+def _first(reached: np.ndarray) -> np.ndarray:
+    """Of rows that become true once and stay so, how many steps they are false."""
+    return (~reached).sum(1)
+
+
 def target_first(side: str, entry: float, stop: float, target: float, sigma: float, drift: float = 0.0, bars: int = 60, sims: int = 4000, seed: int = 7) -> float:
-    """Share of normal walks that reach the target before the stop within ``bars``; the baseline if sigma is not positive."""
+    """Share of normal walks that reach the target before the stop within ``bars``; the baseline if sigma is not positive.
+    A level has been reached by a step when the extreme of the walk up to it is past the level."""
+    gain, risk = abs(target - entry), abs(entry - stop)
     if not sigma > 0:
-        return abs(entry - stop) / ((abs(entry - stop) + abs(target - entry)) or 1.0)
-    path = entry + np.cumsum(np.random.default_rng(seed).normal(drift, sigma, (sims, bars)), axis=1)
-    won, lost = (path >= target, path <= stop) if side == "LONG" else (path <= target, path >= stop)
-    first = lambda hit: np.where(hit.any(1), hit.argmax(1), bars + 1)
-    return float((first(won) < first(lost)).mean())
+        return risk / ((risk + gain) or 1.0)
+    way, rng, won = (1.0 if side == "LONG" else -1.0), np.random.default_rng(seed), 0
+    for done in range(0, sims, PATHS):
+        walk = way * np.cumsum(rng.normal(drift, sigma, (min(PATHS, sims - done), bars)), axis=1)
+        up, down = _first(np.maximum.accumulate(walk, 1) >= gain), _first(np.minimum.accumulate(walk, 1) <= -risk)
+        won += int((up < down).sum())
+    return won / sims
 
 
 def spread_reverts(z: float, exit_: float, stop: float, phi: float, eps: float, bars: int = 60, sims: int = 4000, seed: int = 11) -> float:
-    """Share of AR(1) paths that come back to the exit before the stop; the baseline if the model does not apply."""
+    """Share of AR(1) paths that come back to the exit before the stop; the baseline if the model does not apply. A
+    path is its start, decayed, plus the decayed sum of its noise: one product with the matrix of decays."""
     if not (0 < phi < 1 and eps > 0):
         return min(1.0, max(0.0, (stop - abs(z)) / (stop - exit_))) if stop > exit_ else 0.0
-    noise = np.random.default_rng(seed).normal(0.0, eps, (sims, bars))
-    x, won, done = np.full(sims, float(z)), np.zeros(sims, bool), np.zeros(sims, bool)
-    for t in range(bars):
-        x = phi * x + noise[:, t]
-        back, out = ~done & (np.abs(x) <= exit_), ~done & (np.abs(x) >= stop)
-        won |= back
-        done |= back | out
-    return float(won.mean())
+    age = np.arange(bars)[None, :] - np.arange(bars)[:, None]
+    decay, rng, won = np.where(age >= 0, phi ** np.maximum(age, 0), 0.0), np.random.default_rng(seed), 0
+    for done in range(0, sims, PATHS):
+        far = np.abs(z * phi ** np.arange(1, bars + 1) + rng.normal(0.0, eps, (min(PATHS, sims - done), bars)) @ decay)
+        back, out = _first(np.minimum.accumulate(far, 1) <= exit_), _first(np.maximum.accumulate(far, 1) >= stop)
+        won += int((back < out).sum())
+    return won / sims
 
 
 def baseline() -> Column:

@@ -44,38 +44,32 @@ def pair_trades(z: DataFrame, entry: float = 2.0, exit_: float = 0.5, stop: floa
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, side, at = None, 0, 0.0
         for pdf in batches:
-            out = []
-            for pair, idx, v in zip(pdf["pair"], pdf["idx"], pdf["z"], strict=True):
-                if pair != held:
-                    held, side = pair, 0
-                if side == 0:
-                    side = 1 if v <= -entry else -1 if v >= entry else 0
-                    at = v
-                elif side * v >= -exit_:
-                    out.append((pair, idx, side * (v - at) / (stop - entry)))
-                    side = 0
-                elif side * v <= -stop:
-                    out.append((pair, idx, -1.0))
-                    side = 0
+            out: list[tuple] = []
+            pair, idx, z = pdf["pair"].to_numpy(), pdf["idx"].to_numpy(), pdf["z"].to_numpy()
+            cuts = [0, *(np.flatnonzero(pair[1:] != pair[:-1]) + 1), len(pdf)] if len(pdf) else [0]
+            for a, b in zip(cuts, cuts[1:]):
+                if pair[a] != held:
+                    held, side = pair[a], 0
+                v = z[a:b]
+                opens = np.flatnonzero(np.abs(v) >= entry)
+                ends = {s: np.flatnonzero((s * v >= -exit_) | (s * v <= -stop)) for s in (1, -1)}
+                k = -1  # the last bar that has been dealt with; each step goes to the next crossing
+                while True:
+                    places = ends[side] if side else opens
+                    j = int(np.searchsorted(places, k, "right"))
+                    if j == len(places):
+                        break
+                    k = int(places[j])
+                    if side:
+                        out.append((held, idx[a + k], side * (v[k] - at) / (stop - entry) if side * v[k] >= -exit_ else -1.0))
+                        side = 0
+                    else:
+                        side, at = (1 if v[k] < 0 else -1), v[k]
             yield pd.DataFrame(out, columns=["pair", "idx", "r"]).astype({"idx": "int32", "r": "float64"})
 
     return rows.mapInPandas(run, "pair string, idx int, r double")
 
 
-def unit_root_t(y: np.ndarray) -> float:
-    """t of the level in: difference on constant, level and one lagged difference; 0 under 20 values."""
-    y = np.asarray(y, float)
-    y = y[np.isfinite(y)]
-    if len(y) < 20:
-        return 0.0
-    d = np.diff(y)
-    x = np.column_stack([np.ones(len(d) - 1), y[1:-1], d[:-1]])
-    coef = np.linalg.lstsq(x, d[1:], rcond=None)[0]
-    left = d[1:] - x @ coef
-    var = left @ left / (len(left) - 3) * np.linalg.pinv(x.T @ x)[1, 1]
-    return float(coef[1] / np.sqrt(max(var, 1e-30)))
-
-
 def p_value(t: Column) -> Column:
     """Linear between the critical values; 0.01 below them, at most 0.999 above."""
     out = F.when(t <= CRITICAL[0][0], CRITICAL[0][1])
@@ -85,29 +79,36 @@ def p_value(t: Column) -> Column:
 
 
 def pair_state(aligned: DataFrame, lookback: int = 252) -> DataFrame:
-    """One row a pair with enough bars, from its last ``lookback`` ones: hedge, spread moments, z, AR(1) coefficient
-    and its error, unit-root t and p-value. A pair's window is a bounded group."""
-    w = Window.partitionBy("pair").orderBy(F.desc("ts"))
-    last = aligned.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= lookback)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        a, b = pdf["a"].to_numpy(float), pdf["b"].to_numpy(float)
-        if len(a) < lookback or b.var() == 0:
-            return pd.DataFrame(columns=["pair", "ts", "a", "b", "beta", "alpha", "mu", "sigma", "z", "phi", "sigma_eps", "t"])
-        beta = ((a - a.mean()) * (b - b.mean())).mean() / b.var()
-        alpha = a.mean() - beta * b.mean()
-        spread = a - (beta * b + alpha)
-        mu, sigma = spread.mean(), spread.std()
-        z = (spread - mu) / sigma if sigma > 0 else np.zeros_like(spread)
-        square = (z[:-1] ** 2).sum()
-        phi = float(np.clip((z[:-1] * z[1:]).sum() / square, 0, 0.999)) if square > 0 else 0.0
-        eps = float(np.std(z[1:] - phi * z[:-1])) if square > 0 else 0.0
-        return pd.DataFrame([(pdf["pair"].iloc[0], pdf["ts"].iloc[-1], a[-1], b[-1], beta, alpha, mu, sigma, z[-1], phi, eps, unit_root_t(spread))],
-                            columns=["pair", "ts", "a", "b", "beta", "alpha", "mu", "sigma", "z", "phi", "sigma_eps", "t"])
-
-    schema = "pair string, ts timestamp, a double, b double, beta double, alpha double, mu double, sigma double, z double, phi double, sigma_eps double, t double"
-    return last.select("pair", "ts", "a", "b").groupBy("pair").applyInPandas(fit, schema).withColumn("p_value", p_value(F.col("t")))
+    """One row a pair with ``lookback`` bars or more, from its last ones: hedge, spread moments, z, AR(1) coefficient and its
+    error, unit-root t and p-value. Pairs whose second leg does not move have none. All of it is sums over the bars and
+    their lags.
+
+    The unit-root t is that of the level in a regression of the spread's change on a constant, the level and the change
+    before: with two regressors, the coefficients follow from the centred sums of squares and products."""
+    w = Window.partitionBy("pair")
+    last = aligned.withColumn("_k", F.row_number().over(w.orderBy(F.desc("ts")))).where(F.col("_k") <= lookback).select("pair", "ts", "a", "b")
+    line = last.groupBy("pair").agg(
+        F.count("*").alias("n"), (F.covar_pop("a", "b") / F.nullif(F.var_pop("b"), F.lit(0.0))).alias("beta"), F.avg("a").alias("ma"), F.avg("b").alias("mb")
+    )
+    line = line.where((F.col("n") == lookback) & F.col("beta").isNotNull()).select("pair", "beta", (F.col("ma") - F.col("beta") * F.col("mb")).alias("alpha"))
+    s = last.join(line, "pair").withColumn("s", F.col("a") - (F.col("beta") * F.col("b") + F.col("alpha")))
+    lag = lambda c: F.lag(c).over(w.orderBy("ts"))
+    s = s.withColumn("x", lag("s")).withColumn("d", F.col("s") - F.col("x")).withColumn("e", lag("d")).withColumn("full", F.col("e").isNotNull())
+    z = lambda c: (F.col(c) - F.col("mu")) / F.nullif(F.col("sigma"), F.lit(0.0))
+    s = s.withColumns({"mu": F.avg("s").over(w), "sigma": F.stddev_pop("s").over(w)}).withColumns({"z": z("s"), "before": z("x")})
+    s = s.withColumn("phi", F.least(F.lit(0.999), F.greatest(F.lit(0.0), F.sum(F.col("z") * F.col("before")).over(w) / F.nullif(F.sum(F.col("before") ** 2).over(w), F.lit(0.0)))))
+    only = lambda f, *cols: f(*[F.when(F.col("full"), F.col(c)) for c in cols])
+    one = s.groupBy("pair", "beta", "alpha", "mu", "sigma", "phi").agg(
+        F.max_by(F.struct("ts", "a", "b", F.coalesce("z", F.lit(0.0)).alias("z")), "ts").alias("end"), F.stddev_pop(F.col("z") - F.col("phi") * F.col("before")).alias("eps"), F.count_if("full").alias("n"),
+        *[only(F.covar_pop, p, q).alias(p + q) for p, q in ("xx", "ee", "dd", "xe", "xd", "ed")],
+    )
+    det = F.col("xx") * F.col("ee") - F.col("xe") * F.col("xe")
+    one = one.withColumn("det", F.nullif(det, F.lit(0.0))).withColumn("level", (F.col("xd") * F.col("ee") - F.col("ed") * F.col("xe")) / F.col("det"))
+    one = one.withColumn("change", (F.col("ed") * F.col("xx") - F.col("xd") * F.col("xe")) / F.col("det"))
+    left = (F.col("dd") - F.col("level") * F.col("xd") - F.col("change") * F.col("ed")) / (F.col("n") - 3)
+    t = F.when(F.col("n") < 18, 0.0).otherwise(F.coalesce(F.col("level") / F.sqrt(F.greatest(left * F.col("ee") / F.col("det"), F.lit(1e-30))), F.lit(0.0)))
+    out = one.select("pair", "end.ts", "end.a", "end.b", "beta", "alpha", "mu", "sigma", "end.z", F.coalesce("phi", F.lit(0.0)).alias("phi"), F.coalesce("eps", F.lit(0.0)).alias("sigma_eps"), t.alias("t"))
+    return out.withColumn("p_value", p_value(F.col("t")))
 
 
 def pair_plans(state: DataFrame, p_max: float = 0.05, entry: float = 2.0, exit_: float = 0.5, stop: float = 3.5) -> DataFrame:

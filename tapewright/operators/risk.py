@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.core import CONFIG, clip, is_long
@@ -58,6 +58,24 @@ def apply_short_policy(signals: DataFrame, mode: str = "forecast", asset_class:
     return out.withColumns({c: F.when(F.col("forecast_only"), 0.0).otherwise(F.col(c)) for c in ("units", "notional", "risk_amount") if c in signals.columns})
 
 
+def add_execution(signals: DataFrame, equity: float, breakeven: float = 1.0) -> DataFrame:
+    """Adds rr (reward over risk), equity_pct and risk_pct (of the equity; 0 without any), risk_free_at (where the move
+    is ``breakeven`` times the risk)."""
+    gap, sign = F.abs(F.col("entry") - F.col("stop")), F.when(is_long(), 1.0).otherwise(-1.0)
+    share = lambda c: F.round(F.col(c) / equity * 100.0, 2) if equity > 0 else F.lit(0.0)
+    return signals.withColumns({
+        "rr": F.coalesce(F.round(F.abs(F.col("target") - F.col("entry")) / F.nullif(gap, F.lit(0.0)), 3), F.lit(0.0)), "equity_pct": share("notional"), "risk_pct": share("risk_amount"),
+        "risk_free_at": F.round(F.col("entry") + sign * breakeven * gap, 6),
+    })
+
+
+def by_confidence(signals: DataFrame) -> DataFrame:
+    """Published signals first, the surest of them before, with ``place`` from 1. A scan's signals are one row a strategy
+    and symbol: the last step before they are shown."""
+    order = Window.orderBy(F.desc("published"), F.desc("confidence"), "strategy", "symbol", "side")
+    return signals.withColumn("place", F.row_number().over(order)).orderBy("place")
+
+
 def publish(signals: DataFrame, floor: float = CONFIG["gate"]["confidence"]) -> DataFrame:
     return signals.where(F.col("forecast_only") | (F.col("confidence") >= floor)) if floor > 0 else signals
 

@@ -27,7 +27,8 @@ def _both(up: Column, down: Column) -> Column:
 
 def trend_breakout(p: dict) -> Column:
     o, h, lo, c = _ohlc()
-    return _both((h > F.col("donchian_up")) & (c > F.col("sma_200")), (lo < F.col("donchian_low")) & (c < F.col("sma_200")))
+    up, low = F.col(p.get("up", "donchian_up")), F.col(p.get("low", "donchian_low"))
+    return _both((h > up) & (c > F.col("sma_200")), (lo < low) & (c < F.col("sma_200")))
 
 
 def mean_reversion(p: dict) -> Column:
@@ -45,7 +46,8 @@ def macd_trend(p: dict) -> Column:
 
 def dual_thrust(p: dict) -> Column:
     o, h, lo, c = _ohlc()
-    up, down = h > o + p["k1"] * F.col("thrust"), lo < o - p["k2"] * F.col("thrust")
+    thrust = F.col(p.get("thrust", "thrust"))
+    up, down = h > o + p["k1"] * thrust, lo < o - p["k2"] * thrust
     if p["trend_filter"]:
         up, down = up & (c > F.col("sma_200")), down & (c < F.col("sma_200"))
     return _both(up, down)
@@ -77,7 +79,7 @@ def nearest(levels: str, above: Column | None = None, below: Column | None = Non
     return F.filter(levels, ok)
 
 
-def add_stop_and_target(plans: DataFrame, stop: float, reward: float, structure: dict | None = None) -> DataFrame:
+def add_stop_and_target(plans: DataFrame, stop: float | Column, reward: float | Column, structure: dict | None = None) -> DataFrame:
     """From side, entry, atr and the level arrays: the stop just beyond the nearest protective level if its risk is
     within bounds, else ATR-based; the target at ``reward`` risks, or just before a level that lies ahead of it."""
     s = structure

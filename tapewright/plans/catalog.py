@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from tapewright.functions.core import CONFIG, is_long, meter, price_text
 from tapewright.functions.report import signal_card
 from tapewright.operators import backtest as bt
-from tapewright.operators import factor, indicators, journal, learn, montecarlo, optimize, pairs, risk, strategies
+from tapewright.operators import factor, indicators, journal, learn, montecarlo, optimize, pairs, risk, scan, strategies
 from tapewright.plans import oracles as sql
 from tapewright.sources import bars as src
 from tapewright.streaming import bars as stream
+from tapewright.streaming.bars import staged
 
 PAIRS = [("Brand#11", "Brand#12"), ("Brand#21", "Brand#22"), ("Brand#31", "Brand#32"), ("Brand#41", "Brand#42"), ("Brand#51", "Brand#52")]
 NUDGE = 1e-7
@@ -30,20 +31,29 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.add_indicators(src.order_bars(spark, sf_dir))
 
 
+def levels(x: DataFrame) -> DataFrame:
+    return indicators.add_structure(x, CONFIG["structure"]["lookback"], CONFIG["structure"]["width"])
+
+
 def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = CONFIG["structure"]
-    return indicators.add_structure(rows(spark, sf_dir), s["lookback"], s["width"])
+    return levels(rows(spark, sf_dir))
+
+
+def source_of(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Mean reversion needs dips within trends, which independent prices don't have: the walk of the order bars."""
+    return src.walk_bars if name == "mean_reversion" else src.order_bars
 
 
 def plan_query(name: str) -> Query:
-    return lambda spark, d: out(strategies.plans(structured(spark, d), name, structure=CONFIG["structure"]))
+    return lambda spark, d: out(strategies.plans(levels(indicators.add_indicators(source_of(name)(spark, d))), name, structure=CONFIG["structure"]))
 
 
 def trades(spark: SparkSession, d: str, name: str) -> DataFrame:
     """Trending strategies leave by the trailing stop, mean reversion by its target."""
-    x = structured(spark, d)
+    bars = source_of(name)(spark, d)
     trail = CONFIG["exits"]["trail"] if strategies.STRATEGIES[name][2] == "trending" else None
-    return bt.backtest(strategies.plans(x, name, structure=CONFIG["structure"]), x.select("symbol", "idx", "high", "low", "close"), trail, CONFIG["exits"]["max_hold"])
+    plan = strategies.plans(levels(indicators.add_indicators(bars)), name, structure=CONFIG["structure"])
+    return bt.backtest(plan, src.number(bars).select("symbol", "idx", "high", "low", "close"), trail, CONFIG["exits"]["max_hold"])
 
 
 def trade_query(name: str) -> Query:
@@ -52,42 +62,30 @@ def trade_query(name: str) -> Query:
 
 def fixed_query(name: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        x = structured(spark, d)
-        done = bt.backtest(strategies.plans(x, name, structure=CONFIG["structure"]), x.select("symbol", "idx", "high", "low", "close"))
+        bars = src.number(src.order_bars(spark, d)).select("symbol", "idx", "high", "low", "close")
+        done = bt.backtest(strategies.plans(structured(spark, d), name, structure=CONFIG["structure"]), bars)
         return out(done, "strategy", "symbol", "idx", "side", "exit_idx", "exit", "outcome", "r")
 
     return run
 
 
+def scan_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What a scan looks at, written once: every part of it reads the same rows."""
+    return staged(levels(indicators.add_indicators(scan.history(src.order_bars(spark, d)))), "scan")
+
+
 def signals(spark: SparkSession, d: str) -> DataFrame:
-    """Each strategy's latest plan of each symbol, with the strategy's statistics, late statistics, Monte Carlo checks,
-    size, confluence, confidence and gate. ``live``: it is of the last bar and suits the regime, as a scan asks; the
-    confluence counts such plans with each other, and the others with each other."""
-    x = structured(spark, d).persist()
-    plan = strategies.all_plans(x, CONFIG["structure"]).persist()
-    bars = x.select("symbol", "idx", "high", "low", "close")
-    trend = plan.where("strategy <> 'mean_reversion'")
-    done = bt.trailing_exits(trend, bars, CONFIG["exits"]["trail"]).unionByName(bt.fixed_exits(plan.where("strategy = 'mean_reversion'"), bars))
-    done = bt.select_trades(done).persist()
-    g, r = CONFIG["gate"], CONFIG["risk"]
-    st = montecarlo.add_bootstrap(bt.stats(done, full_list=True), ruin=g["ruin"])
-    late = bt.out_of_sample(done, split=g["split"]).select("strategy", "symbol", F.col("trades").alias("oos_trades"), F.col("expectancy").alias("oos_expectancy"))
-    last = plan.withColumn("_k", F.row_number().over(Window.partitionBy("strategy", "symbol").orderBy(F.desc("idx")))).where("_k = 1").drop("_k")
-    last = montecarlo.add_barrier_probability(last.join(x.select("symbol", "idx", "drift"), ["symbol", "idx"]), "drift")
-    end = x.groupBy("symbol").agg(F.max("idx").alias("end"))
-    sig = last.join(st, ["strategy", "symbol"]).join(late, ["strategy", "symbol"], "left").fillna({"oos_trades": 0, "oos_expectancy": 0.0})
-    sig = sig.join(indicators.regime(x, CONFIG["regime"]["trend"], CONFIG["regime"]["range"]).select("symbol", "regime"), "symbol").join(end, "symbol")
-    suits = F.when(F.col("strategy") == "mean_reversion", "ranging").otherwise("trending")
-    sig = sig.withColumn("live", (F.col("idx") == F.col("end")) & ((F.col("regime") == "neutral") | (F.col("regime") == suits)))
-    sig = risk.add_size(sig, r["equity"], r["risk_pct"], r["kelly"], r["max_kelly_pct"])
-    sig = sig.withColumn("asset_class", src.asset_class(F.col("symbol")))
-    sig = strategies.confluence(risk.apply_short_policy(sig), ["live"]).withColumn("confidence", risk.combined_confidence())
-    return sig.withColumn("passed", risk.passes_gate()).withColumn("note", strategies.structure_note())
+    return scan.symbol_signals(scan_rows(spark, d))
 
 
 def signal_query(spark: SparkSession, d: str) -> DataFrame:
-    return out(signals(spark, d), "strategy", "symbol", "ts", "side", "entry", "stop", "target", "regime", "trades", "win_rate", "profit_factor", "sharpe", "oos_trades", "oos_expectancy", "prob_profitable",
-               "risk_of_ruin", "win_prob", "baseline_win_prob", "units", "risk_amount", "confluence", "confidence", "passed", "live", "note")
+    return out(signals(spark, d), *[c for c in scan.SHOWN if c != "published"], "baseline_win_prob", "note")
+
+
+def universe_query(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols and factor over the walk of the order bars, pairs over the brand bars."""
+    x = staged(levels(indicators.add_indicators(scan.history(src.walk_bars(spark, d)))), "scan")
+    return out(scan.universe_scan(x, aligned(spark, d)))
 
 
 def sizes_query(spark: SparkSession, d: str) -> DataFrame:
@@ -100,9 +98,13 @@ def cards_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def payload_query(spark: SparkSession, d: str) -> DataFrame:
-    """The order bars sent as one JSON payload a symbol and month, numbers with commas, and parsed again."""
+    """The order bars sent as one JSON payload a symbol and month and parsed again. By the day of the month, numbers come
+    with commas, with exponents, in tags, or as millionths of ten decimals, and dates with slashes, names, times."""
     b = src.order_bars(spark, d)
-    cells = F.array(*[F.format_number(c, 4) for c in ("open", "low", "high", "close")], F.lit("0"), F.lit("0"), F.date_format("ts", "yyyy/MM/dd"))
+    kind = F.dayofmonth("ts") % 4
+    cell = lambda c: F.when(kind == 0, F.format_number(c, 4)).when(kind == 1, F.format_string("%.10e", c)).when(kind == 2, F.concat(F.lit("<td>"), F.format_string("%.4f", c), F.lit("</td>"))).otherwise(F.format_string("%.12f", F.col(c) / 1e6))
+    date = F.when(kind == 0, F.date_format("ts", "yyyy/MM/dd")).when(kind == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).when(kind == 2, F.concat(F.lit("<b>"), F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit("</b>"))).otherwise(F.date_format("ts", "MMM d, yyyy"))
+    cells = F.array(*[cell(c) for c in ("open", "low", "high", "close")], F.lit("800"), F.lit("0.1%"), date, F.lit("1402/10/27"))
     sent = b.groupBy("symbol", F.date_trunc("month", "ts").alias("month")).agg(F.to_json(F.struct(F.collect_list(cells).alias("data"))).alias("body"))
     return out(src.parse_payload(sent))
 
@@ -118,7 +120,7 @@ def portfolio_query(spark: SparkSession, d: str) -> DataFrame:
 
 def state(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A journal: every trend-breakout plan opened as a signal, resolved up to the last bar."""
-    x = structured(spark, d).persist()
+    x = staged(structured(spark, d), "journal")
     p = strategies.plans(x, "trend_breakout", structure=CONFIG["structure"])
     p = journal.number(p).withColumn("created_at", F.col("ts")).withColumn("asset_class", F.lit("stock"))
     log = p.select(*journal.SIGNAL, F.col("ts").alias("at"), F.lit("open").alias("status"), F.lit(None).cast("timestamp").alias("closed_at"), F.lit(None).cast("double").alias("result_r"))
@@ -146,22 +148,37 @@ def aligned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_query(spark: SparkSession, d: str) -> DataFrame:
+    return out(pairs.pair_state(aligned(spark, d)).drop("a", "b"))
+
+
+def pair_chance_query(spark: SparkSession, d: str) -> DataFrame:
     st = pairs.pair_state(aligned(spark, d))
-    return out(montecarlo.add_spread_probability(st).select("pair", "beta", "alpha", "z", "phi", "sigma_eps", "t", "p_value", "win_prob"))
+    return out(montecarlo.add_spread_probability(st).select("pair", "z", "phi", "sigma_eps", "p_value", "win_prob"))
 
 
 def ml_query(spark: SparkSession, d: str) -> DataFrame:
     """Fewer trees and refits than the operator's defaults, to suit one machine."""
     m = CONFIG["ml"]
-    x = rows(spark, d).persist()
+    x = staged(rows(spark, d), "ml")
     s = learn.walk_forward(x, m["horizon"], m["k"], m["min_train"], refit=840, iterations=10)
     return out(bt.stats(learn.signal_trades(s, x, m["threshold"], m["horizon"], m["k"])))
 
 
+def grid_query(name: str) -> Query:
+    return lambda spark, d: out(optimize.grid_search(staged(indicators.add_indicators(source_of(name)(spark, d)), "grid"), name).drop("strategy"))
+
+
 def stream_bars_query(spark: SparkSession, d: str) -> DataFrame:
     return out(stream.run_available(stream.stream_bars(stream.event_stream(spark, d)), ["symbol", "ts"]))
 
 
+def latest_query(spark: SparkSession, d: str) -> DataFrame:
+    """Plans of the walk's last bars by one model of all complete labels."""
+    m = CONFIG["ml"]
+    x = staged(indicators.add_indicators(scan.history(src.walk_bars(spark, d))), "ml")
+    return out(learn.latest_plans(x, m["horizon"], m["k"], m["min_train"], m["threshold"]))
+
+
 def stream_sessions_query(spark: SparkSession, d: str) -> DataFrame:
     e = src.table(spark, d, "events")
     return out(stream.stream_sessions(e))
@@ -201,7 +218,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "out_of_sample": (lambda s, d: bt.out_of_sample(trades(s, d, "trend_breakout")), sql.late_rows("trend_breakout", sql.TRAILING)),
     "pairs_rolling_z": (lambda s, d: out(pairs.rolling_z(aligned(s, d)).where("z IS NOT NULL").select("pair", "ts", "idx", "beta", "z")), sql.PAIRS),
     "pairs_backtest": (lambda s, d: bt.stats(pairs.pair_trades(pairs.rolling_z(aligned(s, d))), ["pair"]), sql.PAIR_STATS),
-    "pairs_state": (pair_query, None),
+    "pairs_state": (pair_query, sql.PAIR_STATE),
+    "pairs_chance": (pair_chance_query, None),
     "factor_baskets": (lambda s, d: out(factor.basket_returns(src.brand_bars(s, d))), sql.FACTOR),
     "factor_backtest": (
         lambda s, d: bt.stats(factor.basket_returns(src.brand_bars(s, d)), ["basket"], "t"), sql.FACTOR.replace("SELECT 'momentum'", ", done AS (SELECT 'momentum'").replace("round(avg(fwd) FILTER (hi <= 2) - avg(fwd) FILTER (lo <= 2), 4)", "avg(fwd) FILTER (hi <= 2) - avg(fwd) FILTER (lo <= 2)") + ") " + sql.stat_columns("t", "basket"),
@@ -210,10 +228,12 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "features": (lambda s, d: out(learn.add_features(rows(s, d)), "symbol", "ts", *learn.FEATURES), f"{sql.IND} SELECT symbol, ts, {', '.join(f'round({e}, 4) + 0.0 AS {c}' for c, e in _FEATURES_SQL.items())} FROM x WINDOW v AS (PARTITION BY symbol ORDER BY ts)"),
     "barrier_labels": (lambda s, d: learn.labels(rows(s, d)), sql.LABELS),
     "ml_walk_forward": (ml_query, None),
+    "ml_latest_plans": (latest_query, None),
     "signals_scan": (signal_query, None),
+    "universe_scan": (universe_query, None),
     "position_sizes": (sizes_query, sql.SIZES),
     "signal_cards": (cards_query, sql.CARDS),
-    "payload_bars": (payload_query, f"WITH {sql.BARS} SELECT symbol, ts, {_round(PRICES)}, 0.0::DOUBLE AS volume FROM bars"),
+    "payload_bars": (payload_query, f"WITH {sql.BARS} SELECT symbol, ts, {', '.join(f'round({c} / if(day(ts) % 4 = 3, 1e6, 1), 4) AS {c}' for c in PRICES)}, 0.0::DOUBLE AS volume FROM bars"),
     "price_labels": (labels_query, sql.LABEL_TEXT),
     "journal_new_signals": (fresh_query, sql.FRESH),
     "portfolio_summary": (portfolio_query, sql.PORTFOLIO),
@@ -224,7 +244,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         round(count(*) FILTER (status = 'tp') / count(*) FILTER (status <> 'open'), 2 + 2) AS win_rate, round(avg(result_r), 2 + 2) AS avg_r, round(sum(result_r), 2 + 2) AS total_r FROM state""",
     ),
     "position_review": (review_query, sql.REVIEW),
-    "optimize_macd": (lambda s, d: out(optimize.grid_search(rows(s, d), "macd_trend").drop("strategy")), sql.GRID_MACD),
+    **{f"optimize_{n}": (grid_query(n), sql.grid_rows(n)) for n in optimize.GRIDS},
     "stream_bars": (stream_bars_query, f"WITH {sql.EVENTS} SELECT symbol, ts, {_OHLCV} FROM bars"),
     "event_sessions": (
         stream_sessions_query,

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+
+from tapewright.operators.optimize import GRIDS
+from tapewright.operators.pairs import CRITICAL
+
 BARS = """bars AS (SELECT o_orderpriority AS symbol, o_orderdate AS ts, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,
   min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close, count(*)::DOUBLE AS volume FROM orders GROUP BY 1, 2)"""
 
@@ -14,6 +19,11 @@ BRAND = """bars AS (SELECT p_brand AS symbol, date_trunc('week', l_shipdate)::TI
 EVENTS = """bars AS (SELECT event_type AS symbol, date_trunc('hour', ts)::TIMESTAMP AS ts, arg_min(value, (ts, event_id)) AS open, max(value) AS high,
   min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, date_trunc('hour', ts))"""
 
+WALK = f"""{BARS.replace("bars AS", "day_bars AS", 1)}, walk AS (SELECT symbol, ts, volume, (high - low) / 1e8 AS spread, 100.0::DOUBLE * exp(sum((close - open) / 1e7) OVER w) AS close,
+  100.0::DOUBLE * exp(coalesce(sum((close - open) / 1e7) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS open
+  FROM day_bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+bars AS (SELECT symbol, ts, open, greatest(open, close) * (1 + spread) AS high, least(open, close) * (1 - spread) AS low, close, volume FROM walk)"""
+
 _PRIOR = "PARTITION BY symbol ORDER BY ts ROWS BETWEEN {} PRECEDING AND 1 PRECEDING"
 _LAST = "PARTITION BY symbol ORDER BY ts ROWS BETWEEN {} PRECEDING AND CURRENT ROW"
 _MID = "PARTITION BY symbol ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING"
@@ -90,9 +100,22 @@ t5 AS (SELECT * EXCLUDE (ok1), if(ok2, g2, goal) AS target, if(ok2, l2, NULL) AS
        SELECT *, coalesce(sgn * (g2 - entry) > 0 AND sgn * (g2 - entry) / nullif(abs(entry - stop), 0) >= 0.8, false) AS ok2 FROM (SELECT *, l2 - sgn * 0.25 * atr AS g2 FROM t4)))"""
 
 
-def plans(name: str) -> str:
+def indicators(bars: str) -> str:
+    return f"WITH RECURSIVE {bars}, {WINDOWS}, {RECURSIVE}"
+
+
+def source(name: str) -> str:
+    return WALK if name == "mean_reversion" else BARS
+
+
+#: A scan's bars: the last 1250 of symbols that have 60.
+SCANNED = f"""{BARS.replace("bars AS", "all_bars AS", 1)}, bars AS (SELECT * EXCLUDE (n_) FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n_ FROM all_bars) WHERE n_ >= 60
+  QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 1250)"""
+
+
+def plans(name: str, bars: str | None = None) -> str:
     up, down, stop, reward = TRIGGERS[name]
-    head = f"{IND}, {STRUCTURE}, t AS (SELECT *, close AS entry, if(side = 'LONG', 1.0, -1.0) AS sgn FROM (SELECT *, CASE WHEN {up} THEN 'LONG' WHEN {down} THEN 'SHORT' END AS side FROM y) WHERE side IS NOT NULL AND atr > 0 AND sma_200 IS NOT NULL)"
+    head = f"{indicators(bars or source(name))}, {STRUCTURE}, t AS (SELECT *, close AS entry, if(side = 'LONG', 1.0, -1.0) AS sgn FROM (SELECT *, CASE WHEN {up} THEN 'LONG' WHEN {down} THEN 'SHORT' END AS side FROM y) WHERE side IS NOT NULL AND atr > 0 AND sma_200 IS NOT NULL)"
     if reward is None:
         body = f"t5 AS (SELECT *, entry - sgn * {stop} * atr AS stop, sma_20 AS target, NULL::DOUBLE AS stop_level, NULL::DOUBLE AS target_level FROM t)"
     else:
@@ -208,22 +231,64 @@ SELECT signal_id, symbol, side, round(round(if(ok, gain, 0.0), 2), 4) AS r_now,
   locked AND sl = entry AS at_breakeven, trailed, near AS near_target, danger, (locked AND sl = entry) OR trailed OR near OR danger AS actionable FROM p5"""
 
 
-def _grid_row(stop: float, reward: float) -> str:
-    head = plans("macd_trend").split(", t1 AS ")[0]
+#: Triggers over the grid's columns n, z, k1.
+GRID_TRIGGERS = {
+    "trend_breakout": ("high > CASE n WHEN 10 THEN up_10 WHEN 20 THEN up_20 ELSE up_40 END AND close > sma_200", "low < CASE n WHEN 10 THEN low_10 WHEN 20 THEN low_20 ELSE low_40 END AND close < sma_200"),
+    "mean_reversion": ("close < bb_low AND zscore <= -gr.z AND rsi_2 < 10 AND close > sma_200", "close > bb_up AND zscore >= gr.z AND rsi_2 > 90 AND close < sma_200"),
+    "dual_thrust": ("high > open + k1 * CASE n WHEN 3 THEN th_3 WHEN 4 THEN th_4 ELSE th_5 END AND close > sma_200", "low < open - k1 * CASE n WHEN 3 THEN th_3 WHEN 4 THEN th_4 ELSE th_5 END AND close < sma_200"),
+}
+
+
+def grid_rows(name: str) -> str:
+    """Symbols and combinations are one key, so that exits and selection are those of single strategies."""
+    grid = GRIDS[name]
+    up, down = GRID_TRIGGERS.get(name, TRIGGERS[name][:2])
+    values = []
+    for combo in itertools.product(*grid.values()):
+        c = dict(zip(grid, combo))
+        text = ",".join(f"{k}={v}" for k, v in c.items())
+        values.append(f"('{text}', {c.get('donchian', c.get('bars', 0))}, {c.get('z', 0.0)}::DOUBLE, {c.get('k1', 0.0)}::DOUBLE, {c['stop']}::DOUBLE, {c.get('reward', TRIGGERS[name][3] or 0)}::DOUBLE)")
+    over = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {} PRECEDING AND 1 PRECEDING)"
+    new = [f"CASE WHEN idx >= {n} THEN max(high) {over.format(n)} END AS up_{n}, CASE WHEN idx >= {n} THEN min(low) {over.format(n)} END AS low_{n}" for n in grid.get("donchian", ())]
+    new += [f"CASE WHEN idx >= {n} THEN greatest(max(high) {over.format(n)} - min(close) {over.format(n)}, max(close) {over.format(n)} - min(low) {over.format(n)}) END AS th_{n}" for n in grid.get("bars", ())]
+    target = "sma_20" if name == "mean_reversion" else "entry + sgn * reward_ * abs(entry - (entry - sgn * stop_ * atr))"
     late = "late AS (SELECT * EXCLUDE (n_, k_) FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n_, row_number() OVER (PARTITION BY symbol ORDER BY idx) AS k_ FROM done) WHERE n_ >= 4 AND k_ > floor(n_ * 0.7::DOUBLE))"
-    return f"""{head}, t5 AS (SELECT *, entry - sgn * {stop} * atr AS stop, entry + sgn * {stop * reward} * atr AS target FROM t),
-plans AS MATERIALIZED (SELECT 'macd_trend' AS strategy, symbol, ts, idx::INT AS idx, side, sgn, entry, stop, target, atr FROM t5 WHERE {_ORDERED}), {FIXED}, {GREEDY}, {late},
-a AS ({stat_columns()}), z AS ({stat_columns().replace("FROM done", "FROM late")})
-SELECT symbol, 'stop={stop},reward={reward}' AS params, a.trades, a.win_rate, a.expectancy, coalesce(z.trades, 0) AS oos_trades, coalesce(z.expectancy, 0.0) AS oos_expectancy,
-  CASE WHEN a.trades >= 10 AND coalesce(z.trades, 0) >= 4 THEN z.expectancy ELSE '-infinity'::DOUBLE END AS score FROM a LEFT JOIN z USING (strategy, symbol)"""
-
-
-GRID_MACD = " UNION ALL ".join(f"SELECT * FROM ({_grid_row(s, r)})" for s in (2.0, 2.5, 3.0) for r in (1.5, 2.0, 3.0))
+    return f"""{indicators(source(name))}, {STRUCTURE}, gr(params, n, z, k1, stop_, reward_) AS (VALUES {", ".join(values)}),
+c AS (SELECT {", ".join(["*", *new])} FROM y),
+t AS (SELECT *, close AS entry, if(side = 'LONG', 1.0, -1.0) AS sgn FROM (SELECT c.symbol || '|' || params AS symbol, ts, idx, close, atr, sma_20, stop_, reward_, CASE WHEN {up} THEN 'LONG' WHEN {down} THEN 'SHORT' END AS side
+  FROM c, gr WHERE atr > 0 AND sma_200 IS NOT NULL) WHERE side IS NOT NULL),
+t5 AS (SELECT *, entry - sgn * stop_ * atr AS stop, {target} AS target FROM t),
+plans AS MATERIALIZED (SELECT '{name}' AS strategy, symbol, ts, idx::INT AS idx, side, sgn, entry, stop, target, atr FROM t5 WHERE {_ORDERED}),
+xx AS MATERIALIZED (SELECT x.symbol || '|' || params AS symbol, idx, high, low, close FROM x, gr),
+{FIXED.replace("JOIN x b", "JOIN xx b")}, {GREEDY}, {late}, a AS ({stat_columns()}), z AS ({stat_columns().replace("FROM done", "FROM late")}),
+r AS (SELECT split_part(symbol, '|', 1) AS symbol, split_part(symbol, '|', 2) AS params, a.trades, a.win_rate, a.expectancy, coalesce(z.trades, 0) AS oos_trades, coalesce(z.expectancy, 0.0) AS oos_expectancy,
+  CASE WHEN a.trades >= 10 AND coalesce(z.trades, 0) >= 3 THEN z.expectancy ELSE '-infinity'::DOUBLE END AS score FROM a LEFT JOIN z USING (strategy, symbol))
+SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY score DESC, expectancy DESC, params)::INT AS place FROM r"""
+
+
+def _p_value() -> str:
+    steps = " ".join(f"WHEN t <= {b} THEN {p} + (t - ({a})) / ({b} - ({a})) * ({q} - {p})" for (a, p), (b, q) in zip(CRITICAL, CRITICAL[1:]))
+    return f"CASE WHEN t <= {CRITICAL[0][0]} THEN {CRITICAL[0][1]} {steps} ELSE least(0.999, {CRITICAL[-1][1]} + (t - ({CRITICAL[-1][0]})) * 0.1) END"
+
+
+#: The unit-root t by partialling out: level and change, each less what the change before explains.
+PAIR_STATE = f"""{PAIRS.split(",%sm AS (SELECT" % chr(10))[0]},
+l AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY pair ORDER BY ts DESC) <= 252),
+h AS (SELECT pair, count(*) AS n, regr_slope(a, b) AS beta, regr_intercept(a, b) AS alpha FROM l GROUP BY pair),
+s AS (SELECT pair, ts, beta, alpha, a - (beta * b + alpha) AS s FROM l JOIN h USING (pair) WHERE n = 252),
+d AS (SELECT *, lag(s) OVER w AS x, s - lag(s) OVER w AS d, avg(s) OVER (PARTITION BY pair) AS mu, stddev_pop(s) OVER (PARTITION BY pair) AS sigma FROM s WINDOW w AS (PARTITION BY pair ORDER BY ts)),
+e AS (SELECT *, (s - mu) / sigma AS z, (x - mu) / sigma AS zb, lag(d) OVER (PARTITION BY pair ORDER BY ts) AS e FROM d),
+f AS (SELECT *, least(0.999, greatest(0, sum(z * zb) OVER (PARTITION BY pair) / sum(zb * zb) OVER (PARTITION BY pair))) AS phi,
+  x - regr_slope(if(e IS NULL, NULL, x), e) OVER (PARTITION BY pair) * e AS rx, d - regr_slope(if(e IS NULL, NULL, d), e) OVER (PARTITION BY pair) * e AS rd FROM e),
+k AS (SELECT pair, max(ts) AS ts, any_value(beta) AS beta, any_value(alpha) AS alpha, any_value(mu) AS mu, any_value(sigma) AS sigma, arg_max(z, ts) AS z, any_value(phi) AS phi, stddev_pop(z - phi * zb) AS sigma_eps,
+  regr_slope(rd, rx) / sqrt((count(rx) * var_pop(rd) - regr_slope(rd, rx) ** 2 * count(rx) * var_pop(rx)) / (count(rx) - 3) / (count(rx) * var_pop(rx))) AS t FROM f GROUP BY pair)
+SELECT pair, ts, round(beta, 4) AS beta, round(alpha, 4) AS alpha, round(mu, 4) AS mu, round(sigma, 4) AS sigma, round(z, 4) AS z, round(phi, 4) AS phi, round(sigma_eps, 4) AS sigma_eps, round(t, 4) AS t,
+  round({_p_value()}, 4) AS p_value FROM k"""
 
 
 def _latest(name: str) -> str:
     """The latest plan of each symbol with its strategy's statistics."""
-    return f"""{plans(name)}, {FIXED if name == "mean_reversion" else TRAILING}, {GREEDY}, st AS ({stat_columns()}),
+    return f"""{plans(name, SCANNED)}, {FIXED if name == "mean_reversion" else TRAILING}, {GREEDY}, st AS ({stat_columns()}),
 newest AS (SELECT * FROM plans QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY idx DESC) = 1)
 SELECT strategy, symbol, side, entry, stop, target, win_rate, profit_factor, sharpe FROM newest JOIN st USING (strategy, symbol)"""
 

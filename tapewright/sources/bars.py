@@ -42,6 +42,16 @@ def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_bars(e, F.col("event_type"), F.date_trunc("hour", "ts"), F.col("value"), F.struct("ts", "event_id"), F.lit(1.0))
 
 
+def walk_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order bars' days as steps of a geometric walk from 100: series with trends, as markets have them."""
+    step = (F.col("close") - F.col("open")) / 1e7
+    w = Window.partitionBy("symbol").orderBy("ts")
+    level = lambda frame: 100.0 * F.exp(F.coalesce(F.sum(step).over(frame), F.lit(0.0)))
+    rows = order_bars(spark, sf_dir).withColumns({"c": level(w.rowsBetween(Window.unboundedPreceding, 0)), "o": level(w.rowsBetween(Window.unboundedPreceding, -1)), "spread": (F.col("high") - F.col("low")) / 1e8})
+    high, low = F.greatest("o", "c") * (1 + F.col("spread")), F.least("o", "c") * (1 - F.col("spread"))
+    return rows.select("symbol", "ts", F.col("o").alias("open"), high.alias("high"), low.alias("low"), F.col("c").alias("close"), "volume")
+
+
 def normalise(rows: DataFrame, seq: str = "ingest_seq") -> DataFrame:
     """Prices cast to numbers (bad ones null), rows without a price dropped, of repeated (symbol, ts) the last one by
     ``seq`` kept. Null symbol or ts: dropped."""
@@ -51,6 +61,11 @@ def normalise(rows: DataFrame, seq: str = "ingest_seq") -> DataFrame:
     return last.select("symbol", "ts", "bar.*")
 
 
+def number(bars: DataFrame) -> DataFrame:
+    """Adds ``idx``, a bar's place in its symbol from 0."""
+    return bars.withColumn("idx", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1)
+
+
 def tail(bars: DataFrame, n: int) -> DataFrame:
     """The last n bars of each symbol (the rank limit is pushed below the shuffle)."""
     w = Window.partitionBy("symbol").orderBy(F.desc("ts"))
@@ -61,16 +76,34 @@ def strip_html(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "<[^>]+>", ""))
 
 
+#: Date forms, slashes read as dashes and a T between digits as a blank.
+DATES = ("yyyy-M-d[ H:m[:s]]", "M-d-yyyy[ H:m[:s]]", "d MMM yyyy", "MMM d, yyyy", "yyyyMMdd")
+_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def cell_number(c: Column) -> Column:
+    """A finite number of any precision, with or without commas, tags, exponent; else null."""
+    t = F.trim(F.regexp_replace(strip_html(c), ",", ""))
+    return F.when(t.rlike(_NUMBER), t.try_cast("double"))
+
+
+def cell_time(c: Column) -> Column:
+    """A date of 1990 or later, with or without a time of day; else null."""
+    t = F.regexp_replace(strip_html(c), r"(\.[0-9]+)?Z?$", "")
+    t = F.regexp_replace(F.regexp_replace(t, "/", "-"), r"(?<=[0-9])T(?=[0-9])", " ")
+    ts = F.coalesce(*[F.try_to_timestamp(t, F.lit(form)) for form in DATES])
+    return F.when(F.year(ts) >= 1990, ts)
+
+
 def parse_payload(payloads: DataFrame, symbol: str = "symbol", body: str = "body") -> DataFrame:
-    """Bars of JSON payloads {"data": [[open, low, high, close, ..., date, ...], ...]} of strings: commas and tags are
-    stripped, high and low are the extremes of the four prices, the date is the first cell from the fifth on that
-    parses to 1990 or later. Rows without four prices or a date are left out."""
+    """Bars of JSON payloads {"data": [[open, low, high, close, ..., date, ...], ...]} of strings or numbers: commas and
+    tags are stripped, high and low are the extremes of the four prices, the date is the first cell from the fifth on
+    that is one of 1990 or later. Rows without four finite prices or a date are left out, as are bodies that are no such
+    JSON. Of rows of one time the last one stays."""
     rows = F.from_json(F.get_json_object(body, "$.data"), "ARRAY<ARRAY<STRING>>")
     cell = payloads.select(F.col(symbol).alias("symbol"), F.posexplode(rows).alias("seq", "cells")).where(F.size("cells") >= 5)
-    price = lambda i: F.try_to_number(F.regexp_replace(strip_html(F.get("cells", F.lit(i))), ",", ""), F.lit("S999999999999999D999999")).cast("double")
-    dates = F.transform(F.slice("cells", 5, 100), lambda c: F.try_to_timestamp(F.regexp_replace(strip_html(c), "/", "-"), F.lit("yyyy-MM-dd")))
-    ts = F.element_at(F.filter(dates, lambda d: F.coalesce(F.year(d) >= 1990, F.lit(False))), 1)
-    got = cell.select("symbol", "seq", *[price(i).alias(f"p{i}") for i in range(4)], F.when(F.size(F.filter(dates, lambda d: F.coalesce(F.year(d) >= 1990, F.lit(False)))) > 0, ts).alias("ts"))
+    times = F.filter(F.transform(F.slice("cells", F.lit(5), F.size("cells")), cell_time), lambda t: t.isNotNull())
+    got = cell.select("symbol", "seq", *[cell_number(F.get("cells", F.lit(i))).alias(f"p{i}") for i in range(4)], F.get(times, F.lit(0)).alias("ts"))
     got = got.dropna(subset=["p0", "p1", "p2", "p3", "ts"])
     each = [F.col(f"p{i}") for i in range(4)]
     bars = got.select("symbol", "ts", F.col("p0").alias("open"), F.greatest(*each).alias("high"), F.least(*each).alias("low"), F.col("p3").alias("close"), F.lit(0.0).alias("volume"), F.col("seq").alias("ingest_seq"))

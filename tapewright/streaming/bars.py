@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +15,22 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def shared_dir(spark: SparkSession) -> str:
-    import tempfile
-
+    """``spark.checkpoint.dir`` or the context's checkpoint folder; where neither is set, a temporary folder in local
+    mode, where all tasks run on one machine, and an error on a cluster."""
     sc = spark.sparkContext
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="stream-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="stream-")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read again: what is used many times is computed once."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +53,11 @@ def stream_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 d
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("events")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
 
 
+def stream_distinct(events: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
+    """The stream's rows, those that repeat ``keys`` within the watermark once; keys older than it are forgotten."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+
 def run_available(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
     """Runs the stream over what is there, batch by batch, into the shared folder, and returns each key's last row."""
     spark = stream.sparkSession
@@ -61,20 +81,20 @@ def track_positions(bars: DataFrame, positions: DataFrame, max_hold_days: int =
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done = state.exists and state.get[0]
         for pdf in pdfs:
-            for x in pdf.sort_values("bar_ts").itertuples():
-                if done or x.bar_ts <= x.created_at:
-                    continue
-                up, risk = x.side == "LONG", abs(x.entry - x.stop)
-                status = None
-                if (x.low <= x.stop) if up else (x.high >= x.stop):
-                    status, r = "sl", -1.0
-                elif (x.high >= x.target) if up else (x.low <= x.target):
-                    status, r = "tp", abs(x.target - x.entry) / risk if risk else 0.0
-                elif (x.bar_ts - x.created_at).days >= max_hold_days:
-                    status, r = "expired", round((x.close - x.entry) * (1 if up else -1) / risk, 4) if risk else 0.0
-                if status:
-                    done = True
-                    yield pd.DataFrame([(key[0], status, x.bar_ts, r)], columns=["signal_id", "status", "closed_at", "result_r"])
+            pdf = pdf[pdf["bar_ts"] > pdf["created_at"]].sort_values("bar_ts")
+            if done or pdf.empty:
+                continue
+            sign = np.where(pdf["side"] == "LONG", 1.0, -1.0)
+            worst, best = np.where(sign > 0, pdf["low"], -pdf["high"]), np.where(sign > 0, pdf["high"], -pdf["low"])
+            sl, tp = worst <= sign * pdf["stop"].to_numpy(), best >= sign * pdf["target"].to_numpy()
+            ends = np.flatnonzero(sl | tp | ((pdf["bar_ts"] - pdf["created_at"]).dt.days >= max_hold_days).to_numpy())
+            if len(ends):
+                k, done = ends[0], True
+                x = pdf.iloc[k]
+                risk = abs(x.entry - x.stop)
+                status = "sl" if sl[k] else "tp" if tp[k] else "expired"
+                r = -1.0 if sl[k] else 0.0 if not risk else abs(x.target - x.entry) / risk if tp[k] else round(sign[k] * (x.close - x.entry) / risk, 4)
+                yield pd.DataFrame([(key[0], status, x.bar_ts, r)], columns=["signal_id", "status", "closed_at", "result_r"])
         state.update((bool(done),))
 
     return rows.groupBy("signal_id").applyInPandasWithState(step, "signal_id long, status string, closed_at timestamp, result_r double", "done boolean", "update", GroupStateTimeout.NoTimeout)

@@ -223,3 +223,143 @@ def test_cards(spark):
     p = "total long, open long, closed long, tp long, sl long, win_rate double, avg_r double, total_r double"
     got = spark.createDataFrame([(3, 1, 2, 1, 1, 0.5, 0.5, 1.0), (1, 1, 0, 0, 0, 0.0, 0.0, 0.0)], p).select(performance_text().alias("c"))
     assert [r.c for r in got.collect()] == ["3 signals, 1 open, 2 closed (1 at target, 1 at stop); won 50.0%, total 1.00 R", "1 signals, 1 open, 0 closed (0 at target, 0 at stop); nothing closed yet"]
+
+
+def test_payload_forms(spark):
+    cells = [
+        (["0.00001234", "0.00001", "0.00002", "0.000015", "5", "1%", "2024-01-02 00:00"], (datetime(2024, 1, 2), 0.00001234, 0.00002, 0.00001, 0.000015)),
+        (["1.2e-5", "1E-5", "2e-5", "+1.5e-5", "5", "2024/01/03"], (datetime(2024, 1, 3), 1.2e-5, 2e-5, 1e-5, 1.5e-5)),
+        (["12345678901234567890", "1", "2", "3", "x", "2024-01-04T10:30:00Z"], (datetime(2024, 1, 4, 10, 30), 12345678901234567890.0, 12345678901234567890.0, 1.0, 3.0)),
+        (["<td>1,000</td>", " 900 ", "1,100.5", "1,050", *["0"] * 120, "<b>Jan 5, 2024</b>"], (datetime(2024, 1, 5), 1000.0, 1100.5, 900.0, 1050.0)),
+        ([1.5, 1, 2, 1.25, 0, "1402/10/27", "1/16/2024"], (datetime(2024, 1, 16), 1.5, 2.0, 1.0, 1.25)),
+        (["nan", "1", "2", "3", "5", "2024-01-07"], None), (["1d", "1", "2", "3", "5", "2024-01-08"], None), (["1", "1", "2", "3", "5", "1402/10/27"], None), (["1", "2", "3", "2024-01-09"], None),
+        (["1", None, "2", "3", "5", "2024-01-10"], None),
+    ]
+    import json
+
+    bodies = [("g", json.dumps({"data": [c for c, _ in cells]})), ("bad", "no json"), ("none", None), ("empty", '{"data": []}')]
+    got = src.parse_payload(spark.createDataFrame(bodies, "symbol string, body string")).orderBy("ts").collect()
+    assert [(r.ts, r.open, r.high, r.low, r.close) for r in got] == [w for _, w in cells if w]
+
+
+def test_monte_carlo_against_loops():
+    def target(side, entry, stop, goal, sigma, drift):
+        path, won = entry + np.cumsum(np.random.default_rng(7).normal(drift, sigma, (4000, 60)), axis=1), 0
+        for row in path:
+            for x in row:
+                if (x <= stop) if side == "LONG" else (x >= stop):
+                    break
+                if (x >= goal) if side == "LONG" else (x <= goal):
+                    won += 1
+                    break
+        return won / 4000
+
+    for case in [("LONG", 100.0, 98.0, 104.0, 1.0, 0.1), ("SHORT", 100.0, 102.0, 97.0, 0.7, 0.0), ("LONG", 100.0, 90.0, 130.0, 0.5, 0.0)]:
+        assert montecarlo.target_first(*case) == pytest.approx(target(*case), abs=1e-9)
+    noise, won = np.random.default_rng(11).normal(0, 0.6, (4000, 60)), 0
+    for row in noise:
+        z = 2.5
+        for e in row:
+            z = 0.7 * z + e
+            if abs(z) <= 0.5 or abs(z) >= 3.5:
+                won += abs(z) <= 0.5
+                break
+    assert montecarlo.spread_reverts(2.5, 0.5, 3.5, 0.7, 0.6) == pytest.approx(won / 4000, abs=1e-3)
+
+
+def test_unit_root_against_least_squares(spark):
+    r = np.random.default_rng(5)
+    b = 50 + np.cumsum(r.normal(0, 0.5, 260))
+    a = 1.3 * b + r.normal(0, 1, 260)
+    ts = pd.date_range("2021-01-01", periods=260)
+    flat = pd.DataFrame({"pair": "flat", "ts": ts, "a": a, "b": 1.0})
+    df = pd.concat([pd.DataFrame({"pair": "p", "ts": ts, "a": a, "b": b}), flat, flat.head(20).assign(pair="short", b=b[:20])])
+    got = pairs.pair_state(spark.createDataFrame(df)).collect()
+    assert [x.pair for x in got] == ["p"]
+    x, a, b = got[0], a[-252:], b[-252:]
+    beta, alpha = np.polyfit(b, a, 1)
+    s = a - beta * b - alpha
+    d = np.diff(s)
+    m = np.column_stack([np.ones(250), s[1:-1], d[:-1]])
+    c = np.linalg.lstsq(m, d[1:], rcond=None)[0]
+    e = d[1:] - m @ c
+    assert x.beta == pytest.approx(beta) and x.t == pytest.approx(c[1] / np.sqrt(e @ e / 247 * np.linalg.inv(m.T @ m)[1, 1]))
+    z = s / s.std()
+    phi = max(0, (z[:-1] * z[1:]).sum() / (z[:-1] ** 2).sum())
+    assert x.phi == pytest.approx(phi) and x.sigma_eps == pytest.approx(np.std(z[1:] - phi * z[:-1])) and x.z == pytest.approx(z[-1])
+
+
+def test_selection_carries_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        r = np.random.default_rng(6)
+        rows = [("s", sym, int(i), int(i + r.integers(0, 9)), 1.0) for sym in "ABC" for i in range(40)]
+        got = {(x.symbol, x.idx) for x in backtest.select_trades(spark.createDataFrame(rows, "strategy string, symbol string, idx int, exit_idx int, r double")).collect()}
+        want = set()
+        for sym in "ABC":
+            free = -1
+            for _, s, i, e, _ in rows:
+                if s == sym and i > free:
+                    want.add((s, i))
+                    free = e
+        assert got == want
+        z = [("p", i, i, float(v)) for i, v in enumerate(r.normal(0, 2, 90))]
+        got = [(x.idx, x.r) for x in pairs.pair_trades(spark.createDataFrame(z, "pair string, ts long, idx int, z double"), least=10).orderBy("idx").collect()]
+        want, side, at = [], 0, 0.0
+        for _, _, i, v in z:
+            if side == 0:
+                side, at = (1 if v <= -2 else -1 if v >= 2 else 0), v
+            elif side * v >= -0.5:
+                want.append((i, side * (v - at) / 1.5))
+                side = 0
+            elif side * v <= -3.5:
+                want.append((i, -1.0))
+                side = 0
+        assert got == [(i, pytest.approx(v)) for i, v in want] and len(want) > 5
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_grid_and_scan(rows):
+    from tapewright.functions.report import forecast_card, grid_line, management_text, portfolio_text, scan_line
+    from tapewright.operators import optimize, scan
+
+    got = optimize.grid_search(rows, "dual_thrust")
+    best = got.where("place = 1").collect()
+    assert got.select("params").distinct().count() <= 27 and all(r.score == max(x.score for x in got.where(F.col("symbol") == r.symbol).collect()) for r in best)
+    assert got.select(grid_line().alias("t")).first().t.startswith("bars=")
+    bars = rows.select("symbol", "ts", "open", "high", "low", "close", "volume")
+    one = optimize.optimize_symbol(bars, "A", "macd_trend").collect()
+    assert [r.place for r in one] == list(range(1, len(one) + 1)) and {r.symbol for r in one} <= {"A"}
+    assert scan.history(bars, 100, 60).count() == 200 and scan.history(bars, 100, 301).count() == 0
+    s = scan.universe_scan(rows)
+    x = s.collect()
+    assert [r.place for r in x] == list(range(1, len(x) + 1)) and [r.confidence for r in x if not r.published] == sorted((r.confidence for r in x if not r.published), reverse=True)
+    for r in x:
+        risk_gap = abs(r.entry - r.stop)
+        assert r.risk_free_at == pytest.approx(r.entry + (risk_gap if r.side == "LONG" else -risk_gap), abs=1e-5) and r.equity_pct == pytest.approx(r.notional / 100, abs=0.01)
+    assert all(t.t for t in s.select(scan_line().alias("t")).collect()) and all(t.t for t in s.select(forecast_card().alias("t")).collect())
+    assert risk.portfolio(s, 10000.0).select(portfolio_text().alias("t")).first().t.startswith(f"{len(x)} positions")
+    assert risk.portfolio(s.where("false"), 10000.0).select(portfolio_text().alias("t")).first().t == ""
+    p = rows.sparkSession.createDataFrame([("LONG", "A", 1.25, 98.0, 110.0, "let it run", False, False, True, False)], "side string, symbol string, r_now double, recommended_sl double, recommended_tp double, tp_reason string, danger boolean, near_target boolean, at_breakeven boolean, trailed boolean")
+    assert p.select(management_text().alias("t")).first().t == "LONG A +1.25 R: stop 98, take profit 110 (let it run); free of risk"
+
+
+def test_latest_model_plans(rows):
+    from tapewright.operators import learn
+
+    got = learn.latest_plans(rows, threshold=0.5, iterations=3).collect()
+    assert {r.symbol for r in got} == {"A", "B"} and all(abs(r.target - r.entry) == pytest.approx(1.5 * r.atr) and 0 <= r.prob_up <= 1 for r in got)
+    assert all((r.stop < r.entry < r.target) == (r.prob_up >= 0.5) for r in got)
+    assert learn.latest_plans(rows.where("idx < 200"), iterations=3).count() == 0
+
+
+def test_stream_distinct(spark, tmp_path):
+    from tapewright.streaming.bars import stream_distinct
+
+    t = datetime(2024, 1, 1)
+    spark.createDataFrame([(1, t, 1.0), (1, t, 1.0), (2, t, 2.0), (2, t + timedelta(hours=1), 2.0)], "event_id long, ts timestamp, value double").write.parquet(str(tmp_path / "e"))
+    s = stream_distinct(spark.readStream.schema("event_id long, ts timestamp, value double").parquet(str(tmp_path / "e")), ["event_id"])
+    q = s.writeStream.format("memory").queryName("once").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination()
+    assert sorted(r.event_id for r in spark.table("once").collect()) == [1, 2]
