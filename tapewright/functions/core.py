@@ -47,10 +47,11 @@ def is_long() -> Column:
 
 
 def valid_plan() -> Column:
-    """A plan's stop, entry and target are in order for its side."""
+    """A plan's stop, entry and target are finite and in order for its side."""
+    finite = [F.abs(F.col(c)) < float("inf") for c in ("stop", "entry", "target")]
     up = (F.col("stop") < F.col("entry")) & (F.col("entry") < F.col("target"))
     down = (F.col("target") < F.col("entry")) & (F.col("entry") < F.col("stop"))
-    return F.coalesce(F.when(is_long(), up).otherwise(down), F.lit(False))
+    return F.coalesce(F.when(is_long(), up).otherwise(down) & finite[0] & finite[1] & finite[2], F.lit(False))
 
 
 def price_text(x: Column) -> Column:

@@ -121,12 +121,14 @@ def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def add_recursive_indicators(rows: DataFrame) -> DataFrame:
-    """Adds the recursive indicators to the output of ``add_window_indicators``. Its partitions hold whole symbols in
-    order of time, so tasks stream through them with a symbol's last values as their only state; no further shuffle."""
+    """Adds the recursive indicators to the output of ``add_window_indicators``, also after it was written, filtered or
+    put together. Partitions hold whole symbols in order of time, which the row number asks for (Spark shuffles and sorts
+    only where that does not hold already); tasks stream through them with a symbol's last values as their only state."""
     schema = StructType(rows.schema.fields[:])
     for c in RECURSIVE:
         schema = schema.add(c, "double")
-    out = rows.mapInPandas(_stream, schema)
+    placed = rows.withColumn("_row", F.row_number().over(by_symbol())).where("_row > 0").drop("_row")
+    out = placed.mapInPandas(_stream, schema)
     return out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in RECURSIVE} | {c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c, t in rows.dtypes if t == "double"})
 
 

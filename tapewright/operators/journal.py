@@ -39,15 +39,28 @@ def hit(high: Column, low: Column) -> tuple[Column, Column]:
     return F.when(is_long(), low <= F.col("stop")).otherwise(high >= F.col("stop")), F.when(is_long(), high >= F.col("target")).otherwise(low <= F.col("target"))
 
 
+#: Days of a bucket of bars, whose extremes tell whether a level is reached in it.
+BUCKET_DAYS = 64
+
+
 def resolve(open_signals: DataFrame, bars: DataFrame, now: Column, max_hold_days: int = 30) -> DataFrame:
     """``open_signals`` with status, closed_at and result_r by the bars after their creation: the first bar that hits
     (stop on a tie) decides; without one, age in whole days expires them at the last close. Signals without a later
-    bar stay open. Partial aggregates over an equi-join on symbol: no path is gathered."""
-    b = bars.select(F.col("symbol").alias("_s"), F.col("ts").alias("_ts"), "high", "low", "close")
-    rows = open_signals.join(b, (F.col("symbol") == F.col("_s")) & (F.col("_ts") > F.col("created_at")))
+    bar stay open.
+
+    A signal meets its symbol's buckets of bars first, by their extremes, and then only the bars of its own bucket and of
+    the first later one that reaches a level: an equi-join on symbol and bucket. No path is gathered."""
+    bucket = lambda ts: F.floor(F.unix_seconds(ts) / (86400 * BUCKET_DAYS))
+    b = bars.select(F.col("symbol").alias("_s"), F.col("ts").alias("_ts"), "high", "low", "close").withColumn("_b", bucket(F.col("_ts")))
+    ends = b.groupBy("_s", "_b").agg(F.max("high").alias("high"), F.min("low").alias("low"), F.max(F.struct("_ts", "close")).alias("end"))
+    s = open_signals.select("signal_id", "symbol", "created_at", "side", "stop", "target", bucket(F.col("created_at")).alias("_own"))
     stop, goal = hit(F.col("high"), F.col("low"))
+    met = s.join(ends, (F.col("symbol") == F.col("_s")) & (F.col("_b") >= F.col("_own"))).where(F.col("end._ts") > F.col("created_at"))
+    met = met.groupBy("signal_id", "symbol", "created_at", "side", "stop", "target", "_own").agg(F.min(F.when((F.col("_b") > F.col("_own")) & (stop | goal), F.col("_b"))).alias("_first"), F.max("end").alias("l"))
+    near = met.withColumn("_b", F.explode(F.array_compact(F.array("_own", "_first")))).drop("l").withColumnRenamed("symbol", "_s")
+    rows = near.join(b, ["_s", "_b"]).where(F.col("_ts") > F.col("created_at"))
     first = F.min(F.when(stop | goal, F.struct("_ts", F.when(stop, "sl").otherwise("tp").alias("status"))))
-    seen = rows.groupBy("signal_id").agg(first.alias("f"), F.max(F.struct("_ts", "close")).alias("l"))
+    seen = met.select("signal_id", "l").join(rows.groupBy("signal_id").agg(first.alias("f")), "signal_id", "left")
     out = open_signals.join(seen, "signal_id", "left")
     risk = F.abs(F.col("entry") - F.col("stop"))
     r = F.when(F.col("f.status") == "sl", -1.0).otherwise(F.coalesce(F.abs(F.col("target") - F.col("entry")) / F.nullif(risk, F.lit(0.0)), F.lit(0.0)))

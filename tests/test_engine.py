@@ -40,6 +40,45 @@ def test_recursive_averages_follow_the_recursion(rows):
     assert got["rsi"].dropna().between(0, 100).all()
 
 
+def test_recursive_averages_of_rows_in_any_order(spark, rows):
+    whole = indicators.add_window_indicators(spark.createDataFrame(pd.concat([walk(), walk(seed=2, symbol="B", drift=-0.0009)])))
+    mixed = whole.where("idx % 2 = 0").unionByName(whole.where("idx % 2 = 1")).repartition(5, "idx")
+    got = indicators.add_recursive_indicators(mixed).orderBy("symbol", "ts").toPandas()
+    want = rows.orderBy("symbol", "ts").toPandas()
+    np.testing.assert_allclose(got["atr"].astype(float), want["atr"].astype(float))
+    np.testing.assert_allclose(got["macd_signal"].astype(float), want["macd_signal"].astype(float))
+
+
+def test_plans_must_be_finite(spark):
+    from tapewright.functions.core import valid_plan
+
+    d = spark.createDataFrame([("LONG", 1.0, 2.0, 3.0), ("LONG", 1.0, 2.0, float("nan")), ("LONG", 1.0, 2.0, float("inf")), ("SHORT", float("nan"), 2.0, 1.0), ("LONG", None, 2.0, 3.0)], "side string, stop double, entry double, target double")
+    assert [r.v for r in d.select(valid_plan().alias("v")).collect()] == [True, False, False, False, False]
+
+
+def test_resolve_against_a_loop(spark):
+    r = np.random.default_rng(14)
+    bars = walk(500, 9)[["symbol", "ts", "high", "low", "close"]]
+    sig = []
+    for i in range(60):
+        k = int(r.integers(0, 500))
+        up, c = bool(r.integers(2)), float(bars.close[k])
+        gap = c * float(r.choice([0.01, 0.05, 0.4]))
+        sig.append((i, bars.ts[k].to_pydatetime(), "A", "stock", "s", "LONG" if up else "SHORT", c, c - gap if up else c + gap, c + 2 * gap if up else c - 2 * gap))
+    s = spark.createDataFrame(sig, "signal_id long, created_at timestamp, symbol string, asset_class string, strategy string, side string, entry double, stop double, target double")
+    got = {x.signal_id: (x.status, x.closed_at) for x in journal.resolve(s, spark.createDataFrame(bars), F.lit(bars.ts[499].to_pydatetime())).collect()}
+    for i, at, *_, side, entry, stop, goal in sig:
+        later = bars[bars.ts > at]
+        sl, tp = (later.low <= stop, later.high >= goal) if side == "LONG" else (later.high >= stop, later.low <= goal)
+        ends = later[sl | tp]
+        if len(ends):
+            assert got[i] == ("sl" if sl[ends.index[0]] else "tp", ends.ts.iloc[0]), i
+        elif len(later) and (bars.ts[499] - pd.Timestamp(at)).days >= 30:
+            assert got[i] == ("expired", later.ts.iloc[-1])
+        else:
+            assert got[i] == ("open", None)
+
+
 def test_state_carries_over_batches():
     x = np.random.default_rng(3).normal(size=50)
     x[[20, 21, 30]] = np.nan
