@@ -39,6 +39,17 @@ def hit(high: Column, low: Column) -> tuple[Column, Column]:
     return F.when(is_long(), low <= F.col("stop")).otherwise(high >= F.col("stop")), F.when(is_long(), high >= F.col("target")).otherwise(low <= F.col("target"))
 
 
+def closing_events(resolved: DataFrame) -> DataFrame:
+    """The events that close what ``resolve`` has closed, to be appended to the log; at the time of the deciding bar."""
+    done = resolved.where(F.col("status") != "open")
+    return done.select(*SIGNAL, F.coalesce("closed_at", "created_at").alias("at"), "status", "closed_at", "result_r")
+
+
+def cleared(log: DataFrame, since: Column) -> DataFrame:
+    """The log without signals created before ``since``: what a new log starts from."""
+    return log.where(F.col("created_at") >= since)
+
+
 #: Days of a bucket of bars, whose extremes tell whether a level is reached in it.
 BUCKET_DAYS = 64
 

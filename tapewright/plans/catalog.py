@@ -109,6 +109,28 @@ def payload_query(spark: SparkSession, d: str) -> DataFrame:
     return out(src.parse_payload(sent))
 
 
+def epoch_query(spark: SparkSession, d: str) -> DataFrame:
+    """The order bars as rows with epoch milliseconds, some twice, read back."""
+    b = src.order_bars(spark, d).withColumns({"ts": F.unix_millis("ts"), "ingest_seq": F.lit(1)})
+    again = b.where(F.col("ts") % 5 == 0).withColumns({"ingest_seq": F.lit(0), "close": F.lit(-1.0)})
+    return out(src.normalise(src.epoch_bars(b.unionByName(again))), "symbol", "ts", "open", "high", "low", "close", "volume")
+
+
+def classes_query(spark: SparkSession, d: str) -> DataFrame:
+    """Brands by class: those of the first two makers are listed, the others are told by their form."""
+    part = src.table(spark, d, "part")
+    listed = part.where(F.col("p_brand").rlike("#[12]")).select(F.col("p_brand").alias("symbol"), F.when(F.col("p_brand").contains("#1"), "crypto").otherwise("forex").alias("class"))
+    return out(src.classify(part.groupBy(F.col("p_brand").alias("symbol")).agg(F.count("*").alias("parts")), listed))
+
+
+def closed_query(spark: SparkSession, d: str) -> DataFrame:
+    """The journal after its resolved signals were closed by events, read back from the log."""
+    s, _ = state(spark, d)
+    opened = s.select(*journal.SIGNAL, F.col("created_at").alias("at"), F.lit("open").alias("status"), F.lit(None).cast("timestamp").alias("closed_at"), F.lit(None).cast("double").alias("result_r"))
+    log = staged(opened.unionByName(journal.closing_events(s)), "log")
+    return out(journal.latest(log), "signal_id", "symbol", "strategy", "side", "created_at", "status", "result_r")
+
+
 def labels_query(spark: SparkSession, d: str) -> DataFrame:
     return out(rows(spark, d), "symbol", "ts", price_text(F.col("close")).alias("close_text"), price_text(F.col("rsi")).alias("rsi_text"), meter(F.col("rsi") / 100).alias("rsi_meter"))
 
@@ -234,6 +256,12 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "position_sizes": (sizes_query, sql.SIZES),
     "signal_cards": (cards_query, sql.CARDS),
     "payload_bars": (payload_query, f"WITH {sql.BARS} SELECT symbol, ts, {', '.join(f'round({c} / if(day(ts) % 4 = 3, 1e6, 1), 4) AS {c}' for c in PRICES)}, 0.0::DOUBLE AS volume FROM bars"),
+    "bars_epoch": (epoch_query, f"WITH {sql.BARS} SELECT symbol, ts, {_OHLCV} FROM bars"),
+    "universe_classes": (
+        classes_query,
+        "SELECT p_brand AS symbol, count(*) AS parts, CASE WHEN contains(p_brand, '#1') THEN 'crypto' WHEN contains(p_brand, '#2') THEN 'forex' ELSE 'stock' END AS asset_class FROM part GROUP BY p_brand",
+    ),
+    "journal_log": (closed_query, f"{sql.RESOLVE} SELECT signal_id, symbol, strategy, side, created_at, status, round(result_r, 4) AS result_r FROM state"),
     "price_labels": (labels_query, sql.LABEL_TEXT),
     "journal_new_signals": (fresh_query, sql.FRESH),
     "portfolio_summary": (portfolio_query, sql.PORTFOLIO),

@@ -121,3 +121,11 @@ def asset_class(symbol: Column, crypto: tuple[str, ...] = (), forex: tuple[str,
         F.when(symbol.isin(*local), "iran").when(symbol.isin(*crypto) | symbol.contains("/"), "crypto")
         .when(symbol.isin(*forex) | symbol.endswith("=X"), "forex").otherwise("stock")
     )
+
+
+def classify(rows: DataFrame, universe: DataFrame) -> DataFrame:
+    """Adds ``asset_class``: the class that ``universe`` (symbol, class; a row a symbol) lists for the symbol, or what its
+    form says. Symbols listed twice count with the class first by name; a null symbol is a stock."""
+    listed = universe.groupBy(F.col("symbol").alias("_s")).agg(F.min("class").alias("_class"))
+    out = rows.join(listed, F.col("symbol") == F.col("_s"), "left")
+    return out.withColumn("asset_class", F.coalesce("_class", asset_class(F.col("symbol")), F.lit("stock"))).drop("_s", "_class")

@@ -402,3 +402,32 @@ def test_stream_distinct(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("once").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination()
     assert sorted(r.event_id for r in spark.table("once").collect()) == [1, 2]
+
+
+def test_universe_and_epoch(spark):
+    u = spark.createDataFrame([("X1", "iran"), ("X1", "zz"), ("A/B", "forex")], "symbol string, class string")
+    got = src.classify(spark.createDataFrame([("X1",), ("A/B",), ("C/D",), ("E=X",), ("Q",), (None,)], "symbol string"), u)
+    assert {r.symbol: r.asset_class for r in got.collect()} == {"X1": "iran", "A/B": "forex", "C/D": "crypto", "E=X": "forex", "Q": "stock", None: "stock"}
+    e = src.epoch_bars(spark.createDataFrame([(1_704_067_200_000,)], "ts long")).first()
+    assert e.ts == datetime(2024, 1, 1)
+
+
+def test_log_of_closed_signals(spark):
+    t = datetime(2024, 1, 1)
+    row = lambda n, status, closed, r: (n, t, "A", "stock", "s", "LONG", 1.0, 0.5, 2.0, status, closed, r)
+    schema = "signal_id long, created_at timestamp, symbol string, asset_class string, strategy string, side string, entry double, stop double, target double, status string, closed_at timestamp, result_r double"
+    done = spark.createDataFrame([row(1, "tp", t + timedelta(1), 2.0), row(2, "open", None, None)], schema)
+    opened = done.select(*journal.SIGNAL, F.col("created_at").alias("at"), F.lit("open").alias("status"), F.lit(None).cast("timestamp").alias("closed_at"), F.lit(None).cast("double").alias("result_r"))
+    log = opened.unionByName(journal.closing_events(done))
+    assert {r.signal_id: (r.status, r.result_r) for r in journal.latest(log).collect()} == {1: ("tp", 2.0), 2: ("open", None)}
+    assert journal.cleared(log, F.lit(t + timedelta(1))).count() == 0
+
+
+def test_sliding_windows(spark, tmp_path):
+    from tapewright.streaming.bars import run_available, stream_bars
+
+    t = datetime(2024, 1, 1)
+    spark.createDataFrame([(i, t + timedelta(minutes=20 * i), "a", float(i)) for i in range(6)], "event_id long, ts timestamp, event_type string, value double").write.parquet(str(tmp_path / "e"))
+    s = spark.readStream.schema("event_id long, ts timestamp, event_type string, value double").parquet(str(tmp_path / "e"))
+    got = {r.ts: (r.open, r.high, r.close, r.volume) for r in run_available(stream_bars(s, "1 hour", "1 day", "30 minutes"), ["symbol", "ts"]).collect()}
+    assert got[t] == (0.0, 2.0, 2.0, 3.0) and got[t + timedelta(minutes=30)] == (2.0, 4.0, 4.0, 3.0) and len(got) == 5
