@@ -42,10 +42,15 @@ def combined_confidence() -> Column:
     return F.round(F.least(F.lit(1.0), base + bonus), 3)
 
 
-def passes_gate(g: dict = CONFIG["gate"]) -> Column:
+def measured_edge(g: dict = CONFIG["gate"]) -> Column:
+    """What the gate asks of a strategy's trades, and of its late ones if there are enough."""
     base = (F.col("trades") >= g["trades"]) & (F.col("win_rate") >= g["win_rate"]) & (F.col("profit_factor") >= g["pf"]) & (F.col("sharpe") >= g["sharpe"])
     late = (F.col("oos_trades") < g["oos_trades"]) | (F.col("oos_expectancy") > g["oos_expectancy"])
-    return F.coalesce(base & (F.col("prob_profitable") >= g["prob"]) & late, F.lit(False))
+    return F.coalesce(base & late, F.lit(False))
+
+
+def passes_gate(g: dict = CONFIG["gate"]) -> Column:
+    return F.coalesce(measured_edge(g) & (F.col("prob_profitable") >= g["prob"]), F.lit(False))
 
 
 def apply_short_policy(signals: DataFrame, mode: str = "forecast", asset_class: str = "iran") -> DataFrame:

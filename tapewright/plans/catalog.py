@@ -82,6 +82,12 @@ def signal_query(spark: SparkSession, d: str) -> DataFrame:
     return out(signals(spark, d), *[c for c in scan.SHOWN if c != "published"], "baseline_win_prob", "note")
 
 
+def measured_query(spark: SparkSession, d: str) -> DataFrame:
+    """The scan's signals without what seeded draws say."""
+    cols = ["strategy", "symbol", "asset_class", "ts", "side", "entry", "stop", "target", "rr", "units", "equity_pct", "risk_pct", "risk_free_at", "regime", "trades", "win_rate", "profit_factor", "expectancy", "sharpe", "oos_trades", "oos_expectancy", "confluence", "live", "measured_edge"]
+    return out(signals(spark, d).withColumn("measured_edge", risk.measured_edge()), *cols)
+
+
 def universe_query(spark: SparkSession, d: str) -> DataFrame:
     """Symbols and factor over the walk of the order bars, pairs over the brand bars."""
     x = staged(levels(indicators.add_indicators(scan.history(src.walk_bars(spark, d)))), "scan")
@@ -252,6 +258,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "ml_walk_forward": (ml_query, None),
     "ml_latest_plans": (latest_query, None),
     "signals_scan": (signal_query, None),
+    "signals_measured": (measured_query, sql.MEASURED),
     "universe_scan": (universe_query, None),
     "position_sizes": (sizes_query, sql.SIZES),
     "signal_cards": (cards_query, sql.CARDS),

@@ -321,3 +321,25 @@ CARDS = f"""{_SIZED} SELECT strategy, symbol, side || ' ' || symbol || ' (' || s
 FRESH = f"""{RESOLVE}, n AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY symbol, side ORDER BY ts DESC) = 1)
 SELECT signal_id, symbol, strategy, side, ts AS created_at, 'open' AS status FROM n ANTI JOIN (
   SELECT symbol, strategy, side FROM state WHERE status = 'open' AND created_at >= (SELECT max(ts) FROM bars) - INTERVAL 3 DAYS) USING (symbol, strategy, side)"""
+
+
+def _measured(name: str) -> str:
+    """The latest plan of each symbol with its strategy's statistics, its late ones, and the symbol's regime."""
+    late = "late AS (SELECT * EXCLUDE (n_, k_) FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n_, row_number() OVER (PARTITION BY symbol ORDER BY idx) AS k_ FROM done) WHERE n_ >= 4 AND k_ > floor(n_ * 0.7::DOUBLE))"
+    suits = "ranging" if name == "mean_reversion" else "trending"
+    return f"""{plans(name, SCANNED)}, {FIXED if name == "mean_reversion" else TRAILING}, {GREEDY}, {late}, st AS ({stat_columns()}), lt AS ({stat_columns().replace("FROM done", "FROM late")}),
+rg AS (SELECT symbol, max(idx) AS last_idx, CASE WHEN arg_max(adx, ts) >= 25 THEN 'trending' WHEN arg_max(adx, ts) < 20 THEN 'ranging' ELSE 'neutral' END AS regime FROM x GROUP BY symbol),
+newest AS (SELECT * FROM plans QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY idx DESC) = 1)
+SELECT p.strategy, p.symbol, p.ts, p.side, p.sgn, p.entry, p.stop, p.target, st.trades, st.win_rate, st.profit_factor, st.expectancy, st.sharpe, coalesce(lt.trades, 0) AS oos_trades,
+  coalesce(lt.expectancy, 0.0) AS oos_expectancy, regime, p.idx = last_idx AND regime IN ('neutral', '{suits}') AS live
+FROM newest p JOIN st USING (strategy, symbol) LEFT JOIN lt USING (strategy, symbol) JOIN rg USING (symbol)"""
+
+
+MEASURED = f"""WITH g AS ({" UNION ALL ".join(f"SELECT * FROM ({_measured(n)})" for n in TRIGGERS)}),
+u AS (SELECT *, CASE WHEN win_rate > 0 AND win_rate < 1 THEN profit_factor * (1 - win_rate) / win_rate ELSE 0 END AS b, count(*) OVER (PARTITION BY symbol, side, live) AS confluence FROM g),
+v AS (SELECT *, least(CASE WHEN b > 0 THEN greatest(0, least(1, win_rate - (1 - win_rate) / b)) ELSE 0 END * 0.5, 0.05) AS kelly FROM u),
+w AS (SELECT *, abs(entry - stop) AS gap, CASE WHEN kelly > 0 THEN least(100 / abs(entry - stop), 10000 * kelly / entry) ELSE 0.0 END AS units FROM v)
+SELECT strategy, symbol, 'stock' AS asset_class, ts, side, round(entry, 4) AS entry, round(stop, 4) AS stop, round(target, 4) AS target, round(round(abs(target - entry) / gap, 3), 4) AS rr,
+  round(units, 4) AS units, round(round(units * entry / 10000 * 100, 2), 4) AS equity_pct, round(round(units * gap / 10000 * 100, 2), 4) AS risk_pct, round(round(entry + sgn * gap, 6), 4) AS risk_free_at, regime,
+  trades, round(win_rate, 4) AS win_rate, round(profit_factor, 4) AS profit_factor, round(expectancy, 4) AS expectancy, round(sharpe, 4) AS sharpe, oos_trades, round(oos_expectancy, 4) AS oos_expectancy, confluence, live,
+  trades >= 15 AND win_rate >= 0.40 AND profit_factor >= 1.40 AND sharpe >= 0.5 AND (oos_trades < 4 OR oos_expectancy > 0) AS measured_edge FROM w"""
