@@ -18,13 +18,11 @@ from pyspark.sql import functions as F
 from tapewright.llm.store import stage
 
 LENGTH, END_ID = 2048, 1
-#: Words of at most CACHED_CHARS characters, at most CACHED of them (some 30 MB) in a task's memory, dropped at its end.
-CACHED_CHARS, CACHED = 48, 100_000
 #: Pieces of one run at least: those of one length are ranked within runs, whose number and size grow alike.
 RUN = 256
 #: Characters encoded at once, about.
 CHUNK = 1 << 18
-_SPACED, _BLANK, _CUT = re.compile(r"\s "), re.compile(r"\s"), re.compile(r"(?<=\S) ")
+_BLANK, _CUT = re.compile(r"\s"), re.compile(r"(?<=\S) ")
 
 
 @lru_cache(1)
@@ -48,8 +46,7 @@ def added_tokens(ranks_path: str) -> dict[str, int]:
 
 class Encoder:
     """Ids of a text by a byte-level BPE vocabulary: those that its ``tokenizers`` file gives, an added token in the
-    text being one id. Long texts are encoded in parts. A text falls apart before every space that follows a non-space, so words are encoded once and
-    remembered; texts where a space follows other white space are encoded whole."""
+    text being one id. A text falls apart before every space that follows a non-space: long ones are encoded in parts."""
 
     def __init__(self, ranks_path: str):
         import public_tokenizers
@@ -69,33 +66,14 @@ class Encoder:
 
         self.encode = encode
 
-        class Memory(dict):
-            def __missing__(self, word: str) -> bytes:
-                ids = np.array(encode(" " + word), np.uint32).tobytes()
-                if len(word) <= CACHED_CHARS:
-                    if len(self) >= CACHED:
-                        self.clear()
-                    self[word] = ids
-                return ids
-
-        self.memory = Memory()
-
     def ids(self, text: str) -> np.ndarray:
-        if len(text) <= CHUNK:
-            return self._part(text)
         parts, at = [], 0
-        while at < len(text):
+        while at < len(text) or not parts:
             cut = _CUT.search(text, at + CHUNK)
             to = cut.start() if cut else len(text)
-            parts.append(self._part(text[at:to]))
+            parts.append(np.array(self.encode(text[at:to]), np.uint32))
             at = to
-        return np.concatenate(parts)
-
-    def _part(self, text: str) -> np.ndarray:
-        if _SPACED.search(text):
-            return np.array(self.encode(text), np.uint32)
-        first, *words = text.split(" ")
-        return np.frombuffer(np.array(self.encode(first), np.uint32).tobytes() + b"".join(map(self.memory.__getitem__, words)), np.uint32)
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 @lru_cache(1)
@@ -106,12 +84,6 @@ def encoder(ranks_path: str) -> Encoder:
 def _pieces(ranks_path: str, length: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path)
-        try:
-            yield from cut_all(enc, batches)
-        finally:
-            enc.memory.clear()
-
-    def cut_all(enc: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -153,11 +153,10 @@ def test_packing(docs, rows):
     assert packing.pack(docs.where("false")).count() == 0
 
 
-def test_encoder_falls_apart_only_where_ids_agree():
-    import tiktoken  # noqa: F401
-
+def test_encoder_falls_apart_only_where_ids_agree(monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 3)
     e = packing.encoder(packing.default_ranks())
-    for text in ("", " ", "  ", "a  b", "a \n b", "a\n\nb", " a b ", "x  y", "it's  <|endoftext|> d'accord", "été déjà\tvu \r\n ok", "trailing \n"):
+    for text in ("", " ", "  ", "a  b", "a \n b", "a\n\nb", " a b ", "x  y", "it's  <|endoftext|> d'accord", "été déjà\tvu \r\n ok", "trailing \n", "many words  in \u3000 one\x1c text <|endoftext|> 12 ab"):
         assert e.ids(text).tolist() == e.encode(text), text
 
 
