@@ -92,6 +92,17 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(rows.unionByName(own))).drop("n_tokens", "n_loss_tokens")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapewright.llm.merkle import leaf_hash, prove
+
+    docs = _read(spark, sf_dir, "documents")
+    head, cut = ("doc_id", "source", "lang", "n_chars"), F.replace("text", F.lit("\n"), F.lit(""))
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    rows = docs.select("doc_id", "source", leaf_hash(*head, "text").alias("leaf"), leaf_hash(*head, F.when(tampered, cut).otherwise(F.col("text"))).alias("claimed"))
+    out = prove(rows, "doc_id", claimed_col="claimed")
+    return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 OP10_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS len, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
@@ -175,6 +186,46 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
+#: CRC-32 byte by byte, by a table made of its polynomial; hash trees level by level.
+OP13_SQL = r"""
+WITH RECURSIVE k AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, x: xor(c >> 1, (c & 1) * 3988292384))) AS t),
+c AS (
+  SELECT doc_id, source, lang, n_chars, text, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])) % 2 = 1 AS tampered FROM documents, k),
+f AS (
+  SELECT doc_id, source, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    text, CASE WHEN tampered THEN replace(text, chr(10), '') ELSE text END AS now FROM c),
+l AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(now) || ':' || now, '-')) AS claimed FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS slot, count(*) OVER (PARTITION BY source) AS n FROM l),
+tree AS (
+  SELECT source, 0 AS level, slot, leaf AS h, n FROM p
+  UNION ALL
+  SELECT source, level + 1, slot // 3, sha256(string_agg(h, '' ORDER BY slot)), (n + 2) // 3 FROM tree WHERE n > 1 GROUP BY source, level, slot // 3, n),
+sub AS (SELECT source, level AS height, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS slot, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS level, slot, h, n FROM sub
+  UNION ALL
+  SELECT level + 1, slot // 3, sha256(string_agg(h, '' ORDER BY slot)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY level, slot // 3, n),
+node AS (
+  SELECT s.slot AS t, t.level, t.slot, t.h FROM tree t JOIN sub s ON t.source IS NOT DISTINCT FROM s.source
+  UNION ALL SELECT -1, level, slot, h FROM top),
+run AS (SELECT t, level, slot // 3 AS up, list(h ORDER BY slot) AS hs FROM node GROUP BY ALL),
+step AS (
+  SELECT p.doc_id, p.slot AS slot0, s.slot AS t, s.height, p.claimed AS h, p.slot, 0 AS level, '' AS proof FROM p JOIN sub s ON p.source IS NOT DISTINCT FROM s.source
+  UNION ALL
+  SELECT doc_id, slot0, x.t, x.height, sha256(array_to_string(list_concat(hs[:x.slot % 3], [x.h], hs[x.slot % 3 + 2:]), '')), x.slot // 3, x.level + 1,
+         proof || array_to_string(list_concat(hs[:x.slot % 3], hs[x.slot % 3 + 2:]), '')
+  FROM (SELECT doc_id, slot0, proof, h, CASE WHEN level < height THEN t ELSE -1 END AS t, height, CASE WHEN level < height THEN slot
+               WHEN level = height THEN t ELSE slot END AS slot, level FROM step WHERE level < height + (SELECT max(level) FROM top)) x
+  JOIN run ON run.t = x.t AND run.level = CASE WHEN x.t = -1 THEN x.level - x.height ELSE x.level END AND run.up = x.slot // 3)
+SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, sha256(e.proof) AS proof_sha256, e.h AS folded_root, e.h = r.h AS verified
+FROM p JOIN sub s ON p.source IS NOT DISTINCT FROM s.source JOIN (SELECT h FROM top WHERE n = 1) r ON true
+JOIN step e ON e.doc_id = p.doc_id AND e.level = s.height + (SELECT max(level) FROM top)
+"""
+
 #: name: (query, SQL or None)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_substring_dedup": (op1_substring_dedup, OP1_SQL),
@@ -187,4 +238,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op9_language_id": (op9_language_id, None),
     "op7_ngram_jaccard": (op7_ngram_jaccard, OP7_SQL),
     "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
+    "op13_merkle_manifest": (op13_merkle_manifest, OP13_SQL),
 }
