@@ -92,6 +92,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(rows.unionByName(own))).drop("n_tokens", "n_loss_tokens")
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapewright.llm.phrases import collocations
+
+    return collocations(_read(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tapewright.llm.merkle import leaf_hash, prove
 
@@ -186,6 +192,30 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
+OP11_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS s FROM w),
+f AS (
+  SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') AS phrase, count(*) AS f FROM s, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE s + k - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+u AS (
+  SELECT c.lang, c.phrase, a, cut, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')),
+b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (
+  SELECT lang, phrase, max(a) AS over FROM (
+    SELECT lang, a, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda s: array_to_string(w[s:s + m - 1], ' '))))) AS phrase FROM c)
+  GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+FROM b JOIN n ON b.lang = n.lang LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.over IS NULL OR 100 * i.over < 80 * a
+QUALIFY rank <= 2000
+"""
+
 #: CRC-32 byte by byte, by a table made of its polynomial; hash trees level by level.
 OP13_SQL = r"""
 WITH RECURSIVE k AS (
@@ -238,5 +268,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op9_language_id": (op9_language_id, None),
     "op7_ngram_jaccard": (op7_ngram_jaccard, OP7_SQL),
     "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
+    "op11_phrase_mining": (op11_phrase_mining, OP11_SQL),
     "op13_merkle_manifest": (op13_merkle_manifest, OP13_SQL),
 }
