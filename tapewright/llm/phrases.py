@@ -5,16 +5,22 @@ a root by first word, hash containers of packed suffixes under it, which burst i
 trie spills whole subtrees as sorted runs with their own words, one run for each prefix partition (by the first
 two words). A prefix partition's runs are merged, and the counts of all shorter phrases are sums over neighbouring
 paths. Partitions grow in number with the text; one that is too large for a task is dealt again by third and fourth
-word, its sums over prefixes then being added up by Spark."""
+word, its sums over prefixes then being added up by Spark.
+
+Single words are counted before. No phrase of enough occurrences holds a word of fewer, so paths end at rare words: those
+whose bit in a table of fixed size, where every word of enough occurrences sets one, is not set. Words that share a
+bit with another are counted for nothing, but none is missed."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,20 +30,21 @@ from tapewright.llm.store import stage
 ORDER, LEAST, TOP, SCALE, COVER = 4, 30, 2000, 2_000_000, 80
 UNKNOWN = "und"
 #: Bits of a task's word id; positions encoded at once; keys of a container; keys of a trie.
-WORD_BITS, STEP, BURST, MEMORY = 21, 1 << 19, 1 << 12, 1 << 20
+WORD_BITS, STEP, BURST, MEMORY = 21, 1 << 19, 1 << 12, 1 << 19
 MASK = (1 << WORD_BITS) - 1
-#: Bytes of text a prefix partition; paths that one task merges.
-PART_BYTES, PART_PATHS = 4 << 20, 2_000_000
+#: Bytes of text a prefix partition; paths that one task merges; partitions at least.
+PART_BYTES, PART_PATHS, PARTS = 8 << 20, 3_000_000, 16
 FEW = 1 << 16
-#: Words and counts that one row holds.
-CHUNK = 4096
+#: Bytes of text counted at once; distinct words that a task counts before it gives them out; bits of the table of words.
+SLICE, KINDS, TABLE = 4 << 20, 1 << 18, 1 << 25
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _BLANK = _SEPARATOR.copy()
 _BLANK[[0x20, 0x09]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-RUN = "part int, sub int, lang string, n long, words array<binary>, paths binary, counts binary, each array<long>"
+RUN = "part int, sub int, lang string, n long, words binary, paths binary"
+_NAMES = ["part", "sub", "lang", "n", "words", "paths"]
 COUNT = "lang string, k int, phrase string, f long"
 
 
@@ -50,18 +57,18 @@ class HatTrie:
         self.flat: dict[int, dict[int, int]] = {}
         self.deep: dict[int, dict[int, dict[int, int]]] = {}
 
-    def add(self, root: int, suffixes: list[int], counts: list[int]) -> None:
+    def add(self, root: int, suffixes: list[int]) -> None:
         if root in self.deep:
             node = self.deep[root]
-            for s, n in zip(suffixes, counts, strict=True):
+            for s in suffixes:
                 box = node.setdefault(s >> 2 * WORD_BITS, {})
                 self.size += s not in box
-                box[s] = box.get(s, 0) + n
+                box[s] = box.get(s, 0) + 1
             return
         box = self.flat.setdefault(root, {})
         before, get = len(box), box.get
-        for s, n in zip(suffixes, counts, strict=True):
-            box[s] = get(s, 0) + n
+        for s in suffixes:
+            box[s] = get(s, 0) + 1
         self.size += len(box) - before
         if len(box) > self.burst:
             node = self.deep[root] = {}
@@ -80,41 +87,120 @@ class HatTrie:
             roots += [root] * len(own)
             self.size -= size
         n = [len(b) for b in boxes]
-        total = sum(n)
-        keys = np.fromiter((s for b in boxes for s in b), np.int64, total)
-        return np.repeat(np.array(roots, np.int64), n), keys, np.fromiter((c for b in boxes for c in b.values()), np.int64, total)
+        keys, counts = (np.fromiter(chain.from_iterable(x), np.int64, sum(n)) for x in (boxes, map(dict.values, boxes)))
+        return np.repeat(np.array(roots, np.int64), n), keys, counts
 
 
 def _hash(word: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 
-def _binary(values: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """Rows of ``values`` from each start to the next as one binary value."""
-    values = np.ascontiguousarray(values)
-    wide = values.dtype.itemsize * (values.shape[1] if values.ndim > 1 else 1)
-    offsets = (np.append(starts, len(values)) * wide).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
-
-
-def _runs(part: np.ndarray, sub: np.ndarray, lang: np.ndarray, ids: np.ndarray, counts: np.ndarray, names: pa.Array, langs: list[str]) -> pa.RecordBatch:
-    """A row for each (part, sub, lang): its paths in order, and the words they use. ``ids``: four columns, 0 for no word,
-    else 1 plus the word's place in ``names``, which are sorted."""
-    order = np.lexsort((ids[:, 3], ids[:, 2], ids[:, 1], ids[:, 0], lang, sub, part))
-    part, sub, lang, ids, counts = part[order], sub[order], lang[order], ids[order], counts[order]
-    new = np.ones(len(part), bool)
-    new[1:] = (part[1:] != part[:-1]) | (sub[1:] != sub[:-1]) | (lang[1:] != lang[:-1])
-    starts, row = np.flatnonzero(new), np.cumsum(new) - 1
-    there = ids > 0
-    used, inverse = np.unique((np.broadcast_to(row[:, None], ids.shape)[there] << 32) | ids[there], return_inverse=True)
-    first = np.searchsorted(used, np.arange(len(starts) + 1, dtype=np.int64) << 32)
-    local = np.zeros(ids.shape, np.int32)
-    local[there] = inverse - first[np.broadcast_to(row[:, None], ids.shape)[there]] + 1
-    words = pa.ListArray.from_arrays(pa.array(first, pa.int32()), names.take(pa.array((used & 0xFFFFFFFF) - 1)))
-    n = np.diff(np.append(starts, len(part)))
-    columns = [pa.array(part[starts], pa.int32()), pa.array(sub[starts], pa.int32()), pa.array([langs[i] for i in lang[starts].tolist()], pa.string()), pa.array(n, pa.int64()),
-               words, _binary(local, starts), _binary(counts.astype(np.int64), starts), pa.nulls(len(starts), pa.list_(pa.int64()))]
-    return pa.record_batch(columns, names=["part", "sub", "lang", "n", "words", "paths", "counts", "each"])
+_WIDTHS = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    top = int(values.max()) if len(values) else 0
+    return values.astype(next(kind for width, kind in _WIDTHS.items() if top < 1 << 8 * width))
+
+
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of one length, each in its narrowest width, compressed."""
+    narrow = [_narrow(c) for c in columns]
+    return zstandard.ZstdCompressor(1).compress(bytes(c.dtype.itemsize for c in narrow) + b"".join(c.tobytes() for c in narrow))
+
+
+def _unpack(packed: bytes, columns: int, n: int) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    out, at = [], columns
+    for width in raw[:columns]:
+        out.append(np.frombuffer(raw, _WIDTHS[width], n, at).astype(np.int64))
+        at += n * width
+    return out
+
+
+def _runs(part: np.ndarray, sub: np.ndarray, lang: np.ndarray, ids: np.ndarray, counts: np.ndarray, names: list[bytes], langs: list[str]) -> pa.RecordBatch:
+    """A row for each (part, sub, lang): its paths in order (first words as differences), and the words they use. ``ids``:
+    four columns, 0 for no word, else 1 plus the word's place in ``names``, which are sorted."""
+    kind = (part * (int(sub.max()) + 1) + sub) * len(langs) + lang
+    bits = len(names).bit_length()
+    if int(kind.max()).bit_length() + 2 * bits < 64:
+        order = np.lexsort(((ids[:, 2] << bits) | ids[:, 3], (((kind << bits) | ids[:, 0]) << bits) | ids[:, 1]))
+    else:
+        order = np.lexsort((ids[:, 3], ids[:, 2], ids[:, 1], ids[:, 0], kind))
+    kind, ids, counts = kind[order], ids[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
+    ends = [*starts[1:].tolist(), len(kind)]
+    words, paths = [], []
+    for a, b in zip(starts.tolist(), ends, strict=True):
+        own = ids[a:b]
+        if 16 * len(own) > len(names):
+            there = np.zeros(len(names) + 1, bool)
+            there[own] = True
+            there[0] = True
+            used, local = np.flatnonzero(there), (np.cumsum(there) - 1)[own]
+        else:
+            used = np.union1d(own, [0])
+            local = np.searchsorted(used, own)
+        words.append(zstandard.ZstdCompressor(1).compress(b"\n".join([names[i - 1] for i in used[1:].tolist()])))
+        paths.append(_pack([np.diff(local[:, 0], prepend=0), *local[:, 1:].T, counts[a:b]]))
+    first = order[starts]
+    columns = [pa.array(part[first], pa.int32()), pa.array(sub[first], pa.int32()), pa.array([langs[i] for i in lang[first].tolist()], pa.string()),
+               pa.array(np.diff(np.append(starts, len(kind))), pa.int64()), pa.array(words, pa.binary()), pa.array(paths, pa.binary())]
+    return pa.record_batch(columns, names=_NAMES)
+
+
+def _bit(h: np.ndarray, of: np.ndarray | np.uint64) -> np.ndarray:
+    """The table's bit of a word, by its hash and its language's."""
+    return tn.mix(h + of) % np.uint64(TABLE)
+
+
+def _word_array(words: tn.Words) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bytes, one after the other, and where each starts."""
+    return words.data[~_BLANK[words.data]], np.concatenate([[0], np.cumsum(words.ends - words.starts)]).astype(np.int64)
+
+
+def _words(step: int):
+    """(lang, word, n): each task's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, dict[bytes, int]] = {}
+
+        def give() -> Iterator[pa.RecordBatch]:
+            for lang, own in found.items():
+                columns = [pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())]
+                yield pa.record_batch(columns, names=["lang", "word", "n"])
+            found.clear()
+
+        for batch in batches:
+            for rows in tn.slices(batch, "text", SLICE):
+                words = tn.Words(rows.column(1), _BLANK, _LOWER)
+                body, offsets = _word_array(words)
+                langs = rows.column(0).dictionary_encode()
+                lang = np.repeat(langs.indices.to_numpy(), words.count)
+                names = langs.dictionary.to_pylist()
+                for a in range(0, len(lang), step):
+                    n = min(len(lang), a + step) - a
+                    own = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets[a : a + n + 1]), pa.py_buffer(body)]).dictionary_encode()
+                    kinds = np.bincount(lang[a : a + n] * len(own.dictionary) + own.indices.to_numpy(), minlength=len(names) * len(own.dictionary))
+                    every = own.dictionary.to_pylist()
+                    for k, name in enumerate(names):
+                        counts, box = kinds[k * len(every) : (k + 1) * len(every)], found.setdefault(name, {})
+                        for w in np.flatnonzero(counts).tolist():
+                            box[every[w]] = box.get(every[w], 0) + int(counts[w])
+                    if sum(map(len, found.values())) > KINDS:
+                        yield from give()
+        yield from give()
+
+    return run
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows in tn.slices(batch, "word"):
+            langs = rows.column(0).dictionary_encode()
+            of = np.array([_hash(x.encode()) for x in langs.dictionary.to_pylist()], np.uint64)[langs.indices.to_numpy()]
+            bit = _bit(tn.Words(rows.column(1).cast(pa.string()), _BLANK).hashes(), of).astype(np.int64)
+            yield pa.record_batch([pa.array(bit + 1)], names=["bit"])  # Spark numbers bits from 1
 
 
 class _Counter:
@@ -127,26 +213,21 @@ class _Counter:
     def reset(self) -> None:
         self.trie, self.words, self.langs = HatTrie(), {}, {}
         self.hashes: list[int] = []
-        self.single: dict[int, int] = {}
 
     def add(self, ids: np.ndarray, lang: np.ndarray, left: np.ndarray) -> None:
-        """Counts a path from each of the first ``len(left)`` words, over as many words as are ``left``."""
-        n, w = len(left), []
-        for k in range(1, ORDER):
-            at = np.minimum(np.arange(n) + k, len(ids) - 1)
-            w.append(np.where(left > k, ids[at] + 1, 0))
-        root, suffix = (lang << WORD_BITS) | ids[:n], (w[0] << 2 * WORD_BITS) | (w[1] << WORD_BITS) | w[2]
-        order = np.lexsort((suffix, root))
-        root, suffix = root[order], suffix[order]
-        new = np.flatnonzero(np.concatenate([[True], (root[1:] != root[:-1]) | (suffix[1:] != suffix[:-1])]))
-        count = np.diff(np.append(new, n))
-        root, keys, counts = root[new], suffix[new].tolist(), count.tolist()
+        """Counts a path from each of the first ``len(left)`` words, over as many words as are ``left``, if there are two."""
+        at = np.flatnonzero(left > 1)
+        if not len(at):
+            return
+        n, left = len(at), left[at]
+        w = [np.where(left > k, ids[np.minimum(at + k, len(ids) - 1)] + 1, 0) for k in range(1, ORDER)]
+        root, suffix = (lang[at] << WORD_BITS) | ids[at], (w[0] << 2 * WORD_BITS) | (w[1] << WORD_BITS) | w[2]
+        order = np.argsort(root, kind="stable")
+        root, keys = root[order], suffix[order].tolist()
         edge = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]]))
-        total = np.add.reduceat(count, edge).tolist()
-        edge_list = [*edge.tolist(), len(root)]
-        for r, a, b, t in zip(root[edge].tolist(), edge_list, edge_list[1:], total, strict=False):
-            self.trie.add(r, keys[a:b], counts[a:b])
-            self.single[r] = self.single.get(r, 0) + t
+        edges = [*edge.tolist(), n]
+        for r, a, b in zip(root[edge].tolist(), edges, edges[1:], strict=False):
+            self.trie.add(r, keys[a:b])
 
     def ids_of(self, names: list[bytes]) -> np.ndarray:
         out, words = np.empty(len(names), np.int64), self.words
@@ -167,58 +248,51 @@ class _Counter:
         used = used[used > 0]
         every = list(self.words)
         names = pa.array([every[i - 1] for i in used.tolist()], pa.binary())
-        order = pc.sort_indices(names).to_numpy()
+        order = pc.sort_indices(names)
         place = np.zeros(len(every) + 1, np.int64)
-        place[used[order]] = np.arange(1, len(used) + 1)
+        place[used[order.to_numpy()]] = np.arange(1, len(used) + 1)
         langs = list(self.langs)
         lang, h = root >> WORD_BITS, np.array([0, *self.hashes], np.uint64)
         of = np.array([_hash(x.encode()) for x in langs], np.uint64)[lang]
         part = (tn.mix(tn.mix(h[ids[:, 0]] + of) + h[ids[:, 1]]) % np.uint64(self.parts)).astype(np.int64)
-        yield _runs(part, np.zeros_like(part), lang, place[ids], counts, names.take(pa.array(order)), langs)
+        yield _runs(part, np.zeros_like(part), lang, place[ids], counts, names.take(order).to_pylist(), langs)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        """All that is counted: runs, and the counts of single words by language."""
         yield from self.spill(0)
-        every, langs, by = list(self.words), list(self.langs), {}
-        for root, n in self.single.items():
-            by.setdefault(root >> WORD_BITS, []).append((root & MASK, n))
-        for lang, pairs in by.items():
-            for at in range(0, len(pairs), CHUNK):
-                some = pairs[at : at + CHUNK]
-                columns = [pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([langs[lang]]), pa.array([0], pa.int64()),
-                           pa.array([[every[w] for w, _ in some]], pa.list_(pa.binary())), pa.array([b""]), pa.array([b""]), pa.array([[n for _, n in some]], pa.list_(pa.int64()))]
-                yield pa.record_batch(columns, names=["part", "sub", "lang", "n", "words", "paths", "counts", "each"])
         self.reset()
 
 
-def _count(parts: int, memory: int, step: int):
+def _count(parts: int, memory: int, step: int, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = _Counter(parts, memory)
+        c, bits = _Counter(parts, memory), np.frombuffer(table.value, np.uint8)
         for batch in batches:
-            for rows in tn.slices(batch, "text"):
+            for rows in tn.slices(batch, "text", SLICE):
                 words = tn.Words(rows.column(1), _BLANK, _LOWER)
-                total = len(words.starts)
-                if not total:
+                if not len(words.starts):
                     continue
-                # Where no word of the same piece follows.
+                langs = [c.langs.setdefault(x, len(c.langs)) for x in rows.column(0).to_pylist()]
+                lang = np.repeat(np.array(langs, np.int64), words.count)
+                of = np.array([_hash(x.encode()) for x in c.langs], np.uint64)
+                bit = _bit(words.hashes(), of[lang])
+                often = (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                # Where no frequent word of the same piece follows.
                 seps = np.flatnonzero(_SEPARATOR[words.data])
-                last = np.ones(total, bool)
-                last[:-1] = np.searchsorted(seps, words.starts[1:]) != np.searchsorted(seps, words.ends[:-1])
+                last = np.ones(len(often), bool)
+                last[:-1] = (np.searchsorted(seps, words.starts[1:]) != np.searchsorted(seps, words.ends[:-1])) | ~often[1:]
                 last[words.hi[words.count > 0] - 1] = True
-                ends = np.flatnonzero(last)
-                body, size = words.data[~_BLANK[words.data]], words.ends - words.starts
-                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-                doc = np.repeat(np.arange(len(words.count)), words.count)
-                names = rows.column(0).to_pylist()
-                for a in range(0, total, step):
-                    b, c_end = min(total, a + step), min(total, a + step + ORDER - 1)
-                    if len(c.words) + c_end - a >= MASK:
+                at = np.flatnonzero(often)
+                lang, ends = lang[at], np.flatnonzero(last[at])
+                body, offsets = _word_array(words)
+                names = pa.Array.from_buffers(pa.large_binary(), len(often), [None, pa.py_buffer(offsets), pa.py_buffer(body)]).take(pa.array(at))
+                for a in range(0, len(at), step):
+                    b, upto = min(len(at), a + step), min(len(at), a + step + ORDER - 1)
+                    if len(c.words) + upto - a >= MASK:
+                        known = list(c.langs)
                         yield from c.flush()
-                    own = pa.Array.from_buffers(pa.large_binary(), c_end - a, [None, pa.py_buffer(offsets[a : c_end + 1]), pa.py_buffer(body)]).dictionary_encode()
+                        c.langs.update({x: i for i, x in enumerate(known)})
+                    own = names.slice(a, upto - a).dictionary_encode()
                     ids = c.ids_of(own.dictionary.to_pylist())[own.indices.to_numpy()]
-                    lang = np.array([c.langs.setdefault(x, len(c.langs)) for x in names], np.int64)[doc[a:b]]
-                    left = ends[np.searchsorted(ends, np.arange(a, b))] - np.arange(a, b) + 1
-                    c.add(ids, lang, left)
+                    c.add(ids, lang[a:b], ends[np.searchsorted(ends, np.arange(a, b))] - np.arange(a, b) + 1)
                     if c.trie.size > memory:
                         yield from c.spill(memory // 2)
         yield from c.flush()
@@ -226,25 +300,25 @@ def _count(parts: int, memory: int, step: int):
     return run
 
 
-def _open(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+def _open(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """Of all rows: the row of each path, the paths, the counts, the words; ids are 1 plus the word's place, 0 for none."""
-    if isinstance(table, pa.Table):
-        table = table.combine_chunks()
-    flat = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
-    words = flat(table["words"])
-    n = flat(table["n"]).to_numpy()
-    paths = np.frombuffer(b"".join(table["paths"].to_pylist()), np.int32).reshape(-1, ORDER)
-    counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.int64)
-    row = np.repeat(np.arange(len(n)), n)
-    start = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))])[:-1]
-    coded = words.flatten().cast(pa.binary()).dictionary_encode()
+    sizes = table["n"].to_pylist()
+    lists = [zstandard.ZstdDecompressor().decompress(w).split(b"\n") for w in table["words"].to_pylist()]
+    coded = pa.array([w for own in lists for w in own], pa.binary()).dictionary_encode()
     order = pc.sort_indices(coded.dictionary).to_numpy()
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(1, len(order) + 1)
-    # The last entry stands for no word.
-    place = np.append(place[coded.indices.to_numpy()], 0)
-    ids = place[np.where(paths > 0, paths + start[row][:, None] - 1, len(place) - 1)]
-    return row, ids, counts, coded.dictionary.take(pa.array(order))
+    place, at = place[coded.indices.to_numpy()], 0
+    ids, counts = np.empty((sum(sizes), ORDER), np.int64), np.empty(sum(sizes), np.int64)
+    done = 0
+    for n, own, packed in zip(sizes, lists, table["paths"].to_pylist(), strict=True):
+        *columns, counts[done : done + n] = _unpack(packed, ORDER + 1, n)
+        mine = np.concatenate([[0], place[at : at + len(own)]])
+        columns[0] = np.cumsum(columns[0])
+        for k, c in enumerate(columns):
+            ids[done : done + n, k] = mine[c]
+        done, at = done + n, at + len(own)
+    return np.repeat(np.arange(len(sizes)), sizes), ids, counts, coded.dictionary.take(pa.array(order)).to_pylist()
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +327,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(batch.num_rows):
             one = batch.slice(at, 1)
             _, ids, counts, names = _open(one)
-            h = np.array([0, *map(_hash, names.to_pylist())], np.uint64)
+            h = np.array([0, *map(_hash, names)], np.uint64)
             sub = tn.mix(tn.mix(h[ids[:, 2]]) + h[ids[:, 3]]) % np.uint64(one["times"][0].as_py())
             part = np.full(len(ids), one["part"][0].as_py(), np.int64)
             yield _runs(part, sub.astype(np.int64) + 1, np.zeros(len(ids), np.int64), ids, counts, names, one["lang"].to_pylist())
@@ -277,7 +351,7 @@ def _merge(least: int):
             order = np.lexsort((ids[:, 3], ids[:, 2], ids[:, 1], ids[:, 0], lang))
         lang, ids, counts = lang[order], ids[order], counts[order]
         out: dict[str, list] = {"lang": [], "k": [], "phrase": [], "f": []}
-        new, every = np.ones(len(ids), bool), names.to_pylist()
+        new = np.ones(len(ids), bool)
         new[1:] = (lang[1:] != lang[:-1]) | (ids[1:, 0] != ids[:-1, 0])
         for k in range(2, ORDER + 1):
             new[1:] |= ids[1:, k - 1] != ids[:-1, k - 1]
@@ -287,7 +361,7 @@ def _merge(least: int):
             if k == ORDER or not key[1].as_py():
                 good &= f >= least
             out["lang"] += [kinds[i] for i in lang[starts[good]].tolist()]
-            out["phrase"] += [b" ".join([every[w - 1] for w in p]) for p in ids[starts[good], :k].tolist()]
+            out["phrase"] += [b" ".join([names[w - 1] for w in p]) for p in ids[starts[good], :k].tolist()]
             out["f"] += f[good].tolist()
             out["k"] += [k] * int(good.sum())
         text = pa.array(out["phrase"], pa.binary()).cast(pa.string())
@@ -303,22 +377,30 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     Texts are lower-cased (A-Z), split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and those at blanks and tabs into words; a
     phrase lies within a piece. Null text is empty, null lang is ``und``. Nothing is left out: partitions that are too
     large for a task are dealt again. ``memory``: keys that a task's trie holds; ``step``: words that it takes at once."""
+    spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    runs = stage(rows.mapInArrow(_count(max(64, size // part_bytes), memory, step), RUN), "runs")
-    words = runs.where("part < 0").select("lang", F.explode(F.arrays_zip("words", "each")).alias("x"))
-    words = words.groupBy("lang", F.col("x.words").cast("string").alias("phrase")).agg(F.sum("x.each").alias("f"))
-    paths = runs.where("part >= 0").drop("each")
+    words = rows.mapInArrow(_words(step), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("f"))
+    words = stage(words, "words")
+    bits = words.where(F.col("f") >= least).select("lang", "word").mapInArrow(_bits, "bit long")
+    # Rows of 4096 bytes, TABLE / 8 bytes in all, however many words there are.
+    bits = bits.groupBy(F.bitmap_bucket_number("bit").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    table = np.zeros(TABLE // 8, np.uint8)
+    for r in bits.toLocalIterator():
+        table[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    shared = spark.sparkContext.broadcast(table.tobytes())
+    paths = stage(rows.mapInArrow(_count(max(PARTS, size // part_bytes), memory, step, shared), RUN), "runs")
+    words = words.select("lang", F.col("word").cast("string").alias("phrase"), "f")
     large = paths.groupBy("part").agg(F.sum("n").alias("n")).where(F.col("n") > part_paths)
     large = stage(large.select("part", F.ceil(F.col("n") / part_paths).cast("int").alias("times")), "large")
     count = large.count()
     if count:
         large = F.broadcast(large) if count <= FEW else large
-        again = paths.join(large, "part").mapInArrow(_split, RUN).drop("each")
+        again = paths.join(large, "part").mapInArrow(_split, RUN)
         paths = paths.join(large, "part", "left_anti").unionByName(again)
     found = paths.groupBy("part", "sub").applyInArrow(_merge(least), COUNT)
     found = found.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return stage(words, "words"), stage(found, "phrases")
+    return words, stage(found, "phrases")
 
 
 def _wide(name: str) -> Column:

@@ -98,7 +98,7 @@ def test_trie_spills_whole_subtrees():
 
     for _ in range(2000):
         r, s = rng.randrange(9), (rng.randrange(4) << 42) | rng.randrange(30)
-        t.add(r, [s], [2])
+        t.add(r, [s, s])
         want[r, s] += 2
     out(200)
     out(0)
