@@ -98,6 +98,12 @@ def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_read(spark, sf_dir, "documents"))
 
 
+def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapewright.llm.lm_score import held_out, score_texts
+
+    return score_texts(_read(spark, sf_dir, "documents"), held_out()).withColumnRenamed("id", "doc_id")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tapewright.llm.merkle import leaf_hash, prove
 
@@ -269,5 +275,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op7_ngram_jaccard": (op7_ngram_jaccard, OP7_SQL),
     "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
     "op11_phrase_mining": (op11_phrase_mining, OP11_SQL),
+    "op12_lm_score": (op12_lm_score, None),
     "op13_merkle_manifest": (op13_merkle_manifest, OP13_SQL),
 }
