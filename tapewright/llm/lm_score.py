@@ -1,11 +1,12 @@
 """LM scoring: prediction by partial matching over bytes (order 4, escapes by the number of distinct symbols, symbol
 exclusion), pretrained on all training texts, beside a smoothed word model.
 
-The trie of byte contexts is never in one place. Texts are dealt into portions; each tells the distinct grams (a context
+The trie of byte contexts is never in one place. Texts are written in portions; each tells the distinct grams (a context
 of 4 bytes and its symbol) and words that it holds, with their training counts. Counts are summed over all portions.
 The trie is built subtree by subtree: contexts that end in the same two bytes are one group of at most
 256 * 256 * 257 grams, in which every gram gets its code length; contexts of one byte and none, 256 * 257 counts, are broadcast.
-What a portion asked for is joined back to it, and each portion scores its texts with a table no larger than itself."""
+What a portion asked for is joined back to it, and each portion scores its texts with a table no larger than itself.
+Words that only one portion holds are not sent back: it has counted them itself."""
 
 from __future__ import annotations
 
@@ -14,7 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.llm import textnum as tn
@@ -23,10 +25,7 @@ from tapewright.llm.store import stage
 ORDER, SYMBOLS, END = 4, 257, 256
 #: Bytes of text a portion; symbols, or words, handled at once; entries of a portion's counts before they are merged.
 PORTION, STEP, MERGE = 16 << 20, 1 << 20, 1 << 21
-#: The code of words in tables that hold both.
-WORD = -1
-SEEN = "p long, code long, word binary, n long"
-SCORES = "row long, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
@@ -78,61 +77,80 @@ def tokens(texts: pa.Array, step: int = STEP) -> Iterator[tuple[pa.DictionaryArr
         yield own.dictionary_encode(), doc[a:b]
 
 
-class _Portion:
-    """What a portion holds, with training counts."""
-
-    def __init__(self):
-        self.codes: list[np.ndarray] = []
-        self.n: list[np.ndarray] = []
-        self.size = 0
-        self.words: dict[bytes, int] = {}
-
-    def add(self, texts: pa.Array, times: int) -> None:
-        for code, _ in grams(texts):
-            kinds = pc.value_counts(pa.array(code))
-            self.codes.append(kinds.field("values").to_numpy())
-            self.n.append(kinds.field("counts").to_numpy() * times)
-            self.size += len(kinds)
-            if self.size > MERGE:
-                self.merge()
-        get = self.words.get
-        for own, _ in tokens(texts):
-            n = np.bincount(own.indices.to_numpy(), minlength=len(own.dictionary)) * times
-            for w, c in zip(own.dictionary.to_pylist(), n.tolist(), strict=True):
-                self.words[w] = get(w, 0) + c
-
-    def merge(self) -> None:
-        code, inverse = np.unique(np.concatenate(self.codes), return_inverse=True)
-        n = np.zeros(len(code), np.int64)
-        np.add.at(n, inverse, np.concatenate(self.n))
-        self.codes, self.n, self.size = [code], [n], len(code)
-
-    def rows(self, p: int) -> Iterator[pa.RecordBatch]:
-        if self.codes:
-            self.merge()
-            code, n = self.codes[0], self.n[0]
-            for at in range(0, len(code), STEP // 8):
-                own = code[at : at + STEP // 8]
-                yield pa.record_batch([np.full(len(own), p), own, pa.array([b""] * len(own)), n[at : at + STEP // 8]], names=["p", "code", "word", "n"])
-        words = list(self.words)
-        for at in range(0, len(words), STEP // 8):
-            own = words[at : at + STEP // 8]
-            yield pa.record_batch([np.full(len(own), p), np.full(len(own), WORD), pa.array(own, pa.binary()), pa.array([self.words[w] for w in own], pa.int64())], names=["p", "code", "word", "n"])
-
-
-def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    portions: dict[int, _Portion] = {}
+def _written(portion: int):
+    """(p, rows): the texts, each task's in portions of about so many bytes, in compressed batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for part in tn.slices(batch, "text"):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_batch(part)
+                yield pa.record_batch([pa.array([p]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["p", "rows"])
+                held += part.column(part.schema.get_field_index("text")).nbytes
+                if held >= portion:
+                    p, held = p + 1, 0
+
+    return run
+
+
+def _read(rows: pa.Array | pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+    for packed in rows:
+        yield from pa.ipc.open_stream(packed.as_buffer())
+
+
+def _by_kind(part: pa.RecordBatch) -> Iterator[tuple[pa.Array, int]]:
+    """The texts that train (1) and those that are held out (0)."""
+    held, text = (part.column(part.schema.get_field_index(c)) for c in ("held", "text"))
+    yield text.filter(pc.invert(held)), 1
+    yield text.filter(held), 0
+
+
+def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    code, inverse = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    n = np.zeros(len(code), np.int64)
+    np.add.at(n, inverse, np.concatenate([k for _, k in parts]))
+    return code, n
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(p, code, n): a portion's distinct grams and how often they train."""
+    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for batch in batches:
-        for part in tn.slices(batch, "text"):
-            p, held = (part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("p", "held"))
-            text = part.column(part.schema.get_field_index("text"))
-            for one in np.unique(p).tolist():
-                for test in (False, True):
-                    at = np.flatnonzero((p == one) & (held == test))
-                    if len(at):
-                        portions.setdefault(one, _Portion()).add(text.take(pa.array(at)), int(not test))
-    for p, portion in portions.items():
-        yield from portion.rows(p)
+        for at, p in enumerate(batch.column(0).to_pylist()):
+            own = found.setdefault(p, [])
+            for part in _read(batch.column(1).slice(at, 1)):
+                for text, trains in _by_kind(part):
+                    for code, _ in grams(text):
+                        kinds = pc.value_counts(pa.array(code))
+                        own.append((kinds.field("values").to_numpy(), kinds.field("counts").to_numpy() * trains))
+            if sum(len(c) for c, _ in own) > MERGE:
+                found[p] = [_merge(own)]
+    for p, own in found.items():
+        if own:
+            code, n = _merge(own)
+            yield pa.record_batch([pa.array(np.full(len(code), p)), pa.array(code), pa.array(n)], names=["p", "code", "n"])
+
+
+def _portion_words(rows: pa.Array | pa.ChunkedArray) -> dict[bytes, int]:
+    words: dict[bytes, int] = {}
+    for part in _read(rows):
+        for text, trains in _by_kind(part):
+            for own, _ in tokens(text):
+                n = np.bincount(own.indices.to_numpy(), minlength=len(own.dictionary)) * trains
+                for w, c in zip(own.dictionary.to_pylist(), n.tolist(), strict=True):
+                    words[w] = words.get(w, 0) + c
+    return words
+
+
+def _word_counts(key: tuple, rows: pa.Table) -> pa.Table:
+    """(p, word, n, kinds): a portion's distinct words and how often they train, and, as the empty word, their sums."""
+    words = _portion_words(rows["rows"])
+    n = list(words.values())
+    names = pa.array([*words, b""], pa.binary())
+    total = pa.array([*n, sum(n)], pa.int64())
+    return pa.table({"p": pa.array(np.full(len(names), key[0].as_py())), "word": names, "n": total, "kinds": pa.array([0] * len(n) + [sum(c > 0 for c in n)], pa.int64())})
 
 
 def code_lengths(code: np.ndarray, n: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -181,33 +199,34 @@ def code_lengths(code: np.ndarray, n: np.ndarray, one: np.ndarray) -> np.ndarray
 def _lengths(one: np.ndarray):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         code = table["code"].to_numpy()
-        return pa.table({"code": code, "word": table["word"], "value": code_lengths(code, table["n"].to_numpy(), one)})
+        return pa.table({"code": code, "value": code_lengths(code, table["n"].to_numpy(), one)})
 
     return run
 
 
 def _score(total: int, kinds: int, ends: int):
+    share = lambda c: np.log10((c + 1) / (total + kinds + 1))
+
     def run(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
-        code, word, value = told["code"].to_numpy(), told["word"].combine_chunks().cast(pa.large_binary()), told["value"].to_numpy()
-        is_word = code == WORD
-        known, length = pa.array(code[~is_word]), value[~is_word]
-        names, count = word.filter(pa.array(is_word)), value[is_word]
-        share = lambda c: np.log10((c + 1) / (total + kinds + 1))
+        code, word, value = (told[c].combine_chunks() for c in ("code", "word", "value"))
+        is_word = pc.is_valid(word)
+        known, length = code.filter(pc.invert(is_word)), value.filter(pc.invert(is_word)).to_numpy()
+        count = _portion_words(texts["rows"])
+        count.update(zip(word.filter(is_word).to_pylist(), value.filter(is_word).to_numpy().astype(np.int64).tolist(), strict=True))
         out = []
-        for batch in texts.to_batches():
-            for part in tn.slices(batch, "text"):
-                n, text = part.num_rows, part.column(part.schema.get_field_index("text"))
-                score, base, size, hits = np.zeros(n), np.full(n, share(ends)), np.ones(n, np.int64), np.full(n, int(ends > 0))
-                for own, doc in grams(text):
-                    at = pc.index_in(pa.array(own), value_set=known).to_numpy()
-                    score += np.bincount(doc, length[at], n)
-                for own, doc in tokens(text):
-                    c = count[pc.index_in(own.dictionary, value_set=names).to_numpy()][own.indices.to_numpy()]
-                    base += np.bincount(doc, share(c), n)
-                    size += np.bincount(doc, minlength=n)
-                    hits += np.bincount(doc, c > 0, n).astype(np.int64)
-                columns = [part.column(part.schema.get_field_index(c)) for c in ("row", "id", "held")]
-                out.append(pa.record_batch([*columns, size, hits, base, score], names=["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score"]))
+        for part in _read(texts["rows"]):
+            n, text = part.num_rows, part.column(part.schema.get_field_index("text"))
+            score, base, size, hits = np.zeros(n), np.full(n, share(ends)), np.ones(n, np.int64), np.full(n, int(ends > 0))
+            for own, doc in grams(text):
+                at = pc.index_in(pa.array(own), value_set=known).to_numpy()
+                score += np.bincount(doc, length[at], n)
+            for own, doc in tokens(text):
+                c = np.array([count[w] for w in own.dictionary.to_pylist()], np.int64)[own.indices.to_numpy()]
+                base += np.bincount(doc, share(c), n)
+                size += np.bincount(doc, minlength=n)
+                hits += np.bincount(doc, c > 0, n).astype(np.int64)
+            columns = [part.column(part.schema.get_field_index(c)) for c in ("id", "held")]
+            out.append(pa.record_batch([*columns, size, hits, base, score], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"]))
         return pa.Table.from_batches(out)
 
     return run
@@ -224,25 +243,30 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     training as often as they are there, and all get their scores; null ids stay null. An empty table gives an empty result. Only
     the columns named are read. Texts are read whole; ``portion``: about so many bytes of text share a task."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # Portions are cut within the scan's own partitions, so that no text moves for counting.
-    found = stage(rows.withColumns({"row": F.monotonically_increasing_id(), "size": F.octet_length("text")}), "texts")
-    most = found.groupBy(F.shiftright("row", 33).alias("part")).agg(F.sum("size").alias("n")).agg(F.max("n")).first()[0] or 0
-    cuts = -(-most // portion) or 1
-    p = F.shiftright("row", 33) * cuts + F.pmod(F.xxhash64("row"), F.lit(cuts))
-    texts = found.select("row", "id", "held", "text", p.alias("p"))
-    seen = stage(texts.select("p", "held", "text").mapInArrow(_seen, SEEN), "seen")
-    counts = stage(seen.groupBy("code", "word").agg(F.sum("n").alias("n")), "counts")
-    words = counts.where(F.col("code") == WORD).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("kinds")).first()
-    ends = texts.where("NOT held").count()
-    total, kinds = words["n"] + ends, words["kinds"] + (ends > 0)
+    ends = rows.where("NOT held").count()
+    texts = stage(rows.mapInArrow(_written(portion), "p long, rows binary"), "texts")
+    # Grams, and how often they occur in all portions; a portion's are sent back with their lengths.
+    seen = stage(texts.mapInArrow(_gram_counts, "p long, code long, n long"), "grams")
+    counts = stage(seen.groupBy("code").agg(F.sum("n").alias("n")), "counts")
     # At most 256 * 257 rows.
-    low = counts.where(F.col("code") >= 0).groupBy(F.col("code").bitwiseAND((1 << 17) - 1).alias("c")).agg(F.sum("n").alias("n")).collect()
+    low = counts.groupBy(F.col("code").bitwiseAND((1 << 17) - 1).alias("c")).agg(F.sum("n").alias("n")).collect()
     one = np.zeros((256, SYMBOLS), np.int64)
     for r in low:
         one[r["c"] >> 9, r["c"] & 511] = r["n"]
-    lengths = counts.where(F.col("code") >= 0).groupBy(F.shiftright("code", 9).bitwiseAND(0xFFFF).alias("tail")).applyInArrow(_lengths(one), "code long, word binary, value double")
-    values = lengths.unionByName(counts.where(F.col("code") == WORD).select("code", "word", F.col("n").cast("double").alias("value")))
-    told = seen.select("p", "code", "word").join(stage(values, "values"), ["code", "word"]).select(F.col("p").alias("q"), "code", "word", "value")
+    lengths = counts.groupBy(F.shiftright("code", 9).bitwiseAND(0xFFFF).alias("tail")).applyInArrow(_lengths(one), "code long, value double")
+    told = seen.select("p", "code").join(stage(lengths, "lengths"), "code").select(F.col("p").alias("q"), "code", F.lit(None).cast("binary").alias("word"), "value")
+    # Words: one shuffle; of the keys that several portions share, all rows stay. A key has a row a portion at most.
+    words = texts.groupBy("p").applyInArrow(_word_counts, "p long, word binary, n long, kinds long")
+    key = Window.partitionBy("word")
+    words = words.withColumns({"total": F.sum("n").over(key), "portions": F.count("*").over(key), "first": F.row_number().over(key.orderBy("p")) == 1})
+    shared = stage(words.where("portions > 1 OR word = X''").drop("portions"), "words")
+    whole, own = F.col("word") == F.lit(b""), F.col("word") != F.lit(b"")
+    sums = shared.agg(
+        F.coalesce(F.sum(F.when(whole, F.col("n"))), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(whole, F.col("kinds"))), F.lit(0)).alias("kinds"),
+        F.count_if(own & (F.col("n") > 0)).alias("again"), F.count_if(own & F.col("first") & (F.col("total") > 0)).alias("once"),
+    ).first()
+    total, kinds = sums["n"] + ends, sums["kinds"] - sums["again"] + sums["once"] + (ends > 0)
+    told = told.unionByName(shared.where(own & (F.col("total") != F.col("n"))).select(F.col("p").alias("q"), F.lit(None).cast("long").alias("code"), "word", F.col("total").cast("double").alias("value")))
     scored = texts.groupBy("p").cogroup(told.groupBy("q")).applyInArrow(_score(total, kinds, ends), SCORES)
     return scored.select("id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 

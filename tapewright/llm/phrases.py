@@ -34,7 +34,7 @@ WORD_BITS, STEP, BURST, MEMORY = 21, 1 << 19, 1 << 12, 1 << 19
 MASK = (1 << WORD_BITS) - 1
 #: Bytes of text a prefix partition; paths that one task merges; partitions at least.
 PART_BYTES, PART_PATHS, PARTS = 8 << 20, 3_000_000, 16
-FEW = 1 << 16
+FEW, CELLS = 1 << 16, 32
 #: Bytes of text counted at once; distinct words that a task counts before it gives them out; bits of the table of words.
 SLICE, KINDS, TABLE = 4 << 20, 1 << 18, 1 << 25
 _SEPARATOR = np.zeros(256, bool)
@@ -434,6 +434,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     longer = split.where("k > 2").select("lang", "a", F.explode(F.array_distinct(inner)).alias("phrase"))
     longer = longer.groupBy("lang", "phrase").agg(F.max("a").alias("over"))
     best = best.join(longer, ["lang", "phrase"], "left").where((_wide("over") * 100 < _wide("a") * cover) | F.col("over").isNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    ranked = best.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
+    rank = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    # The first ones of each cell, then of all: a language's task gets CELLS * top rows at most.
+    cells = best.withColumn("cell", F.pmod(F.xxhash64("phrase"), F.lit(CELLS)))
+    firsts = cells.withColumn("own", rank("cell")).where(F.col("own") <= top).drop("own", "cell")
+    ranked = firsts.withColumn("rank", rank().cast("long")).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
