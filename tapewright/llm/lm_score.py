@@ -24,7 +24,7 @@ from tapewright.llm.store import stage
 
 ORDER, SYMBOLS, END = 4, 257, 256
 #: Bytes of text a portion; symbols, or words, handled at once; entries of a portion's counts before they are merged.
-PORTION, STEP, MERGE = 16 << 20, 1 << 20, 1 << 21
+PORTION, STEP, MERGE = 16 << 20, 1 << 20, 1 << 19
 SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -133,24 +133,34 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(np.full(len(code), p)), pa.array(code), pa.array(n)], names=["p", "code", "n"])
 
 
-def _portion_words(rows: pa.Array | pa.ChunkedArray) -> dict[bytes, int]:
-    words: dict[bytes, int] = {}
-    for part in _read(rows):
-        for text, trains in _by_kind(part):
-            for own, _ in tokens(text):
-                n = np.bincount(own.indices.to_numpy(), minlength=len(own.dictionary)) * trains
-                for w, c in zip(own.dictionary.to_pylist(), n.tolist(), strict=True):
-                    words[w] = words.get(w, 0) + c
-    return words
+class _Words:
+    """A portion's words, coded: how often each trains, and the codes and texts' places of each batch's."""
+
+    def __init__(self, rows: pa.Array | pa.ChunkedArray, keep: bool = False):
+        self.code: dict[bytes, int] = {}
+        self.batches: list[list[tuple[np.ndarray, np.ndarray]]] = []
+        n = np.zeros(0, np.int64)
+        for part in _read(rows):
+            held, text = (part.column(part.schema.get_field_index(c)) for c in ("held", "text"))
+            trains, own_batch = ~held.to_numpy(zero_copy_only=False), []
+            for own, doc in tokens(text):
+                codes = np.array([self.code.setdefault(w, len(self.code)) for w in own.dictionary.to_pylist()], np.int64)
+                at = own.indices.to_numpy()
+                n = np.pad(n, (0, len(self.code) - len(n)))
+                n[codes] += np.bincount(at[trains[doc]], minlength=len(codes))
+                if keep:
+                    own_batch.append((codes.astype(np.int32)[at], doc.astype(np.int32)))
+            self.batches.append(own_batch)
+        self.n = n
 
 
 def _word_counts(key: tuple, rows: pa.Table) -> pa.Table:
     """(p, word, n, kinds): a portion's distinct words and how often they train, and, as the empty word, their sums."""
-    words = _portion_words(rows["rows"])
-    n = list(words.values())
-    names = pa.array([*words, b""], pa.binary())
-    total = pa.array([*n, sum(n)], pa.int64())
-    return pa.table({"p": pa.array(np.full(len(names), key[0].as_py())), "word": names, "n": total, "kinds": pa.array([0] * len(n) + [sum(c > 0 for c in n)], pa.int64())})
+    words = _Words(rows["rows"])
+    names, n = pa.array([*words.code, b""], pa.binary()), words.n
+    kinds = np.zeros(len(names), np.int64)
+    kinds[-1] = (n > 0).sum()
+    return pa.table({"p": pa.array(np.full(len(names), key[0].as_py())), "word": names, "n": pa.array(np.append(n, n.sum())), "kinds": pa.array(kinds)})
 
 
 def code_lengths(code: np.ndarray, n: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -211,17 +221,17 @@ def _score(total: int, kinds: int, ends: int):
         code, word, value = (told[c].combine_chunks() for c in ("code", "word", "value"))
         is_word = pc.is_valid(word)
         known, length = code.filter(pc.invert(is_word)), value.filter(pc.invert(is_word)).to_numpy()
-        count = _portion_words(texts["rows"])
-        count.update(zip(word.filter(is_word).to_pylist(), value.filter(is_word).to_numpy().astype(np.int64).tolist(), strict=True))
-        out = []
-        for part in _read(texts["rows"]):
+        words, out = _Words(texts["rows"], keep=True), []
+        count = words.n
+        count[[words.code[w] for w in word.filter(is_word).to_pylist()]] = value.filter(is_word).to_numpy().astype(np.int64)
+        for part, coded in zip(_read(texts["rows"]), words.batches, strict=True):
             n, text = part.num_rows, part.column(part.schema.get_field_index("text"))
             score, base, size, hits = np.zeros(n), np.full(n, share(ends)), np.ones(n, np.int64), np.full(n, int(ends > 0))
             for own, doc in grams(text):
                 at = pc.index_in(pa.array(own), value_set=known).to_numpy()
                 score += np.bincount(doc, length[at], n)
-            for own, doc in tokens(text):
-                c = np.array([count[w] for w in own.dictionary.to_pylist()], np.int64)[own.indices.to_numpy()]
+            for own, doc in coded:
+                c = count[own]
                 base += np.bincount(doc, share(c), n)
                 size += np.bincount(doc, minlength=n)
                 hits += np.bincount(doc, c > 0, n).astype(np.int64)
