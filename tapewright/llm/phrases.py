@@ -4,12 +4,12 @@ Each task counts paths, one from every word up to ORDER words or the end of its
 a root by first word, hash containers of packed suffixes under it, which burst into containers by second word. A full
 trie spills whole subtrees as sorted runs with their own words, one run for each prefix partition (by the first
 two words). A prefix partition's runs are merged, and the counts of all shorter phrases are sums over neighbouring
-paths. Partitions grow in number with the text; one that is too large for a task is dealt again by third and fourth
-word, its sums over prefixes then being added up by Spark.
+paths. Partitions grow in number with the text; one that is too large for a task is dealt again by whole
+paths, its sums over prefixes then being added up by Spark.
 
-Single words are counted before. No phrase of enough occurrences holds a word of fewer, so paths end at rare words: those
-whose bit in a table of fixed size, where every word of enough occurrences sets one, is not set. Words that share a
-bit with another are counted for nothing, but none is missed."""
+Single words are counted first, then pairs, then longer paths. No phrase of enough occurrences holds a word or a pair of
+fewer, so paths end at rare ones: those whose bit in a table of fixed size, where every word (or pair) of enough
+occurrences sets one, is not set. Those that share a bit with another are counted for nothing, but none is missed."""
 
 from __future__ import annotations
 
@@ -30,13 +30,13 @@ from tapewright.llm.store import stage
 ORDER, LEAST, TOP, SCALE, COVER = 4, 30, 2000, 2_000_000, 80
 UNKNOWN = "und"
 #: Bits of a task's word id; positions encoded at once; keys of a container; keys of a trie.
-WORD_BITS, STEP, BURST, MEMORY = 21, 1 << 19, 1 << 12, 1 << 19
+WORD_BITS, STEP, BURST, MEMORY = 21, 1 << 19, 1 << 12, 3 << 17
 MASK = (1 << WORD_BITS) - 1
 #: Bytes of text a prefix partition; paths that one task merges; partitions at least.
 PART_BYTES, PART_PATHS, PARTS = 8 << 20, 3_000_000, 16
 FEW, CELLS = 1 << 16, 32
 #: Bytes of text counted at once; distinct words that a task counts before it gives them out; bits of the table of words.
-SLICE, KINDS, TABLE = 4 << 20, 1 << 18, 1 << 25
+SLICE, KINDS, TABLE = 2 << 20, 1 << 18, 1 << 26
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _BLANK = _SEPARATOR.copy()
@@ -149,9 +149,15 @@ def _runs(part: np.ndarray, sub: np.ndarray, lang: np.ndarray, ids: np.ndarray,
     return pa.record_batch(columns, names=_NAMES)
 
 
-def _bit(h: np.ndarray, of: np.ndarray | np.uint64) -> np.ndarray:
-    """The table's bit of a word, by its hash and its language's."""
-    return tn.mix(h + of) % np.uint64(TABLE)
+def _bit(of: np.ndarray, *h: np.ndarray) -> np.ndarray:
+    """The table's bit of words, by their hashes and their language's."""
+    for x in h:
+        of = tn.mix(of + x)
+    return of % np.uint64(TABLE)
+
+
+def _set(table: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
 def _word_array(words: tn.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -195,14 +201,27 @@ def _words(step: int):
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bits of phrases of as many words each."""
     for batch in batches:
-        for rows in tn.slices(batch, "word"):
+        for rows in tn.slices(batch, "phrase"):
             langs = rows.column(0).dictionary_encode()
             of = np.array([_hash(x.encode()) for x in langs.dictionary.to_pylist()], np.uint64)[langs.indices.to_numpy()]
-            bit = _bit(tn.Words(rows.column(1).cast(pa.string()), _BLANK).hashes(), of).astype(np.int64)
+            words = tn.Words(rows.column(1).cast(pa.string()), _BLANK)
+            k, h = int(words.count[0]), words.hashes()
+            bit = _bit(of, *(h[i::k] for i in range(k))).astype(np.int64)
             yield pa.record_batch([pa.array(bit + 1)], names=["bit"])  # Spark numbers bits from 1
 
 
+def _table(frequent: DataFrame):
+    """The table of bits of (lang, phrase), broadcast: TABLE / 8 bytes, in rows of 4096, however many phrases there are."""
+    bits = frequent.select("lang", "phrase").mapInArrow(_bits, "bit long")
+    bits = bits.groupBy(F.bitmap_bucket_number("bit").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    table = np.zeros(TABLE // 8, np.uint8)
+    for r in bits.toLocalIterator():
+        table[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return frequent.sparkSession.sparkContext.broadcast(table.tobytes())
+
+
 class _Counter:
     """A task's trie, its words and its languages."""
 
@@ -214,9 +233,10 @@ class _Counter:
         self.trie, self.words, self.langs = HatTrie(), {}, {}
         self.hashes: list[int] = []
 
-    def add(self, ids: np.ndarray, lang: np.ndarray, left: np.ndarray) -> None:
-        """Counts a path from each of the first ``len(left)`` words, over as many words as are ``left``, if there are two."""
-        at = np.flatnonzero(left > 1)
+    def add(self, ids: np.ndarray, lang: np.ndarray, left: np.ndarray, least: int, most: int) -> None:
+        """Counts a path from each of the first ``len(left)`` words, over as many words as are ``left``, at most ``most``, if
+        there are ``least``."""
+        at, left = np.flatnonzero(left >= least), np.minimum(left, most)
         if not len(at):
             return
         n, left = len(at), left[at]
@@ -262,24 +282,27 @@ class _Counter:
         self.reset()
 
 
-def _count(parts: int, memory: int, step: int, table):
+def _count(parts: int, memory: int, step: int, least: int, most: int, words_table, pairs_table=None):
+    """The runs of paths of ``least`` to ``most`` words, within frequent words and pairs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, bits = _Counter(parts, memory), np.frombuffer(table.value, np.uint8)
+        c, single = _Counter(parts, memory), np.frombuffer(words_table.value, np.uint8)
         for batch in batches:
             for rows in tn.slices(batch, "text", SLICE):
                 words = tn.Words(rows.column(1), _BLANK, _LOWER)
                 if not len(words.starts):
                     continue
                 langs = [c.langs.setdefault(x, len(c.langs)) for x in rows.column(0).to_pylist()]
-                lang = np.repeat(np.array(langs, np.int64), words.count)
-                of = np.array([_hash(x.encode()) for x in c.langs], np.uint64)
-                bit = _bit(words.hashes(), of[lang])
-                often = (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                # Where no frequent word of the same piece follows.
+                lang, h = np.repeat(np.array(langs, np.int64), words.count), words.hashes()
+                of = np.array([_hash(x.encode()) for x in c.langs], np.uint64)[lang]
+                often = _set(single, _bit(of, h))
+                # Where no frequent word of the same piece follows, or none that makes a frequent pair.
                 seps = np.flatnonzero(_SEPARATOR[words.data])
                 last = np.ones(len(often), bool)
                 last[:-1] = (np.searchsorted(seps, words.starts[1:]) != np.searchsorted(seps, words.ends[:-1])) | ~often[1:]
                 last[words.hi[words.count > 0] - 1] = True
+                if pairs_table is not None:
+                    last[:-1] |= ~_set(np.frombuffer(pairs_table.value, np.uint8), _bit(of[:-1], h[:-1], h[1:]))
                 at = np.flatnonzero(often)
                 lang, ends = lang[at], np.flatnonzero(last[at])
                 body, offsets = _word_array(words)
@@ -292,7 +315,7 @@ def _count(parts: int, memory: int, step: int, table):
                         c.langs.update({x: i for i, x in enumerate(known)})
                     own = names.slice(a, upto - a).dictionary_encode()
                     ids = c.ids_of(own.dictionary.to_pylist())[own.indices.to_numpy()]
-                    c.add(ids, lang[a:b], ends[np.searchsorted(ends, np.arange(a, b))] - np.arange(a, b) + 1)
+                    c.add(ids, lang[a:b], ends[np.searchsorted(ends, np.arange(a, b))] - np.arange(a, b) + 1, least, most)
                     if c.trie.size > memory:
                         yield from c.spill(memory // 2)
         yield from c.flush()
@@ -322,21 +345,21 @@ def _open(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs dealt again by third and fourth word, into ``times`` each."""
+    """Runs dealt again by whole paths, into ``times`` each."""
     for batch in batches:
         for at in range(batch.num_rows):
             one = batch.slice(at, 1)
             _, ids, counts, names = _open(one)
             h = np.array([0, *map(_hash, names)], np.uint64)
-            sub = tn.mix(tn.mix(h[ids[:, 2]]) + h[ids[:, 3]]) % np.uint64(one["times"][0].as_py())
+            sub = _bit(*(h[ids[:, k]] for k in range(ORDER))) % np.uint64(one["times"][0].as_py())
             part = np.full(len(ids), one["part"][0].as_py(), np.int64)
             yield _runs(part, sub.astype(np.int64) + 1, np.zeros(len(ids), np.int64), ids, counts, names, one["lang"].to_pylist())
 
 
-def _merge(least: int):
+def _merge(least: int, first: int, most: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        """The runs of a partition as one, and the counts of its phrases: all that occur ``least`` times, or, of a
-        partition that was dealt again (sub over 0), all whose other occurrences may be elsewhere."""
+        """The runs of a partition as one, and the counts of its phrases of ``first`` words or more: all that occur
+        ``least`` times, or, of a partition that was dealt again (sub over 0), all whose other occurrences may be elsewhere."""
         row, ids, counts, names = _open(table)
         langs = table["lang"].to_pylist()
         kinds = sorted(set(langs))
@@ -353,12 +376,14 @@ def _merge(least: int):
         out: dict[str, list] = {"lang": [], "k": [], "phrase": [], "f": []}
         new = np.ones(len(ids), bool)
         new[1:] = (lang[1:] != lang[:-1]) | (ids[1:, 0] != ids[:-1, 0])
-        for k in range(2, ORDER + 1):
+        for k in range(2, most + 1):
             new[1:] |= ids[1:, k - 1] != ids[:-1, k - 1]
+            if k < first:
+                continue
             starts = np.flatnonzero(new)
             f = np.add.reduceat(counts, starts) if len(starts) else counts
             good = ids[starts, k - 1] > 0
-            if k == ORDER or not key[1].as_py():
+            if k == most or not key[1].as_py():
                 good &= f >= least
             out["lang"] += [kinds[i] for i in lang[starts[good]].tolist()]
             out["phrase"] += [b" ".join([names[w - 1] for w in p]) for p in ids[starts[good], :k].tolist()]
@@ -377,30 +402,28 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     Texts are lower-cased (A-Z), split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and those at blanks and tabs into words; a
     phrase lies within a piece. Null text is empty, null lang is ``und``. Nothing is left out: partitions that are too
     large for a task are dealt again. ``memory``: keys that a task's trie holds; ``step``: words that it takes at once."""
-    spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    words = rows.mapInArrow(_words(step), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("f"))
+    parts = max(PARTS, size // part_bytes)
+    words = rows.mapInArrow(_words(step), "lang string, word binary, n long").groupBy("lang", F.col("word").cast("string").alias("phrase")).agg(F.sum("n").alias("f"))
     words = stage(words, "words")
-    bits = words.where(F.col("f") >= least).select("lang", "word").mapInArrow(_bits, "bit long")
-    # Rows of 4096 bytes, TABLE / 8 bytes in all, however many words there are.
-    bits = bits.groupBy(F.bitmap_bucket_number("bit").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    table = np.zeros(TABLE // 8, np.uint8)
-    for r in bits.toLocalIterator():
-        table[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(table.tobytes())
-    paths = stage(rows.mapInArrow(_count(max(PARTS, size // part_bytes), memory, step, shared), RUN), "runs")
-    words = words.select("lang", F.col("word").cast("string").alias("phrase"), "f")
-    large = paths.groupBy("part").agg(F.sum("n").alias("n")).where(F.col("n") > part_paths)
-    large = stage(large.select("part", F.ceil(F.col("n") / part_paths).cast("int").alias("times")), "large")
-    count = large.count()
-    if count:
-        large = F.broadcast(large) if count <= FEW else large
-        again = paths.join(large, "part").mapInArrow(_split, RUN)
-        paths = paths.join(large, "part", "left_anti").unionByName(again)
-    found = paths.groupBy("part", "sub").applyInArrow(_merge(least), COUNT)
-    found = found.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return words, stage(found, "phrases")
+    single = _table(words.where(F.col("f") >= least))
+
+    def paths(first: int, most: int, pairs=None) -> DataFrame:
+        runs = stage(rows.mapInArrow(_count(parts, memory, step, first, most, single, pairs), RUN), "runs")
+        large = runs.groupBy("part").agg(F.sum("n").alias("n")).where(F.col("n") > part_paths)
+        large = stage(large.select("part", F.ceil(F.col("n") / part_paths).cast("int").alias("times")), "large")
+        count = large.count()
+        if count:
+            large = F.broadcast(large) if count <= FEW else large
+            again = runs.join(large, "part").mapInArrow(_split, RUN)
+            runs = runs.join(large, "part", "left_anti").unionByName(again)
+        found = runs.groupBy("part", "sub").applyInArrow(_merge(least, first, most), COUNT)
+        found = found.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+        return stage(found, "phrases")
+
+    pairs = paths(2, 2)
+    return words, pairs.unionByName(paths(3, ORDER, _table(pairs)))
 
 
 def _wide(name: str) -> Column:
