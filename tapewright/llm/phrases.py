@@ -36,7 +36,7 @@ MASK = (1 << WORD_BITS) - 1
 PART_BYTES, PART_PATHS, PARTS = 8 << 20, 3_000_000, 16
 FEW, CELLS = 1 << 16, 32
 #: Bytes of text counted at once; distinct words that a task counts before it gives them out; bits of the table of words.
-SLICE, KINDS, TABLE = 2 << 20, 1 << 18, 1 << 26
+SLICE, KINDS, TABLE = 3 << 20, 1 << 18, 1 << 26
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _BLANK = _SEPARATOR.copy()
@@ -119,14 +119,15 @@ def _unpack(packed: bytes, columns: int, n: int) -> list[np.ndarray]:
 
 
 def _runs(part: np.ndarray, sub: np.ndarray, lang: np.ndarray, ids: np.ndarray, counts: np.ndarray, names: list[bytes], langs: list[str]) -> pa.RecordBatch:
-    """A row for each (part, sub, lang): its paths in order (first words as differences), and the words they use. ``ids``:
-    four columns, 0 for no word, else 1 plus the word's place in ``names``, which are sorted."""
+    """A row for each (part, sub, lang): its paths in order (first words as differences), and the words they use. ``ids``: a
+    column a word, 0 for no word, else 1 plus the word's place in ``names``, which are sorted."""
     kind = (part * (int(sub.max()) + 1) + sub) * len(langs) + lang
     bits = len(names).bit_length()
     if int(kind.max()).bit_length() + 2 * bits < 64:
-        order = np.lexsort(((ids[:, 2] << bits) | ids[:, 3], (((kind << bits) | ids[:, 0]) << bits) | ids[:, 1]))
+        key = [(((kind << bits) | ids[:, 0]) << bits) | ids[:, 1]]
+        order = np.argsort(key[0]) if ids.shape[1] == 2 else np.lexsort(((ids[:, 2] << bits) | ids[:, 3], *key))
     else:
-        order = np.lexsort((ids[:, 3], ids[:, 2], ids[:, 1], ids[:, 0], kind))
+        order = np.lexsort((*ids.T[::-1], kind))
     kind, ids, counts = kind[order], ids[order], counts[order]
     starts = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
     ends = [*starts[1:].tolist(), len(kind)]
@@ -225,23 +226,23 @@ def _table(frequent: DataFrame):
 class _Counter:
     """A task's trie, its words and its languages."""
 
-    def __init__(self, parts: int, memory: int):
-        self.parts, self.memory = parts, memory
+    def __init__(self, parts: int, memory: int, most: int):
+        self.parts, self.memory, self.most = parts, memory, most
         self.reset()
 
     def reset(self) -> None:
         self.trie, self.words, self.langs = HatTrie(), {}, {}
         self.hashes: list[int] = []
 
-    def add(self, ids: np.ndarray, lang: np.ndarray, left: np.ndarray, least: int, most: int) -> None:
-        """Counts a path from each of the first ``len(left)`` words, over as many words as are ``left``, at most ``most``, if
-        there are ``least``."""
-        at, left = np.flatnonzero(left >= least), np.minimum(left, most)
+    def add(self, ids: np.ndarray, lang: np.ndarray, left: np.ndarray, least: int) -> None:
+        """Counts a path from each of the first ``len(left)`` words, over as many words as are ``left``, if there are ``least``."""
+        at = np.flatnonzero(left >= least)
         if not len(at):
             return
         n, left = len(at), left[at]
-        w = [np.where(left > k, ids[np.minimum(at + k, len(ids) - 1)] + 1, 0) for k in range(1, ORDER)]
-        root, suffix = (lang[at] << WORD_BITS) | ids[at], (w[0] << 2 * WORD_BITS) | (w[1] << WORD_BITS) | w[2]
+        root, suffix = (lang[at] << WORD_BITS) | ids[at], np.zeros(n, np.int64)
+        for k in range(1, self.most):
+            suffix |= np.where(left > k, ids[np.minimum(at + k, len(ids) - 1)] + 1, 0) << (ORDER - 1 - k) * WORD_BITS
         order = np.argsort(root, kind="stable")
         root, keys = root[order], suffix[order].tolist()
         edge = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]]))
@@ -263,7 +264,7 @@ class _Counter:
         root, suffix, counts = self.trie.spill(keep)
         if not len(root):
             return
-        ids = np.stack([(root & MASK) + 1, suffix >> 2 * WORD_BITS, (suffix >> WORD_BITS) & MASK, suffix & MASK], axis=1)
+        ids = np.stack([(root & MASK) + 1, *[(suffix >> (ORDER - 1 - k) * WORD_BITS) & MASK for k in range(1, self.most)]], axis=1)
         used = np.unique(ids)
         used = used[used > 0]
         every = list(self.words)
@@ -286,7 +287,7 @@ def _count(parts: int, memory: int, step: int, least: int, most: int, words_tabl
     """The runs of paths of ``least`` to ``most`` words, within frequent words and pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, single = _Counter(parts, memory), np.frombuffer(words_table.value, np.uint8)
+        c, single = _Counter(parts, memory, most), np.frombuffer(words_table.value, np.uint8)
         for batch in batches:
             for rows in tn.slices(batch, "text", SLICE):
                 words = tn.Words(rows.column(1), _BLANK, _LOWER)
@@ -315,7 +316,7 @@ def _count(parts: int, memory: int, step: int, least: int, most: int, words_tabl
                         c.langs.update({x: i for i, x in enumerate(known)})
                     own = names.slice(a, upto - a).dictionary_encode()
                     ids = c.ids_of(own.dictionary.to_pylist())[own.indices.to_numpy()]
-                    c.add(ids, lang[a:b], ends[np.searchsorted(ends, np.arange(a, b))] - np.arange(a, b) + 1, least, most)
+                    c.add(ids, lang[a:b], ends[np.searchsorted(ends, np.arange(a, b))] - np.arange(a, b) + 1, least)
                     if c.trie.size > memory:
                         yield from c.spill(memory // 2)
         yield from c.flush()
@@ -323,7 +324,7 @@ def _count(parts: int, memory: int, step: int, least: int, most: int, words_tabl
     return run
 
 
-def _open(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def _open(table: pa.Table | pa.RecordBatch, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """Of all rows: the row of each path, the paths, the counts, the words; ids are 1 plus the word's place, 0 for none."""
     sizes = table["n"].to_pylist()
     lists = [zstandard.ZstdDecompressor().decompress(w).split(b"\n") for w in table["words"].to_pylist()]
@@ -332,10 +333,10 @@ def _open(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(1, len(order) + 1)
     place, at = place[coded.indices.to_numpy()], 0
-    ids, counts = np.empty((sum(sizes), ORDER), np.int64), np.empty(sum(sizes), np.int64)
+    ids, counts = np.empty((sum(sizes), most), np.int64), np.empty(sum(sizes), np.int64)
     done = 0
     for n, own, packed in zip(sizes, lists, table["paths"].to_pylist(), strict=True):
-        *columns, counts[done : done + n] = _unpack(packed, ORDER + 1, n)
+        *columns, counts[done : done + n] = _unpack(packed, most + 1, n)
         mine = np.concatenate([[0], place[at : at + len(own)]])
         columns[0] = np.cumsum(columns[0])
         for k, c in enumerate(columns):
@@ -344,34 +345,38 @@ def _open(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.
     return np.repeat(np.arange(len(sizes)), sizes), ids, counts, coded.dictionary.take(pa.array(order)).to_pylist()
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _split(most: int):
     """Runs dealt again by whole paths, into ``times`` each."""
-    for batch in batches:
-        for at in range(batch.num_rows):
-            one = batch.slice(at, 1)
-            _, ids, counts, names = _open(one)
-            h = np.array([0, *map(_hash, names)], np.uint64)
-            sub = _bit(*(h[ids[:, k]] for k in range(ORDER))) % np.uint64(one["times"][0].as_py())
-            part = np.full(len(ids), one["part"][0].as_py(), np.int64)
-            yield _runs(part, sub.astype(np.int64) + 1, np.zeros(len(ids), np.int64), ids, counts, names, one["lang"].to_pylist())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                one = batch.slice(at, 1)
+                _, ids, counts, names = _open(one, most)
+                h = np.array([0, *map(_hash, names)], np.uint64)
+                sub = _bit(*(h[ids[:, k]] for k in range(most))) % np.uint64(one["times"][0].as_py())
+                part = np.full(len(ids), one["part"][0].as_py(), np.int64)
+                yield _runs(part, sub.astype(np.int64) + 1, np.zeros(len(ids), np.int64), ids, counts, names, one["lang"].to_pylist())
+
+    return run
 
 
 def _merge(least: int, first: int, most: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         """The runs of a partition as one, and the counts of its phrases of ``first`` words or more: all that occur
         ``least`` times, or, of a partition that was dealt again (sub over 0), all whose other occurrences may be elsewhere."""
-        row, ids, counts, names = _open(table)
+        row, ids, counts, names = _open(table, most)
         langs = table["lang"].to_pylist()
         kinds = sorted(set(langs))
         lang = np.array([kinds.index(x) for x in langs], np.int64)[row]
         bits = max(1, int(len(names)).bit_length())
-        if (ORDER * bits + len(kinds).bit_length()) < 63:
+        if (most * bits + len(kinds).bit_length()) < 63:
             path = lang
-            for k in range(ORDER):
+            for k in range(most):
                 path = (path << bits) | ids[:, k]
             order = np.argsort(path, kind="stable")  # the runs are in order: a merge
         else:
-            order = np.lexsort((ids[:, 3], ids[:, 2], ids[:, 1], ids[:, 0], lang))
+            order = np.lexsort((*ids.T[::-1], lang))
         lang, ids, counts = lang[order], ids[order], counts[order]
         out: dict[str, list] = {"lang": [], "k": [], "phrase": [], "f": []}
         new = np.ones(len(ids), bool)
@@ -416,7 +421,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         count = large.count()
         if count:
             large = F.broadcast(large) if count <= FEW else large
-            again = runs.join(large, "part").mapInArrow(_split, RUN)
+            again = runs.join(large, "part").mapInArrow(_split(most), RUN)
             runs = runs.join(large, "part", "left_anti").unionByName(again)
         found = runs.groupBy("part", "sub").applyInArrow(_merge(least, first, most), COUNT)
         found = found.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
