@@ -29,7 +29,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_r
 
     Sources by code point, null last, weigh ``weights``, repeating. All sizes are shared by weight; a target stops at
     ``max_repeats`` times its source's size, and the excess is reshared until none is above. Each round is an
-    aggregate over the sources that gives the driver two numbers."""
+    aggregate over the sources that gives the driver two numbers. An empty table gives an empty result."""
     k = len(weights)
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     ranked = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % k + 1).cast("int")))
@@ -85,8 +85,8 @@ def schedule(sources: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size",
         weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """(id, size, source, source_size, target, taken): one row for each row of ``docs``, with the words that the mix
-    takes of it, repeats counted.
+    """(id, size, source, source_size, target, taken, first_slot, n_slots): one row for each row of ``docs``, with the words
+    that the mix takes of it, repeats counted, the first slot of the schedule that takes any (null: none does), and how many do.
 
     A source's documents, shuffled by the MD5 of their ids, form a line, cut into blocks of equal words. Its budget is its
     target, rounded to a word: whole passes over its blocks, then the first ones, the last of them cut where the budget
@@ -152,10 +152,14 @@ def _pieces(lined: DataFrame) -> DataFrame:
 
 
 def _taken(lined: DataFrame, targets: DataFrame) -> DataFrame:
-    used = _slots(targets).groupBy("us", "ub", "end").agg(F.count("*").alias("times"))
+    used = _slots(targets).groupBy("us", "ub", "end").agg(F.count("*").alias("times"), F.min("slot").alias("slot"))
     pieces = _pieces(lined).join(used, F.col("source").eqNullSafe(F.col("us")) & (F.col("b") == F.col("ub")), "left")
     over = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), F.col("end")) - F.greatest(F.col("start"), F.col("b") * F.col("block")))
     # Places on a source's line are all different where there is a size, so these are the rows themselves.
     whole = ["id", "size", "source", "source_size", "target"]
-    some = pieces.groupBy(*whole, "start").agg(F.sum(F.coalesce(F.col("times") * over, F.lit(0))).cast("long").alias("taken"))
-    return some.drop("start").unionAll(lined.where("size = 0").select(*whole, F.lit(0).cast("long").alias("taken")))
+    some = pieces.groupBy(*whole, "start").agg(
+        F.sum(F.coalesce(F.col("times") * over, F.lit(0))).cast("long").alias("taken"), F.min(F.when(over > 0, F.col("slot"))).alias("first_slot"),
+        F.coalesce(F.sum(F.when(over > 0, F.col("times"))), F.lit(0)).alias("n_slots"),
+    )
+    none = [F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"), F.lit(0).cast("long").alias("n_slots")]
+    return some.drop("start").unionAll(lined.where("size = 0").select(*whole, *none))

@@ -16,7 +16,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tapewright.llm.mixing import mix, word_count
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size"))
-    return mix(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mix(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,10 +142,24 @@ l AS (
 o AS (
   SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY run, h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM l),
-z AS (SELECT o.*, t.ss, t.target, round(t.target)::BIGINT AS budget FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, ss AS source_size, target,
-       (CASE WHEN size = 0 THEN 0 ELSE (budget // ss) * size + greatest(0, least(start + size, budget % ss) - start) END)::BIGINT AS taken
-FROM z
+z AS (SELECT o.*, t.ss, t.target, round(t.target)::BIGINT AS budget FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source),
+c AS (
+  SELECT source, ss, greatest(1, least(greatest(64, least(4096, (SELECT sum(ss) FROM s) // 65536)), ceil(ss / 16)))::BIGINT AS block, round(target)::BIGINT AS budget FROM t),
+e AS (SELECT *, budget // greatest(ss, 1) AS passes, budget % greatest(ss, 1) AS rest, ceil(ss / block)::BIGINT AS blocks FROM c),
+k AS (SELECT *, (passes * blocks + ceil(rest / block))::BIGINT AS slots FROM e),
+i AS (SELECT *, sum(slots) OVER (ORDER BY source NULLS LAST)::BIGINT AS hi, sum(slots) OVER ()::DOUBLE AS whole FROM k WHERE slots > 0),
+j AS (SELECT j, j * 0.6180339887498949::DOUBLE - floor(j * 0.6180339887498949::DOUBLE) AS u FROM (SELECT unnest(range(3 * (SELECT max(whole) FROM i)::BIGINT)) AS j)),
+q AS (
+  SELECT i.*, j, row_number() OVER (PARTITION BY source ORDER BY j) - 1 AS rank FROM j JOIN i ON u >= (hi - slots) / whole AND u < hi / whole QUALIFY rank < slots),
+b AS (
+  SELECT source, j, rank % blocks AS b, (rank % blocks) * block AS lo, least((rank % blocks + 1) * block, CASE WHEN rank // blocks = passes THEN rest ELSE ss END) AS up FROM q),
+n AS (
+  SELECT doc_id, start, min(j) AS first_slot, count(*) AS n_slots FROM z JOIN b ON z.source IS NOT DISTINCT FROM b.source AND b.lo < z.start + z.size AND b.up > z.start
+  WHERE z.size > 0 GROUP BY doc_id, start)
+SELECT z.doc_id, size, ss AS source_size, target,
+       (CASE WHEN size = 0 THEN 0 ELSE (budget // ss) * size + greatest(0, least(z.start + size, budget % ss) - z.start) END)::BIGINT AS taken,
+       first_slot, coalesce(n_slots, 0)::BIGINT AS n_slots
+FROM z LEFT JOIN n ON n.doc_id = z.doc_id AND n.start = z.start AND z.size > 0
 """
 
 OP1_SQL = r"""
