@@ -23,6 +23,8 @@ PER_LANGUAGE, SAMPLE = 400, 4096
 LANDMARKS, ALL_LANDMARKS, LANGUAGES, RIDGE = 64, 256, 512, 1e-2
 #: Cells of the hash range by which labelled rows are counted: 2 ** CELL_BITS a language.
 CELL_BITS = 11
+#: The rejection level lies this far from the least score there is to a quantile of the sample's out-of-fold scores.
+MARGIN, QUANTILE, FOLDS = 0.5, 0.001, 2
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -80,7 +82,7 @@ def fit(rows: list[bytes], langs: list[str], landmarks: int = LANDMARKS, ridge:
     there are many languages). ``rows`` are the texts' bits."""
     languages = sorted(set(langs))
     if len(languages) > LANGUAGES:
-        raise ValueError(f"over {LANGUAGES} languages are labelled")
+        raise ValueError(f"over {LANGUAGES} languages")
     y = np.array([languages.index(x) for x in langs])
     each = max(1, min(landmarks, ALL_LANDMARKS // len(languages)))
     marks = np.concatenate([np.flatnonzero(y == c)[:each] for c in range(len(languages))])
@@ -100,6 +102,27 @@ def fit(rows: list[bytes], langs: list[str], landmarks: int = LANDMARKS, ridge:
     return Model(languages, (lm.T @ (root @ beta)).astype(np.float32), tc - zc @ beta)
 
 
+def rejection_level(rows: list[bytes], langs: list[str]) -> float:
+    """The score under which a text is told to be in none of the languages.
+
+    Each of FOLDS parts of the sample is scored by a model of the others. The level lies MARGIN of the way from 1 over the number
+    of languages, which a text gets that shares nothing with any of them, to the QUANTILE of those scores: so low that
+    the sample's own texts stay. With one language there is nothing to tell it from: 0, no text is rejected."""
+    n = len(set(langs))
+    if n < 2:
+        return 0.0
+    told = []
+    for fold in range(FOLDS):
+        inside = [i for i in range(len(rows)) if i % FOLDS != fold]
+        if len({langs[i] for i in inside}) < n:
+            continue  # a language of so few texts can't be told without them
+        m = fit([rows[i] for i in inside], [langs[i] for i in inside])
+        out = [rows[i] for i in range(len(rows)) if i % FOLDS == fold]
+        told += [((1 + presence(out[a : a + 128]) @ m.weights + m.bias) / 2).max(1) for a in range(0, len(out), 128)]
+    scores = np.clip(np.concatenate(told), 0, 1) if told else np.zeros(1)
+    return 1 / n + MARGIN * max(0.0, float(np.quantile(scores, QUANTILE, method="lower")) - 1 / n)
+
+
 def _bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in tn.slices(batch, "text"):
@@ -109,29 +132,38 @@ def _bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, usable, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> DataFrame:
     """(lang, h, bits): of each language, the ``per_language`` usable labelled texts first by the hash ``h`` of id and
-    text, fewer if there are over ``sample / per_language`` languages. Equal rows count once."""
+    text, fewer if there are over ``sample / per_language`` languages. Of more than LANGUAGES languages those of the most
+    usable texts (about; then the first by code point) are taken. Equal rows count once."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), usable.alias("usable"))
     rows = rows.where(F.col("usable") & F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("id", "text").alias("h"), "text")
     keys = stage(rows.select("lang", "h", F.shiftright("h", 64 - CELL_BITS).cast("int").alias("cell")), "labelled")
     # Cells in order of the hash, counted first: only rows up to the cell that completes the sample are ranked.
-    cells = keys.groupBy("lang", "cell").agg(F.approx_count_distinct("h", 0.02).alias("about")).persist()
+    cells = stage(keys.groupBy("lang", "cell").agg(F.approx_count_distinct("h", 0.02).alias("about")), "cells")
     n = cells.select("lang").distinct().count()
+    if n > LANGUAGES:  # at most so many rows
+        most = cells.groupBy("lang").agg(F.sum("about").alias("about")).orderBy(F.desc("about"), "lang").limit(LANGUAGES)
+        cells, n = cells.join(F.broadcast(stage(most.select("lang"), "languages")), "lang"), LANGUAGES
     per_language = max(1, min(per_language, sample // max(1, n)))
     before = F.sum(F.floor(F.col("about") * 0.8)).over(Window.partitionBy("lang").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
     last = cells.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < per_language).groupBy("lang").agg(F.max("cell").alias("last"))
-    # One row a language.
+    # One row a language, LANGUAGES at most.
     first = keys.join(F.broadcast(last), "lang").where("cell <= last").select("lang", "h").distinct()
     first = first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= per_language).select("lang", "h")
-    cells.unpersist()
     # At most ``sample`` rows, or one a language.
     found = rows.join(F.broadcast(first), ["lang", "h"]).select("lang", "h", "text").mapInArrow(_bits_of, "lang string, h long, bits binary")
     return found.dropDuplicates(["lang", "h"])
 
 
-def train(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
-    """A model from the bounded sample of labelled rows, or None if there is no labelled row."""
+def _sample(docs: DataFrame, usable, id_col: str, text_col: str, lang_col: str, per_language: int) -> tuple[list[bytes], list[str]]:
     rows = sorted((r["h"], r["lang"], bytes(r["bits"])) for r in training_sample(docs, id_col, text_col, lang_col, usable, per_language).toLocalIterator())
-    return fit([r[2] for r in rows], [r[1] for r in rows]) if rows else None
+    return [r[2] for r in rows], [r[1] for r in rows]
+
+
+def train(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
+    """A model from the bounded sample of labelled rows, or None if there is no labelled row. Rows that repeat an id and
+    a text are one row of the sample; of over LANGUAGES labelled languages the most frequent ones are learned."""
+    rows, langs = _sample(docs, usable, id_col, text_col, lang_col, per_language)
+    return fit(rows, langs) if rows else None
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -172,18 +204,20 @@ def held_out(id_col: str = "doc_id"):
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: list[str] | None = None,
                least_score: float | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, that are told to be in one of ``languages`` (default: all learned ones) with
-    ``least_score`` or more (default: midway between 1/2, undecided, and 1 over the number of languages, the least
-    score there is); where ``lang_col`` is null it gets the language told. Other languages and noise are rejected.
+    ``least_score`` or more (default: the ``rejection_level`` of the training sample); where ``lang_col`` is null it gets
+    the language told. Other languages and noise are rejected. A label stays, even if another language is told.
 
     Null texts, empty ones and those without a letter go. Without any labelled row nothing can be told: then all texts
-    with a letter stay as they are. Repeated rows stay or go together; an empty table gives an empty result; other
-    columns, whatever their names, pass through."""
-    model = train(docs, ~held_out(id_col), id_col, text_col, lang_col)
-    if model is None:
+    with a letter stay as they are; with one labelled language all of them are told to be in it. Repeated rows stay or
+    go together; an empty table gives an empty result; columns are found whatever the case of their names; other columns,
+    whatever their names, pass through."""
+    rows, langs = _sample(docs, ~held_out(id_col), id_col, text_col, lang_col, PER_LANGUAGE)
+    if not rows:
         return docs.where(F.col(text_col).rlike(r"\p{L}"))
     if least_score is None:
-        least_score = (0.5 + 1 / len(model.languages)) / 2
-    told = predict(docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text")), model).where(F.col("score") >= least_score)
+        least_score = rejection_level(rows, langs)
+    own = next(c for c in docs.columns if c.lower() == lang_col.lower())
+    told = predict(docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text")), fit(rows, langs)).where(F.col("score") >= least_score)
     told = told.where(F.col("lang_pred").isin(languages) if languages is not None else F.col("lang_pred") != UNKNOWN)
-    named = F.coalesce(F.col("row")[lang_col], F.col("lang_pred")).cast(docs.schema[lang_col].dataType).alias(lang_col)
-    return told.select(*[named if c == lang_col else F.col("row")[c].alias(c) for c in docs.columns])
+    named = F.coalesce(F.col("row")[own], F.col("lang_pred")).cast(docs.schema[own].dataType).alias(own)
+    return told.select(*[named if c == own else F.col("row")[c].alias(c) for c in docs.columns])

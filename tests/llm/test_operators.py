@@ -513,3 +513,99 @@ def test_license_scan_against_brute_force(spark):
     got = {r.doc_id: {m.license for m in r.matches} for r in license_scan.scan_licenses(df, templates=templates).collect()}
     assert all(got[i] <= want[i] for i in range(len(texts))) and got[0] == got[300]
     assert sum(len(got[i]) for i in got) >= 0.98 * sum(map(len, want)) > 100
+
+
+def golden(slots):
+    """The slots of each source, by drawing points one after the other."""
+    whole, hi, shares = sum(slots.values()), 0, {}
+    for s in sorted(slots, key=lambda x: (x is None, x or "")):
+        shares[s] = (hi / whole, (hi + slots[s]) / whole)
+        hi += slots[s]
+    out, j = {s: [] for s in slots}, 0
+    while any(len(out[s]) < slots[s] for s in slots):
+        u = j * 0.6180339887498949 % 1
+        s = next((s for s, (lo, up) in shares.items() if lo <= u < up), None)
+        if s in out and len(out[s]) < slots[s]:
+            out[s].append(j)
+        j += 1
+    return out
+
+
+def test_schedule_is_that_of_the_golden_ratio(spark):
+    slots = {"a": 700, "b": 40, None: 3, "d": 257}
+    got = mixing.schedule(spark.createDataFrame(list(slots.items()), "source string, slots long")).toPandas()
+    want = golden(slots)
+    for s, j in want.items():
+        own = got[got["source"].isna()] if s is None else got[got["source"] == s]
+        assert own.sort_values("rank")["slot"].tolist() == j
+    # Every prefix of the slots is near the shares.
+    order = sorted((j, s) for s, js in want.items() for j in js)
+    for n in range(10, 900, 50):
+        for s in ("a", "b", "d"):
+            assert abs(sum(x == s for _, x in order[:n]) - n * slots[s] / 1000) < 6
+
+
+def test_block_order_covers_each_budget_once_and_mixes_evenly(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, rng.choice(["a", "a", "a", "b", "c", None]), rng.randrange(0, 400)) for i in range(300)], "doc_id long, source string, size long")
+    taken = {r.id: r for r in mixing.mix(docs).collect()}
+    got = mixing.block_order(docs).toPandas()
+    got["n"] = got["hi"] - got["lo"]
+    assert (got["n"] > 0).all() and (got["lo"] >= 0).all()
+    assert got.groupby("id")["n"].sum().to_dict() == {i: r.taken for i, r in taken.items() if r.taken}
+    assert got.groupby("id")["slot"].min().to_dict() == {i: r.first_slot for i, r in taken.items() if r.first_slot is not None}
+    assert got.groupby("id")["slot"].nunique().to_dict() == {i: r.n_slots for i, r in taken.items() if r.n_slots}
+    words = defaultdict(Counter)
+    for r in got.itertuples():
+        words[r.id].update(range(r.lo, r.hi))
+    for i, c in words.items():
+        assert max(c.values()) - min(c[w] for w in range(taken[i].size)) <= 1  # whole passes, and a part of one
+    total, targets = got["n"].sum(), {r.source: r.target for r in taken.values()}
+    whole = got.sort_values("slot")
+    for part in (0.25, 0.5, 0.75):
+        first = whole[whole["slot"] < whole["slot"].quantile(part)]
+        for s, t in targets.items():
+            own = first[first["source"].isna()] if s is None else first[first["source"] == s]
+            assert abs(own["n"].sum() / first["n"].sum() - t / total) < 0.05
+
+
+def tongue(rng, bits, n=40):
+    return " ".join("".join(rng.choice(bits) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+
+
+TONGUES = {"x": ["ka", "lo", "mi", "ren"], "y": ["zho", "xu", "bby", "wiq"], "z": ["äö", "ße", "ünd", "sch"]}
+
+
+@pytest.mark.parametrize("names", ["xy", "xyz", "x"])
+def test_language_stage_rejects_noise_and_keeps_texts(spark, names):
+    rng = random.Random(6)
+    clean = [(i, tongue(rng, TONGUES[names[i % len(names)]], 3 + i % 40), names[i % len(names)] if i % 5 else None) for i in range(240)]
+    junk = [(1000 + i, t, None) for i, t in enumerate(["漢字仮名交じり文です", "Ѓўћџ їєґ", "กขฃ คฅ", "q", "Ωμέγα ψυχή"] * 3)]
+    docs = spark.createDataFrame([*clean, *junk, (2000, None, "x"), (2001, " 12 3!", "x")], "doc_id long, text string, Lang string").withColumn("score", F.lit("clash"))
+    kept = {r.doc_id: r.Lang for r in lang_id.keep_known(docs).collect()}
+    assert {i for i, *_ in clean} <= set(kept) and not {2000, 2001} & set(kept)
+    assert all(kept[i] == names[i % len(names)] for i, *_ in clean)
+    assert (len({i for i, *_ in junk} & set(kept)) == 0) == (len(names) > 1)  # one language: nothing to tell it from
+    again = lang_id.keep_known(docs.unionByName(docs))
+    assert again.columns == docs.columns and again.count() == 2 * len(kept)
+
+
+def test_more_languages_than_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(lang_id, "LANGUAGES", 3)
+    rng = random.Random(2)
+    rows = [(i, tongue(rng, TONGUES["xyz"[i % 3]]), "xyz"[i % 3]) for i in range(120)] + [(500 + i, tongue(rng, ["pp", "tt"]), f"rare{i:03d}") for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS.split(", lang")[0] + ", lang string")
+    model = lang_id.train(docs, F.lit(True))
+    assert model.languages == ["x", "y", "z"]
+    assert lang_id.keep_known(docs).where("doc_id < 500").count() == 120
+
+
+def test_very_long_texts_of_every_operator(spark):
+    rng = random.Random(9)
+    long = prose(rng, 300_000)
+    docs = spark.createDataFrame([(1, long + " mail me: jo@example.com", "en"), (2, "short", "en"), (3, "kurz und gut", "de")], "doc_id long, text string, lang string")
+    (found,) = pii.find_personal_data(docs.select("doc_id", "text")).where("doc_id = 1").collect()
+    assert [(s["kind"], s["start"]) for s in found.base] == [("email", len(long) + 10)]
+    (hit,) = license_scan.scan_licenses(docs.select("doc_id", F.concat("text", F.lit("\nSPDX-License-Identifier: MIT")).alias("text"))).where("doc_id = 1").collect()
+    assert [m["license"] for m in hit.matches] == ["MIT"]
+    assert {r.doc_id: r.lang_pred for r in lang_id.predict(docs, lang_id.train(docs, F.lit(True))).collect()} == {1: "en", 2: "en", 3: "de"}
