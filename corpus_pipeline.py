@@ -11,8 +11,9 @@ from tapewright.llm.store import finished, fresh, release, shared_dir, stage, st
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what is told to be in one of the languages learned from the labelled rows, and fills in a null ``lang`` by
-    what is told. Null, empty and letterless texts, noise and other languages go. With no labelled row nothing is told:
-    texts with a letter stay. Rows that repeat stay or go together."""
+    what is told; a label that disagrees stays. Null, empty and letterless texts go, and those that score under the
+    sample's rejection level: noise and other languages. With no labelled row, or one labelled language, texts with a
+    letter stay; of over 512 languages the most frequent are learned. Rows that repeat stay or go together."""
     return lang_id.keep_known(docs)
 
 
