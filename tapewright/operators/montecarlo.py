@@ -1,96 +1,89 @@
-"""Monte Carlo checks, seeded per row, in Arrow batches: results do not depend on how rows are dealt."""
+"""Monte Carlo checks in the JVM: draws are functions of (seed, path, step), paths are rows or folds over their draws."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.functions import draws
 
-def bootstrap(r: list[float], sims: int = 5000, ruin: float = 10.0, seed: int = 42) -> tuple[float, float, float, float]:
-    """(share of resampled totals over 0, their median, their 5th percentile, share whose running sum falls to
-    -ruin); (0, 0, 0, 1) without trades. Resamples in blocks, so memory does not grow with the trades."""
-    x = np.asarray(r, float)
-    if not x.size:
-        return 0.0, 0.0, 0.0, 1.0
-    rng = np.random.default_rng(seed)
-    total, low = np.empty(sims), np.empty(sims)
-    step = max(1, (1 << 21) // x.size)
-    for a in range(0, sims, step):
-        path = np.cumsum(rng.choice(x, size=(min(step, sims - a), x.size), replace=True), axis=1)
-        total[a : a + step], low[a : a + step] = path[:, -1], path.min(1)
-    return float((total > 0).mean()), float(np.median(total)), float(np.percentile(total, 5)), float((low <= -ruin).mean())
-
-
-#: Paths drawn at once.
-PATHS = 1000
-
-
-def _first(reached: np.ndarray) -> np.ndarray:
-    """Of rows that become true once and stay so, how many steps they are false."""
-    return (~reached).sum(1)
-
-
-def target_first(side: str, entry: float, stop: float, target: float, sigma: float, drift: float = 0.0, bars: int = 60, sims: int = 4000, seed: int = 7) -> float:
-    """Share of normal walks that reach the target before the stop within ``bars``; the baseline if sigma is not positive.
-    A level has been reached by a step when the extreme of the walk up to it is past the level."""
-    gain, risk = abs(target - entry), abs(entry - stop)
-    if not sigma > 0:
-        return risk / ((risk + gain) or 1.0)
-    way, rng, won = (1.0 if side == "LONG" else -1.0), np.random.default_rng(seed), 0
-    for done in range(0, sims, PATHS):
-        walk = way * np.cumsum(rng.normal(drift, sigma, (min(PATHS, sims - done), bars)), axis=1)
-        up, down = _first(np.maximum.accumulate(walk, 1) >= gain), _first(np.minimum.accumulate(walk, 1) <= -risk)
-        won += int((up < down).sum())
-    return won / sims
-
-
-def spread_reverts(z: float, exit_: float, stop: float, phi: float, eps: float, bars: int = 60, sims: int = 4000, seed: int = 11) -> float:
-    """Share of AR(1) paths that come back to the exit before the stop; the baseline if the model does not apply. A
-    path is its start, decayed, plus the decayed sum of its noise: one product with the matrix of decays."""
-    if not (0 < phi < 1 and eps > 0):
-        return min(1.0, max(0.0, (stop - abs(z)) / (stop - exit_))) if stop > exit_ else 0.0
-    age = np.arange(bars)[None, :] - np.arange(bars)[:, None]
-    decay, rng, won = np.where(age >= 0, phi ** np.maximum(age, 0), 0.0), np.random.default_rng(seed), 0
-    for done in range(0, sims, PATHS):
-        far = np.abs(z * phi ** np.arange(1, bars + 1) + rng.normal(0.0, eps, (min(PATHS, sims - done), bars)) @ decay)
-        back, out = _first(np.minimum.accumulate(far, 1) <= exit_), _first(np.maximum.accumulate(far, 1) >= stop)
-        won += int((back < out).sum())
-    return won / sims
+BOOTSTRAP_SEED, WALK_SEED, SPREAD_SEED = 42, 7, 11
+#: R multiples are summed as whole numbers of 1 / UNIT, so that sums do not depend on their order.
+UNIT = 1_000_000
 
 
-def baseline() -> Column:
-    """Of a walk without drift: risk over risk and reward."""
-    risk = F.abs(F.col("entry") - F.col("stop"))
-    return risk / F.nullif(risk + F.abs(F.col("target") - F.col("entry")), F.lit(0.0))
-
-
-def add_bootstrap(stats: DataFrame, sims: int = 5000, ruin: float = 10.0) -> DataFrame:
-    """Adds prob_profitable, median_total, p05_total, risk_of_ruin from ``returns_r``."""
-
-    @F.pandas_udf("prob_profitable double, median_total double, p05_total double, risk_of_ruin double")
-    def run(r: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([np.round(bootstrap(x if x is not None else [], sims, ruin), 4) for x in r], columns=["prob_profitable", "median_total", "p05_total", "risk_of_ruin"])
-
-    return stats.withColumn("_b", run("returns_r")).select(*stats.columns, "_b.*")
+def bootstrap(trades: DataFrame, key: list[str], order: str = "idx", sims: int = 5000, ruin: float = 10.0, seed: int = BOOTSTRAP_SEED) -> DataFrame:
+    """(key, prob_profitable, median_total, p05_total, risk_of_ruin) of each key with trades (``order``, r): every path takes
+    as many of them as there are, with replacement. Share of totals over 0, their median and 5th percentile, share of
+    paths whose running sum falls to -``ruin``.
 
+    A path's draws are rows: they meet the trades by key and place, and are summed in the order of their steps. Paths are dealt
+    to tasks by key and path before they are unrolled, so that only trades move after."""
+    n = F.count("*").over(Window.partitionBy(*key))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(order)) - 1
+    own = trades.select(*key, n.alias("_n"), place.alias("_pick"), F.round(F.col("r") * UNIT).cast("long").alias("_units"))
+    paths = own.where("_pick = 0").select(*key, "_n", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("_path")).repartition(*key, "_path")
+    steps = paths.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {draws.PER_HASH}"))))
+    steps = steps.withColumn("_h", draws.hashed(seed, F.col("_path"), F.col("_block")))
+    picks = F.array(*[draws.below(F.col("_h"), k, F.col("_n")) for k in range(draws.PER_HASH)])
+    steps = steps.select(*key, "_n", "_path", "_block", F.posexplode(picks).alias("_k", "_pick"))
+    steps = steps.withColumn("_step", F.col("_block") * draws.PER_HASH + F.col("_k")).where("_step < _n")
+    drawn = steps.select(*key, "_path", "_step", "_pick").join(own.select(*key, "_pick", "_units"), [*key, "_pick"])
+    so_far = F.sum("_units").over(Window.partitionBy(*key, "_path").orderBy("_step").rowsBetween(Window.unboundedPreceding, 0))
+    ends = drawn.withColumn("_sum", so_far).groupBy(*key, "_path").agg(F.sum("_units").alias("_total"), F.min("_sum").alias("_low"))
+    at = lambda p: F.round(F.percentile("_total", p) / UNIT, 4)
+    share = lambda test: F.round(F.avg(F.when(test, 1.0).otherwise(0.0)), 4)
+    return ends.groupBy(*key).agg(share(F.col("_total") > 0).alias("prob_profitable"), at(0.5).alias("median_total"), at(0.05).alias("p05_total"), share(F.col("_low") <= -ruin * UNIT).alias("risk_of_ruin"))
 
-def add_barrier_probability(plans: DataFrame, drift: str | None = None) -> DataFrame:
-    """Adds win_prob (walks with the plan's ATR as deviation) and baseline_win_prob."""
 
-    @F.pandas_udf("double")
-    def run(side: pd.Series, entry: pd.Series, stop: pd.Series, target: pd.Series, sigma: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([round(target_first(*x), 4) for x in zip(side, entry, stop, target, sigma, d, strict=True)], dtype=float)
+def add_bootstrap(stats: DataFrame, trades: DataFrame, key: list[str], order: str = "idx", sims: int = 5000, ruin: float = 10.0) -> DataFrame:
+    """``stats`` with the bootstrap of their keys' trades; without any: 0, 0, 0 and certain ruin."""
+    out = stats.join(bootstrap(trades, key, order, sims, ruin), key, "left")
+    return out.fillna({"prob_profitable": 0.0, "median_total": 0.0, "p05_total": 0.0, "risk_of_ruin": 1.0})
 
-    return plans.withColumn("win_prob", run("side", "entry", "stop", "target", "atr", F.coalesce(F.col(drift), F.lit(0.0)) if drift else F.lit(0.0))).withColumn("baseline_win_prob", F.round(baseline(), 4))
 
-
-def add_spread_probability(plans: DataFrame, exit_: float = 0.5, stop: float = 3.5) -> DataFrame:
-    """Adds win_prob of pair plans."""
-
-    @F.pandas_udf("double")
-    def run(z: pd.Series, phi: pd.Series, eps: pd.Series) -> pd.Series:
-        return pd.Series([round(spread_reverts(a, exit_, stop, b, c), 4) for a, b, c in zip(z, phi, eps, strict=True)], dtype=float)
-
-    return plans.withColumn("win_prob", run("z", "phi", "sigma_eps"))
+def baseline() -> Column:
+    """Of a walk without drift: risk over risk and reward; 0 where both are 0."""
+    risk = F.abs(F.col("entry") - F.col("stop"))
+    return F.coalesce(risk / F.nullif(risk + F.abs(F.col("target") - F.col("entry")), F.lit(0.0)), F.lit(0.0))
+
+
+def _shares(rows: DataFrame, key: list[str], seed: int, bars: int, sims: int, start: Column, step, verdict) -> DataFrame:
+    """(key, win): the share of ``sims`` paths that win. A path is a fold over its normal draws: ``step`` gives the next
+    position, ``verdict`` 1, -1 or 0, of which the first one that is not 0 stays. All rows share the draws: ``sims`` rows
+    of ``bars`` numbers, broadcast."""
+    paths = rows.sparkSession.range(sims).select(F.col("id").alias("_path"))
+    paths = F.broadcast(paths.select("_path", draws.normals(seed, F.col("_path"), bars).alias("_z")))
+    each = rows.withColumn("_path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sims - 1).cast("long")))).repartition(*key, "_path").join(paths, "_path")
+
+    def on(s: Column, z: Column) -> Column:
+        at = step(s["x"], z)
+        return F.struct(at.alias("x"), F.when(s["end"] != 0, s["end"]).otherwise(verdict(at)).alias("end"))
+
+    end = F.aggregate("_z", F.struct(start.alias("x"), F.lit(0).alias("end")), on, lambda s: s["end"])
+    return each.groupBy(*key).agg(F.round(F.avg(F.when(end == 1, 1.0).otherwise(0.0)), 4).alias("_win"))
+
+
+def add_barrier_probability(plans: DataFrame, key: list[str], drift: str | None = None, bars: int = 60, sims: int = 4000) -> DataFrame:
+    """Adds win_prob, the share of normal walks (the plan's ATR as deviation) that reach the target before the stop within
+    ``bars``, and baseline_win_prob, which also stands where the ATR is not positive. ``key`` tells plans apart."""
+    sign = F.when(F.col("side") == "LONG", 1.0).otherwise(-1.0)
+    rows = plans.where("atr > 0").select(
+        *key, (sign * (F.col(drift) if drift else F.lit(0.0))).alias("_d"), (sign * F.col("atr")).alias("_s"),
+        F.abs(F.col("target") - F.col("entry")).alias("_gain"), F.abs(F.col("entry") - F.col("stop")).alias("_risk"),
+    ).fillna({"_d": 0.0})
+    verdict = lambda x: F.when(x <= -F.col("_risk"), -1).when(x >= F.col("_gain"), 1).otherwise(0)
+    won = _shares(rows, key, WALK_SEED, bars, sims, F.lit(0.0), lambda x, z: x + F.col("_d") + F.col("_s") * z, verdict)
+    out = plans.join(won, key, "left").withColumn("baseline_win_prob", F.round(baseline(), 4))
+    return out.withColumn("win_prob", F.coalesce("_win", "baseline_win_prob")).drop("_win")
+
+
+def add_spread_probability(plans: DataFrame, key: list[str], exit_: float = 0.5, stop: float = 3.5, bars: int = 60, sims: int = 4000) -> DataFrame:
+    """Adds win_prob of pair plans, the share of AR(1) paths of z that come back to the exit before the stop; where phi or
+    the error do not make a path: the chance of a walk without drift."""
+    fits = (F.col("phi") > 0) & (F.col("phi") < 1) & (F.col("sigma_eps") > 0)
+    verdict = lambda x: F.when(F.abs(x) <= exit_, 1).when(F.abs(x) >= stop, -1).otherwise(0)
+    rows = plans.where(fits).select(*key, F.col("z").alias("_z0"), F.col("phi").alias("_p"), F.col("sigma_eps").alias("_e"))
+    won = _shares(rows, key, SPREAD_SEED, bars, sims, F.col("_z0"), lambda x, z: F.col("_p") * x + F.col("_e") * z, verdict)
+    flat = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (stop - F.abs("z")) / (stop - exit_))) if stop > exit_ else F.lit(0.0)
+    return plans.join(won, key, "left").withColumn("win_prob", F.coalesce("_win", F.round(flat, 4))).drop("_win")

@@ -39,7 +39,7 @@ def combined_confidence() -> Column:
     late = F.when(F.col("oos_expectancy") > 0, 1.0).when(F.col("oos_expectancy") == 0, 0.5).otherwise(0.0)
     base = 0.35 * backtest_confidence() + 0.30 * clip(F.col("prob_profitable")) + 0.20 * edge + 0.15 * late
     bonus = F.least(F.lit(0.10), 0.05 * F.greatest(F.lit(0), F.col("confluence") - 1))
-    return F.round(F.least(F.lit(1.0), base + bonus), 3)
+    return F.round(F.least(F.lit(1.0), base + bonus) + 1e-9, 3)  # sums of whole ten-thousandths: exact halves go up
 
 
 def measured_edge(g: dict = CONFIG["gate"]) -> Column:

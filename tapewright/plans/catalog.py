@@ -12,6 +12,7 @@ from tapewright.functions.report import signal_card
 from tapewright.operators import backtest as bt
 from tapewright.operators import factor, indicators, journal, learn, montecarlo, optimize, pairs, risk, scan, strategies
 from tapewright.plans import oracles as sql
+from tapewright.plans import scan_sql
 from tapewright.sources import bars as src
 from tapewright.streaming import bars as stream
 from tapewright.streaming.bars import staged
@@ -74,8 +75,12 @@ def scan_rows(spark: SparkSession, d: str) -> DataFrame:
     return staged(levels(indicators.add_indicators(scan.history(src.order_bars(spark, d)))), "scan")
 
 
+#: The classes that the scan's universe lists for order symbols; others are told by their form.
+LISTED = [("1-URGENT", "iran"), ("2-HIGH", "crypto"), ("3-MEDIUM", "forex")]
+
+
 def signals(spark: SparkSession, d: str) -> DataFrame:
-    return scan.symbol_signals(scan_rows(spark, d))
+    return scan.symbol_signals(scan_rows(spark, d), spark.createDataFrame(LISTED, "symbol string, class string"))
 
 
 def signal_query(spark: SparkSession, d: str) -> DataFrame:
@@ -83,15 +88,31 @@ def signal_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def measured_query(spark: SparkSession, d: str) -> DataFrame:
-    """The scan's signals without what seeded draws say."""
+    """The scan's signals without what draws say."""
     cols = ["strategy", "symbol", "asset_class", "ts", "side", "entry", "stop", "target", "rr", "units", "equity_pct", "risk_pct", "risk_free_at", "regime", "trades", "win_rate", "profit_factor", "expectancy", "sharpe", "oos_trades", "oos_expectancy", "confluence", "live", "measured_edge"]
     return out(signals(spark, d).withColumn("measured_edge", risk.measured_edge()), *cols)
 
 
+def makers(bars: DataFrame) -> DataFrame:
+    """(symbol, class): brands by the first digit of their number; 6 to 9 are not listed."""
+    maker = F.substring("symbol", 7, 1)
+    kind = F.when(maker == "1", "crypto").when(maker == "2", "forex").when(maker.isin("3", "4", "5"), "iran")
+    return bars.select("symbol", kind.alias("class")).where("class IS NOT NULL").distinct()
+
+
+def twins(bars: DataFrame) -> DataFrame:
+    """A second symbol for each: 1.8 times its price and 10, give or take what the day's volume says. Such pairs return."""
+    off = 2.0 * F.pow((F.col("volume") % 97 - 48) / 48.0, 3.0)
+    return bars.withColumns({"symbol": F.concat("symbol", F.lit("~")), "close": 1.8 * F.col("close") + 10.0 + off})
+
+
 def universe_query(spark: SparkSession, d: str) -> DataFrame:
-    """Symbols and factor over the walk of the order bars, pairs over the brand bars."""
-    x = staged(levels(indicators.add_indicators(scan.history(src.walk_bars(spark, d)))), "scan")
-    return out(scan.universe_scan(x, aligned(spark, d)))
+    """Symbols and factor over the walk of the brand bars, by class, and pairs of brands and their twins."""
+    bars = staged(src.brand_walk(spark, d), "walk")
+    x = staged(levels(indicators.add_indicators(scan.history(bars))), "scan")
+    names = bars.select("symbol").distinct()
+    both = scan.pair_bars(bars.unionByName(twins(bars)), names.select(F.concat("symbol", F.lit("~")).alias("symbol_a"), F.col("symbol").alias("symbol_b")))
+    return out(scan.universe_scan(x, both, makers(bars)))
 
 
 def sizes_query(spark: SparkSession, d: str) -> DataFrame:
@@ -181,7 +202,7 @@ def pair_query(spark: SparkSession, d: str) -> DataFrame:
 
 def pair_chance_query(spark: SparkSession, d: str) -> DataFrame:
     st = pairs.pair_state(aligned(spark, d))
-    return out(montecarlo.add_spread_probability(st).select("pair", "z", "phi", "sigma_eps", "p_value", "win_prob"))
+    return out(montecarlo.add_spread_probability(st, ["pair"]).select("pair", "z", "phi", "sigma_eps", "p_value", "win_prob"))
 
 
 def ml_query(spark: SparkSession, d: str) -> DataFrame:
@@ -247,7 +268,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "pairs_rolling_z": (lambda s, d: out(pairs.rolling_z(aligned(s, d)).where("z IS NOT NULL").select("pair", "ts", "idx", "beta", "z")), sql.PAIRS),
     "pairs_backtest": (lambda s, d: bt.stats(pairs.pair_trades(pairs.rolling_z(aligned(s, d))), ["pair"]), sql.PAIR_STATS),
     "pairs_state": (pair_query, sql.PAIR_STATE),
-    "pairs_chance": (pair_chance_query, None),
+    "pairs_chance": (pair_chance_query, scan_sql.PAIR_CHANCE),
     "factor_baskets": (lambda s, d: out(factor.basket_returns(src.brand_bars(s, d))), sql.FACTOR),
     "factor_backtest": (
         lambda s, d: bt.stats(factor.basket_returns(src.brand_bars(s, d)), ["basket"], "t"), sql.FACTOR.replace("SELECT 'momentum'", ", done AS (SELECT 'momentum'").replace("round(avg(fwd) FILTER (hi <= 2) - avg(fwd) FILTER (lo <= 2), 4)", "avg(fwd) FILTER (hi <= 2) - avg(fwd) FILTER (lo <= 2)") + ") " + sql.stat_columns("t", "basket"),
@@ -257,9 +278,9 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "barrier_labels": (lambda s, d: learn.labels(rows(s, d)), sql.LABELS),
     "ml_walk_forward": (ml_query, None),
     "ml_latest_plans": (latest_query, None),
-    "signals_scan": (signal_query, None),
+    "signals_scan": (signal_query, scan_sql.SIGNALS),
     "signals_measured": (measured_query, sql.MEASURED),
-    "universe_scan": (universe_query, None),
+    "universe_scan": (universe_query, scan_sql.UNIVERSE),
     "position_sizes": (sizes_query, sql.SIZES),
     "signal_cards": (cards_query, sql.CARDS),
     "payload_bars": (payload_query, f"WITH {sql.BARS} SELECT symbol, ts, {', '.join(f'round({c} / if(day(ts) % 4 = 3, 1e6, 1), 4) AS {c}' for c in PRICES)}, 0.0::DOUBLE AS volume FROM bars"),

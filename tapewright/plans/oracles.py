@@ -286,6 +286,11 @@ SELECT pair, ts, round(beta, 4) AS beta, round(alpha, 4) AS alpha, round(mu, 4)
   round({_p_value()}, 4) AS p_value FROM k"""
 
 
+#: The class that the scan's universe lists; shorts that can't be sold short have no size.
+LISTED = "CASE symbol WHEN '1-URGENT' THEN 'iran' WHEN '2-HIGH' THEN 'crypto' WHEN '3-MEDIUM' THEN 'forex' ELSE 'stock' END"
+BARRED = "(symbol = '1-URGENT' AND side = 'SHORT')"
+
+
 def _latest(name: str) -> str:
     """The latest plan of each symbol with its strategy's statistics."""
     return f"""{plans(name, SCANNED)}, {FIXED if name == "mean_reversion" else TRAILING}, {GREEDY}, st AS ({stat_columns()}),
@@ -296,10 +301,10 @@ SELECT strategy, symbol, side, entry, stop, target, win_rate, profit_factor, sha
 _SIZED = f"""WITH g AS ({" UNION ALL ".join(f"SELECT * FROM ({_latest(n)})" for n in TRIGGERS)}),
 u AS (SELECT *, CASE WHEN win_rate > 0 AND win_rate < 1 THEN profit_factor * (1 - win_rate) / win_rate ELSE 0 END AS b FROM g),
 v AS (SELECT *, least(CASE WHEN b > 0 THEN greatest(0, least(1, win_rate - (1 - win_rate) / b)) ELSE 0 END * 0.5, 0.05) AS kelly FROM u),
-w AS (SELECT *, CASE WHEN kelly > 0 THEN least(100 / abs(entry - stop), 10000 * kelly / entry) ELSE 0.0 END AS units FROM v)"""
+w AS (SELECT *, CASE WHEN kelly > 0 AND NOT {BARRED} THEN least(100 / abs(entry - stop), 10000 * kelly / entry) ELSE 0.0 END AS units FROM v)"""
 
 PORTFOLIO = f"""{_SIZED},
-c AS (SELECT CASE WHEN contains(symbol, '/') THEN 'crypto' WHEN suffix(symbol, '=X') THEN 'forex' ELSE 'stock' END AS asset_class, count(*) AS n, count(*) FILTER (side = 'LONG') AS longs,
+c AS (SELECT {LISTED} AS asset_class, count(*) AS n, count(*) FILTER (side = 'LONG') AS longs,
   coalesce(sum(units * entry) FILTER (side = 'LONG'), 0) AS up, coalesce(sum(units * entry) FILTER (side = 'SHORT'), 0) AS down, sum(units * abs(entry - stop)) AS risk FROM w GROUP BY 1),
 d AS (SELECT coalesce(sum(n), 0)::BIGINT AS n, coalesce(sum(longs), 0)::BIGINT AS longs, coalesce(sum(up + down), 0)::DOUBLE AS gross, coalesce(sum(up - down), 0)::DOUBLE AS net, coalesce(sum(risk), 0)::DOUBLE AS risk,
   '{{' || coalesce(string_agg('"' || asset_class || '":' || round(risk + 1e-7, 2), ',' ORDER BY asset_class), '') || '}}' AS risk_by_class,
@@ -338,8 +343,8 @@ FROM newest p JOIN st USING (strategy, symbol) LEFT JOIN lt USING (strategy, sym
 MEASURED = f"""WITH g AS ({" UNION ALL ".join(f"SELECT * FROM ({_measured(n)})" for n in TRIGGERS)}),
 u AS (SELECT *, CASE WHEN win_rate > 0 AND win_rate < 1 THEN profit_factor * (1 - win_rate) / win_rate ELSE 0 END AS b, count(*) OVER (PARTITION BY symbol, side, live) AS confluence FROM g),
 v AS (SELECT *, least(CASE WHEN b > 0 THEN greatest(0, least(1, win_rate - (1 - win_rate) / b)) ELSE 0 END * 0.5, 0.05) AS kelly FROM u),
-w AS (SELECT *, abs(entry - stop) AS gap, CASE WHEN kelly > 0 THEN least(100 / abs(entry - stop), 10000 * kelly / entry) ELSE 0.0 END AS units FROM v)
-SELECT strategy, symbol, 'stock' AS asset_class, ts, side, round(entry, 4) AS entry, round(stop, 4) AS stop, round(target, 4) AS target, round(round(abs(target - entry) / gap, 3), 4) AS rr,
+w AS (SELECT *, abs(entry - stop) AS gap, CASE WHEN kelly > 0 AND NOT {BARRED} THEN least(100 / abs(entry - stop), 10000 * kelly / entry) ELSE 0.0 END AS units FROM v)
+SELECT strategy, symbol, {LISTED} AS asset_class, ts, side, round(entry, 4) AS entry, round(stop, 4) AS stop, round(target, 4) AS target, round(round(abs(target - entry) / gap, 3), 4) AS rr,
   round(units, 4) AS units, round(round(units * entry / 10000 * 100, 2), 4) AS equity_pct, round(round(units * gap / 10000 * 100, 2), 4) AS risk_pct, round(round(entry + sgn * gap, 6), 4) AS risk_free_at, regime,
   trades, round(win_rate, 4) AS win_rate, round(profit_factor, 4) AS profit_factor, round(expectancy, 4) AS expectancy, round(sharpe, 4) AS sharpe, oos_trades, round(oos_expectancy, 4) AS oos_expectancy, confluence, live,
   trades >= 15 AND win_rate >= 0.40 AND profit_factor >= 1.40 AND sharpe >= 0.5 AND (oos_trades < 4 OR oos_expectancy > 0) AS measured_edge FROM w"""

@@ -42,16 +42,31 @@ def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_bars(e, F.col("event_type"), F.date_trunc("hour", "ts"), F.col("value"), F.struct("ts", "event_id"), F.lit(1.0))
 
 
-def walk_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order bars' days as steps of a geometric walk from 100: series with trends, as markets have them."""
-    step = (F.col("close") - F.col("open")) / 1e7
+def geometric(bars: DataFrame, scale: float, places: int | None = None) -> DataFrame:
+    """The bars' moves, over ``scale``, as steps of a geometric walk from 100: series with trends, as markets have them.
+    ``places``: closes and opens are rounded to so many, so that flat bars are exactly flat."""
+    step = (F.col("close") - F.col("open")) / scale
     w = Window.partitionBy("symbol").orderBy("ts")
-    level = lambda frame: 100.0 * F.exp(F.coalesce(F.sum(step).over(frame), F.lit(0.0)))
-    rows = order_bars(spark, sf_dir).withColumns({"c": level(w.rowsBetween(Window.unboundedPreceding, 0)), "o": level(w.rowsBetween(Window.unboundedPreceding, -1)), "spread": (F.col("high") - F.col("low")) / 1e8})
+    exact = lambda frame: 100.0 * F.exp(F.coalesce(F.sum(step).over(frame), F.lit(0.0)))
+    level = exact if places is None else lambda frame: F.round(exact(frame), places)
+    rows = bars.withColumns({
+        "c": level(w.rowsBetween(Window.unboundedPreceding, 0)), "o": level(w.rowsBetween(Window.unboundedPreceding, -1)),
+        "spread": (F.col("high") - F.col("low")) / (10 * scale),
+    })
     high, low = F.greatest("o", "c") * (1 + F.col("spread")), F.least("o", "c") * (1 - F.col("spread"))
     return rows.select("symbol", "ts", F.col("o").alias("open"), high.alias("high"), low.alias("low"), F.col("c").alias("close"), "volume")
 
 
+def walk_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order bars' days as a walk."""
+    return geometric(order_bars(spark, sf_dir), 1e7)
+
+
+def brand_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The brand bars' days as a walk."""
+    return geometric(brand_bars(spark, sf_dir, "day"), 2e5, 6)
+
+
 def normalise(rows: DataFrame, seq: str = "ingest_seq") -> DataFrame:
     """Prices cast to numbers (bad ones null), rows without a price dropped, of repeated (symbol, ts) the last one by
     ``seq`` kept. Null symbol or ts: dropped."""

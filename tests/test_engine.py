@@ -1,3 +1,5 @@
+import hashlib
+import math
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -5,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tapewright.functions import draws
 from tapewright.functions.core import CONFIG, meter, price_text
 from tapewright.functions.report import performance_text, signal_card
 from tapewright.operators import backtest, factor, indicators, journal, montecarlo, pairs, risk, strategies
@@ -184,12 +187,47 @@ def test_pair_machine_by_hand(spark):
     assert pairs.pair_trades(df, least=11).count() == 0
 
 
-def test_monte_carlo():
-    assert montecarlo.bootstrap([]) == (0.0, 0.0, 0.0, 1.0)
-    assert montecarlo.bootstrap([2, 2, -1, 2, 2])[0] > 0.9 > 0.1 > montecarlo.bootstrap([-1, -1, 0.5, -1])[0]
-    assert montecarlo.target_first("LONG", 100, 98, 104, 0.0) == pytest.approx(1 / 3)
-    assert montecarlo.target_first("LONG", 100, 98, 104, 1.0, 0.5) > montecarlo.target_first("LONG", 100, 98, 104, 1.0, -0.5)
-    assert montecarlo.spread_reverts(2.5, 0.5, 3.5, 0.5, 0.3) > 0.9 and montecarlo.spread_reverts(2.5, 0.5, 3.5, 0.0, 1.0) == pytest.approx(1 / 3)
+def draw(seed, path, step):
+    """The 32 bits of a step, by the rule."""
+    return int(hashlib.md5(f"{seed}:{path}:{step // 4}".encode()).hexdigest()[8 * (step % 4) : 8 * (step % 4) + 8], 16)
+
+
+def normal_draw(seed, path, step):
+    even = step - step % 2
+    far, turn = (math.sqrt(-2 * math.log((draw(seed, path, even) + 0.5) / 2**32)), 2 * math.pi * (draw(seed, path, even + 1) + 0.5) / 2**32)
+    return far * (math.sin(turn) if step % 2 else math.cos(turn))
+
+
+def chances(spark, cases, sims=4000):
+    d = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "k int, side string, entry double, stop double, target double, atr double, d double")
+    return [r.win_prob for r in montecarlo.add_barrier_probability(d, ["k"], "d", sims=sims).orderBy("k").collect()]
+
+
+def spreads(spark, cases, sims=4000):
+    d = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "k int, z double, phi double, sigma_eps double")
+    return [r.win_prob for r in montecarlo.add_spread_probability(d, ["k"], sims=sims).orderBy("k").collect()]
+
+
+def trades_of(spark, lists):
+    return spark.createDataFrame([(k, i, float(r)) for k, rs in lists.items() for i, r in enumerate(rs)], "k string, idx int, r double")
+
+
+def test_monte_carlo(spark):
+    got = {r.k: r for r in montecarlo.bootstrap(trades_of(spark, {"good": [2, 2, -1, 2, 2], "bad": [-1, -1, 0.5, -1]}), ["k"]).collect()}
+    assert got["good"].prob_profitable > 0.9 > 0.1 > got["bad"].prob_profitable
+    none = montecarlo.add_bootstrap(spark.createDataFrame([("x",)], "k string"), trades_of(spark, {"y": [1]}), ["k"]).first()
+    assert (none.prob_profitable, none.median_total, none.p05_total, none.risk_of_ruin) == (0.0, 0.0, 0.0, 1.0)
+    flat, up, down = chances(spark, [("LONG", 100.0, 98.0, 104.0, 0.0, None), ("LONG", 100.0, 98.0, 104.0, 1.0, 0.5), ("LONG", 100.0, 98.0, 104.0, 1.0, -0.5)])
+    assert flat == pytest.approx(1 / 3, abs=1e-4) and up > down
+    back, free = spreads(spark, [(2.5, 0.5, 0.3), (2.5, 0.0, 1.0)])
+    assert back > 0.9 and free == pytest.approx(1 / 3, abs=1e-4)
+
+
+def test_draws_are_uniform_and_normal(spark):
+    z = np.array([r.z for r in spark.range(2000).select(draws.normals(5, F.col("id"), 10).alias("z")).collect()])
+    assert z.shape == (2000, 10) and abs(z.mean()) < 0.02 and abs(z.std() - 1) < 0.02 and abs((np.abs(z) > 1.96).mean() - 0.05) < 0.01
+    assert abs(np.corrcoef(z.T) - np.eye(10)).max() < 0.09
+    np.testing.assert_allclose(z[7], [normal_draw(5, 7, s) for s in range(10)], rtol=1e-12)
 
 
 def test_sizing_and_portfolio(spark):
@@ -281,29 +319,67 @@ def test_payload_forms(spark):
     assert [(r.ts, r.open, r.high, r.low, r.close) for r in got] == [w for _, w in cells if w]
 
 
-def test_monte_carlo_against_loops():
+def test_monte_carlo_against_loops(spark):
+    """The same draws, path by path."""
     def target(side, entry, stop, goal, sigma, drift):
-        path, won = entry + np.cumsum(np.random.default_rng(7).normal(drift, sigma, (4000, 60)), axis=1), 0
-        for row in path:
-            for x in row:
+        won = 0
+        for path in range(300):
+            x = entry
+            for step in range(60):
+                x += drift + sigma * normal_draw(7, path, step)
                 if (x <= stop) if side == "LONG" else (x >= stop):
                     break
                 if (x >= goal) if side == "LONG" else (x <= goal):
                     won += 1
                     break
-        return won / 4000
+        return round(won / 300, 4)
 
-    for case in [("LONG", 100.0, 98.0, 104.0, 1.0, 0.1), ("SHORT", 100.0, 102.0, 97.0, 0.7, 0.0), ("LONG", 100.0, 90.0, 130.0, 0.5, 0.0)]:
-        assert montecarlo.target_first(*case) == pytest.approx(target(*case), abs=1e-9)
-    noise, won = np.random.default_rng(11).normal(0, 0.6, (4000, 60)), 0
-    for row in noise:
+    cases = [("LONG", 100.0, 98.0, 104.0, 1.0, 0.1), ("SHORT", 100.0, 102.0, 97.0, 0.7, 0.05), ("LONG", 100.0, 90.0, 130.0, 0.5, 0.0)]
+    want = [target(*c) for c in cases]
+    assert chances(spark, cases, 300) == pytest.approx(want, abs=1e-4)
+    won = 0
+    for path in range(300):
         z = 2.5
-        for e in row:
-            z = 0.7 * z + e
+        for step in range(60):
+            z = 0.7 * z + 0.6 * normal_draw(11, path, step)
             if abs(z) <= 0.5 or abs(z) >= 3.5:
                 won += abs(z) <= 0.5
                 break
-    assert montecarlo.spread_reverts(2.5, 0.5, 3.5, 0.7, 0.6) == pytest.approx(won / 4000, abs=1e-3)
+    assert spreads(spark, [(2.5, 0.7, 0.6)], 300) == pytest.approx([won / 300], abs=1e-4)
+    lists = {"a": [1.5, -1.0, 0.25, -1.0, 2.0, -0.5, 3.125], "b": [-1.0], "c": [-3.0, 1.0, -2.5]}
+    got = {r.k: r for r in montecarlo.bootstrap(trades_of(spark, lists).repartition(3), ["k"], sims=200, ruin=5.0).collect()}
+    for k, rs in lists.items():
+        paths = [np.cumsum([rs[draw(42, p, s) * len(rs) >> 32] for s in range(len(rs))]) for p in range(200)]
+        total = [p[-1] for p in paths]
+        assert got[k].prob_profitable == pytest.approx(np.mean(np.array(total) > 0)) and got[k].risk_of_ruin == pytest.approx(np.mean([p.min() <= -5 for p in paths]))
+        assert got[k].median_total == pytest.approx(np.median(total), abs=1e-4) and got[k].p05_total == pytest.approx(np.percentile(total, 5), abs=1e-4)
+
+
+def test_classes_in_the_scan(spark):
+    """Symbols are ranked among their class, and shorts that can't be sold short are forecasts without a size."""
+    from tapewright.operators import scan
+
+    names = [f"S{j}" for j in range(6)] + [f"C{j}" for j in range(5)] + ["G0", "G1"]
+    b = pd.concat([walk(420, 20 + j, n, 0.0012 * (j % 5 - 2)) for j, n in enumerate(names)])
+    x = indicators.add_structure(indicators.add_indicators(spark.createDataFrame(b))).persist()
+    listed = spark.createDataFrame([(n, "crypto") for n in names if n[0] == "C"] + [(n, "iran") for n in names if n[0] == "G"], "symbol string, class string")
+    got = scan.universe_scan(x, None, listed).toPandas()
+    assert set(got["asset_class"]) == {"stock", "crypto", "iran"} and (got["asset_class"] == got["symbol"].str[0].map({"S": "stock", "C": "crypto", "G": "iran"})).all()
+    barred = (got["asset_class"] == "iran") & (got["side"] == "SHORT")
+    assert barred.any() and (got["forecast_only"] == barred).all() and (got.loc[barred, ["units", "notional", "risk_amount"]] == 0).all().all()
+    legs = got[got["strategy"] == "factor_momentum"]
+    assert set(legs["asset_class"]) == {"stock", "crypto"}
+    c = CONFIG["factor"]
+    for kind, g in legs.groupby("asset_class"):
+        alone = x.where(F.col("symbol").startswith(kind[0].upper()))
+        want = {(r.symbol, r.side) for r in factor.rank_live(alone, structure=CONFIG["structure"]).collect()}
+        assert set(zip(g["symbol"], g["side"], strict=True)) == want
+        stats = backtest.stats(factor.basket_returns(alone, c["lookback"], c["skip"], c["hold"], c["top"], c["bottom"]), ["basket"], "t").first()
+        assert (g["trades"] == stats.trades).all() and (g["profit_factor"] == stats.profit_factor).all()
+    off = scan.assess(x.where("false").selectExpr("symbol", "'stock' AS asset_class", "'LONG' AS side", "close AS entry", "close AS stop", "close AS target", "0.5D AS win_prob", "0.5D AS baseline_win_prob"), trades_of(spark, {"S0": [1]}).withColumnRenamed("k", "symbol"), ["symbol"], short_mode="off")
+    assert off.count() == 0
+    kept = risk.apply_short_policy(got_df := spark.createDataFrame([("iran", "SHORT", 3.0), ("iran", "LONG", 3.0), ("stock", "SHORT", 3.0)], "asset_class string, side string, units double"), "off")
+    assert kept.count() == 2 and risk.apply_short_policy(got_df, "trade").where("units > 0").count() == 3
 
 
 def test_unit_root_against_least_squares(spark):
