@@ -1,11 +1,16 @@
-"""Features, triple-barrier labels, and a purged walk-forward with gradient-boosted trees."""
+"""Features, triple-barrier labels, and a purged walk-forward with gradient-boosted trees, a model a symbol and cutoff."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import asdict
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.core import by_symbol, is_long, over
+from tapewright.operators import boosting
 from tapewright.operators.backtest import select_trades
 from tapewright.streaming.bars import staged
 
@@ -42,58 +47,60 @@ def labels(rows: DataFrame, horizon: int = 10, k: float = 1.5) -> DataFrame:
 
 
 def _assembled(rows: DataFrame, horizon: int, k: float) -> DataFrame:
-    """(symbol, ts, idx, close, atr, label, x), written: every model reads them."""
-    from pyspark.ml.functions import array_to_vector
-
+    """(symbol, ts, idx, close, atr, label, x, end), written: x are the features, unknown ones null; end is the symbol's
+    last bar."""
     names = ["symbol", "ts", "idx", "close", "atr"]
-    x = add_features(rows).select(*names, F.array(*[F.coalesce(c, F.lit(0.0)) for c in FEATURES]).alias("v"))
-    x = staged(x.join(labels(rows, horizon, k), ["symbol", "idx"], "left").select(*names, "label", "v"), "features")
-    return x.withColumn("x", array_to_vector("v")).drop("v")
-
-
-def _model(seen: DataFrame, iterations: int, depth: int, rate: float, least: int):
-    """A classifier, or None if there are under ``least`` labels or only one of them."""
-    from pyspark.ml.classification import GBTClassifier
-
-    n = seen.agg(F.count("*").alias("n"), F.count_distinct("label").alias("k")).first()
-    if n["n"] < least or n["k"] < 2:
-        return None
-    return GBTClassifier(featuresCol="x", labelCol="label", maxDepth=depth, stepSize=rate, maxIter=iterations, minInstancesPerNode=20, seed=42).fit(seen)
-
-
-def _probability(model, rows: DataFrame) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    return model.transform(rows).withColumn("prob_up", vector_to_array("probability")[1])
-
-
-def walk_forward(rows: DataFrame, horizon: int = 10, k: float = 1.5, min_train: int = 250, refit: int = 42, iterations: int = 200, depth: int = 3, rate: float = 0.05, least: int = 80) -> DataFrame:
-    """(symbol, ts, idx, prob_up): probabilities of models that saw only labels complete before their first bar:
-    at each cutoff (every ``refit`` bars) one model over all symbols is trained on bars up to cutoff - horizon and
-    scores the bars up to the next cutoff. Unknown features count as 0. The driver loops over cutoffs only; each one's
-    scores are written, so that plans do not grow with them."""
-    x = _assembled(rows, horizon, k)
-    last = x.agg(F.max("idx")).first()[0] or 0
-    out = None
-    for cut in range(min_train, last + 1, refit):
-        model = _model(x.where((F.col("idx") < cut - horizon) & F.col("label").isNotNull()), iterations, depth, rate, least)
-        if model is None:
-            continue
-        scored = staged(_probability(model, x.where((F.col("idx") >= cut) & (F.col("idx") < cut + refit))).select("symbol", "ts", "idx", "prob_up"), "scores")
-        out = scored if out is None else out.unionByName(scored)
-    return out if out is not None else x.where("false").select("symbol", "ts", "idx", F.lit(0.0).alias("prob_up"))
-
-
-def latest_plans(rows: DataFrame, horizon: int = 10, k: float = 1.5, min_train: int = 250, threshold: float = 0.58, iterations: int = 200, depth: int = 3, rate: float = 0.05, least: int = 80) -> DataFrame:
-    """(symbol, ts, side, entry, stop, target, atr, prob_up): plans of the last bars, k ATR either way, where one model of all
-    complete labels is sure enough. Symbols of under min_train + horizon + 1 bars are left out."""
-    x = _assembled(rows, horizon, k)
-    end = x.groupBy("symbol").agg(F.max("idx").alias("end"))
-    x = x.join(end, "symbol").where(F.col("end") >= min_train + horizon)
-    model = _model(x.where((F.col("idx") <= F.col("end") - horizon) & F.col("label").isNotNull()), iterations, depth, rate, least)
-    if model is None:
-        return x.where("false").select("symbol", "ts", F.lit("").alias("side"), *[F.lit(0.0).alias(c) for c in ("entry", "stop", "target", "atr", "prob_up")])
-    got = _probability(model, x.where((F.col("idx") == F.col("end")) & (F.col("atr") > 0)))
+    x = add_features(rows).select(*names, F.array(*FEATURES).alias("x"))
+    end = F.max("idx").over(Window.partitionBy("symbol"))
+    return staged(x.join(labels(rows, horizon, k), ["symbol", "idx"], "left").select(*names, "label", "x", end.alias("end")), "features")
+
+
+def fit_and_score(train: DataFrame, score: DataFrame, settings: boosting.Settings, least: int = 80) -> DataFrame:
+    """(symbol, ts, idx, prob_up) of the rows of ``score`` (symbol, cut, ts, idx, x) by the model of their symbol and cut,
+    fitted to the rows of ``train`` (symbol, cut, idx, label, x): every model is a group of its own, and all are fitted side
+    by side. A model needs ``least`` labels, and both of them; without one its rows are left out, as are rows without
+    any known feature."""
+    known, given = F.exists("x", lambda v: v.isNotNull()), asdict(settings)
+    rows = train.select("symbol", "cut", F.lit(None).cast("timestamp").alias("ts"), "idx", "label", "x")
+    rows = rows.unionByName(score.where(known).select("symbol", "cut", "ts", "idx", F.lit(None).cast("int").alias("label"), "x"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        x = np.array(pdf["x"].tolist(), float)
+        labelled = pdf["label"].notna().to_numpy()
+        y = pdf.loc[labelled, "label"].to_numpy(float)
+        out = pdf.loc[~labelled, ["symbol", "ts", "idx"]]
+        if len(out) == 0 or len(y) < least or len(np.unique(y)) < 2:
+            return out.head(0).assign(prob_up=0.0)
+        return out.assign(prob_up=boosting.fit(x[labelled], y, boosting.Settings(**given)).probability(x[~labelled]))
+
+    return rows.groupBy("symbol", "cut").applyInPandas(run, "symbol string, ts timestamp, idx int, prob_up double")
+
+
+def walk_forward(rows: DataFrame, horizon: int = 10, k: float = 1.5, min_train: int = 250, refit: int = 42, iterations: int = 200, depth: int = 3, rate: float = 0.05, least: int = 80, l2: float = 1.0, leaf: int = 20) -> DataFrame:
+    """(symbol, ts, idx, prob_up): probabilities of models that saw only labels complete before their first bar: at each
+    cutoff (every ``refit`` bars) a symbol's model is fitted to its bars up to cutoff - horizon and scores the bars up to
+    the next cutoff. Symbols of under min_train + horizon + 20 bars are left out.
+
+    A bar takes part in all its symbol's later models, so rows grow as a history's square over 2 * ``refit``; a group is one
+    symbol's history."""
+    x = _assembled(rows, horizon, k).where(F.col("end") + 1 >= min_train + horizon + 20)
+    step = lambda i: F.lit(min_train) + F.ceil((i - min_train) / refit).cast("int") * refit
+    first = F.greatest(F.lit(min_train), step(F.col("idx") + horizon + 1))
+    cut: Column = F.explode(F.sequence(first, F.col("end"), F.lit(refit)))
+    train = x.where(F.col("label").isNotNull() & (first <= F.col("end"))).select("symbol", cut.alias("cut"), "idx", "label", "x")
+    own = F.lit(min_train) + F.floor((F.col("idx") - min_train) / refit).cast("int") * refit
+    score = x.where((F.col("idx") >= min_train) & (F.col("atr") > 0)).select("symbol", own.alias("cut"), "ts", "idx", "x")
+    return fit_and_score(train, score, boosting.Settings(iterations, depth, rate, l2, leaf), least)
+
+
+def latest_plans(rows: DataFrame, horizon: int = 10, k: float = 1.5, min_train: int = 250, threshold: float = 0.58, iterations: int = 200, depth: int = 3, rate: float = 0.05, least: int = 80, l2: float = 1.0, leaf: int = 20) -> DataFrame:
+    """(symbol, ts, side, entry, stop, target, atr, prob_up): plans of the last bars, k ATR either way, where the symbol's
+    model of all its complete labels is sure enough. Symbols of under min_train + horizon + 1 bars are left out."""
+    x = _assembled(rows, horizon, k).where(F.col("end") >= min_train + horizon).withColumn("cut", F.col("end") + 1)
+    train = x.where((F.col("idx") <= F.col("end") - horizon) & F.col("label").isNotNull())
+    last = x.where((F.col("idx") == F.col("end")) & (F.col("atr") > 0))
+    got = fit_and_score(train, last, boosting.Settings(iterations, depth, rate, l2, leaf), least).select("symbol", "idx", "prob_up").join(last, ["symbol", "idx"])
     got = got.withColumn("side", F.when(F.col("prob_up") >= threshold, "LONG").when(F.col("prob_up") <= 1 - threshold, "SHORT")).where("side IS NOT NULL")
     sign = F.when(is_long(), 1.0).otherwise(-1.0)
     return got.select("symbol", "ts", "side", F.col("close").alias("entry"), (F.col("close") - sign * k * F.col("atr")).alias("stop"), (F.col("close") + sign * k * F.col("atr")).alias("target"), "atr", "prob_up")

@@ -206,10 +206,10 @@ def pair_chance_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ml_query(spark: SparkSession, d: str) -> DataFrame:
-    """Fewer trees and refits than the operator's defaults, to suit one machine."""
+    """Each symbol's models over its last 1250 bars, as a scan has them."""
     m = CONFIG["ml"]
-    x = staged(rows(spark, d), "ml")
-    s = learn.walk_forward(x, m["horizon"], m["k"], m["min_train"], refit=840, iterations=10)
+    x = staged(indicators.add_indicators(scan.history(src.order_bars(spark, d))), "ml")
+    s = staged(learn.walk_forward(x, m["horizon"], m["k"], m["min_train"], m["refit"]), "scores")
     return out(bt.stats(learn.signal_trades(s, x, m["threshold"], m["horizon"], m["k"])))
 
 
@@ -222,7 +222,7 @@ def stream_bars_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def latest_query(spark: SparkSession, d: str) -> DataFrame:
-    """Plans of the walk's last bars by one model of all complete labels."""
+    """Plans of the walk's last bars by each symbol's model of all its complete labels."""
     m = CONFIG["ml"]
     x = staged(indicators.add_indicators(scan.history(src.walk_bars(spark, d))), "ml")
     return out(learn.latest_plans(x, m["horizon"], m["k"], m["min_train"], m["threshold"]))

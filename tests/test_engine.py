@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapewright.functions import draws
 from tapewright.functions.core import CONFIG, meter, price_text
 from tapewright.functions.report import performance_text, signal_card
-from tapewright.operators import backtest, factor, indicators, journal, montecarlo, pairs, risk, strategies
+from tapewright.operators import backtest, boosting, factor, indicators, journal, montecarlo, pairs, risk, strategies
 from tapewright.sources import bars as src
 from tapewright.streaming.bars import track_positions
 
@@ -469,6 +469,70 @@ def test_latest_model_plans(rows):
     assert learn.latest_plans(rows.where("idx < 200"), iterations=3).count() == 0
 
 
+def plain_boosting(x, y, at, iterations, leaf=20, l2=1.0, rate=0.05, depth=3):
+    """Trees by trying every cut of every node, one after the other."""
+    base = math.log(y.mean() / (1 - y.mean()))
+    f, out = np.full(len(y), base), np.full(len(at), base)
+    for _ in range(iterations):
+        p = 1 / (1 + np.exp(-f))
+        g, h = p - y, p * (1 - p)
+        score = lambda m, g=g, h=h: g[m].sum() ** 2 / (h[m].sum() + l2)
+
+        def grow(rows, there, level, g=g, h=h, score=score):
+            best = (0.0, None)
+            for j in range(x.shape[1]):
+                v = np.unique(x[np.isfinite(x[:, j]), j])
+                for c in (v[1:] + v[:-1]) / 2:
+                    for unknown in (False, True):
+                        left = rows & np.where(np.isfinite(x[:, j]), x[:, j] <= c, unknown)
+                        right = rows & ~left
+                        if left.sum() < leaf or right.sum() < leaf:
+                            continue
+                        gain = round(score(left) + score(right) - score(rows), 12)
+                        if gain > best[0]:
+                            best = (gain, (j, c, unknown))
+            if level == depth or best[1] is None:
+                value = -rate * g[rows].sum() / (h[rows].sum() + l2)
+                f[rows] += value
+                out[there] += value
+                return
+            j, c, unknown = best[1]
+            go = lambda a: np.where(np.isfinite(a[:, j]), a[:, j] <= c, unknown)
+            grow(rows & go(x), there & go(at), level + 1)
+            grow(rows & ~go(x), there & ~go(at), level + 1)
+
+        grow(np.ones(len(y), bool), np.ones(len(at), bool), 0)
+    return 1 / (1 + np.exp(-out))
+
+
+def test_boosting_is_that_of_plain_trees():
+    r = np.random.default_rng(5)
+    x = np.round(r.normal(size=(150, 3)), 1)
+    x[r.random((150, 3)) < 0.15] = np.nan
+    x[:, 2] = np.where(np.isnan(x[:, 1]), 1.0, x[:, 2])
+    y = (np.nan_to_num(x[:, 0], nan=0.7) + 0.5 * np.nan_to_num(x[:, 1], nan=-1) + r.normal(scale=0.5, size=150) > 0).astype(float)
+    at = np.round(r.normal(size=(40, 3)), 1)
+    at[0] = np.nan
+    got = boosting.fit(x, y, boosting.Settings(iterations=4, bins=200)).probability(at)
+    np.testing.assert_allclose(got, plain_boosting(x, y, at, 4), rtol=1e-9)
+    m = boosting.fit(x, y, boosting.Settings(bins=16))
+    assert ((m.probability(x) > 0.5) == y).mean() > 0.85
+
+
+def test_walk_forward_sees_no_later_label(rows):
+    """Each symbol's models know its bars up to the cutoff less the horizon: later bars and other symbols change nothing."""
+    from tapewright.operators import learn
+
+    of = lambda d: {(r.symbol, r.idx): r.prob_up for r in learn.walk_forward(d, min_train=120, refit=50, iterations=5).collect()}
+    whole = of(rows)
+    assert {s for s, _ in whole} == {"A", "B"} and min(i for _, i in whole) == 120 and max(i for _, i in whole) == 299
+    assert whole.items() >= {k: v for k, v in of(rows.where("symbol = 'A'")).items()}.items()
+    changed = rows.withColumn("close", F.when(F.col("idx") > 225, F.col("close") * 2).otherwise(F.col("close")))
+    later = of(changed)
+    assert all(later[k] == v for k, v in whole.items() if k[1] <= 219) and any(later[k] != v for k, v in whole.items() if k[1] > 230)
+    assert of(rows.where("idx < 149")) == {}
+
+
 def test_stream_distinct(spark, tmp_path):
     from tapewright.streaming.bars import stream_distinct
 
