@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,7 @@ from tapewright.plans import oracles as sql
 from tapewright.plans import scan_sql
 from tapewright.sources import bars as src
 from tapewright.streaming import bars as stream
+from tapewright.streaming import loop, positions
 from tapewright.streaming.bars import staged
 
 PAIRS = [("Brand#11", "Brand#12"), ("Brand#21", "Brand#22"), ("Brand#31", "Brand#32"), ("Brand#41", "Brand#42"), ("Brand#51", "Brand#52")]
@@ -221,6 +223,22 @@ def stream_bars_query(spark: SparkSession, d: str) -> DataFrame:
     return out(stream.run_available(stream.stream_bars(stream.event_stream(spark, d)), ["symbol", "ts"]))
 
 
+def position_stream_query(spark: SparkSession, d: str) -> DataFrame:
+    """Every trend-breakout plan as a signal of a stream, with the bars that close it."""
+    x = staged(structured(spark, d), "journal")
+    p = journal.number(strategies.plans(x, "trend_breakout", structure=CONFIG["structure"])).withColumn("created_at", F.col("ts"))
+    e = positions.in_slices(staged(positions.events(p, x), "events"), 6, "events")
+    j = CONFIG["journal"]
+    return out(positions.last_moves(positions.follow(e, j["cooldown_days"], j["max_hold_days"])), "signal_id", "symbol", "side", "created_at", "status", "closed_at", "result_r")
+
+
+def loop_query(spark: SparkSession, d: str) -> DataFrame:
+    """The journal that the loop leaves after six batches of bars."""
+    b = staged(src.order_bars(spark, d), "bars")
+    log = loop.run_loop(positions.in_slices(b, 6, "bars"), f"{stream.shared_dir(spark).rstrip('/')}/loop-{uuid.uuid4().hex}")
+    return out(journal.latest(log), "symbol", "strategy", "side", "created_at", "entry", "stop", "target", "status", "closed_at", "result_r")
+
+
 def latest_query(spark: SparkSession, d: str) -> DataFrame:
     """Plans of the walk's last bars by each symbol's model of all its complete labels."""
     m = CONFIG["ml"]
@@ -302,6 +320,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "position_review": (review_query, sql.REVIEW),
     **{f"optimize_{n}": (grid_query(n), sql.grid_rows(n)) for n in optimize.GRIDS},
     "stream_bars": (stream_bars_query, f"WITH {sql.EVENTS} SELECT symbol, ts, {_OHLCV} FROM bars"),
+    "stream_positions": (position_stream_query, sql.MOVES),
+    "journal_loop": (loop_query, sql.LOOP),
     "event_sessions": (
         stream_sessions_query,
         """SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL 30 MINUTES AS "end", count(*) AS events FROM (

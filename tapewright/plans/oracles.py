@@ -348,3 +348,38 @@ SELECT strategy, symbol, {LISTED} AS asset_class, ts, side, round(entry, 4) AS e
   round(units, 4) AS units, round(round(units * entry / 10000 * 100, 2), 4) AS equity_pct, round(round(units * gap / 10000 * 100, 2), 4) AS risk_pct, round(round(entry + sgn * gap, 6), 4) AS risk_free_at, regime,
   trades, round(win_rate, 4) AS win_rate, round(profit_factor, 4) AS profit_factor, round(expectancy, 4) AS expectancy, round(sharpe, 4) AS sharpe, oos_trades, round(oos_expectancy, 4) AS oos_expectancy, confluence, live,
   trades >= 15 AND win_rate >= 0.40 AND profit_factor >= 1.40 AND sharpe >= 0.5 AND (oos_trades < 4 OR oos_expectancy > 0) AS measured_edge FROM w"""
+
+
+_ENDS = f"""{plans("trend_breakout")},
+s AS MATERIALIZED (SELECT row_number() OVER (ORDER BY symbol, idx) AS signal_id, * FROM plans),
+b AS (SELECT s.*, b.ts AS bts, b.close AS bc, if(side = 'LONG', b.low <= stop, b.high >= stop) AS hs, if(side = 'LONG', b.high >= target, b.low <= target) AS ht FROM s JOIN x b ON b.symbol = s.symbol AND b.ts > s.ts)"""
+
+#: A signal is held back by an open one of its key that is three days old at most; signal by signal.
+MOVES = f"""{_ENDS},
+e0 AS (SELECT signal_id, min(bts) AS hit_, arg_min(CASE WHEN hs THEN 'sl' WHEN ht THEN 'tp' ELSE 'expired' END, bts) AS how, arg_min(bc, bts) AS price FROM b
+  WHERE hs OR ht OR bts - ts >= INTERVAL 30 DAYS GROUP BY signal_id),
+ev AS (SELECT signal_id, if(late, s.ts + INTERVAL 30 DAYS, hit_) AS ended, if(late, 'expired', how) AS how,
+    if(late, (SELECT arg_max(z.close, z.ts) FROM x z WHERE z.symbol = s.symbol AND z.ts < hit_), price) AS price
+  FROM (SELECT e0.*, hit_ - s.ts > INTERVAL 45 DAYS AS late FROM e0 JOIN s USING (signal_id)) JOIN s USING (signal_id)),
+o AS (SELECT s.*, how, ended, price, row_number() OVER (PARTITION BY symbol, side ORDER BY ts) AS n FROM s LEFT JOIN ev USING (signal_id)),
+h AS (SELECT symbol, side, n, signal_id, [{{'at': ts, 'ended': ended}}] AS open, false AS held FROM o WHERE n = 1
+  UNION ALL
+  SELECT symbol, side, n, signal_id, if(held, open, list_append(open, {{'at': ts, 'ended': ended}})), held FROM (
+    SELECT o.symbol, o.side, o.n, o.signal_id, h.open, o.ts, o.ended, len(list_filter(h.open, lambda p: o.ts - p.at <= INTERVAL 3 DAYS AND coalesce(p.ended > o.ts, true))) > 0 AS held
+    FROM h JOIN o ON o.symbol = h.symbol AND o.side = h.side AND o.n = h.n + 1))
+SELECT signal_id, o.symbol, o.side, ts AS created_at, CASE WHEN held THEN 'held' ELSE coalesce(how, 'open') END AS status, CASE WHEN held THEN ts ELSE ended END AS closed_at,
+  round(CASE WHEN held THEN NULL WHEN how = 'sl' THEN -1.0 WHEN how = 'tp' THEN abs(target - entry) / abs(entry - stop) WHEN how = 'expired' THEN round(sgn * (price - entry) / abs(entry - stop), 2 + 2) END, 4) AS result_r
+FROM o JOIN h USING (signal_id)"""
+
+#: Six slices of time, each resolving what is open at its end.
+LOOP = f"""{_ENDS},
+c AS (SELECT ts, least(5, floor((epoch_ms(ts) - (SELECT min(epoch_ms(ts)) FROM bars)) * 6 / (SELECT max(epoch_ms(ts)) - min(epoch_ms(ts)) FROM bars))) AS slice FROM (SELECT DISTINCT ts FROM bars)),
+n AS (SELECT slice, max(ts) AS now FROM c GROUP BY slice),
+f AS (SELECT signal_id, min(bts) FILTER (hs OR ht) AS hit_at, arg_min(if(hs, 'sl', 'tp'), bts) FILTER (hs OR ht) AS how FROM b GROUP BY signal_id),
+m AS (SELECT s.signal_id, min(now) AS now FROM s JOIN c USING (ts) JOIN n ON n.slice > c.slice LEFT JOIN f USING (signal_id)
+  WHERE hit_at <= now OR (floor(epoch(now - s.ts) / 86400) >= 30 AND EXISTS (SELECT 1 FROM bars z WHERE z.symbol = s.symbol AND z.ts > s.ts AND z.ts <= now)) GROUP BY s.signal_id),
+l AS (SELECT signal_id, max(bts) AS last_at, arg_max(bc, bts) AS price FROM b JOIN m USING (signal_id) WHERE bts <= now GROUP BY signal_id)
+SELECT symbol, strategy, side, ts AS created_at, round(entry, 4) AS entry, round(stop, 4) AS stop, round(target, 4) AS target,
+  CASE WHEN m.now IS NULL THEN 'open' WHEN hit_at <= m.now THEN how ELSE 'expired' END AS status, CASE WHEN m.now IS NULL THEN NULL WHEN hit_at <= m.now THEN hit_at ELSE last_at END AS closed_at,
+  round(CASE WHEN m.now IS NULL THEN NULL WHEN hit_at <= m.now THEN if(how = 'sl', -1.0, abs(target - entry) / abs(entry - stop)) ELSE round(sgn * (price - entry) / abs(entry - stop), 2 + 2) END, 4) AS result_r
+FROM s LEFT JOIN f USING (signal_id) LEFT JOIN m USING (signal_id) LEFT JOIN l USING (signal_id)"""
