@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tapewright.functions.core import CONFIG, is_long, meter, price_text
 from tapewright.functions.report import signal_card
 from tapewright.operators import backtest as bt
-from tapewright.operators import factor, indicators, journal, learn, montecarlo, optimize, pairs, risk, scan, strategies
+from tapewright.operators import asof, factor, indicators, journal, learn, montecarlo, optimize, pairs, recursion, risk, scan, strategies
 from tapewright.plans import oracles as sql
 from tapewright.plans import scan_sql
 from tapewright.sources import bars as src
@@ -207,6 +207,19 @@ def pair_chance_query(spark: SparkSession, d: str) -> DataFrame:
     return out(montecarlo.add_spread_probability(st, ["pair"]).select("pair", "z", "phi", "sigma_eps", "p_value", "win_prob"))
 
 
+def blocked_query(spark: SparkSession, d: str) -> DataFrame:
+    """Recursive averages of the order bars by blocks of 256 bars."""
+    x = staged(indicators.add_window_indicators(src.order_bars(spark, d)).select("symbol", "ts", "idx", "tr", "close"), "bars")
+    x = recursion.blocked_mean(recursion.blocked_mean(x, "tr", 1 / 14, 14, "atr", 256), "close", 2 / 21, 20, "ema_20", 256)
+    return out(x, "symbol", "ts", "atr", "ema_20")
+
+
+def asof_query(spark: SparkSession, d: str) -> DataFrame:
+    """Orders at the close that their symbol had last, a week ago at most, on the calendar of a brand of the symbol's place."""
+    o = src.table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("ts"), F.concat(F.lit("Brand#"), F.substring("o_orderpriority", 1, 1)).alias("symbol"))
+    return out(asof.asof_join(o, src.brand_bars(spark, d, "day"), ["symbol"], ["close"], tolerance=7 * 86400), "o_orderkey", "symbol", "ts", "ts_asof", "close")
+
+
 def ml_query(spark: SparkSession, d: str) -> DataFrame:
     """Each symbol's models over its last 1250 bars, as a scan has them."""
     m = CONFIG["ml"]
@@ -270,6 +283,13 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "bars_tail": (lambda s, d: out(src.tail(src.order_bars(s, d), 100)), f"WITH {sql.BARS} SELECT symbol, ts, {_OHLCV} FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 100"),
     "indicators_window": (lambda s, d: out(indicators.add_window_indicators(src.order_bars(s, d)), "symbol", "ts", *_W), f"WITH {sql.BARS}, {sql.WINDOWS} SELECT symbol, ts, {_round(_W)} FROM w"),
     "indicators_recursive": (lambda s, d: out(rows(s, d), "symbol", "ts", *_R), f"{sql.IND} SELECT symbol, ts, {_round(_R)} FROM x"),
+    "indicators_blocked": (blocked_query, f"{sql.IND} SELECT symbol, ts, round(atr, 4) AS atr, round(ema_20, 4) AS ema_20 FROM x"),
+    "asof_closes": (
+        asof_query,
+        f"""WITH {sql.BRAND.replace("'week'", "'day'")}, o AS (SELECT o_orderkey, 'Brand#' || o_orderpriority[1] AS symbol, o_orderdate AS ts FROM orders)
+        SELECT o.o_orderkey, o.symbol, o.ts, if(o.ts - bars.ts <= INTERVAL 7 DAYS, bars.ts, NULL) AS ts_asof, round(if(o.ts - bars.ts <= INTERVAL 7 DAYS, bars.close, NULL), 4) AS close
+        FROM o ASOF LEFT JOIN bars ON o.symbol = bars.symbol AND o.ts >= bars.ts""",
+    ),
     "regime": (
         lambda s, d: out(indicators.regime(rows(s, d))),
         f"{sql.IND} SELECT symbol, CASE WHEN a >= 25 THEN 'trending' WHEN a < 20 THEN 'ranging' ELSE 'neutral' END AS regime, round(a, 4) AS adx FROM (SELECT symbol, arg_max(adx, ts) AS a FROM x GROUP BY symbol)",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapewright.functions import draws
 from tapewright.functions.core import CONFIG, meter, price_text
 from tapewright.functions.report import performance_text, signal_card
-from tapewright.operators import backtest, boosting, factor, indicators, journal, montecarlo, pairs, risk, strategies
+from tapewright.operators import asof, backtest, boosting, factor, indicators, journal, montecarlo, pairs, recursion, risk, strategies
 from tapewright.sources import bars as src
 from tapewright.streaming.bars import track_positions
 
@@ -91,6 +91,42 @@ def test_state_carries_over_batches():
     np.testing.assert_allclose(np.concatenate([a, b]), whole)
 
 
+@pytest.mark.parametrize(("alpha", "block"), [(1 / 14, 16), (0.5, 1024), (2 / 13, 7), (0.9, 1024)])
+def test_blocked_means_are_the_streamed_ones(spark, alpha, block):
+    r, want, parts = np.random.default_rng(8), [], []
+    for symbol, n in (("A", 1500), ("B", 40), ("C", 300), ("D", 5)):
+        x = 100 + np.cumsum(r.normal(size=n))
+        x[r.random(n) < 0.2] = np.nan
+        if symbol == "C":
+            x[:70] = x[100:160] = np.nan
+        if symbol == "D":
+            x[:] = np.nan
+        want.append(indicators.exponential_mean(x, alpha, 9, None)[0])
+        parts.append(pd.DataFrame({"symbol": symbol, "idx": np.arange(n), "x": x}))
+    got = recursion.blocked_mean(spark.createDataFrame(pd.concat(parts)).repartition(5), "x", alpha, 9, "y", block).orderBy("symbol", "idx").toPandas()
+    np.testing.assert_allclose(got["y"].astype(float), np.concatenate(want), rtol=1e-9)
+    assert len(got) == 1845
+
+
+def test_asof_join_against_a_loop(spark):
+    r = np.random.default_rng(4)
+    day = lambda n: datetime(2024, 1, 1) + timedelta(hours=int(n))
+    left = [(i, "AB"[int(r.random() < 0.2)] if i % 17 else None, day(r.integers(0, 4000)) if i % 13 else None) for i in range(400)] + [(5, "A", day(7))] * 2
+    right = [("AB"[int(r.random() < 0.3)], day(t), float(v)) for t, v in zip(r.integers(0, 4000, 120), r.normal(size=120), strict=True)] + [("A", None, 1.0), (None, day(3), 2.0)]
+    a = spark.createDataFrame(left, "id int, k string, ts timestamp").withColumn("v", F.lit("own"))
+    b = spark.createDataFrame(right, "k string, ts timestamp, price double")
+    for tolerance, bucket in ((None, 10 * 86400), (5 * 86400, 86400), (3600, 10**9)):
+        got = sorted(((r.id, r.k, r.ts, r.ts_asof, r.price) for r in asof.asof_join(a, b, ["k"], ["price"], tolerance=tolerance, bucket=bucket).collect()), key=str)
+        want = []
+        for i, k, t in left:
+            p = max(((s, v) for q, s, v in right if q == k and k and s and t and s <= t), default=None)
+            p = p if p and (tolerance is None or (t - p[0]).total_seconds() <= tolerance) else (None, None)
+            want.append((i, k, t, *p))
+        assert got == sorted(want, key=str) and any(w[3] for w in want)
+    assert asof.asof_join(a, b.where("false"), ["k"], ["price"]).where("price IS NULL").count() == len(left)
+    assert asof.asof_join(a.where("false"), b, ["k"], ["price"]).count() == 0
+
+
 def test_no_look_ahead(spark, rows):
     short = indicators.add_indicators(spark.createDataFrame(walk().head(250))).orderBy("ts").toPandas()
     full = rows.where("symbol = 'A'").orderBy("ts").toPandas().head(250)
