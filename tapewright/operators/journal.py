@@ -122,11 +122,26 @@ def review(positions: DataFrame, p: dict = CONFIG["manage"]) -> DataFrame:
     return out.withColumn("actionable", F.col("at_breakeven") | F.col("trailed") | F.col("near_target") | F.col("danger")).drop("_sl", "_trail", "_past")
 
 
+def extremes_since(signals: DataFrame, bars: DataFrame) -> DataFrame:
+    """(signal_id, hi_since, lo_since): extremes of the bars after each signal. A signal meets the bars of its own bucket of
+    time, and one row of its symbol: the extremes of all later buckets, running from the last one back."""
+    bucket = lambda ts: F.floor(F.unix_seconds(ts) / (86400 * BUCKET_DAYS))
+    b = bars.select(F.col("symbol").alias("_s"), F.col("ts").alias("_ts"), "high", "low").withColumn("_b", bucket(F.col("_ts")))
+    s = signals.withColumn("_own", bucket(F.col("created_at")))
+    ends = b.groupBy("_s", "_b").agg(F.max("high").alias("high"), F.min("low").alias("low"))
+    asked = s.select(F.col("symbol").alias("_s"), F.col("_own").alias("_b"), F.lit(None).cast("double").alias("high"), F.lit(None).cast("double").alias("low")).distinct()
+    ends = ends.unionByName(asked).groupBy("_s", "_b").agg(F.max("high").alias("high"), F.min("low").alias("low"))
+    w = Window.partitionBy("_s").orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    later = ends.select("_s", "_b", F.max("high").over(w).alias("high"), F.min("low").over(w).alias("low"))
+    same = (F.col("symbol") == F.col("_s")) & (F.col("_own") == F.col("_b"))
+    met = s.join(later, same).select("signal_id", "high", "low").unionByName(s.join(b, same & (F.col("_ts") > F.col("created_at"))).select("signal_id", "high", "low"))
+    return met.groupBy("signal_id").agg(F.max("high").alias("hi_since"), F.min("low").alias("lo_since"))
+
+
 def open_positions(state: DataFrame, rows: DataFrame) -> DataFrame:
     """Open signals with what ``review`` needs: the last bar's columns, extremes since creation, the next level."""
     last = rows.groupBy("symbol").agg(F.max_by(F.struct("close", F.col("high").alias("last_high"), F.col("low").alias("last_low"), "atr", "sma_200", "macd_hist", "sup", "res"), "ts").alias("x")).select(F.col("symbol").alias("_s"), "x.*")
-    since = state.where("status = 'open'").join(rows.select(F.col("symbol").alias("_b"), "ts", "high", "low"), (F.col("symbol") == F.col("_b")) & (F.col("ts") > F.col("created_at")))
-    since = since.groupBy("signal_id").agg(F.max("high").alias("hi_since"), F.min("low").alias("lo_since"))
+    since = extremes_since(state.where("status = 'open'").select("signal_id", "symbol", "created_at"), rows)
     out = state.where("status = 'open'").join(last, F.col("symbol") == F.col("_s")).join(since, "signal_id", "left")
     cur = F.col("close")
     out = out.withColumns({"hi_since": F.coalesce("hi_since", "last_high"), "lo_since": F.coalesce("lo_since", "last_low"), "current": cur, "ma_trend": F.col("sma_200"),

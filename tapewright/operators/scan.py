@@ -56,12 +56,12 @@ def symbol_signals(rows: DataFrame, universe: DataFrame | None = None) -> DataFr
     """Each strategy's latest plan of each symbol. ``live``: it is of the last bar and suits the regime, as a scan asks; the
     confluence counts such plans with each other, and the others with each other. ``rows`` have indicators and levels;
     ``universe`` lists the classes of symbols: shorts of one that can't be sold short are forecasts."""
-    plan = strategies.all_plans(rows, CONFIG["structure"])
+    plan = staged(strategies.all_plans(rows, CONFIG["structure"]), "plans")
     bars = rows.select("symbol", "idx", "high", "low", "close")
     trend = plan.where("strategy <> 'mean_reversion'")
     done = bt.trailing_exits(trend, bars, CONFIG["exits"]["trail"]).unionByName(bt.fixed_exits(plan.where("strategy = 'mean_reversion'"), bars))
     last = plan.groupBy("strategy", "symbol").agg(F.max_by(F.struct(*[c for c in plan.columns if c not in ("strategy", "symbol")]), "idx").alias("x")).select("strategy", "symbol", "x.*")
-    last = staged(classed(last.join(rows.select("symbol", "idx", "drift"), ["symbol", "idx"]), universe), "plans")
+    last = staged(classed(last.join(rows.select("symbol", "idx", "drift"), ["symbol", "idx"]), universe), "latest")
     last = montecarlo.add_barrier_probability(last, ["strategy", "symbol"], "drift")
     end = rows.groupBy("symbol").agg(F.max("idx").alias("end"))
     out = assess(last, bt.select_trades(done), ["strategy", "symbol"])

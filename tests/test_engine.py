@@ -82,6 +82,16 @@ def test_resolve_against_a_loop(spark):
             assert got[i] == ("open", None)
 
 
+def test_extremes_since_creation(spark):
+    r = np.random.default_rng(6)
+    bars = pd.concat([walk(400, 9), walk(150, 10, "B")])[["symbol", "ts", "high", "low"]]
+    sig = [(i, "AB"[i % 2], bars.ts.iloc[int(r.integers(0, 400))].to_pydatetime() + timedelta(hours=int(r.integers(0, 9)))) for i in range(80)]
+    got = {x.signal_id: (x.hi_since, x.lo_since) for x in journal.extremes_since(spark.createDataFrame(sig, "signal_id long, symbol string, created_at timestamp"), spark.createDataFrame(bars)).collect()}
+    for i, s, at in sig:
+        later = bars[(bars.symbol == s) & (bars.ts > at)]
+        assert got[i] == ((later.high.max(), later.low.min()) if len(later) else (None, None))
+
+
 def test_state_carries_over_batches():
     x = np.random.default_rng(3).normal(size=50)
     x[[20, 21, 30]] = np.nan
