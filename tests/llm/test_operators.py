@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tapewright.llm import chat_format, embed_dedup, exact_dedup, graph, jaccard_join, lang_id, license_scan, mixing, packing, pii, substring_dedup
+from tapewright.llm import chat_format, embed_dedup, exact_dedup, graph, jaccard_join, lang_id, license_scan, mixing, packing, pii, queries, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -250,6 +250,19 @@ def naive_base(text):
     return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(digits(m[0])) <= 15]
 
 
+def test_pii_query_counts_the_fixed_patterns(spark, tmp_path):
+    texts = ["call (743) 555-3824 or +49 30 1234567", "mail bob (at) mail (dot) com or a.b@c.de", "4111.1111.1111.1111 4111 1111 1111 1111", "1:2:3:4 host 10.1.2.3", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    added = 0
+    for r in queries.op3_pii(spark, str(tmp_path)).collect():
+        base = naive_base(texts[r.doc_id] or "")
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in pii.KINDS]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r.spans.split(","))
+        added += r.n_all - len(base)
+    assert added > 0
+
+
 def test_pii(spark):
     rng = random.Random(3)
     alphabet = "a1.@+- 9(0)é,4"
