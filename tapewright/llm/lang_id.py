@@ -17,6 +17,8 @@ from tapewright.llm.store import fresh, stage
 
 #: n-grams of 1 to ORDER characters, hashed into BINS presence bits; code points hashed at once.
 ORDER, BINS, STEP = 4, 1 << 16, 1 << 20
+#: Bins of the sample's presence rows that are floats at once.
+WIDTH = 1 << 10
 #: Bounds of the training sample: documents a language, and in all (8 KB of bits each reach the driver).
 PER_LANGUAGE, SAMPLE = 400, 4096
 #: Landmarks a language, and in all but for one a language at least; languages.
@@ -53,11 +55,51 @@ def bits(text: str) -> bytes:
 
 
 def presence(rows: list[bytes]) -> np.ndarray:
-    """One row a text, from its bits, scaled to length 1, so that products of rows are kernel values."""
+    """One row a text, from its bits, scaled to length 1, so that products of rows are kernel values. For a few rows;
+    of many, ``Presence`` makes the products."""
     x = np.unpackbits(np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), BINS // 8), axis=1).astype(np.float32)
     return x / np.sqrt(np.maximum(1, x.sum(1)))[:, None]
 
 
+@dataclass
+class Presence:
+    """Products of the rows that ``presence`` makes, from their bits. Only WIDTH columns are floats at a time: whole rows, 256 KB
+    each, would be much of the driver's memory."""
+
+    bits: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[bytes]) -> Presence:
+        return cls(np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), BINS // 8))
+
+    def blocks(self) -> Iterator[tuple[int, np.ndarray]]:
+        for a in range(0, BINS, WIDTH):
+            yield a, np.unpackbits(self.bits[:, a // 8 : (a + WIDTH) // 8], axis=1).astype(np.float32)
+
+    def lengths(self) -> np.ndarray:
+        return np.sqrt(np.maximum(1, np.bitwise_count(self.bits).sum(1, dtype=np.int64)))
+
+    def kernel(self, marks: np.ndarray) -> np.ndarray:
+        """Kernel values of all rows with the rows ``marks``. Sums of presences are whole numbers, exact in floats."""
+        out, n = np.zeros((len(self.bits), len(marks)), np.float32), self.lengths()
+        for _, x in self.blocks():
+            out += x @ x[marks].T
+        return out / (n[:, None] * n[marks])
+
+    def weighted(self, dual: np.ndarray) -> np.ndarray:
+        """BINS x columns of ``dual``: the rows times their dual weights."""
+        out, dual = np.empty((BINS, dual.shape[1]), np.float32), dual / self.lengths()[:, None]
+        for a, x in self.blocks():
+            out[a : a + WIDTH] = x.T @ dual
+        return out
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.bits), weights.shape[1]))
+        for a, x in self.blocks():
+            out += x @ weights[a : a + WIDTH]
+        return out / self.lengths()[:, None]
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -86,9 +128,8 @@ def fit(rows: list[bytes], langs: list[str], landmarks: int = LANDMARKS, ridge:
     y = np.array([languages.index(x) for x in langs])
     each = max(1, min(landmarks, ALL_LANDMARKS // len(languages)))
     marks = np.concatenate([np.flatnonzero(y == c)[:each] for c in range(len(languages))])
-    lm = presence([rows[i] for i in marks])
-    k_mm = (lm @ lm.T).astype(np.float64)
-    k_nm = np.concatenate([presence(rows[i : i + 128]) @ lm.T for i in range(0, len(rows), 128)]).astype(np.float64)
+    k_nm = Presence.of(rows).kernel(marks)
+    k_mm = k_nm[marks]
     value, vector = np.linalg.eigh(k_mm)
     good = value > 1e-8 * value[-1]
     root = vector[:, good] / np.sqrt(value[good])
@@ -99,7 +140,7 @@ def fit(rows: list[bytes], langs: list[str], landmarks: int = LANDMARKS, ridge:
     zc, tc = weight @ z, weight @ target
     a = (z - zc).T @ ((z - zc) * weight[:, None]) + ridge / len(rows) * np.eye(z.shape[1])
     beta = np.linalg.solve(a, (z - zc).T @ ((target - tc) * weight[:, None]))
-    return Model(languages, (lm.T @ (root @ beta)).astype(np.float32), tc - zc @ beta)
+    return Model(languages, Presence.of([rows[i] for i in marks]).weighted(root @ beta), tc - zc @ beta)
 
 
 def rejection_level(rows: list[bytes], langs: list[str]) -> float:
@@ -118,7 +159,7 @@ def rejection_level(rows: list[bytes], langs: list[str]) -> float:
             continue  # a language of so few texts can't be told without them
         m = fit([rows[i] for i in inside], [langs[i] for i in inside])
         out = [rows[i] for i in range(len(rows)) if i % FOLDS == fold]
-        told += [((1 + presence(out[a : a + 128]) @ m.weights + m.bias) / 2).max(1) for a in range(0, len(out), 128)]
+        told += [((1 + Presence.of(out[a : a + 1024]).times(m.weights) + m.bias) / 2).max(1) for a in range(0, len(out), 1024)]
     scores = np.clip(np.concatenate(told), 0, 1) if told else np.zeros(1)
     return 1 / n + MARGIN * max(0.0, float(np.quantile(scores, QUANTILE, method="lower")) - 1 / n)
 

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -328,6 +329,24 @@ def test_language_id(spark):
     assert lang_id.predict(df, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_id_trains_in_little_memory():
+    """The driver's share: the sample's bits, not its rows as floats; the same kernel and weights."""
+    r = np.random.default_rng(2)
+    rows = [np.packbits(r.random(lang_id.BINS) < 0.01).tobytes() for _ in range(300)]
+    langs = ["ab"[i % 2] for i in range(300)]
+    tracemalloc.start()
+    model = lang_id.fit(rows, langs)
+    lang_id.rejection_level(rows, langs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+    x, marks = lang_id.presence(rows), np.arange(0, 300, 3)
+    got = lang_id.Presence.of(rows)
+    assert np.allclose(got.kernel(marks), x @ x[marks].T, atol=1e-5) and np.allclose(got.times(model.weights), x @ model.weights, atol=1e-4)
+    dual = r.random((300, 2))
+    assert np.allclose(got.weighted(dual), x.T @ dual, atol=1e-4)
+
+
 def test_language_id_is_kernel_ridge():
     """Scores against a plain kernel ridge: string sets of n-grams, the Nystroem map, normal equations."""
     rng = random.Random(9)
