@@ -218,18 +218,24 @@ def _score(total: int, kinds: int, ends: int):
     share = lambda c: np.log10((c + 1) / (total + kinds + 1))
 
     def run(key: tuple, texts: pa.Table, told: pa.Table) -> pa.Table:
-        code, word, value = (told[c].combine_chunks() for c in ("code", "word", "value"))
-        is_word = pc.is_valid(word)
-        known, length = code.filter(pc.invert(is_word)), value.filter(pc.invert(is_word)).to_numpy()
+        own_grams, own_words = told.filter(pc.is_valid(told["code"])), told.filter(pc.is_valid(told["word"]))
+        known, length = own_grams["code"].to_numpy(), own_grams["value"].to_numpy()
+        del own_grams
+        order = np.argsort(known)
+        known, length = known[order], length[order]
+        del order
         words, out = _Words(texts["rows"], keep=True), []
         count = words.n
-        count[[words.code[w] for w in word.filter(is_word).to_pylist()]] = value.filter(is_word).to_numpy().astype(np.int64)
+        at = np.fromiter((words.code[w.as_py()] for w in own_words["word"]), np.int64, own_words.num_rows)
+        count[at] = own_words["value"].to_numpy().astype(np.int64)
         for part, coded in zip(_read(texts["rows"]), words.batches, strict=True):
             n, text = part.num_rows, part.column(part.schema.get_field_index("text"))
             score, base, size, hits = np.zeros(n), np.full(n, share(ends)), np.ones(n, np.int64), np.full(n, int(ends > 0))
             for own, doc in grams(text):
-                at = pc.index_in(pa.array(own), value_set=known).to_numpy()
-                score += np.bincount(doc, length[at], n)
+                # Each gram is looked up once a step; a hash table of all that is known, made anew every time, would be the most of a task.
+                kinds = pa.array(own).dictionary_encode()
+                at = np.searchsorted(known, kinds.dictionary.to_numpy())
+                score += np.bincount(doc, length[at][kinds.indices.to_numpy()], n)
             for own, doc in coded:
                 c = count[own]
                 base += np.bincount(doc, share(c), n)
@@ -237,6 +243,7 @@ def _score(total: int, kinds: int, ends: int):
                 hits += np.bincount(doc, c > 0, n).astype(np.int64)
             columns = [part.column(part.schema.get_field_index(c)) for c in ("id", "held")]
             out.append(pa.record_batch([*columns, size, hits, base, score], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"]))
+        pa.default_memory_pool().release_unused()  # else idle workers keep it
         return pa.Table.from_batches(out)
 
     return run

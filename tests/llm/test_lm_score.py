@@ -121,3 +121,25 @@ def test_held_out_texts_are_told_from_noise(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.id: -r.score / len(t) for (i, t), r in zip(rows, sorted(lm_score.score_texts(docs, F.col("doc_id") >= 100).collect(), key=lambda r: r.id), strict=True)}
     assert max(got[i] for i in range(100, 120)) * 2 < min(got[i] for i in range(1000, 1020))
+
+
+def test_scoring_takes_little_memory_beside_what_was_told():
+    """A portion's look-ups make no hash table of all grams that it was told."""
+    r = np.random.default_rng(3)
+    texts = [bytes(r.integers(97, 123, 400, dtype=np.uint8)).decode() for _ in range(50)]
+    part = pa.table({"id": range(50), "held": [False] * 50, "text": texts}).to_batches()[0]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, part.schema) as writer:
+        writer.write_batch(part)
+    own = np.concatenate([code for code, _ in lm_score.grams(part["text"])])
+    code = r.permutation(np.union1d(own, r.integers(0, 1 << 41, 1 << 20)))
+    value = -(code % 97) / 8.0
+    told = pa.table({"q": np.zeros(len(code), np.int64), "code": code, "word": pa.nulls(len(code), pa.binary()), "value": value})
+    before, pool = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    pa.set_memory_pool(pool)
+    try:
+        got = lm_score._score(1000, 10, 50)(None, pa.table({"rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())}), told)
+    finally:
+        pa.set_memory_pool(before)
+    assert np.allclose(got["score"].to_numpy(), (-(own % 97) / 8.0).reshape(50, 401).sum(1))
+    assert pool.max_memory() < 64 << 20
