@@ -13,9 +13,10 @@ occurrences sets one, is not set. Those that share a bit with another are counte
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -57,18 +58,20 @@ class HatTrie:
         self.flat: dict[int, dict[int, int]] = {}
         self.deep: dict[int, dict[int, dict[int, int]]] = {}
 
-    def add(self, root: int, suffixes: list[int]) -> None:
+    def add(self, root: int, suffixes: list[int], counts: list[int] | None = None) -> None:
+        """Counts each suffix once, or as often as ``counts`` says."""
+        counts = repeat(1) if counts is None else counts
         if root in self.deep:
             node = self.deep[root]
-            for s in suffixes:
+            for s, n in zip(suffixes, counts, strict=False):
                 box = node.setdefault(s >> 2 * WORD_BITS, {})
                 self.size += s not in box
-                box[s] = box.get(s, 0) + 1
+                box[s] = box.get(s, 0) + n
             return
         box = self.flat.setdefault(root, {})
         before, get = len(box), box.get
-        for s in suffixes:
-            box[s] = get(s, 0) + 1
+        for s, n in zip(suffixes, counts, strict=False):
+            box[s] = get(s, 0) + n
         self.size += len(box) - before
         if len(box) > self.burst:
             node = self.deep[root] = {}
@@ -154,7 +157,7 @@ def _bit(of: np.ndarray, *h: np.ndarray) -> np.ndarray:
     """The table's bit of words, by their hashes and their language's."""
     for x in h:
         of = tn.mix(of + x)
-    return of % np.uint64(TABLE)
+    return of & np.uint64(TABLE - 1)
 
 
 def _set(table: np.ndarray, bit: np.ndarray) -> np.ndarray:
@@ -240,6 +243,18 @@ class _Counter:
         if not len(at):
             return
         n, left = len(at), left[at]
+        if self.most == 2 and len(self.langs) < 1 << 20:
+            # A pair fits one number: equal ones are counted before they go to the trie.
+            key = (((lang[at] << WORD_BITS) | ids[at]) << WORD_BITS) | np.where(left > 1, ids[np.minimum(at + 1, len(ids) - 1)] + 1, 0)
+            key.sort()
+            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            counts, key = np.diff(new, append=n).tolist(), key[new]
+            root, keys = key >> WORD_BITS, ((key & MASK) << (ORDER - 2) * WORD_BITS).tolist()
+            edge = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]]))
+            edges = [*edge.tolist(), len(root)]
+            for r, a, b in zip(root[edge].tolist(), edges, edges[1:], strict=False):
+                self.trie.add(r, keys[a:b], counts[a:b])
+            return
         root, suffix = (lang[at] << WORD_BITS) | ids[at], np.zeros(n, np.int64)
         for k in range(1, self.most):
             suffix |= np.where(left > k, ids[np.minimum(at + k, len(ids) - 1)] + 1, 0) << (ORDER - 1 - k) * WORD_BITS
@@ -287,6 +302,14 @@ def _count(parts: int, memory: int, step: int, least: int, most: int, words_tabl
     """The runs of paths of ``least`` to ``most`` words, within frequent words and pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The trie is a great many dicts without cycles, which the collector would go through again and again.
+        gc.disable()
+        try:
+            yield from counted(batches)
+        finally:
+            gc.enable()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, single = _Counter(parts, memory, most), np.frombuffer(words_table.value, np.uint8)
         for batch in batches:
             for rows in tn.slices(batch, "text", SLICE):
@@ -298,14 +321,15 @@ def _count(parts: int, memory: int, step: int, least: int, most: int, words_tabl
                 of = np.array([_hash(x.encode()) for x in c.langs], np.uint64)[lang]
                 often = _set(single, _bit(of, h))
                 # Where no frequent word of the same piece follows, or none that makes a frequent pair.
-                seps = np.flatnonzero(_SEPARATOR[words.data])
+                seps = np.cumsum(_SEPARATOR[words.data], dtype=np.int32)
                 last = np.ones(len(often), bool)
-                last[:-1] = (np.searchsorted(seps, words.starts[1:]) != np.searchsorted(seps, words.ends[:-1])) | ~often[1:]
+                last[:-1] = (seps[words.starts[1:]] != seps[words.ends[:-1] - 1]) | ~often[1:]
                 last[words.hi[words.count > 0] - 1] = True
                 if pairs_table is not None:
                     last[:-1] |= ~_set(np.frombuffer(pairs_table.value, np.uint8), _bit(of[:-1], h[:-1], h[1:]))
                 at = np.flatnonzero(often)
-                lang, ends = lang[at], np.flatnonzero(last[at])
+                lang, last = lang[at], last[at]
+                ends, before = np.flatnonzero(last), np.cumsum(last) - last
                 body, offsets = _word_array(words)
                 names = pa.Array.from_buffers(pa.large_binary(), len(often), [None, pa.py_buffer(offsets), pa.py_buffer(body)]).take(pa.array(at))
                 for a in range(0, len(at), step):
@@ -316,7 +340,7 @@ def _count(parts: int, memory: int, step: int, least: int, most: int, words_tabl
                         c.langs.update({x: i for i, x in enumerate(known)})
                     own = names.slice(a, upto - a).dictionary_encode()
                     ids = c.ids_of(own.dictionary.to_pylist())[own.indices.to_numpy()]
-                    c.add(ids, lang[a:b], ends[np.searchsorted(ends, np.arange(a, b))] - np.arange(a, b) + 1, least)
+                    c.add(ids, lang[a:b], ends[before[a:b]] - np.arange(a, b) + 1, least)
                     if c.trie.size > memory:
                         yield from c.spill(memory // 2)
         yield from c.flush()

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +112,21 @@ def test_scores_pass_64_bits(spark, monkeypatch):
     found = spark.createDataFrame([("en", 2, "a b", 2 * big - 1)], "lang string, k int, phrase string, f long")
     monkeypatch.setattr(phrases, "phrase_counts", lambda *a: (words, found))
     assert told(phrases.collocations(words)) == [("en", 1, "a b", 2 * big - 1, 3 * big, 2 * big, 5 * big, 2_000_000 * (2 * big - 1) // (5 * big))]
+
+
+def test_equal_pairs_are_counted_before_the_trie():
+    """A text of 2000 words that repeats two pairs gives the trie each distinct pair once, with all its occurrences."""
+    given = []
+
+    class Watched(phrases.HatTrie):
+        def add(self, root, suffixes, counts=None):
+            given.extend([1] * len(suffixes) if counts is None else counts)
+            super().add(root, suffixes, counts)
+
+    c = phrases._Counter(16, 1 << 10, 2)
+    c.trie, c.langs = Watched(burst=1), {"en": 0}
+    ids = c.ids_of([b"a", b"b"] * 1000)
+    c.add(ids, 0 * ids, np.full(2000, 2).clip(max=2000 - np.arange(2000)), 2)
+    assert sorted(given) == [999, 1000]
+    root, suffix, n = c.trie.spill(0)
+    assert sorted(zip(root.tolist(), (suffix >> 2 * phrases.WORD_BITS).tolist(), n.tolist())) == [(0, 2, 1000), (1, 1, 999)]
